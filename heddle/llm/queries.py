@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontamination, license_scan, secret_scan, sharding
+from heddle.llm import decontamination, license_scan, near_dedup, secret_scan, sharding
 from heddle.llm.common import read
 
 SHARDS = {i: 1.0 for i in range(16)}
@@ -23,6 +23,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
@@ -32,8 +36,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op6_sharding, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op3_secret_scan, op6_sharding, op7_near_dedup, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scan": license_scan.oracle(), "op10_decontamination": decontamination.oracle()}
+    return {"op7_near_dedup": near_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op10_decontamination": decontamination.oracle()}
