@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontamination, license_scan, near_dedup, secret_scan, sharding, substring_dedup
+from heddle.llm import decontamination, license_scan, near_dedup, packing, secret_scan, sharding, substring_dedup
 from heddle.llm.common import read
 
 SHARDS = {i: 1.0 for i in range(16)}
@@ -22,6 +22,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(read(spark, sf_dir, "documents")))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.assign_shards(read(spark, sf_dir, "documents"), SHARDS, grown=SHARDS | {16: 1.0})
     return out.withColumn("law", F.lit("key"))
@@ -40,7 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_scan, op4_substring_dedup, op6_sharding, op7_near_dedup, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
