@@ -197,27 +197,42 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return bytes(found[0]["model"]) if found else None
 
 
+def scorer(model: bytes | None, settings: Settings):
+    """Function from texts to their scores, for a worker."""
+    if model is None:
+        return lambda texts: np.full(len(texts), 0.5)
+    z = np.load(io.BytesIO(model))
+    weights = {k: z[k] for k in z.files}
+    names, vectors = weights.pop("names").tobytes().split(b"\n"), weights.pop("vectors").astype(np.float32)
+    pool = Pooler(dict(zip(names, vectors, strict=True)), settings)
+    features = lambda t: pool.features((t or "").encode("utf-8", "replace").split())
+    return lambda texts: probabilities(weights, np.stack([features(t) for t in texts])) if texts else np.empty(0)
+
+
 def score(docs: DataFrame, model: bytes | None, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """key, score (probability of label 1) and predicted (1 if that is 0.5 or more) of every whole
     text.  Row-wise.  Null and empty texts are scored as having no words; without a model every
     score is 0.5.  Repeated rows have a row each; extra columns are left out."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    s = settings
 
     def run(batches):
-        pool = weights = None
-        if model is not None:
-            z = np.load(io.BytesIO(model))
-            weights = {k: z[k] for k in z.files}
-            names, vectors = weights.pop("names").tobytes().split(b"\n"), weights.pop("vectors").astype(np.float32)
-            pool = Pooler(dict(zip(names, vectors, strict=True)), s)
+        of = scorer(model, settings)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if pool is None or not texts:
-                p = np.full(len(texts), 0.5)
-            else:
-                p = probabilities(weights, np.stack([pool.features((t or "").encode("utf-8", "replace").split()) for t in texts]))
+            p = of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[key, "score", "predicted"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: bytes | None, text: str = "text", settings: Settings = Settings(), least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``least`` or more, as ``score`` has it."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        of = scorer(model, settings)
+        for batch in batches:
+            yield batch.filter(pa.array(of(batch.column(at).to_pylist()) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

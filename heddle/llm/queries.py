@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontamination, license_scan, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
+from heddle.llm import decontamination, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
 from heddle.llm.common import read
 
+#: A deployment passes its own secret.
+PSEUDONYM_KEY = "example key of the query catalogue"
 SHARDS = {i: 1.0 for i in range(16)}
 
 
@@ -17,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(read(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = secret_scan.fit_markov(secret_scan.labelled_samples(spark))
     return secret_scan.digest(secret_scan.find_secrets(read(spark, sf_dir, "documents"), ratios))
@@ -54,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op8_quality_classifier, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op8_quality_classifier, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
