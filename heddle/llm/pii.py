@@ -291,7 +291,7 @@ def pseudonymize(docs: DataFrame, key: str, id_column: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([t for t, _ in done], pa.string()), total, *counts], names=[id_column, *carry, "text", "n_values", *[f"n_{k}" for k in KINDS]])
 
     picked = docs.select(F.col(id_column), *map(F.col, carry), F.col(text))
-    schema = T.StructType(picked.schema.fields[:-1]).add("text", "string").add("n_values", "bigint")
+    schema = T.StructType(picked.schema.fields[:-1]).add("text", "string").add("n_values", "long")
     for k in KINDS:
-        schema = schema.add(f"n_{k}", "bigint")
+        schema = schema.add(f"n_{k}", "long")
     return picked.mapInArrow(run, schema)
