@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from heddle.plans import text_queries
+from heddle.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (text_queries,)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: v for m in MODULES for k, v in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.R.sql.items()}

@@ -1 +1 @@
-"""heddle.plans"""
+"""Named queries over the driver's tables, each with its DuckDB SQL."""
