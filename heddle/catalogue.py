@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from heddle.plans import graph_queries, text_queries
+from heddle.plans import graph_queries, ledger_queries, text_queries
 from heddle.plans.registry import Query
 
-MODULES = (text_queries, graph_queries)
+MODULES = (text_queries, graph_queries, ledger_queries)
 
 
 def queries() -> dict[str, Query]:
