@@ -88,7 +88,7 @@ def q_diff_metrics(spark, sf_dir):
     return incremental.diff_metrics(o, "source")
 
 
-@R.query("""WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3600 SECOND OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS start, event_id FROM events),
+@R.query("""WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3600 SECOND OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS start, event_id FROM events),
 s AS (SELECT *, sum(start) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g)
 SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) + 3600000000 AS closed_us, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths, count(*) AS n_events FROM s GROUP BY user_id, k""")
 def q_debounce(spark, sf_dir):

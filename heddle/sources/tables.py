@@ -117,10 +117,13 @@ def exported(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def loaded_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and relationships of one exported JSON document or of ``exported`` folders."""
+    """Nodes and relationships of one exported JSON document."""
     doc = spark.read.option("multiLine", True).json(path)
-    if "nodes" in doc.columns:
-        return doc.select(F.explode("nodes").alias("n")).select("n.*"), doc.select(F.explode("relationships").alias("r")).select("r.*")
+    return doc.select(F.explode("nodes").alias("n")).select("n.*"), doc.select(F.explode("relationships").alias("r")).select("r.*")
+
+
+def loaded_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and relationships of the folders that ``exported`` writes."""
     return spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/relationships")
 
 
