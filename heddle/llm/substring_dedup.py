@@ -50,6 +50,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", tex
     def seek(batches):
         hashes = WordHashes()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             take, found = [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 a = np.unique(anchors_of(hashes.of(split(t)), window, gram)[1])
@@ -75,6 +77,8 @@ def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", tex
     def hashed(batches):
         words, more, rolling = WordHashes(), WordHashes(1), Rolling()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             take, starts, first, second = [], [], [], []
             for i, (t, known) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 w = split(t)
