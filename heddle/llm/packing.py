@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import base64
 import zlib
 from bisect import bisect_right
 
@@ -14,75 +14,84 @@ from pyspark.sql import Window as W
 
 from heddle.llm.common import small_batches, written
 
-#: Words of which a worker keeps the ids, and the longest such word.
-CACHED_WORDS, CACHED_CHARS = 300_000, 48
+#: Words of which a worker keeps the ids, in each of two generations.
+CACHED_WORDS = 400_000
 #: Groups that equally long pieces are numbered in.
 RANK_GROUPS = 256
 
 
+class Words:
+    """Ids of words that follow ``lead``, kept in two generations: when the young one is full it
+    becomes the old one, and what is met again moves back."""
+
+    def __init__(self, lead: str):
+        self.lead, self.young, self.old = lead, {}, {}
+
+    def learn(self, words: set[str], encode) -> dict[str, bytes | None]:
+        """Ids of all of ``words``; None for those that can't be encoded alone."""
+        if len(self.young) + len(words) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        for w in words - self.young.keys():
+            if w in self.old:
+                self.young[w] = self.old[w]
+        fresh = [w for w in words if w not in self.young]
+        self.young.update(dict.fromkeys(fresh))
+        good = [w for w in fresh if w and not w[0].isspace()]
+        self.young.update(zip(good, encode(good, self.lead), strict=True))
+        return self.young
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, as little-endian unsigned 32-bit bytes.
+    """Ids of texts by a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE cuts a text before every single space that a non-space follows, so words with
-    the space before them are encoded one by one and kept.  Texts with other runs of white space
-    next to a space are encoded whole; either way the ids are the tokenizer's.
+    The vocabulary is a file of ranks; its ids are those of the same vocabulary's tokenizer file.
+    The pattern cuts a text before every single space that a non-space follows, so words with the
+    space before them are encoded apart and kept.  New words are encoded together as one text and
+    cut by the bytes of its tokens.  Texts with other runs of white space next to a space are
+    encoded whole.  Marks of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        os.environ["RAYON_NUM_THREADS"] = "1"
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("byte_bpe_50k.json")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.kept: tuple[dict, dict] = ({}, {})
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, kept: dict, need: set[str], lead: str) -> dict:
-        """Ids for the words of ``need``; None for those that can't be encoded alone."""
-        if len(kept) + len(need) > CACHED_WORDS:
-            kept.clear()
-        fresh = [w for w in need if w not in kept]
-        good = [w for w in fresh if w and not w[0].isspace()]
-        now = dict.fromkeys(fresh)
-        now.update(zip(good, self.encoded([lead + w for w in good]), strict=True))
-        kept.update((w, x) for w, x in now.items() if len(w) <= CACHED_CHARS)
-        return now
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        self.first, self.later = Words(""), Words(" ")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
+
+    def apart(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of each word after ``lead``."""
+        if not words:
+            return []
+        if not lead:
+            return [self.whole(w) for w in words]
+        ids = np.array(self.bpe.encode_ordinary(lead + lead.join(words)), dtype="<u4")
+        ends = np.cumsum([len(w.encode("utf-8", "replace")) + 1 for w in words])
+        at = np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1
+        data, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
-        first, later = self.kept
-        firsts = {p[0] for p in parts}
         rest: set[str] = set()
         for p in parts:
             rest.update(p[1:])
-        if len(first) + len(firsts) > CACHED_WORDS:
-            first.clear()
-        if len(later) + len(rest) > CACHED_WORDS:
-            later.clear()
-        new_first, new_later = self.learn(first, firsts - first.keys(), ""), self.learn(later, rest - later.keys(), " ")
-        if len(new_first) != sum(w in first for w in new_first):
-            first = first | new_first
-        if len(new_later) != sum(w in later for w in new_later):
-            new_later = {w: x for w, x in new_later.items() if w not in later}
-            get = lambda w: later[w] if w in later else new_later[w]
-        else:
-            get = later.__getitem__
-        out, odd = [], []
-        for i, p in enumerate(parts):
+        first = self.first.learn({p[0] for p in parts if p[0]}, self.apart)
+        first[""] = b""
+        later = self.later.learn(rest, self.apart)
+        out = []
+        for t, p in zip(texts, parts, strict=True):
             try:
-                out.append(b"".join([first[p[0]], *map(get, p[1:])]))
-            except TypeError:
-                out.append(b"")
-                odd.append(i)
-        for i, x in zip(odd, self.encoded([texts[i] for i in odd]), strict=True):
-            out[i] = x
+                out.append(b"".join([first[p[0]], *map(later.__getitem__, p[1:])]))
+            except TypeError:  # a word that can't be encoded alone
+                out.append(self.whole(t))
         return out
 
 
