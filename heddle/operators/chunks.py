@@ -69,3 +69,13 @@ def summary_text(kind: str, name: Column, members: Column, most: int = 40) -> Co
 def hydrated(text: Column, most: int = 40) -> Column:
     """First lines of a stored summary."""
     return F.array_join(F.slice(F.split(text, "\n"), 1, most), "\n")
+
+
+def lexical_document(name: Column, doc: Column, source: Column, most: int = 6000) -> Column:
+    """What is indexed of a symbol: name, docstring and source, cut."""
+    return F.substring(F.concat_ws("\n", name, doc, source), 1, most)
+
+
+def lexical_file(path: Column, text: Column, lines: int = 120, most: int = 6000) -> Column:
+    """What is indexed of a file: its path and first lines, cut."""
+    return F.substring(F.concat_ws("\n", path, F.array_join(F.slice(F.split(text, "\n"), 1, lines), "\n")), 1, most)

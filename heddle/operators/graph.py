@@ -244,3 +244,24 @@ def budgeted(symbols: DataFrame, budget: int, by: str, key: str = "qualified_nam
 def entry_points(nodes: DataFrame, names: Column, limit: int) -> DataFrame:
     """Symbols whose names say that something starts there, none of them anonymous."""
     return nodes.where(names & ~F.col("name").startswith("anonymous")).orderBy("qualified_name").limit(limit)
+
+
+def nearest_module(name: str, edges: DataFrame, nodes: DataFrame, most: int = 6) -> DataFrame:
+    """The module nearest to a symbol along edges of any direction; by name among equals."""
+    either = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seed = edges.sparkSession.createDataFrame([(name,)], "qualified_name string")
+    modules = scan(nodes, "Module").select("qualified_name", "path")
+    return breadth_first(either, seed, most).join(modules, "qualified_name").orderBy("depth", "qualified_name").limit(1)
+
+
+def snippet(name: str, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Source of a symbol by exact name: found, reason, snippet.  ``texts``: path, text."""
+    from heddle.operators.chunks import source_range
+
+    wanted = nodes.sparkSession.createDataFrame([(name,)], "qualified_name string")
+    rn = F.row_number().over(W.partitionBy("qualified_name").orderBy(F.col("path").isNull(), "path", "start_line"))
+    first = nodes.where(F.col("qualified_name") == name).withColumn("_rn", rn).where("_rn = 1").select("qualified_name", F.lit(True).alias("_known"), "path", "start_line", "end_line")
+    rows = wanted.join(first, "qualified_name", "left").join(texts, "path", "left")
+    reason = F.when(F.col("_known").isNull(), "unknown symbol").when(F.col("path").isNull() | F.col("start_line").isNull() | F.col("end_line").isNull(), "no location").when(F.col("text").isNull(), "no source")
+    got = F.when(reason.isNull(), source_range(F.col("text"), F.col("start_line").cast("int"), F.col("end_line").cast("int")))
+    return rows.select("qualified_name", reason.isNull().alias("found"), reason.alias("reason"), got.alias("snippet"))

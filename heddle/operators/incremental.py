@@ -140,3 +140,11 @@ def delete_report(repo: str, **tables: DataFrame) -> dict[str, DataFrame]:
 def backoff_ceilings(attempts: int = 5) -> list[int]:
     """Seconds that waits before retries don't exceed."""
     return [2**i for i in range(attempts)]
+
+
+def costs(requests: DataFrame, by: str, order: str, input_price: float, output_price: float, cap: float) -> DataFrame:
+    """Price of each model request by tokens (prices a million), and whether the running total of
+    its repository stays within the cap."""
+    price = (F.col("input_tokens") * input_price + F.col("output_tokens") * output_price) / 1e6
+    total = F.sum("usd").over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    return requests.withColumn("usd", price).withColumn("within", total <= cap)

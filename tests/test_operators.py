@@ -218,3 +218,17 @@ def test_debounce_stream(spark, tmp_path):
 def test_job_states_are_final(spark):
     ev = spark.createDataFrame([(1, "running", 1, 1), (1, "done", 2, 2), (1, "running", 3, 3), (2, "queued", 1, 1)], "job long, status string, ts int, seq int")
     assert {r["job"]: r["state"] for r in incremental.job_states(ev, "job", "status", "ts", "seq").collect()} == {1: "done", 2: "queued"}
+
+
+def test_nearest_module_and_snippet(spark):
+    nodes = spark.createDataFrame([("m.a", "Module", "a.py", None, None), ("m.a.C", "Class", "a.py", 1, 9), ("m.a.C.f", "Method", "a.py", 2, 3), ("x", "Method", None, None, None)], "qualified_name string, label string, path string, start_line long, end_line long")
+    edges = spark.createDataFrame([("m.a", "m.a.C"), ("m.a.C", "m.a.C.f")], "src string, dst string")
+    assert graph.nearest_module("m.a.C.f", edges, nodes).first()["qualified_name"] == "m.a"
+    texts = spark.createDataFrame([("a.py", "l1\nl2\nl3\nl4")], "path string, text string")
+    got = {n: tuple(graph.snippet(n, nodes, texts).first())[1:] for n in ("m.a.C.f", "x", "nope")}
+    assert got == {"m.a.C.f": (True, None, "l2\nl3"), "x": (False, "no location", None), "nope": (False, "unknown symbol", None)}
+
+
+def test_costs_stop_at_the_cap(spark):
+    df = spark.createDataFrame([("r", i, 1_000_000, 0) for i in range(3)], "repo string, at int, input_tokens long, output_tokens long")
+    assert [r["within"] for r in incremental.costs(df, "repo", "at", 1.0, 5.0, 2.0).orderBy("at").collect()] == [True, True, False]
