@@ -193,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
         np.savez_compressed(out, names=np.frombuffer(b"\n".join(vectors), dtype=np.uint8), vectors=np.stack(list(vectors.values())).astype(np.float16), **model)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    found = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # a bounded number of rows; the scan stays parallel
     return bytes(found[0]["model"]) if found else None
 
 
