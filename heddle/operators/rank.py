@@ -1,4 +1,8 @@
-"""Ranks, fusion, boosts and quotas."""
+"""Ranks, fusion, boosts and quotas.
+
+Ranks over a whole list (windows without a partition) are for candidate lists that a top-k has
+bounded; nothing here ranks a corpus.
+"""
 
 from __future__ import annotations
 
@@ -14,9 +18,9 @@ def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame
 def linear_fusion(semantic: DataFrame, central: DataFrame, key: str, weight: float = 0.7) -> DataFrame:
     """weight * score + (1 - weight) * pagerank; the score alone if no key has a pagerank."""
     joined = semantic.join(central.select(key, "pagerank"), key, "left")
-    any_ = F.max(F.col("pagerank").isNotNull()).over(W.partitionBy(F.lit(0)))
+    any_ = joined.agg(F.coalesce(F.bool_or(F.col("pagerank").isNotNull()), F.lit(False)).alias("_any"))
     fused = F.col("score") * weight + F.coalesce("pagerank", F.lit(0.0)) * (1 - weight)
-    return joined.withColumn("_any", any_).withColumn("fused", F.when(F.col("_any"), fused).otherwise(F.col("score"))).drop("_any")
+    return joined.join(F.broadcast(any_), how="cross").withColumn("fused", F.when(F.col("_any"), fused).otherwise(F.col("score"))).drop("_any")
 
 
 def reciprocal_ranks(semantic: DataFrame, lexical: DataFrame, key: str, k: int = 60) -> DataFrame:

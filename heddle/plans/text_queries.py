@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from heddle.functions import predicates as P
 from heddle.functions import text as T
@@ -94,17 +93,20 @@ def fused(spark, sf_dir):
     q = F.array(*[F.lit(float(x)) for x in seed_vector(spark, sf_dir)])
     semantic = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vector.cosine(F.col("embedding"), q).alias("score"))
     docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")  # keys without a pagerank are part of the case
-    central = docs.select("doc_id", (F.col("n_chars") / F.max("n_chars").over(W.partitionBy(F.lit(0)))).alias("pagerank"))
+    top = docs.agg(F.max("n_chars").alias("_top"))
+    central = docs.join(F.broadcast(top), how="cross").select("doc_id", (F.col("n_chars") / F.col("_top")).alias("pagerank"))  # one row
     return rank.linear_fusion(semantic, central, "doc_id")
 
 
 @R.query(f"""WITH {BM25}, s AS (SELECT a.vec_id AS doc_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = {SEED}),
-x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS a FROM s), y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS b FROM b)
-SELECT doc_id, round(1.0 / (60 + a) + coalesce(1.0 / (60 + b), 0), 6) AS rrf FROM x LEFT JOIN y USING (doc_id)""")
+x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ra FROM s QUALIFY ra <= 500), y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rb FROM b QUALIFY rb <= 500)
+SELECT doc_id, round(1.0 / (60 + ra) + coalesce(1.0 / (60 + rb), 0), 6) AS rrf FROM x LEFT JOIN y USING (doc_id)""")
 def q_rrf(spark, sf_dir):
     q = F.array(*[F.lit(float(x)) for x in seed_vector(spark, sf_dir)])
     semantic = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vector.cosine(F.col("embedding"), q).alias("score"))
-    found = rank.reciprocal_ranks(semantic, lexical.bm25(table(spark, sf_dir, "documents"), TERMS), "doc_id")
+    near = semantic.orderBy(F.desc("score"), "doc_id").limit(500)
+    best = lexical.bm25(table(spark, sf_dir, "documents"), TERMS).orderBy(F.desc("score"), "doc_id").limit(500)
+    found = rank.reciprocal_ranks(near, best, "doc_id")
     return found.select("doc_id", F.round("rrf", 6).alias("rrf"))
 
 
