@@ -72,6 +72,15 @@ GRID = np.linspace(0.0, 1.0, 101)[None, :]
 def plausible(more, less, same, n, m, threshold: float, base: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Joint estimate of the similarity, and whether the threshold is still plausible: sizes allow
     it, and it is at most ``slack`` nats less likely than the estimate."""
+    # by registers alone first: fewer equal ones than in 1 of a million pairs at the threshold
+    total = more + less + same
+    open_ = same >= threshold * total - 5 * np.sqrt(threshold * (1 - threshold) * total)
+    if not open_.all():
+        estimate = same / np.maximum(total, 1)
+        good = np.zeros(len(n), dtype=bool)
+        if open_.any():
+            estimate[open_], good[open_] = plausible(more[open_], less[open_], same[open_], n[open_], m[open_], threshold, base, slack)
+        return estimate, good
     n, m = n.astype(np.float64), m.astype(np.float64)
     curve = log_likelihoods(more, less, same, n, m, GRID, base)
     best = curve.argmax(axis=1)
@@ -104,16 +113,13 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
 
     def run(batches):
         hashes, last, seen = WordHashes(), None, None
-        percent = round(100 * threshold)
         cut = lambda t: shingle_set(t.encode("utf-8", "replace").lower().split(), hashes, k)
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != last:
                     last, seen = b, cut(b)
-                s = cut(a)
-                both = len(np.intersect1d(s, seen, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(s) + len(seen) - both))
+                keep.append(similar(cut(a), seen, threshold))
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
@@ -142,53 +148,111 @@ def judged(pairs: DataFrame, sketches: DataFrame, threshold: float, p: Sketch, s
     return joined.mapInArrow(run, f"u {kind}, v {kind}, estimate double")
 
 
-def block_pairs(members: DataFrame, threshold: float, p: Sketch, slack: float, block: int) -> DataFrame:
-    """Plausible pairs (u, v) of different components within each band.
+def in_blocks(members: DataFrame, schema: str, unit, block: int) -> DataFrame:
+    """Calls ``unit`` on every pair of blocks of every band, and gathers what it yields.
 
-    ``members``: _band, _n (members), _key, component, n_shingles, registers.  A band is cut into
-    blocks of about ``block`` members; each pair of blocks is a unit of work of bounded size, and
-    only pairs that pass leave it.
+    ``members``: _band, _n (members) and more.  A band is cut into blocks of about ``block``
+    members; a pair of blocks is a unit of work of bounded size.  unit(table, across) gets the
+    members of both, with _own, and yields record batches.
     """
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("_key"), blocks).cast("int")
     dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
-    dealt = dealt.select("_band", "_i", "_j", "_own", "_key", "component", "n_shingles", "registers")
-    kind = members.schema["_key"].dataType.simpleString()
-
-    def pairs_of(g):
-        own, key, comp, n = (g.column(c).to_numpy(zero_copy_only=False) for c in ("_own", "_key", "component", "n_shingles"))
-        regs = g.column("registers").combine_chunks().flatten().to_numpy().reshape(-1, p.registers)
-        i, j = g.column("_i")[0].as_py(), g.column("_j")[0].as_py()
-        for x in range(len(key)):
-            others = np.flatnonzero((comp != comp[x]) & (key > key[x]) & ((own != own[x]) if i != j else True))
-            if len(others):
-                a, b = regs[x][None, :], regs[others]
-                _, good = plausible((a > b).sum(1), (a < b).sum(1), (a == b).sum(1), np.full(len(others), n[x]), n[others], threshold, p.base, slack)
-                yield key[x], key[others[good]]
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other", "_n")
 
     def run(batches):
         held = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([held, table]) if held is not None else table
-            unit = np.stack([table.column(c).to_numpy() for c in ("_band", "_i", "_j")])
-            cuts = [0, *(np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1)]
-            yield from emitted(table.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False))
+            place = np.stack([table.column(c).to_numpy() for c in ("_band", "_i", "_j")])
+            cuts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield from judged_unit(table.slice(a, b - a))
             held = table.slice(cuts[-1])
         if held is not None and held.num_rows:
-            yield from emitted([held])
-
-    def emitted(groups):
-        u, v = [], []
-        for g in groups:
-            for x, ys in pairs_of(g):
-                u += [x] * len(ys)
-                v += list(ys)
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield from judged_unit(held)
+
+    def judged_unit(table):
+        yield from unit(table, table.column("_i")[0].as_py() != table.column("_j")[0].as_py())
+
+    return dealt.repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j").mapInArrow(run, schema)
+
+
+def plausible_pairs(table: pa.Table, across: bool, threshold: float, p: Sketch, slack: float):
+    """Places of pairs of different components that registers allow, block by block, each pair in
+    the first band that it shares and in no other."""
+    own, key, comp, n, no = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_own", "_key", "component", "n_shingles", "_no"))
+    regs = table.column("registers").combine_chunks().flatten().to_numpy().reshape(-1, p.registers)
+    floor = threshold * p.registers - 5 * np.sqrt(threshold * (1 - threshold) * p.registers)
+    for x in range(0, len(key), 16):
+        cut = slice(x, x + 16)
+        other = (comp[cut, None] != comp) & (key[cut, None] > key)
+        if across:
+            other &= own[cut, None] != own
+        a, b = np.nonzero(other)
+        same = regs[x + a] == regs[b]
+        near = np.flatnonzero(same.sum(axis=1) >= floor)
+        first = same[near].reshape(-1, p.bands, p.rows).all(axis=2).argmax(axis=1)
+        near = near[first == no[0]]
+        if len(near):
+            a, b = x + a[near], b[near]
+            u, v = regs[a], regs[b]
+            _, good = plausible((u > v).sum(1), (u < v).sum(1), (u == v).sum(1), n[a], n[b], threshold, p.base, slack)
+            yield a[good], b[good]
+
+
+def similar(s: np.ndarray, t: np.ndarray, threshold: float) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return both > 0 and 100 * both >= round(100 * threshold) * (len(s) + len(t) - both)
+
+
+def linked_across(members: DataFrame, texts: DataFrame, threshold: float, k: int, p: Sketch, slack: float, block: int) -> DataFrame:
+    """Links (u, v) between different components within each band, as many as join what can be
+    joined: in each unit, a pair that earlier links have joined is not looked at.
+
+    ``members``: _band, _no, _n, _key, component, n_shingles, registers.  First, registers alone
+    tell which members may be linked at all; only these get their texts, and the pairs between
+    them that registers allow are compared on full sets.
+    """
+    kind = members.schema["_key"].dataType.simpleString()
 
-    return dealt.repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j").mapInArrow(run, f"u {kind}, v {kind}")
+    def hopeful(table, across):
+        pairs = [np.concatenate(x) for x in plausible_pairs(table, across, threshold, p, slack)]
+        at = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *pairs]))
+        if len(at):
+            yield table.select(["_band", "_key"]).take(pa.array(at)).combine_chunks().to_batches()[0]
+
+    def linking(table, across):
+        words, sets = WordHashes(), {}
+        key, comp = (table.column(c).to_pylist() for c in ("_key", "component"))
+        text, top, found = table.column("_text"), {}, []
+
+        def find(c):
+            while top.get(c, c) != c:
+                top[c] = c = top.get(top[c], top[c])
+            return c
+
+        def shingles(i):
+            if i not in sets:
+                sets[i] = shingle_set(text[i].as_py().encode("utf-8", "replace").lower().split(), words, k)
+            return sets[i]
+
+        for xs, ys in plausible_pairs(table, across, threshold, p, slack):
+            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                a, b = find(comp[x]), find(comp[y])
+                if a != b and similar(shingles(x), shingles(y), threshold):
+                    top[a] = b
+                    found.append((key[x], key[y]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found]), pa.array([v for _, v in found])], names=["u", "v"])
+
+    some = written(in_blocks(members, f"_band bigint, _key {kind}", hopeful, block).distinct())
+    counts = some.groupBy("_band").agg(F.count("*").alias("_n"))
+    left = members.drop("_n").join(some, ["_band", "_key"]).join(counts, "_band")
+    t = texts.select(F.col("_key").alias("_k"), "_text")
+    left = left.join(t, F.col("_key") == F.col("_k")).drop("_k")
+    return in_blocks(left, f"u {kind}, v {kind}", linking, block)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), slack: float = 14.0, block: int = 256) -> DataFrame:
@@ -200,16 +264,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: s
 
     1. One pass makes each set's digest and registers.  Equal sets are one class, stood for by its
        smallest key; nothing else is done with copies.
-    2. Registers are banded.  In each band, every class is paired with the band's smallest key;
-       registers drop pairs whose joint likelihood estimate rules the threshold out by ``slack``
-       nats.  Each class's likeliest pair is verified on full sets, which gives first components.
+    2. Registers are banded.  In each band, every class is paired with a pivot, the member that
+       shares most bands with others; registers drop pairs whose joint likelihood estimate rules
+       the threshold out by ``slack`` nats.  Each class's likeliest pair is verified on full sets,
+       which gives first components.
     3. What is left: the other such pairs between different components, and, in bands that still
-       hold several components, all pairs across components, enumerated block by block; these too
-       are judged, verified and joined in.  No pair within a component is ever made.
+       hold several components, all pairs across components, enumerated block by block and judged
+       once each; these too are verified and joined in.  No pair within a component is ever made.
 
     A link is missed only if its classes share no band (3e-8 at the threshold) or the estimate is
     off by slack (5 deviations).  The work grows with the square of a band's members only where
-    these lie in different components, that is among texts alike in part but not linked.
+    these lie in different components, that is among texts that are alike in part but not linked;
+    it is then a comparison of registers, some 100 ns a pair, spread over blocks.
 
     Returns key, n_shingles, component_id and kept (the smallest key of its component).  Null and
     empty texts, and texts without words, have an empty set and are linked with nothing; so are
@@ -225,15 +291,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: s
     reps = written(reps)
 
     numbers = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
-    bands = reps.select("_key", F.explode(F.transform(numbers, lambda b: F.xxhash64(b, F.slice("registers", b * sketch.rows + 1, sketch.rows)))).alias("_band"))
-    shared = bands.groupBy("_band").agg(F.min("_key").alias("_pivot"), F.count("*").alias("_n"), F.sum(F.xxhash64("_key") % (1 << 40)).alias("_sum")).where("_n > 1")
+    keys = F.transform(numbers, lambda b: F.struct(b.alias("no"), F.xxhash64(b, F.slice("registers", b * sketch.rows + 1, sketch.rows)).alias("band")))
+    bands = reps.select("_key", F.explode(keys).alias("_b")).select("_key", F.col("_b.no").alias("_no"), F.col("_b.band").alias("_band"))
+    shared = bands.groupBy("_band").agg(F.min("_no").alias("_no"), F.min("_key").alias("_least"), F.count("*").alias("_n"), F.sum(F.xxhash64("_key") % (1 << 40)).alias("_sum")).where("_n > 1")
     shared = written(shared)
     # bands of the same members are one
-    groups = written(shared.groupBy("_pivot", "_n", "_sum").agg(F.min("_band").alias("_band")))
-    in_bands = written(bands.join(groups, "_band").select("_band", "_n", "_pivot", "_key"))
+    groups = written(shared.groupBy("_least", "_n", "_sum").agg(F.min("_no").alias("_no"), F.min_by("_band", "_no").alias("_band")).drop("_least", "_sum"))
+    in_bands = written(bands.drop("_no").join(groups, "_band").select("_band", "_no", "_n", "_key"))
     dropped(shared)
 
-    star = in_bands.where("_key <> _pivot").select(F.col("_key").alias("u"), F.col("_pivot").alias("v")).distinct()
+    # the pivot is the member that meets most others in all its bands, most likely a middle one
+    weights = in_bands.groupBy("_key").agg(F.sum("_n").alias("_w"))
+    pivots = in_bands.join(weights, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key")).alias("_p")).select("_band", F.col("_p._key").alias("_pivot"))
+    star = in_bands.join(pivots, "_band").where("_key <> _pivot").select(F.col("_key").alias("u"), F.col("_pivot").alias("v")).distinct()
     star = written(judged(star, reps, threshold, sketch, slack))
     best = star.groupBy("u").agg(F.max_by("v", F.struct("estimate", "v")).alias("v"))
 
@@ -247,18 +317,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: s
     first = written(components(links))
 
     named = lambda df, c: df.join(first.select(F.col("node").alias("_k"), F.col("component").alias(f"_c{c}")), F.col(c) == F.col("_k"), "left").drop("_k").withColumn(f"_c{c}", F.coalesce(f"_c{c}", c))
-    tried = best.select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    rest = named(named(star.select("u", "v"), "u"), "v").where("_cu <> _cv").select("u", "v").join(tried, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    member = named(in_bands.where("_n > 2"), "_key").withColumnRenamed("_c_key", "component")
-    mixed_bands = member.groupBy("_band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_band")
-    member = member.join(mixed_bands, "_band", "left_semi")
+    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    rest = ordered(named(named(star.select("u", "v"), "u"), "v").where("_cu <> _cv"))
+    member = named(in_bands, "_key").withColumnRenamed("_c_key", "component")
+    spread = member.groupBy("_band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_band")
+    member = member.join(spread, "_band", "left_semi")
     regs = reps.select(F.col("_key").alias("_k"), "n_shingles", "registers")
-    member = member.join(regs, F.col("_key") == F.col("_k")).drop("_k", "_pivot")
-    across = block_pairs(member, threshold, sketch, slack, block)
-    more = rest.unionByName(across).distinct().join(star.select(F.col("u").alias("_u"), F.col("v").alias("_v")).join(tried, ["_u", "_v"]), (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    late = written(verified(written(more), texts, threshold, k))
+    member = member.join(regs, F.col("_key") == F.col("_k")).drop("_k")
+    across = linked_across(member, texts, threshold, k, sketch, slack, block)
+    tried = ordered(best).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    rest = rest.distinct().join(tried, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
+    late = written(verified(rest, texts, threshold, k).unionByName(across))
 
     final = components(links.unionByName(late).unionByName(_shared_keys(sets)))
+    dropped(reps, groups, in_bands, star, needed, texts, links, first, late)
     final = final.select(F.col("node").alias("_node"), "component")
     by_set = classes.join(final, F.col("rep") == F.col("_node"), "left").select(F.col("sid").alias("_s"), F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("_key", "n_shingles", "sid").join(by_set, F.col("sid") == F.col("_s"), "left")

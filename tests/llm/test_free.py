@@ -153,7 +153,7 @@ def test_near_duplicates(spark, docs, texts, empty):
     extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string")
     both = docs.select("doc_id", "text", "_key", "registers").unionByName(extra, allowMissingColumns=True)
     want = plain_components(list(enumerate(texts)) + [(1000 + i, t) for i, t in enumerate(more)])
-    got = near_dedup.near_duplicates(both, block=16, hot=40).collect()
+    got = near_dedup.near_duplicates(both, block=16).collect()
     assert len(got) == both.count()
     for r in got:
         assert tuple(r)[1:] == want[r["doc_id"]], r["doc_id"]
