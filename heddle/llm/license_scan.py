@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Normalised licence sentences and their identifiers.
+# Normalised licence sentences and their identifiers.  The SQL knows these.
 SENTENCES = {
     "all rights reserved": "rights-reserved",
     "licensed under the apache license version 2 0": "apache2-notice",
@@ -61,17 +63,68 @@ ENDS = r"[.!?;:]+(?:[\x09-\x0D\x20]+|\z)|\n"
 HINT = r"(?i)licen[cs]|rights|permi|redistrib|software|copyright"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Sentences of the standard texts and headers as they are written there; "..." is a name of one to twelve words.
+STANDARD = [
+    ('The ASF licenses this file to you under the Apache License, Version 2.0 (the "License")', "apache2-header"),
+    ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache2-copy"),
+    ("You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0", "apache2-copy"),
+    ("This project is licensed under the MIT License", "mit-notice"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "mit-grant"),
+    ("The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software", "mit-condition"),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", "mit-disclaimer"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", "gpl3-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "gpl2-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 3 of the License", "gpl3-notice"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 3", "gpl3-notice"),
+    *[
+        (f"This work is licensed under {name}", identifier)
+        for short, long, identifier in (("CC BY-NC 4.0", "Attribution-NonCommercial 4.0 International", "ccbync4-notice"), ("CC BY-SA 4.0", "Attribution-ShareAlike 4.0 International", "ccbysa4-notice"), ("CC BY 4.0", "Attribution 4.0 International", "ccby4-notice"))
+        for name in (short, long, f"a Creative Commons {long} License", f"the Creative Commons {long} License")
+    ],
+    ("Neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("Neither the name of ... nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl2-notice"),
+]
+
+
+def marked(sentence: str) -> str:
+    """A sentence as ``normal_form`` gives it; stops in it are optional there, and so is '...'."""
+    words = re.sub(r"[^0-9a-z|*]+", " ", re.sub(r"[.!?;:]+(?=\s|$)", "|", sentence.replace("...", "*").lower()))
+    return re.sub(r" ?\| ?", "|", words).strip(" |")
+
+
+#: All sentences that are looked for; '|' is a stop inside a sentence, '*' a name.
+KNOWN = SENTENCES | {marked(s): i for s, i in STANDARD}
 
-def normalised(sentence: Column) -> Column:
-    """Lower-case ASCII letters and digits in words joined by one space; the rest is left out."""
-    return F.trim(F.regexp_replace(F.translate(sentence, UPPER, LOWER), "[^0-9a-z]+", " "))
 
+def normal_form(text: Column) -> Column:
+    """The whole text as words of lower-case ASCII letters and digits, joined by '|' where a sentence
+    stops, else by a line end where a line does, else by a space; comment signs are left out."""
+    form = F.regexp_replace(F.translate(text, UPPER + "|", LOWER + " "), r"[.!?;:]+(?=[\x09-\x0D\x20]|\z)", "|")
+    form = F.regexp_replace(F.concat(F.lit("\n"), form, F.lit("\n")), r"[^0-9a-z|\n]+", " ")
+    form = F.regexp_replace(form, r" ?\n ?(?:(?:rem|dnl) )?", "\n")
+    return F.regexp_replace(F.regexp_replace(form, r"[ \n]*\|[ \n|]*", "|"), r"[ \n]*\n[ \n]*", "\n")
 
-def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
+
+def sentence_pattern(sentences) -> str:
+    """One alternation of the sentences over ``normal_form``, longest first: each from one end of a
+    sentence or line to another, wrapped over lines in any way."""
+    one = lambda s: s.replace("* ", "*|").replace(" ", "[ \\n]").replace("|", "[ \\n|]").replace("*", "[0-9a-z]+(?:[ \\n|][0-9a-z]+){0,11}?")
+    return r"(?<=[\n|])(?:" + "|".join(one(s) for s in sorted(sentences, key=lambda s: (-len(s), s))) + r")(?=[\n|])"
+
+
+def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    parts = F.filter(F.split(text, ENDS, -1), lambda s: s.rlike(HINT))
-    return F.filter(F.transform(parts, lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
+    plain = {s.replace("|", " "): i for s, i in sentences.items() if "*" not in s}
+    known = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+    named = [(s.replace("|", " ").replace("*", ".*"), i) for s, i in sentences.items() if "*" in s]
+    found = F.regexp_extract_all(normal_form(text), F.lit(sentence_pattern(sentences)), F.lit(0))
+
+    def identifier(s: Column) -> Column:
+        s = F.translate(s, "\n|", "  ")
+        return F.coalesce(F.try_element_at(known, s), *[F.when(s.rlike(f"^{p}$"), i) for p, i in named])
+
+    return F.transform(found, identifier)
 
 
 def rule_pattern(rules=RULES) -> str:
@@ -79,8 +132,8 @@ def rule_pattern(rules=RULES) -> str:
     return "|".join("".join(f"<{i}>" for i in ids) for ids, _, _ in rules)
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
-    """Licences of every whole text.
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = KNOWN, rules=RULES) -> DataFrame:
+    """Licences of every whole text, wrapped or not, in comments or not.
 
     Returns key, n_sentences (known licence sentences, repeats included), sentence_ids (in order,
     comma-joined), licenses (distinct, sorted, comma-joined), n_matches (rules matched, left to
@@ -107,7 +160,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sent
 
 
 def oracle() -> str:
-    """DuckDB SQL of ``scan_licenses`` over the documents."""
+    """DuckDB SQL of ``scan_licenses`` over the documents, whose notices stand on one line each: it
+    splits at line ends, and knows ``SENTENCES`` alone."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in SENTENCES.items()) + "}"
     runs = "MAP {" + ", ".join(f"{quoted(''.join(f'<{i}>' for i in ids))}: {quoted(lic)}" for ids, lic, _ in RULES) + "}"

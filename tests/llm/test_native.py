@@ -112,6 +112,115 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(docs).count() == docs.count()
 
 
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Copyright (c) 2020, A Person
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+APACHE = """Copyright 2020 A Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software%s you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation%s %sversion %s of the License%s
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+LATER = ", or\n(at your option) any later version."
+CC = """This work is licensed under the Creative Commons
+Attribution%s 4.0 International License. To view a copy of this license, visit
+http://creativecommons.org/licenses/."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+WRAPPED = [
+    (MIT, "MIT", "permissive"),
+    (BSD2 + BSD_END, "BSD-2-Clause", "permissive"),
+    (BSD2 + BSD3 + BSD_END, "BSD-3-Clause", "permissive"),
+    (BSD2 + BSD3.replace("the copyright holder", "the Example Project, Inc.") + BSD_END, "BSD-3-Clause", "permissive"),
+    (APACHE, "Apache-2.0", "permissive"),
+    (GPL % (":", ",", "either ", 3, LATER), "GPL-3.0-or-later", "copyleft"),
+    (GPL % (";", ";", "either ", 2, LATER), "GPL-2.0-or-later", "copyleft"),
+    (GPL % (":", ",", "", 3, "."), "GPL-3.0-only", "copyleft"),
+    (CC % "-NonCommercial", "CC-BY-NC-4.0", "restricted"),
+    (CC % "-ShareAlike", "CC-BY-SA-4.0", "copyleft"),
+    (CC % "", "CC-BY-4.0", "permissive"),
+    (MPL, "MPL-2.0", "copyleft"),
+    ("Copyright 2020 A Person. All rights\nreserved.\n", "All-rights-reserved", "restricted"),
+]
+
+
+def test_wrapped_licenses_in_comments(spark):
+    assert {lic for _, lic, _ in license_scan.RULES} == {lic for _, lic, _ in WRAPPED}
+    dress = [
+        lambda t: t,
+        lambda t: re.sub(r"(?<!\n)\n(?!\n)", " ", t),
+        lambda t: "x = 1\n" + "".join(f"# {x}\n" for x in t.split("\n")) + "y = 2",
+        lambda t: "/*\n" + "".join(f" * {x}\r\n" for x in t.split("\n")) + " */",
+        lambda t: "".join(f"// {x}\n" for x in re.sub(r"(?<!\n)\n(?!\n)", " ", t).replace(" ", "\n", 9).split("\n")),
+        lambda t: "".join(f"dnl {x}\n" for x in t.split("\n")),
+    ]
+    cases = {100 * i + j: (f(t), *want) for i, (t, *want) in enumerate(WRAPPED) for j, f in enumerate(dress)}
+    cases |= {9000: ("It is not licensed under the MIT License today.", "", "none"), 9001: ("no stop here\nLicensed under the MIT License\nor here", "MIT", "permissive"), 9002: ("a | b: Licensed | under the MIT License.", "MIT", "permissive")}
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["terms"]) for r in license_scan.scan_licenses(df).collect()}
+    assert got == {k: tuple(v[1:]) for k, v in cases.items()}
+
+
 def plain_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
 
