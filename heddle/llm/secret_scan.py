@@ -18,7 +18,9 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Tokens that the models judge: whole runs of these characters.
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Nats by which a token must look more like a random string than like an identifier.
+#: Characters of the least stretch of a token that is judged by itself.
+LEAST = 20
+#: Nats by which a stretch must look more like a random string than like an identifier.
 MARGIN = 12.0
 
 # Parts of ordinary identifiers, paths and addresses.
@@ -97,8 +99,10 @@ def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text
 
     Three kinds by pattern: assign (a value given to a name such as password), access (key ids)
     and hex (long runs of hexadecimal digits).  The fourth, markov, by model: every token that
-    overlaps none of those and has letters and digits is a secret if the transitions of its
-    characters are, by ``margin`` nats in all, likelier in random strings than in identifiers.
+    overlaps none of those and has letters and digits is a secret if the transitions in some
+    stretch of it, of LEAST characters or more, are by ``margin`` nats in all likelier in random
+    strings than in identifiers; so a name, path or prefix glued to a secret doesn't hide it.  The
+    span is the whole token.
 
     Returns key and ``spans``: structs (kind, start, end, text) by start, then kind in that order;
     positions count code points, ends are exclusive.  Row-wise: no shuffle, no join.  Null and
@@ -108,9 +112,23 @@ def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text
     body = F.coalesce(F.col(text), F.lit(""))
     model = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
 
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731 - computes x once, however often f refers to it
+
+    def best(steps: Column) -> Column:
+        """Greatest sum over LEAST - 1 or more steps in a row: each sum so far less the least one that lies that many steps back."""
+        zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("back"), F.lit(0.0).alias("low"), F.lit(float("-inf")).alias("best"))
+
+        def step(acc: Column, i: Column) -> Column:
+            total = acc["sum"] + F.get(steps, i)
+            back = F.when(i >= LEAST - 1, acc["back"] + F.get(steps, i - (LEAST - 1))).otherwise(F.lit(0.0))
+            low = F.least(acc["low"], back)
+            return F.struct(total.alias("sum"), back.alias("back"), low.alias("low"), F.when(i >= LEAST - 2, F.greatest(acc["best"], total - low)).otherwise(acc["best"]).alias("best"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(steps) - 1), zero, step, lambda acc: acc["best"])
+
     def score(token: Column) -> Column:
-        code = lambda i: F.ascii(F.substring(token, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(model, code(i) * 128 + code(i + 1)))
+        codes = F.transform(F.split(token, "", -1), F.ascii)
+        return let(codes, lambda c: let(F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.get(model, F.get(c, i - 1) * 128 + F.get(c, i))), best))
 
     base = docs.select(
         F.col(key),

@@ -1,7 +1,9 @@
 """Operators made of DataFrame functions, against plain versions."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -64,6 +66,28 @@ def test_markov_tells_random_strings_from_identifiers(spark, ratios):
     assert sum(right) / len(right) > 0.97
 
 
+def test_glued_secrets(spark, ratios):
+    rng = random.Random(7)
+    glue = ["", "client_credentials=", "AZURE_STORAGE_ACCOUNT_CONNECTION=", "https/services/webhook/", "sk_live_"]
+    value = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    values = [value(n) for n in (20, 24, 32) for _ in range(40)]
+    tokens = [f"{g}{v}{tail}" for g in glue for tail in ("", "/get_user_name") for v in values]
+    plain = ["_".join(rng.choice(secret_scan.PARTS) for _ in range(rng.randrange(4, 20))) + f"{sep}{rng.randrange(2000)}" for sep in "_-/=" for _ in range(100)]
+    df = spark.createDataFrame([(i, f"é {t} é") for i, t in enumerate(tokens + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.find_secrets(df, ratios).collect()}
+
+    def best(t):
+        steps = [ratios[ord(a) * 128 + ord(b)] for a, b in zip(t, t[1:], strict=False)]
+        return max(sum(steps[a:b]) for a in range(len(t)) for b in range(a + 19, len(t)))
+
+    for i, t in enumerate(tokens + plain):
+        if re.search("[0-9]", t) and abs(best(t) - secret_scan.MARGIN) > 1e-6 and not any(k != "markov" for k, *_ in got[i]):
+            assert (got[i] == [("markov", 2, 2 + len(t), t)]) == (best(t) > secret_scan.MARGIN), t
+    assert sum(bool(got[i]) for i in range(len(values))) / len(values) > 0.9
+    assert all(got[i] for i in range(len(tokens)) if got[i % len(values)])  # what is found bare is found glued
+    assert not any(got[i] for i in range(len(tokens), len(got)))
+
+
 def test_sharding(spark, docs, empty):
     w = {i: 1.0 for i in range(16)}
     got = sharding.assign_shards(docs, w, grown=w | {16: 1.0}, groups=8).collect()
