@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import zlib
 from bisect import bisect_right
 
@@ -41,6 +44,21 @@ class Words:
         return self.young
 
 
+def added_tokens(path: str | None) -> dict[str, int]:
+    """Added tokens, such as ends of texts, of the tokenizer file that lies beside the rank file,
+    and their ids; none if there is no such file."""
+    import public_tokenizers
+
+    path = os.path.splitext(path)[0] + ".json" if path else public_tokenizers.path("byte_bpe_50k.json")
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError("an added token takes its neighbours into account")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE vocabulary, as little-endian unsigned 32-bit bytes.
 
@@ -48,10 +66,11 @@ class Encoder:
     The pattern cuts a text before every single space that a non-space follows, so words with the
     space before them are encoded apart and kept.  New words are encoded together as one text and
     cut by the bytes of its tokens.  Texts with other runs of white space next to a space are
-    encoded whole.  Marks of special tokens in a text are ordinary text.
+    encoded whole.  Marks of special tokens in a text are the ids in ``added``, and what stands
+    between them is encoded apart, as by the tokenizer file; marks not in ``added`` are ordinary text.
     """
 
-    def __init__(self, path: str | None):
+    def __init__(self, path: str | None, added: dict[str, int] | None = None):
         import public_tokenizers
         import tiktoken
 
@@ -62,6 +81,8 @@ class Encoder:
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
         self.first, self.later = Words(""), Words(" ")
+        self.added = {mark: np.array([i], dtype="<u4").tobytes() for mark, i in (added or {}).items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), dtype="<u4").tobytes()
@@ -79,6 +100,13 @@ class Encoder:
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        marked = {i: self.marks.split(t) for i, t in enumerate(texts) if any(mark in t for mark in self.added)}
+        if not marked:
+            return self.unmarked(texts)
+        ids = iter(self.unmarked([x for i, t in enumerate(texts) for x in (marked[i][::2] if i in marked else [t])]))
+        return [b"".join(self.added[x] if j % 2 else next(ids) for j, x in enumerate(marked.get(i, [t]))) for i, t in enumerate(texts)]
+
+    def unmarked(self, texts: list[str]) -> list[bytes]:
         parts = [t.split(" ") for t in texts]
         rest: set[str] = set()
         for p in parts:
@@ -104,9 +132,10 @@ def tokenized_pieces(docs: DataFrame, size: int = 2048, path: str | None = None,
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     last = np.array([end], dtype="<u4").tobytes()
+    added = added_tokens(path)
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = Encoder(path, added)
         for batch in batches:
             take, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, x in enumerate(encoder.batch([t or "" for t in batch.column(1).to_pylist()])):

@@ -240,6 +240,23 @@ def test_encoder_of_odd_spaces():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(o, add_special_tokens=False).ids for o in odd]
 
 
+def test_marks_of_special_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [mark, f"a b{mark}c d", f"a b {mark} c  d", f"{mark}{mark}x", f"x \n{mark}\n y", "plain words", f"é <|endof{mark}text|> {mark}", "", "a <|endoftext |> b", f"w {mark} " * 900]
+    want = [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert want[0] == [50256, 0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(df, 2048, with_ids=True).orderBy("doc_id", "piece").collect()
+    for i, ids in enumerate(want):
+        pieces = [r for r in got if r["doc_id"] == i]
+        assert [x for r in pieces for x in r["ids"]] == ids and sum(r["length"] for r in pieces) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes()) for r in pieces)
+
+
 SMALL = quality_classifier.Settings(rows=600, epochs=20)
 
 
