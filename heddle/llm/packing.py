@@ -8,6 +8,8 @@ import os
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -193,67 +195,65 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
     return [(f, t) for g in groups.values() for f, t in g]
 
 
-def completions(sizes: list[int], counts: dict[int, int], room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, fullest first: the largest single length; pairs fuller
-    than it, each the best partner of its first; triples fuller than the best pair."""
-    def largest(limit: int, used: dict[int, int]) -> int:
-        at = bisect_right(sizes, limit) - 1
-        while at >= 0 and counts[sizes[at]] - used.get(sizes[at], 0) <= 0:
-            at -= 1
-        return sizes[at] if at >= 0 else 0
-
-    one = largest(room, {})
-    if not one:
-        return [()]
-    found = {(one,): one}
-    if one < room:
-        for a in reversed(sizes[: bisect_right(sizes, room)]):
-            if 2 * a < room - a and len(found) >= most:
-                break
-            b = largest(min(a, room - a), {a: 1}) if counts[a] else 0
-            if not b:
-                continue
-            if a + b > one:
-                found[a, b] = a + b
-            if a + b < room and (c := largest(min(b, room - a - b), {a: 1} | {b: 1 + (a == b)})):
-                found[a, b, c] = a + b + c
-            if len(found) >= 4 * most:
-                break
-    return sorted(found, key=lambda f: (-found[f], len(f), f))[:most]
-
-
-def pack_lengths(counts: dict[int, int], size: int, nodes: int = 20_000, branches: int = 12) -> Plan:
-    """As few bins as found for ``counts`` (how many pieces of each length).
+def completions(sizes: list[int], counts: dict[int, int], room: int, waste: int, even: bool) -> Iterator[tuple[int, ...]]:
+    """Fillings of ``room`` that leave at most ``waste`` of it, of any number of pieces: fullest
+    first, and of equally full ones those of the largest pieces first, or, if ``even``, those whose
+    largest piece is the smallest.
 
-    Bin completion: the longest piece left must be in some bin, so each of the undominated
-    fillings around it is tried, fullest first, each as often in a row as the counts allow; a
-    branch is left when its waste makes a better result than the incumbent impossible.  The first
-    incumbent is best-fit decreasing; the search ends at the lower bound or after ``nodes``
-    steps.  Full pieces take a bin each.
+    One bit set for each length says which sums it and the shorter ones reach, so every step of
+    the enumeration ends in a filling.
     """
-    counts = {s: c for s, c in counts.items() if c > 0}
-    if any(not 0 < s <= size for s in counts):
-        raise ValueError("a length is not in 1 .. size")
-    full: Plan = [((size,), counts.pop(size))] if size in counts else []
-    if not counts:
-        return full
-    best = best_fit(counts, size)
-    total = sum(s * c for s, c in counts.items())
-    bins = sum(t for _, t in best)
-    over = sum(c for s, c in counts.items() if 2 * s > size)
-    bound = max(-(-total // size), over)
-    left, sizes, trail = dict(counts), sorted(counts), []
+    fit = [s for s in sizes[: bisect_right(sizes, room)] if counts[s]]
+    every = (1 << room + 1) - 1
+    sums = [1]
+    for s in fit:
+        reached, most, k = sums[-1], min(counts[s], room // s), 1
+        while most and reached != every:
+            k = min(k, most)
+            reached |= reached << k * s & every
+            most, k = most - k, 2 * k
+        sums.append(reached)
+
+    def fill(total: int, n: int) -> Iterator[tuple[int, ...]]:
+        """Fillings of exactly ``total`` by the ``n`` shortest lengths."""
+        if not total:
+            yield ()
+            return
+        ways = range(min(n, bisect_right(fit, total)))
+        for i in ways if even else reversed(ways):
+            if not sums[i + 1] >> total & 1:
+                if even:
+                    continue
+                return
+            s = fit[i]
+            for m in range(min(counts[s], total // s), 0, -1):
+                if sums[i] >> total - m * s & 1:
+                    for rest in fill(total - m * s, i):
+                        yield (s,) * m + rest
+
+    for total in range(room, max(room - waste, 0) - 1, -1):
+        if sums[-1] >> total & 1:
+            yield from fill(total, len(fit))
+
+
+def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: int, even: bool) -> Plan:
+    """The best plan found from the incumbent ``best`` on; the search of ``pack_lengths``."""
+    total, bins = sum(s * c for s, c in counts.items()), sum(t for _, t in best)
+    left, trail = dict(counts), []
     steps, waste, used = 0, 0, 0
-    stack: list[list] = []  # open choices: fillings still to try, and what was taken
-
-    def options() -> list[tuple[int, ...]]:
-        while sizes and not left[sizes[-1]]:
-            sizes.pop()
-        s = sizes[-1]
-        left[s] -= 1
-        out = [(s, *f) for f in completions(sizes, left, size - s, branches)]
-        left[s] += 1
-        return out[::-1]
+    stack: list[Iterator[tuple[tuple[int, ...], int]]] = []  # open choices
+
+    def options() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Fillings around the longest piece left, and how often to take each."""
+        own = {s: c for s, c in left.items() if c}
+        s = max(own)
+        there, sizes, spare = dict(own), sorted(own), (bins - 1) * size - total - waste
+        own[s] -= 1
+        for once in (False, True):
+            for f in completions(sizes, own, size - s, spare, even):
+                times = min(there[x] // n for x, n in Counter((s, *f)).items())
+                if not once or times > 1:
+                    yield (s, *f), 1 if once else times
 
     def undo() -> None:
         nonlocal waste, used
@@ -263,36 +263,57 @@ def pack_lengths(counts: dict[int, int], size: int, nodes: int = 20_000, branche
         waste -= times * (size - sum(filling))
         used -= times
 
-    if bins > bound:
-        stack.append([options()])
+    stack.append(options())
     while stack and steps < nodes and bins > bound:
-        todo = stack[-1][0]
-        if not todo:
+        if (choice := next(stack[-1], None)) is None:
             stack.pop()
             if trail:
                 undo()
-                sizes = sorted(s for s, c in left.items() if c)
             continue
         steps += 1
-        filling = todo.pop()
-        need: dict[int, int] = {}
-        for s in filling:
-            need[s] = need.get(s, 0) + 1
-        times = min(left[s] // n for s, n in need.items())
+        filling, times = choice
         for s in filling:
             left[s] -= times
         waste += times * (size - sum(filling))
         used += times
         trail.append((filling, times))
-        rest = sum(s * c for s, c in left.items()) if steps % 64 == 0 else total - (used * size - waste)
+        rest = total - (used * size - waste)
         if not rest:
             if used < bins:
                 best, bins = list(trail), used
         elif used + -(-rest // size) < bins:
-            stack.append([options()])
+            stack.append(options())
             continue
         undo()
-        sizes = sorted(s for s, c in left.items() if c)
+    return best
+
+
+def pack_lengths(counts: dict[int, int], size: int, nodes: int = 20_000) -> Plan:
+    """As few bins as found for ``counts`` (how many pieces of each length).
+
+    Bin completion: the longest piece left must be in some bin, so the fillings around it that
+    waste no more than a better result may are tried, fullest first, each as often in a row as the
+    counts allow and, after all of these, once; a branch is left when its waste makes a better
+    result than the incumbent impossible.  The first incumbent is best-fit decreasing.  Equally full
+    fillings are tried in two orders, in a search of half the ``nodes`` steps each; both end at the
+    lower bound or when all is tried.  When the steps run out, the incumbent may not be the least.
+    Full pieces take a bin each.
+    """
+    counts = {s: c for s, c in counts.items() if c > 0}
+    if any(not 0 < s <= size for s in counts):
+        raise ValueError("a length is not in 1 .. size")
+    full: Plan = [((size,), counts.pop(size))] if size in counts else []
+    if not counts:
+        return full
+    best = best_fit(counts, size)
+    total = sum(s * c for s, c in counts.items())
+    bins = sum(t for _, t in best)
+    over = sum(c for s, c in counts.items() if 2 * s > size)
+    bound = max(-(-total // size), over)
+    for even in (False, True):
+        if bins > bound:
+            best = searched(counts, size, best, bound, nodes // 2, even)
+            bins = sum(t for _, t in best)
     return full + best
 
 

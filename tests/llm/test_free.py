@@ -1,6 +1,7 @@
 """Operators with Python in them, against plain versions."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -207,6 +208,32 @@ def test_packing_plan():
         packing.pack_lengths({101: 1}, 100)
 
 
+def test_packing_plan_of_many_pieces():
+    """Bins of five pieces and more: best fit takes 1250 and 75 here, the lower bounds are reached."""
+    for counts, least in (({1024: 1200, 410: 1200, 307: 2400}, 1200), ({x: 2 + x % 5 for x in range(100, 401, 2)}, None)):
+        plan, used = packing.pack_lengths(counts, 2048), {}
+        for filling, times in plan:
+            assert sum(filling) <= 2048 and times > 0
+            for s in filling:
+                used[s] = used.get(s, 0) + times
+        bins = sum(t for _, t in plan)
+        assert used == counts and bins == -(-sum(s * c for s, c in counts.items()) // 2048) < sum(t for _, t in packing.best_fit(counts, 2048))
+        assert least in (None, bins)
+
+
+def test_completions_are_all_fillings():
+    rng = random.Random(2)
+    for _ in range(20):
+        counts = {rng.randint(1, 30): rng.randint(1, 3) for _ in range(6)}
+        room, waste = rng.randint(5, 60), rng.randint(0, 9)
+        every = set(itertools.product(*[range(c + 1) for c in counts.values()]))
+        want = {tuple(sorted((s for s, n in zip(counts, ns, strict=True) for _ in range(n)), reverse=True)) for ns in every}
+        want = {f for f in want if room - waste <= sum(f) <= room}
+        for even in (False, True):
+            got = list(packing.completions(sorted(counts), counts, room, waste, even))
+            assert len(got) == len(set(got)) and set(got) == want and [sum(f) for f in got] == sorted(map(sum, got), reverse=True)
+
+
 def test_packing(docs, texts, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
