@@ -34,6 +34,23 @@ NUMBER = re.compile(
 )
 
 
+# Lengths of the account numbers of countries.
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in """15:NO 16:BE 18:DK,FI,FO,GL,NL,SD,FK 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV
+22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR
+27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU""".split()) for c in cs.split(",")}
+
+
+def iban_ends(m: re.Match, sized: bool) -> list[int]:
+    """Where the number in a match of IBAN may end, the longest first: what stands after a space may
+    be the next words'.  If ``sized``, where it has its country's length; else for a known country
+    at the end of the match alone."""
+    ends = [m.end(), *(m.start() + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]
+    n = IBAN_LENGTHS.get(m[0][:2])
+    if sized:
+        return [e for e in ends if len(m.string[m.start() : e].replace(" ", "")) == n]
+    return ends[:1] if n else ends
+
+
 class Permutation:
     """Keyed permutation of 0 .. n-1 without fixed points: equal values stay equal, others differ,
     and no value stands for itself.
@@ -234,18 +251,25 @@ class Pseudonyms:
                 if m and m.end() > at and (got := self.value("email", m[0], undo)):
                     found.append((lo, m.end(), *got))
                 at = text.find("@", max(at + 1, m.end() if m else 0))
-        for m in IBAN.finditer(text):
-            if got := self.value("iban", m[0], undo):
-                found.append((*m.span(), *got))
-        for s in STRETCH.finditer(text):
+        rest = text  # without the account numbers found
+        for sized in (True, False):
+            at = 0
+            while m := IBAN.search(rest, at):
+                at = m.start() + 1
+                for end in iban_ends(m, sized):
+                    if got := self.value("iban", text[m.start() : end], undo):
+                        found.append((m.start(), end, *got))
+                        rest, at = rest[: m.start()] + "x" * (end - m.start()) + rest[end:], end
+                        break
+        for s in STRETCH.finditer(rest):
             lo, hi = s.span()
-            if lo and text[lo - 1] < "\x7f" and text[lo - 1].isalnum():
-                lo = next((i for i in range(lo, hi) if text[i] in " ():/+"), hi)  # the rest of a word
-            if hi < len(text) and text[hi] < "\x7f" and (text[hi].isalnum() or text[hi] == "_"):
-                while hi > lo and text[hi - 1] not in " ():/+":
+            if lo and rest[lo - 1] < "\x7f" and rest[lo - 1].isalnum():
+                lo = next((i for i in range(lo, hi) if rest[i] in " ():/+"), hi)  # the rest of a word
+            if hi < len(rest) and rest[hi] < "\x7f" and (rest[hi].isalnum() or rest[hi] == "_"):
+                while hi > lo and rest[hi - 1] not in " ():/+":
                     hi -= 1  # the start of a word
             at = lo
-            while m := NUMBER.search(text, at, hi):
+            while m := NUMBER.search(rest, at, hi):
                 got = self.value(m.lastgroup, m[0], undo)
                 if got is None and m.lastgroup != "card":
                     at = m.start() + 1

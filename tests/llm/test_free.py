@@ -77,6 +77,24 @@ def test_pseudonyms(spark, docs, empty):
         pii.pseudonymize(df, "")
 
 
+def test_ibans_before_capitals_and_digits():
+    names = pii.Pseudonyms(b"key")
+    known = ["NO9386011117947", "BE68539007547034", "AT611904300234573201", "DE89370400440532013000", "ES9121000418450200051332", "CZ6508000000192000145399", "SE4550000000058398257466", "RO49AAAA1B31007593840000", "PL61109010140000071219812874"]
+    after = ["", ".", " BIC CAIXESBB", " EUR 20", " 2024", " 2024-01-01", " A", " ABCD EFGH 1234", " EUROPE", " 4111 1111 1111 1111", " AB12 3456 7890"]
+    for v in known:
+        assert pii.mod97(v) == 1
+        new = names.replaced(v)[0]
+        for layout in (v, " ".join(v[i : i + 4] for i in range(0, len(v), 4))):
+            for lead in ("IBAN: ", "AB12 3456 7890 "):
+                for x in after:
+                    out, counts = names.replaced(f"{lead}{layout}{x}")
+                    assert counts["iban"] == 1 and out.startswith(lead) and len(out) == len(lead + layout + x), (v, x)
+                    assert out[len(lead) : len(lead + layout)].replace(" ", "") == new, (layout, x)
+                    assert "4111 1111 1111" not in out and "2024-01-01" not in out
+                    assert names.replaced(out, undo=True)[0] == f"{lead}{layout}{x}"
+    assert names.replaced("XX12 3456 7890 ABCD")[1] == {}
+
+
 def plain_removal(rows, n):
     first = {}
     for i, t in sorted((i, t) for i, t in rows if i is not None):
