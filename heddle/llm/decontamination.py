@@ -23,8 +23,9 @@ def words(text: Column) -> Column:
 
 def folded_words(text: Column) -> Column:
     """As many words, all letters lowered: faster and coarser, for the search alone, which may
-    find too much but never too little."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS, -1), "")
+    find too much but never too little.  Capital sigma, the one letter whose lower case depends on
+    what stands around it, is lowered first."""
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u03a3"), F.lit("\u03c3"))), SEPARATORS, -1), "")
 
 
 def grams(w: Column, k: int) -> Column:

@@ -281,3 +281,15 @@ def test_decontamination(spark, docs, empty, texts, short):
     if short:
         assert decontamination.decontaminate(empty, bench).count() == 0
         assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_decontamination_of_capital_sigma(spark):
+    letters = "\u0391\u0392\u0393\u0394\u03a9\u039f"
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(letters) for _ in range(4)) + "\u03a3"
+    passages = [[word() for _ in range(10)] for _ in range(20)]
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, text string")
+    texts = [f"x {sep.join(p)} y" for p in passages for sep in (".", ":", "'", " ", ". ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontamination.decontaminate(docs, items).collect()
+    assert len(got) == 100 and all(r["n_hit"] == 10 and r["contaminated"] for r in got)
