@@ -69,12 +69,18 @@ def log_likelihoods(more: np.ndarray, less: np.ndarray, same: np.ndarray, n: np.
 GRID = np.linspace(0.0, 1.0, 101)[None, :]
 
 
+def least_equal(threshold: float, registers):
+    """Equal registers below which a pair is dropped without more: 6.5 deviations, fewer than 45 of
+    96 at 0.75, which one pair at the threshold in 1e9 has."""
+    return threshold * registers - 6.5 * np.sqrt(threshold * (1 - threshold) * registers)
+
+
 def plausible(more, less, same, n, m, threshold: float, base: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
     """Joint estimate of the similarity, and whether the threshold is still plausible: sizes allow
     it, and it is at most ``slack`` nats less likely than the estimate."""
-    # by registers alone first: fewer equal ones than in 1 of a million pairs at the threshold
+    # by registers alone first
     total = more + less + same
-    open_ = same >= threshold * total - 5 * np.sqrt(threshold * (1 - threshold) * total)
+    open_ = same >= least_equal(threshold, total)
     if not open_.all():
         estimate = same / np.maximum(total, 1)
         good = np.zeros(len(n), dtype=bool)
@@ -184,7 +190,7 @@ def plausible_pairs(table: pa.Table, across: bool, threshold: float, p: Sketch,
     the first band that it shares and in no other."""
     own, key, comp, n, no = (table.column(c).to_numpy(zero_copy_only=False) for c in ("_own", "_key", "component", "n_shingles", "_no"))
     regs = table.column("registers").combine_chunks().flatten().to_numpy().reshape(-1, p.registers)
-    floor = threshold * p.registers - 5 * np.sqrt(threshold * (1 - threshold) * p.registers)
+    floor = least_equal(threshold, p.registers)
     for x in range(0, len(key), 16):
         cut = slice(x, x + 16)
         other = (comp[cut, None] != comp) & (key[cut, None] > key)
@@ -273,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: s
        once each; these too are verified and joined in.  No pair within a component is ever made.
 
     A link is missed only if its classes share no band (3e-8 at the threshold) or the estimate is
-    off by slack (5 deviations).  The work grows with the square of a band's members only where
+    off by slack (4e-8, for sets of one size).  The work grows with the square of a band's members only where
     these lie in different components, that is among texts that are alike in part but not linked;
     it is then a comparison of registers, some 100 ns a pair, spread over blocks.
 

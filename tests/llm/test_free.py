@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -197,6 +198,15 @@ def test_registers_estimate_and_merge():
     assert abs(est[0] - 1500 / 2300) < 0.15
 
 
+def test_register_floor_drops_no_plausible_pair():
+    p, one = near_dedup.Sketch(), lambda x: np.array([x])
+    for same in (48, 49, 50):  # 1 of 1e6 pairs at the threshold has 50 or fewer
+        more = (p.registers - same) // 2
+        assert near_dedup.plausible(one(more), one(p.registers - same - more), one(same), one(1000), one(1000), 0.75, p.base, 14.0)[1][0]
+    missed = lambda k: sum(math.comb(96, i) * 0.75**i * 0.25 ** (96 - i) for i in range(k))
+    assert missed(math.ceil(near_dedup.least_equal(0.75, p.registers))) < 3e-9
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, 30)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)], "u long, v long")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
