@@ -5,24 +5,29 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words of which a worker keeps the hash; the table is emptied when it is full.
-CACHED_WORDS = 1_000_000
+#: Words of which a worker keeps the hash, in each of two generations.
+CACHED_WORDS = 150_000
 #: Odd multiplier of the polynomials over words, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class WordHashes(dict):
-    """Hash of each word, kept as long as the table has room."""
+    """Hash of each word, kept in two generations: when this one is full it becomes the old one, and
+    what is met again moves back."""
 
     def __init__(self, seed: int = 0):
         super().__init__()
-        self.seed = seed
+        self.seed, self.old = seed, {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, self.seed)
+        value = self.old.get(word)
+        if value is None:
+            value = xxhash.xxh64_intdigest(word, self.seed)
+        self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

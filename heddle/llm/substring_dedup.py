@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import dropped, row_hash, small_batches, written
+from heddle.llm.common import by_key, dropped, row_hash, scratch, small_batches, written
 from heddle.llm.shingles import Rolling, WordHashes, runs, sliding_min
 
 #: Words of the grams by which windows are first sought.
@@ -38,9 +38,10 @@ def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", gram: int = GRAM) -> DataFrame:
-    """Starts of the windows of each document whose words also start in one with a smaller key:
-    (_key, _row, starts), starts an array of word positions.  See ``remove_repeats``."""
+def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", gram: int = GRAM, every: bool = False) -> DataFrame:
+    """Starts of the windows of each document whose words also start in one with a smaller key: a
+    written table (_key, _row, starts), starts an array of word positions, null for all.  See
+    ``remove_repeats``."""
     if not 1 <= gram <= window:
         raise ValueError("gram must be from 1 to window")
     small_batches(docs.sparkSession)
@@ -60,20 +61,6 @@ def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", tex
             take = pa.array(np.concatenate(take).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), signed(np.concatenate(found))], names=["_key", "_row", "_anchor"])
 
-    # texts that repeat whole: the one with the smallest key stands for all
-    wholes = rows.groupBy(F.sha2(F.col("_text"), 256).alias("_sha")).agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
-    wholes = written(wholes)
-    copies = rows.select("_key", "_row", F.sha2(F.col("_text"), 256).alias("_s"))
-    copies = written(copies.join(wholes, F.col("_s") == F.col("_sha")).where("_key > _least").select("_key", "_row").distinct())
-
-    anchors = written(rows.mapInArrow(seek, f"_key {kind}, _row bigint, _anchor bigint"))
-    shared = anchors.groupBy("_anchor").agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi")).where("_lo <> _hi").select(F.col("_anchor").alias("_a"))
-    shared = written(shared)
-    mark = copies.select(F.col("_key").alias("_k"), F.col("_row").alias("_r"))
-    theirs = anchors.join(shared, F.col("_anchor") == F.col("_a"), "left_semi").join(mark, (F.col("_key") == F.col("_k")) & (F.col("_row") == F.col("_r")), "left_anti")
-    theirs = written(theirs.groupBy("_key", "_row").agg(F.collect_set("_anchor").alias("_anchors")))
-    dropped(anchors, shared)
-
     def hashed(batches):
         words, more, rolling = WordHashes(), WordHashes(1), Rolling()
         for batch in batches:
@@ -83,14 +70,16 @@ def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", tex
             for i, (t, known) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 w = split(t)
                 ids = words.of(w)
-                at, h = anchors_of(ids, window, gram)
-                at = at[np.isin(h, np.asarray(known.values).view(np.uint64))]
                 n = len(w) - window + 1
-                # every window that holds a shared anchor
-                edge = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(edge, np.maximum(at - (window - gram), 0), 1)
-                np.add.at(edge, np.minimum(at + 1, n), -1)
-                own = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                if known.values is None:
+                    own = np.arange(max(n, 0))
+                else:  # every window that holds a shared anchor
+                    at, h = anchors_of(ids, window, gram)
+                    at = at[np.isin(h, np.asarray(known.values).view(np.uint64))]
+                    edge = np.zeros(n + 1, dtype=np.int64)
+                    np.add.at(edge, np.maximum(at - (window - gram), 0), 1)
+                    np.add.at(edge, np.minimum(at + 1, n), -1)
+                    own = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 take.append(np.full(len(own), i))
                 starts.append(own)
                 first.append(rolling.windows(ids, window)[own])
@@ -98,30 +87,50 @@ def repeated_windows(docs: DataFrame, window: int = 50, key: str = "doc_id", tex
             take = pa.array(np.concatenate(take).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), signed(np.concatenate(first)), signed(np.concatenate(second))], names=["_key", "_row", "start", "a", "b"])
 
-    again = rows.join(theirs.select(F.col("_key").alias("_k"), F.col("_row").alias("_r"), "_anchors"), (F.col("_key") == F.col("_k")) & (F.col("_row") == F.col("_r"))).select("_key", "_row", "_text", "_anchors")
-    windows = written(again.mapInArrow(hashed, f"_key {kind}, _row bigint, start int, a bigint, b bigint"))
-    counted = windows.groupBy("a", "b").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most")).where("_least < _most").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "_least")
-    hits = windows.join(counted, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("_key > _least").select("_key", "_row", "start")
-    starts = written(hits.groupBy("_key", "_row").agg(F.collect_set("start").alias("starts")))
-    dropped(windows, theirs)
-    whole = copies.select("_key", "_row", F.lit(None).cast("array<int>").alias("starts"))
-    return starts.unionByName(whole)
-
-
-def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", gram: int = GRAM) -> DataFrame:
+    with scratch() as keep:
+        # texts that repeat whole: the one with the smallest key stands for all
+        sha = F.sha2(F.col("_text"), 256).alias("_sha")
+        wholes = rows.groupBy(sha).agg(F.min("_key").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
+        wholes = written(wholes.limit(0) if every else wholes)
+        copies = written(by_key(rows.select("_key", "_row", sha), wholes, ["_sha"], "_n").where("_key > _least").select("_key", "_row").distinct())
+
+        mark = copies.select(F.col("_key").alias("_k"), F.col("_row").alias("_r"))
+        own = (F.col("_key") == F.col("_k")) & (F.col("_row") == F.col("_r"))
+        if every:
+            again = rows.join(mark, own, "left_anti").withColumn("_anchors", F.lit(None).cast("array<bigint>"))
+        else:
+            anchors = written(rows.mapInArrow(seek, f"_key {kind}, _row bigint, _anchor bigint"))
+            shared = anchors.groupBy("_anchor").agg(F.min("_row").alias("_lo"), F.max("_row").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi")
+            shared = written(shared.select("_anchor", "_n"))
+            theirs = by_key(anchors, shared, ["_anchor"], "_n", "left_semi").join(mark, own, "left_anti")
+            theirs = written(theirs.groupBy("_key", "_row").agg(F.collect_set("_anchor").alias("_anchors")))
+            dropped(anchors, shared)
+            again = rows.join(theirs.select(F.col("_key").alias("_k"), F.col("_row").alias("_r"), "_anchors"), own).select("_key", "_row", "_text", "_anchors")
+        windows = written(again.mapInArrow(hashed, f"_key {kind}, _row bigint, start int, a bigint, b bigint"))
+        counted = windows.groupBy("a", "b").agg(F.min("_key").alias("_least"), F.max("_key").alias("_most"), F.count("*").alias("_n")).where("_least < _most").select("a", "b", "_least", "_n")
+        hits = by_key(windows, written(counted), ["a", "b"], "_n").where("_key > _least").select("_key", "_row", "start")
+        starts = hits.groupBy("_key", "_row").agg(F.collect_set("start").alias("starts"))
+        whole = copies.select("_key", "_row", F.lit(None).cast("array<int>").alias("starts"))
+        out = written(starts.unionByName(whole))
+        keep.append(out)
+    return out
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text: str = "text", gram: int = GRAM, every: bool = False) -> DataFrame:
     """Remove every word that a repeated window covers.
 
     A window is ``window`` consecutive words (cut at ASCII white space) of one document; it repeats
     if the same words also start in a document with a smaller key.  Windows are judged on the
     input.  Overlapping and touching windows merge into maximal intervals of words.
 
-    Every window that can repeat is hashed twice by rolling polynomials over 64-bit word hashes,
-    and Spark takes the least key of each pair of hashes.  Windows that cannot are left out before
-    that, without loss: each window holds a gram that is least within it, and equal windows hold
-    the same one, so only windows around such grams found in two different texts are hashed.
-    Of texts that repeat whole, the one with the smallest key alone is searched; the others repeat
-    entirely.  Minima are combined before shuffles, so a passage in a third of all documents
-    costs no task more than its share.
+    Windows are hashed twice by Rabin-Karp's rolling polynomials over 64-bit word hashes, and Spark
+    counts each pair of hashes and takes its least key.  Not every window is hashed, unless
+    ``every`` is set: those that cannot repeat are left out before, without loss.  Each window holds
+    a gram that is least within it, and equal windows hold the same one, so only windows around such
+    grams found in two different texts are hashed; and of texts that repeat whole, the one with the
+    smallest key alone is searched, since the others repeat entirely.  Counts and minima are
+    combined before they are shuffled, and windows of a hash that very many share meet its minimum
+    where they are (``by_key``), so a passage in a third of all documents is spread as they are.
 
     Returns key, n_words, n_removed, intervals (arrays of start and end, in words, end exclusive)
     and kept_text (kept words joined by one space).  Null and empty texts have no word and nothing
@@ -129,7 +138,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, key: str = "doc_id", text:
     other, and each is judged for itself; extra columns are left out.
     """
     kind = docs.schema[key].dataType.simpleString()
-    marks = repeated_windows(docs, window, key, text, gram).select(F.col("_key").alias("_k"), F.col("_row").alias("_r"), "starts", F.lit(True).alias("_marked"))
+    marks = repeated_windows(docs, window, key, text, gram, every).select(F.col("_key").alias("_k"), F.col("_row").alias("_r"), "starts", F.lit(True).alias("_marked"))
     rows = docs.select(F.col(key).alias("_key"), row_hash(F.col(text)).alias("_row"), F.col(text).alias("_text"))
     joined = rows.join(marks, (F.col("_key") == F.col("_k")) & (F.col("_row") == F.col("_r")), "left").select("_key", "_text", "_marked", "starts")
 
