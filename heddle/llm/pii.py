@@ -18,8 +18,11 @@ from heddle.llm.common import small_batches
 KINDS = ("email", "iban", "date", "phone", "ssn", "ip", "card", "account")
 #: Rounds of the Feistel networks, and pseudonyms that a worker keeps.
 ROUNDS, CACHED_VALUES = 8, 200_000
-#: Dates are permuted within these years.
+#: Dates of these years are permuted among themselves, so that they stay plausible; all others of the
+#: calendar, from year 1 to 9999, among themselves.
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Characters of a mail address's local part that are permuted as one number; longer ones in blocks.
+EMAIL_BLOCK = 64
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
@@ -66,9 +69,13 @@ class Permutation:
         self.keys = [hmac.new(key, f"{name}:{n}:{r}".encode(), hashlib.sha256) for r in range(ROUNDS)]
 
     def round(self, r: int, x: int) -> int:
-        h = self.keys[r].copy()
-        h.update(x.to_bytes(16, "big"))
-        return int.from_bytes(h.digest()[:16], "big") & ((1 << self.half) - 1)
+        size = -(-self.half // 8)
+        body, out, i = x.to_bytes(size, "big"), b"", 0
+        while len(out) < size:  # a digest has 32 bytes
+            h = self.keys[r].copy()
+            h.update(body + bytes([i]))
+            out, i = out + h.digest(), i + 1
+        return int.from_bytes(out[:size], "big") & ((1 << self.half) - 1)
 
     def forth(self, x: int) -> int:
         while True:
@@ -139,21 +146,28 @@ class Pseudonyms:
         return y
 
     def email(self, v: str, undo: bool) -> tuple[str, str]:
-        """Characters of the local part stay in their class; the domain stays."""
+        """Characters of the local part stay in their class; the domain stays.  Blocks after the first
+        of a long local part are permuted under a key that depends on what stands before them."""
         local, domain = v.split("@", 1)
-        radix = [26 if c.islower() else 26 if c.isupper() else 10 if c.isdigit() else 1 for c in local]
-        first = [ord("a") if c.islower() else ord("A") if c.isupper() else ord("0") if c.isdigit() else ord(c) for c in local]
-        x, n = 0, 1
-        for c, r, f in zip(local, radix, first, strict=True):
-            x, n = x * r + ord(c) - f, n * r
-        if n == 1:
-            return "email", v
-        p = self.of("email:" + domain.lower() + ":" + "".join("a" if f == 97 else "A" if f == 65 else "9" if f == 48 else chr(f) for f in first), n)
-        x, out = (p.undo(x) if undo else p(x)), []
-        for r, f in zip(reversed(radix), reversed(first), strict=True):
-            x, d = divmod(x, r)
-            out.append(chr(f + d))
-        return "email", "".join(reversed(out)) + "@" + domain
+        form = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in local)
+        name, plain, out = f"email:{domain.lower()}:{form}", "", ""
+        for at in range(0, len(local), EMAIL_BLOCK):
+            block, shape = local[at : at + EMAIL_BLOCK], form[at : at + EMAIL_BLOCK]
+            radix = [26 if f in "aA" else 10 if f == "9" else 1 for f in shape]
+            zero = [ord("0") if f == "9" else ord(f) for f in shape]
+            x, n = 0, 1
+            for c, r, z in zip(block, radix, zero, strict=True):
+                x, n = x * r + ord(c) - z, n * r
+            if n > 1:
+                p = Permutation(self.key, f"{name}:{plain}", n) if at else self.of(name, n)
+                x = p.undo(x) if undo else p(x)
+            new = []
+            for r, z in zip(reversed(radix), reversed(zero), strict=True):
+                x, d = divmod(x, r)
+                new.append(chr(z + d))
+            out += "".join(reversed(new))
+            plain += out[at:] if undo else block
+        return "email", out + "@" + domain
 
     def iban(self, v: str, undo: bool) -> tuple[str, str] | None:
         plain = v.replace(" ", "")
@@ -176,19 +190,22 @@ class Pseudonyms:
                 day = datetime.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal()
             except ValueError:
                 continue
-            if not FIRST <= day <= LAST:
-                return None
-            style = (y, m, d, len(parts[m]), len(parts[d]))
+            near = FIRST <= day <= LAST
+            style = (y, m, d, len(parts[m]), len(parts[d])) if near else (y, m, d, len(parts[m]), len(parts[d]), "other years")
+            days = LAST - FIRST + 1
+            place = lambda t: t - FIRST if near else t - 1 if t < FIRST else t - 1 - days  # noqa: B023, E731
+            at = lambda x: datetime.date.fromordinal(FIRST + x if near else x + 1 if x + 1 < FIRST else x + 1 + days)  # noqa: B023, E731
 
             def valid(x: int) -> bool:
                 """Written in the same way, and read in the same order."""
-                t = datetime.date.fromordinal(FIRST + x)
+                t = at(x)
                 return len(str(t.month)) <= len(parts[m]) and len(str(t.day)) <= len(parts[d]) and ((y, m, d) != (2, 1, 0) or "/" not in v or t.day > 12)
 
-            t = datetime.date.fromordinal(FIRST + self.walked(f"date:{style}:{v[4] if '-' in v else '/' if '/' in v else '.'}", LAST - FIRST + 1, day - FIRST, valid, undo))
+            sign = "-" if "-" in v else "/" if "/" in v else "."
+            t = at(self.walked(f"date:{style}:{v[4] if sign == '-' else sign}", days if near else datetime.date.max.toordinal() - days, place(day), valid, undo))
             out = ["", "", ""]
             out[y], out[m], out[d] = f"{t.year:04d}", str(t.month).zfill(len(parts[m])), str(t.day).zfill(len(parts[d]))
-            return "date", ("-" if "-" in v else "/" if "/" in v else ".").join(out)
+            return "date", sign.join(out)
         return None
 
     def ip(self, v: str, undo: bool) -> tuple[str, str] | None:
@@ -295,7 +312,8 @@ def pseudonymize(docs: DataFrame, key: str, id_column: str = "doc_id", text: str
     dates are found, validated (check digits, calendar, ranges) and permuted within their format
     under ``key``: equal values get equal pseudonyms in all documents, different ones different
     ones, the layout stays, check digits hold again, and who has the key can reverse it
-    (``Pseudonyms.replaced(..., undo=True)``).
+    (``Pseudonyms.replaced(..., undo=True)``).  What stays readable: the domain of an address, the
+    country's code of a telephone number, and the country and letters of an account number.
 
     Returns id, the columns ``carry``, text, n_values and a count n_<kind> for each kind.  Row-wise: no shuffle, and a lost
     executor's rows come out the same again.  Null text stays null with no value; empty text stays
