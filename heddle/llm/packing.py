@@ -10,6 +10,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -68,11 +69,12 @@ class Encoder:
     The pattern cuts a text before every single space that a non-space follows, so words with the
     space before them are encoded apart and kept.  New words are encoded together as one text and
     cut by the bytes of its tokens.  Texts with other runs of white space next to a space are
-    encoded whole.  Marks of special tokens in a text are the ids in ``added``, and what stands
-    between them is encoded apart, as by the tokenizer file; marks not in ``added`` are ordinary text.
+    encoded whole.  Marks of the tokenizer file's added tokens in a text are their ids, and what
+    stands between them is encoded apart, as by the tokenizer file.
     """
 
     def __init__(self, path: str | None, added: dict[str, int] | None = None):
+        added = added_tokens(path) if added is None else added
         import public_tokenizers
         import tiktoken
 
@@ -83,7 +85,7 @@ class Encoder:
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
         self.first, self.later = Words(""), Words(" ")
-        self.added = {mark: np.array([i], dtype="<u4").tobytes() for mark, i in (added or {}).items()}
+        self.added = {mark: np.array([i], dtype="<u4").tobytes() for mark, i in added.items()}
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def whole(self, text: str) -> bytes:
@@ -236,6 +238,27 @@ def completions(sizes: list[int], counts: dict[int, int], room: int, waste: int,
             yield from fill(total, len(fit))
 
 
+def dominated(filling: tuple[int, ...], sizes: list[int], counts: dict[int, int], waste: int) -> bool:
+    """Whether the filling can be left out, since another around the same longest piece is as good
+    (Martello and Toth): a piece left over fits into the ``waste``, or one can stand in for some of
+    the filling's pieces, whose places among the others these can then take.  For long fillings,
+    only one and two pieces are tried."""
+    used = Counter(filling)
+    spare = [s for s in sizes if counts[s] > used[s]]
+    if not spare:
+        return False
+    if spare[0] <= waste:
+        return True
+    parts = sorted(filling)
+    for n in range(1, (len(parts) if len(parts) <= 8 else 2) + 1):
+        for some in set(combinations(parts, n)):
+            total = sum(some)
+            i = bisect_right(spare, total + waste) - 1
+            if i >= 0 and spare[i] >= total + (n == 1):
+                return True
+    return False
+
+
 def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: int, even: bool) -> Plan:
     """The best plan found from the incumbent ``best`` on; the search of ``pack_lengths``."""
     total, bins = sum(s * c for s, c in counts.items()), sum(t for _, t in best)
@@ -244,13 +267,19 @@ def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: i
     stack: list[Iterator[tuple[tuple[int, ...], int]]] = []  # open choices
 
     def options() -> Iterator[tuple[tuple[int, ...], int]]:
-        """Fillings around the longest piece left, and how often to take each."""
+        """Undominated fillings around the longest piece left, and how often to take each."""
+        nonlocal steps
         own = {s: c for s, c in left.items() if c}
         s = max(own)
         there, sizes, spare = dict(own), sorted(own), (bins - 1) * size - total - waste
         own[s] -= 1
         for once in (False, True):
             for f in completions(sizes, own, size - s, spare, even):
+                if dominated(f, sizes, own, size - s - sum(f)):
+                    steps += 1
+                    if steps >= nodes:
+                        return
+                    continue
                 times = min(there[x] // n for x, n in Counter((s, *f)).items())
                 if not once or times > 1:
                     yield (s, *f), 1 if once else times
@@ -291,8 +320,8 @@ def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: i
 def pack_lengths(counts: dict[int, int], size: int, nodes: int = 20_000) -> Plan:
     """As few bins as found for ``counts`` (how many pieces of each length).
 
-    Bin completion: the longest piece left must be in some bin, so the fillings around it that
-    waste no more than a better result may are tried, fullest first, each as often in a row as the
+    Bin completion: the longest piece left must be in some bin, so the undominated fillings around
+    it that waste no more than a better result may are tried, fullest first, each as often in a row as the
     counts allow and, after all of these, once; a branch is left when its waste makes a better
     result than the incumbent impossible.  The first incumbent is best-fit decreasing.  Equally full
     fillings are tried in two orders, in a search of half the ``nodes`` steps each; both end at the
