@@ -59,8 +59,6 @@ RULES = [
 
 #: Ends of sentences: stops before white space or the end, and line ends.
 ENDS = r"[.!?;:]+(?:[\x09-\x0D\x20]+|\z)|\n"
-#: A text without any of these holds no licence sentence.
-HINT = r"(?i)licen[cs]|rights|permi|redistrib|software|copyright"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Sentences of the standard texts and headers as they are written there; "..." is a name of one to twelve words.
@@ -84,8 +82,73 @@ STANDARD = [
     ("Neither the name of ... nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
     ("Neither the name of ... nor the names of contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
     ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mpl2-notice"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "mpl2-copy"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "mpl2-copy"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "lgpl21-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version", "lgpl3-later"),
+    ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "agpl3-later"),
+    ("This library is free software", "lgpl-free"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "isc-grant"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "isc-grant"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "zlib-grant"),
+    ("This software is provided 'as-is', without any express or implied warranty", "zlib-disclaimer"),
+    ("This is free and unencumbered software released into the public domain", "unlicense-grant"),
+    ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "unlicense-free"),
+    ("Distributed under the Boost Software License, Version 1.0", "boost-notice"),
+    ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following", "boost-grant"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "epl2-notice"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "epl2-notice"),
+    ("To the extent possible under law, ... has waived all copyright and related or neighboring rights to this work", "cc0-waiver"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "bsd-source"),
+    ("All advertising materials mentioning features or use of this software must display the following acknowledgement", "bsd-advertising"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "apache2-warranty"),
+    ("Apache License Version 2.0, January 2004", "apache2-title"),
+    ("\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document", "apache2-terms"),
+    ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "gpl3-title"),
+    ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "gpl2-title"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999", "lgpl21-title"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "lgpl3-title"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", "agpl3-title"),
+    ("Mozilla Public License Version 2.0", "mpl2-title"),
+    ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", "gnu-verbatim"),
+    *[(f"SPDX-License-Identifier: {name}", identifier) for name, identifier in (
+        ("MIT", "mit-notice"), ("Apache-2.0", "apache2-notice"), ("BSD-2-Clause", "bsd2-spdx"), ("BSD-3-Clause", "bsd3-spdx"), ("GPL-3.0-only", "gpl3-notice"), ("GPL-3.0-or-later", "gpl3-later"), ("GPL-2.0-only", "gpl2-only"), ("GPL-2.0-or-later", "gpl2-later"),
+        ("LGPL-2.1-or-later", "lgpl21-later"), ("LGPL-3.0-or-later", "lgpl3-later"), ("AGPL-3.0-or-later", "agpl3-later"), ("MPL-2.0", "mpl2-notice"), ("ISC", "isc-grant"), ("Zlib", "zlib-grant"), ("Unlicense", "unlicense-grant"), ("BSL-1.0", "boost-notice"), ("EPL-2.0", "epl2-notice"), ("CC0-1.0", "cc0-waiver"))],
 ]
 
+# Rules beyond those of the notices above, tried after the longer and before the shorter
+# of them; an identifier in brackets may be missing.
+MORE_RULES = [
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse"), "BSD-4-Clause", "permissive"),
+    (("gpl3-title", "[gnu-verbatim]"), "GPL-3.0-only", "copyleft"),
+    (("gpl2-title", "[gnu-verbatim]"), "GPL-2.0-only", "copyleft"),
+    (("lgpl21-title", "[gnu-verbatim]"), "LGPL-2.1-only", "copyleft"),
+    (("lgpl3-title", "[gnu-verbatim]"), "LGPL-3.0-only", "copyleft"),
+    (("agpl3-title", "[gnu-verbatim]"), "AGPL-3.0-only", "copyleft"),
+    (("apache2-title", "[apache2-terms]"), "Apache-2.0", "permissive"),
+    (("mpl2-title",), "MPL-2.0", "copyleft"),
+    (("mpl2-notice", "mpl2-copy"), "MPL-2.0", "copyleft"),
+    (("lgpl-free", "lgpl21-later"), "LGPL-2.1-or-later", "copyleft"),
+    (("lgpl-free", "lgpl3-later"), "LGPL-3.0-or-later", "copyleft"),
+    (("gpl-free", "lgpl21-later"), "LGPL-2.1-or-later", "copyleft"),
+    (("gpl-free", "lgpl3-later"), "LGPL-3.0-or-later", "copyleft"),
+    (("gpl-free", "agpl3-later"), "AGPL-3.0-or-later", "copyleft"),
+    (("lgpl21-later",), "LGPL-2.1-or-later", "copyleft"),
+    (("lgpl3-later",), "LGPL-3.0-or-later", "copyleft"),
+    (("agpl3-later",), "AGPL-3.0-or-later", "copyleft"),
+    (("gpl2-only",), "GPL-2.0-only", "copyleft"),
+    (("isc-grant",), "ISC", "permissive"),
+    (("[zlib-disclaimer]", "zlib-grant"), "Zlib", "permissive"),
+    (("unlicense-grant", "[unlicense-free]"), "Unlicense", "permissive"),
+    (("boost-grant",), "BSL-1.0", "permissive"),
+    (("boost-notice",), "BSL-1.0", "permissive"),
+    (("epl2-notice",), "EPL-2.0", "copyleft"),
+    (("cc0-waiver",), "CC0-1.0", "permissive"),
+    (("bsd2-spdx",), "BSD-2-Clause", "permissive"),
+    (("bsd3-spdx",), "BSD-3-Clause", "permissive"),
+]
+ALL_RULES = MORE_RULES + RULES
+
 
 def marked(sentence: str) -> str:
     """A sentence as ``normal_form`` gives it; stops in it are optional there, and so is '...'."""
@@ -129,10 +192,37 @@ def sentence_ids(text: Column, sentences: dict[str, str] = KNOWN) -> Column:
 
 def rule_pattern(rules=RULES) -> str:
     """One alternation in rule order over '<id><id>...'; the leftmost, then the first rule wins."""
-    return "|".join("".join(f"<{i}>" for i in ids) for ids, _, _ in rules)
+    one = lambda i: f"(?:<{i[1:-1]}>)?" if i[0] == "[" else f"<{i}>"
+    return "|".join("".join(map(one, ids)) for ids, _, _ in rules)
+
+
+def rule_runs(rules) -> dict[str, str]:
+    """Licence of every run of identifiers that a rule matches, with and without what may be missing."""
+    runs: dict[str, str] = {}
+    for ids, lic, _ in rules:
+        forms = [""]
+        for i in ids:
+            forms = [f + x for f in forms for x in ([f"<{i[1:-1]}>", ""] if i[0] == "[" else [f"<{i}>"])]
+        for f in forms:
+            runs.setdefault(f, lic)
+    return runs
+
+
+def hint(sentences) -> str:
+    """Words, one of which is in every known sentence: a text without any of them holds none.  Each is
+    the word that most of the sentences without one so far have."""
+    left, words = [set(s.replace("|", " ").replace("*", " ").split()) for s in sentences], []
+    while left:
+        counts: dict[str, int] = {}
+        for s in left:
+            for w in s:
+                counts[w] = counts.get(w, 0) + (len(w) > 4)
+        words.append(max(sorted(counts), key=lambda w: (counts[w], len(w))))
+        left = [s for s in left if words[-1] not in s]
+    return "(?i)" + "|".join(words)
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = KNOWN, rules=RULES) -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] = KNOWN, rules=ALL_RULES) -> DataFrame:
     """Licences of every whole text, wrapped or not, in comments or not.
 
     Returns key, n_sentences (known licence sentences, repeats included), sentence_ids (in order,
@@ -141,11 +231,11 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", sent
     permissive, else none.  Row-wise: no shuffle.  Null and empty texts have no sentence; repeated
     rows and ties give a row each; extra columns are left out.
     """
-    runs = F.create_map(*[F.lit(x) for ids, lic, _ in rules for x in ("".join(f"<{i}>" for i in ids), lic)])
+    runs = F.create_map(*[F.lit(x) for pair in rule_runs(rules).items() for x in pair])
     kinds = F.create_map(*[F.lit(x) for lic, kind in {lic: kind for _, lic, kind in rules}.items() for x in (lic, kind)])
     nothing = F.array().cast("array<string>")
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(key), F.when(body.rlike(HINT), sentence_ids(body, sentences)).otherwise(nothing).alias("_ids"))
+    found = docs.select(F.col(key), F.when(body.rlike(hint(sentences)), sentence_ids(body, sentences)).otherwise(nothing).alias("_ids"))
     matched = found.withColumn("_runs", F.when(F.size("_ids") > 0, F.regexp_extract_all(F.concat(F.lit("<"), F.array_join("_ids", "><"), F.lit(">")), F.lit(rule_pattern(rules)), F.lit(0))).otherwise(nothing))
     named = matched.withColumn("_lic", F.transform("_runs", lambda r: F.try_element_at(runs, r)))
     terms = F.transform("_lic", lambda x: F.try_element_at(kinds, x))
