@@ -20,6 +20,8 @@ KINDS = ("assign", "access", "hex", "markov")
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 #: Characters of the least stretch of a token that is judged by itself.
 LEAST = 20
+#: Spans that are gathered at once.
+PART = 256
 #: Nats by which a stretch must look more like a random string than like an identifier.
 MARGIN = 12.0
 
@@ -82,16 +84,21 @@ def spans(kind: str, text: Column, pattern: str, group: int, least: int) -> Colu
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,text:string>>").alias("out"))
+    span = "struct<kind:string,start:int,end:int,text:string>"
+    none, no_parts = F.array().cast(f"array<{span}>"), F.array().cast(f"array<array<{span}>>")
+    empty = F.struct(F.lit(0).alias("at"), none.alias("part"), no_parts.alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
+        """Spans are gathered in parts of PART, since appending copies: n matches cost n * PART, not n * n."""
         start = acc["at"] + F.length(x["between"])
         end = start + F.length(x["found"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"].alias("text"))
-        return F.struct(end.alias("at"), F.when(F.length(x["judged"]) >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        one = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["found"].alias("text"))
+        full = F.size(acc["part"]) >= PART
+        part = F.when(full, none).otherwise(acc["part"])
+        return F.struct(end.alias("at"), F.when(F.length(x["judged"]) >= least, F.array_append(part, one)).otherwise(part).alias("part"), F.when(full, F.array_append(acc["parts"], acc["part"])).otherwise(acc["parts"]).alias("parts"))
 
     rows = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("between"), found.alias("found"), judged.alias("judged"))
-    return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+    return F.aggregate(rows, empty, step, lambda acc: F.flatten(F.array_append(acc["parts"], acc["part"])))
 
 
 def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
