@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import dropped, row_hash, written
+from heddle.llm.common import BROADCAST_ROWS, by_key, joinable, row_hash, scratch, written
 
 #: Characters that separate words, once ASCII letters are in lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a table of fixed-width rows is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -49,9 +45,48 @@ def fingerprints(df: DataFrame, w: str, length: int, k: int, short: list[int]) -
     return df.withColumn("_fps", F.concat(winnowed(F.col("_grams"), length - k + 1), *[grams(F.col(w), n) for n in short])).drop("_grams")
 
 
-def joinable(df: DataFrame) -> DataFrame:
-    """Broadcast a written table if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def looked_up(runs: DataFrame, passages: DataFrame) -> DataFrame:
+    """Runs of words that are passages, with the items that these are of.  Both have _len, a and b.  If
+    the passages are too many to broadcast, runs are counted first, so that those of a passage in
+    very many documents can stay where they are."""
+    on = ["_len", "a", "b"]
+    if passages.count() <= BROADCAST_ROWS:
+        return runs.join(F.broadcast(passages), on)
+    counts = runs.groupBy(*on).agg(F.count("*").alias("_n"))
+    return by_key(runs, written(counts.join(passages, on)), on, "_n").drop("_n")
+
+
+def _hits(docs: DataFrame, items: DataFrame, length: int, k: int, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (key, _row, n_words) of every text, and (key, _row, _len, _pos, _item) of every
+    passage in them."""
+    source = items.select(F.col(item_key).alias("_item"), words(F.col(item_text)).alias("_w"), folded_words(F.col(item_text)).alias("_f")).where(F.size("_w") > 0)
+    lengths = [r[0] for r in source.select(F.least(F.size("_w"), F.lit(length))).distinct().collect()]  # at most `length` numbers
+    short = sorted(n for n in lengths if n < length)
+
+    with scratch() as keep:
+        prints = fingerprints(source, "_f", length, k, []).select(F.explode("_fps").alias("_fp"))
+        prints = written(prints.unionByName(source.where(F.size("_w") < length).select(F.xxhash64("_f").alias("_fp"))).distinct())
+        passages = source.select("_item", F.lit(0).alias("_len"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).limit(0)
+        for n in lengths:
+            whole = F.size("_w") >= n if n == length else F.size("_w") == n
+            passages = passages.unionByName(source.where(whole).select("_item", F.lit(n).alias("_len"), F.explode(passage_hashes(F.col("_w"), n)).alias("_p")).select("_item", "_len", "_p.a", "_p.b"))
+        passages = written(passages.distinct())
+
+        scanned = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"), folded_words(F.col(text)).alias("_f"))
+        scanned = fingerprints(scanned, "_f", length, k, short).select(key, "_row", F.size("_f").cast("bigint").alias("n_words"), "_fps")
+        matched = scanned.select(key, "_row", "n_words", F.explode_outer("_fps").alias("_fp")).join(joinable(prints.withColumn("_known", F.lit(True))), "_fp", "left")
+        judged = written(matched.groupBy(key, "_row", "n_words").agg(F.coalesce(F.max("_known"), F.lit(False)).alias("_found")))
+        found = written(judged.where("_found").select(F.col(key).alias("_k"), F.col("_row").alias("_r")))
+
+        texts = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"), F.col(text).alias("_text"))
+        near = texts.join(joinable(found), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_semi")
+        near = near.select(key, "_row", words(F.col("_text")).alias("_w"))
+        runs = near.select(key, "_row", F.lit(0).alias("_len"), F.lit(0).alias("_pos"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).limit(0)
+        for n in lengths:
+            runs = runs.unionByName(near.select(key, "_row", F.lit(n).alias("_len"), F.posexplode(passage_hashes(F.col("_w"), n)).alias("_pos", "_p")).select(key, "_row", "_len", "_pos", "_p.a", "_p.b"))
+        hits = written(looked_up(runs, passages).select(key, "_row", "_len", "_pos", "_item"))
+        keep += [judged, hits]
+    return judged.drop("_found"), hits
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -68,33 +103,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     words and are clean; items without words match nothing; repeated rows have a row each; rows
     that share a key but not a text are judged apart; extra columns are left out.  An empty table
     on either side gives no hit.  Fingerprint tables are broadcast only up to BROADCAST_ROWS rows;
-    rows for a document are reduced before they are shuffled, so no item or document is hot.
+    rows for a document are reduced before they are shuffled, and runs of a passage in very many
+    documents are not shuffled (``looked_up``), so no item or document is hot.
     """
-    source = items.select(F.col(item_key).alias("_item"), words(F.col(item_text)).alias("_w"), folded_words(F.col(item_text)).alias("_f")).where(F.size("_w") > 0)
-    lengths = [r[0] for r in source.select(F.least(F.size("_w"), F.lit(length))).distinct().collect()]  # at most `length` numbers
-    short = sorted(n for n in lengths if n < length)
-
-    prints = written(fingerprints(source, "_f", length, k, []).select(F.explode("_fps").alias("_fp")).unionByName(source.where(F.size("_w") < length).select(F.xxhash64("_f").alias("_fp"))).distinct())
-    passages = reduce(
-        DataFrame.unionByName,
-        [source.where(F.size("_w") >= n if n == length else F.size("_w") == n).select("_item", F.lit(n).alias("_len"), F.explode(passage_hashes(F.col("_w"), n)).alias("_p")).select("_item", "_len", "_p.a", "_p.b") for n in lengths],
-        source.select("_item", F.lit(0).alias("_len"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).limit(0),
-    )
-    passages = written(passages.distinct())
-
-    scanned = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"), folded_words(F.col(text)).alias("_f"))
-    scanned = fingerprints(scanned, "_f", length, k, short).select(key, "_row", F.size("_f").cast("bigint").alias("n_words"), "_fps")
-    matched = scanned.select(key, "_row", "n_words", F.explode_outer("_fps").alias("_fp")).join(joinable(prints.withColumn("_known", F.lit(True))), "_fp", "left")
-    judged = written(matched.groupBy(key, "_row", "n_words").agg(F.coalesce(F.max("_known"), F.lit(False)).alias("_found")))
-    found = written(judged.where("_found").select(key, "_row"))
-
-    texts = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"), F.col(text).alias("_text"))
-    near = texts.join(joinable(found.select(F.col(key).alias("_k"), F.col("_row").alias("_r"))), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_semi")
-    near = near.select(key, "_row", words(F.col("_text")).alias("_w"))
-    runs = reduce(DataFrame.unionByName, [near.select(key, "_row", F.lit(n).alias("_len"), F.posexplode(passage_hashes(F.col("_w"), n)).alias("_pos", "_p")) for n in lengths] or [near.select(key, "_row", F.lit(0).alias("_len"), F.lit(0).alias("_pos"), F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).alias("_p")).limit(0)])
-    hits = runs.select(key, "_row", "_len", "_pos", "_p.a", "_p.b").join(joinable(passages), ["_len", "a", "b"])
-    hits = written(hits.select(key, "_row", "_len", "_pos", "_item"))
-
+    judged, hits = _hits(docs, items, length, k, key, text, item_key, item_text)
     spans = hits.select(key, "_row", "_len", "_pos").distinct().groupBy(key, "_row").agg(F.collect_list(F.struct("_pos", "_len")).alias("_spans"))
     named = hits.select(key, "_row", "_item").distinct().groupBy(key, "_row").agg(F.array_sort(F.collect_list(F.col("_item").cast("string"))).alias("_items"))
     covered = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["_pos"], s["_pos"] + s["_len"] - 1))))
@@ -115,6 +127,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     )
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, length: int = 10, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has no passage of a benchmark, as ``decontaminate``
+    judges it: of rows that share a key, each is judged by its own text."""
+    hits = _hits(docs, items, length, k, key, text, item_key, item_text)[1]
+    leaks = written(hits.select(F.col(key).alias("_k"), F.col("_row").alias("_r")).distinct())
+    same = F.col(key).eqNullSafe(F.col("_k")) & (row_hash(F.col(text)) == F.col("_r"))
+    return docs.join(joinable(leaks), same, "left_anti")
+
+
 def passage_hashes(w: Column, n: int) -> Column:
     """Two independent hashes of every run of n words."""
     m = F.size(w) - F.lit(n - 1)
