@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import decontamination, near_dedup, packing, pii, quality_classifier
-from heddle.llm.common import read, written
+from heddle.llm.common import dropped, read, scratch, written
 from heddle.llm.queries import PSEUDONYM_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,9 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a passage of the benchmark."""
-    judged = decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
-    leaks = written(judged.where("contaminated").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(decontamination.joinable(leaks), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(COLUMNS)
+    return decontamination.uncontaminated(docs.select(COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +57,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``.  Once a stage is written, the tables that it wrote
+    for itself, and the stage before, are deleted."""
     docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch() as keep:
+            docs = written(stage(spark, docs, sf_dir))
+            keep.append(docs)
+        if i:
+            dropped(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
