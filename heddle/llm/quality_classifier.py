@@ -17,9 +17,11 @@ from heddle.llm.common import small_batches, written
 
 @dataclass(frozen=True)
 class Settings:
-    """``rows`` bounds the labelled documents that the model is fitted on, ``words`` its vocabulary."""
+    """``rows`` bounds the labelled documents that the model is fitted on, ``bytes`` the sum of their
+    texts' bytes (texts that would go beyond it are left out), ``words`` the model's vocabulary."""
 
     rows: int = 6000
+    bytes: int = 24 << 20
     words: int = 20_000
     dim: int = 48
     signs: int = 32
@@ -31,17 +33,18 @@ class Settings:
     seed: int = 11
 
 
-#: Words of which a worker keeps the vector.
-CACHED_WORDS = 60_000
+#: Words of which a worker keeps the place and signs, in each of two generations.
+CACHED_WORDS = 100_000
 _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"(?:[a-z]|[\x80-\xff])+"), b"a"), (re.compile(rb"[0-9]+"), b"9")]
 
 
-def shape(word: bytes) -> bytes:
-    """A word with each run of capitals, other letters and digits as one character, marked so as
+def shapes(words: list[bytes]) -> list[bytes]:
+    """Each word with each run of capitals, other letters and digits as one character, marked so as
     not to be a word; at most 12 characters."""
+    lines = b"\n".join(words)  # no word holds white space
     for pattern, sign in _RUNS:
-        word = pattern.sub(sign, word)
-    return b"\x00" + word[:12]
+        lines = pattern.sub(sign, lines)
+    return [b"\x00" + x[:12] for x in lines.split(b"\n")] if words else []
 
 
 def index_vector(word: bytes, dim: int, nonzero: int = 8) -> np.ndarray:
@@ -53,10 +56,10 @@ def index_vector(word: bytes, dim: int, nonzero: int = 8) -> np.ndarray:
     return out
 
 
-def sign_vector(word: bytes, signs: int) -> np.ndarray:
+def sign_vectors(words: list[bytes], signs: int) -> np.ndarray:
     """Dense index vector of every word, known or not; its pooled length tells how words repeat."""
-    digest = xxhash.xxh64_intdigest(word, 3).to_bytes(8, "little")
-    return np.unpackbits(np.frombuffer(digest, dtype=np.uint8))[:signs].astype(np.float32) * 2 - 1
+    digests = np.array([xxhash.xxh64_intdigest(w, 3) for w in words], dtype="<u8").view(np.uint8).reshape(-1, 8)
+    return np.unpackbits(digests, axis=1)[:, :signs].astype(np.float32) * 2 - 1
 
 
 def context_vectors(texts: list[list[bytes]], s: Settings) -> dict[bytes, np.ndarray]:
@@ -66,14 +69,14 @@ def context_vectors(texts: list[list[bytes]], s: Settings) -> dict[bytes, np.nda
     for w in texts:
         for x in w:
             counts[x] = counts.get(x, 0) + 1
-    shapes = {x: shape(x) for x in counts}
+    form_of = dict(zip(counts, shapes(list(counts)), strict=True))
     known = [x for x, n in sorted(counts.items(), key=lambda p: (-p[1], p[0]))[: s.words] if n >= 3]
-    names = known + sorted({shapes[x] for x in counts})
+    names = known + sorted(set(form_of.values()))
     place = {x: i for i, x in enumerate(names)}
     index = np.stack([index_vector(x, s.dim) for x in names]) if names else np.zeros((0, s.dim), dtype=np.float32)
     total = np.zeros((len(names), s.dim), dtype=np.float32)
     for w in texts:
-        form = np.array([place[shapes[x]] for x in w], dtype=np.int64)
+        form = np.array([place[form_of[x]] for x in w], dtype=np.int64)
         word = np.array([place.get(x, -1) for x in w], dtype=np.int64)
         own = np.where(word >= 0, word, form)
         near = index[own] if len(w) else np.zeros((0, s.dim), dtype=np.float32)
@@ -92,35 +95,63 @@ def context_vectors(texts: list[list[bytes]], s: Settings) -> dict[bytes, np.nda
 
 
 class Pooler:
-    """Features of a text: the means of its words' vectors, shapes' vectors and sign vectors'
-    length, and the number of words."""
+    """Features of texts: the means of their words' vectors and shapes' vectors, the length of their
+    mean sign vector, and the number of words.
+
+    The model's vectors are one table, with a row of zeros for what it doesn't know.  A worker keeps
+    which rows a word and its shape have, and its signs, of the words of one generation; new words of
+    a batch are looked up together, and when a generation is full, another begins.
+    """
 
     def __init__(self, vectors: dict[bytes, np.ndarray], s: Settings):
-        self.vectors, self.s = vectors, s
-        self.width = 2 * s.dim + s.signs
+        self.s = s
+        self.row = {w: i + 1 for i, w in enumerate(vectors)}
+        # half precision numbers, added as doubles: sums are exact, whatever order words were met in
+        known = np.stack(list(vectors.values())).astype(np.float16) if vectors else np.zeros((0, s.dim))
+        self.table = np.concatenate([np.zeros((1, s.dim)), known.astype(np.float64)])
+        self.begin()
+
+    def begin(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.rows = np.zeros((CACHED_WORDS, self.width), dtype=np.float32)
-        self.none = np.zeros(s.dim, dtype=np.float32)
-
-    def row(self, word: bytes) -> np.ndarray:
-        return np.concatenate([self.vectors.get(word, self.none), self.vectors.get(shape(word), self.none), sign_vector(word, self.s.signs)])
-
-    def features(self, words: list[bytes]) -> np.ndarray:
-        total = np.zeros(self.width, dtype=np.float64)
-        for i in range(0, len(words), 8192):
-            part = words[i : i + 8192]
-            fresh = [w for w in dict.fromkeys(part) if w not in self.place]
-            if len(self.place) + len(fresh) > CACHED_WORDS:
-                self.place.clear()
-                fresh = list(dict.fromkeys(part))
-            for w in fresh:
-                self.rows[len(self.place)] = self.row(w)
-                self.place[w] = len(self.place)
-            total += self.rows[np.fromiter(map(self.place.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
-        n = max(len(words), 1)
-        mean = total / n
-        signs = float((mean[2 * self.s.dim :] ** 2).mean())
-        return np.concatenate([mean[: 2 * self.s.dim], [np.log(signs + 1e-4), np.log1p(len(words)), np.log(signs * n + 1e-2)]])
+        self.own = np.zeros((0, 2), dtype=np.int32)
+        self.signs = np.zeros((0, self.s.signs), dtype=np.int8)
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = list(words - self.place.keys())
+        if len(self.place) + len(fresh) > CACHED_WORDS and self.place:
+            self.begin()
+            fresh = list(words)
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        rows = [(self.row.get(w, 0), self.row.get(x, 0)) for w, x in zip(fresh, shapes(fresh), strict=True)]
+        self.own = np.concatenate([self.own, np.array(rows, dtype=np.int32).reshape(-1, 2)])
+        self.signs = np.concatenate([self.signs, sign_vectors(fresh, self.s.signs).astype(np.int8)])
+
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(words) > 64:
+            at, times = np.unique(at, return_counts=True)
+        else:
+            times = np.ones(len(at), dtype=np.int64)
+        times = times.astype(np.float64)
+        return np.concatenate([times @ self.table[self.own[at, 0]], times @ self.table[self.own[at, 1]], times @ self.signs[at].astype(np.float64)])
+
+    def features(self, texts: list[list[bytes]]) -> np.ndarray:
+        """One row for each text.  Texts are looked at in parts, so that very long ones need no more memory."""
+        out, i = np.zeros((len(texts), 2 * self.s.dim + self.s.signs)), 0
+        parts = [(i, w[a : a + 8192]) for i, w in enumerate(texts) for a in range(0, len(w), 8192)]
+        while i < len(parts):
+            j, n = i, 0
+            while j < len(parts) and (j == i or n + len(parts[j][1]) <= CACHED_WORDS // 2):
+                n += len(parts[j][1])
+                j += 1
+            self.learn(set().union(*[w for _, w in parts[i:j]]))
+            for at, w in parts[i:j]:
+                out[at] += self.sums(w)
+            i = j
+        n = np.array([[len(w)] for w in texts], dtype=np.float64).reshape(-1, 1)
+        out /= np.maximum(n, 1)
+        signs = (out[:, 2 * self.s.dim :] ** 2).mean(axis=1, keepdims=True)
+        return np.concatenate([out[:, : 2 * self.s.dim], np.log(signs + 1e-4), np.log1p(n), np.log(signs * np.maximum(n, 1) + 1e-2)], axis=1)
 
 
 def trained(x: np.ndarray, y: np.ndarray, s: Settings) -> dict[str, np.ndarray]:
@@ -169,7 +200,7 @@ def held_out(key: str) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> bytes | None:
     """A model from at most ``settings.rows`` labelled documents that aren't held out (those least
-    by a hash of the key), as bytes; None if there are none.
+    by a hash of the key) and ``settings.bytes`` bytes of their texts, as bytes; None if there are none.
 
     The sample is chosen from the labels alone, so only its texts are moved; the model is fitted in
     one task, and its size is bounded by the vocabulary.  Labels that are null or neither 0 nor 1,
@@ -182,18 +213,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     sample = docs.join(F.broadcast(chosen), F.col(key) == F.col("_k")).select(F.xxhash64(key).alias("_h"), F.col(text).alias("_t"), "_label")
 
     def run(batches):
-        rows = sorted((h, t or "", y) for b in batches for h, t, y in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        rows, size = [], 0
+        for h, t, y in (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            t = (t or "").encode("utf-8", "replace")
+            if size + len(t) <= s.bytes:
+                size += len(t)
+                rows.append((h, t, y))
         if not rows:
             return
-        texts = [t.encode("utf-8", "replace").split() for _, t, _ in rows]
+        texts = [t.split() for _, t, _ in rows]
         vectors = context_vectors(texts, s)
         pool = Pooler(vectors, s)
-        model = trained(np.stack([pool.features(w) for w in texts]), np.array([y for *_, y in rows], dtype=np.float64), s)
+        model = trained(pool.features(texts), np.array([y for *_, y in rows], dtype=np.float64), s)
         out = io.BytesIO()
         np.savez_compressed(out, names=np.frombuffer(b"\n".join(vectors), dtype=np.uint8), vectors=np.stack(list(vectors.values())).astype(np.float16), **model)
         yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
-    found = sample.repartition(1).mapInArrow(run, "model binary").collect()  # a bounded number of rows; the scan stays parallel
+    found = sample.repartition(1).sortWithinPartitions("_h", "_t", "_label").mapInArrow(run, "model binary").collect()  # a bounded number of rows; the scan stays parallel
     return bytes(found[0]["model"]) if found else None
 
 
@@ -205,8 +241,7 @@ def scorer(model: bytes | None, settings: Settings):
     weights = {k: z[k] for k in z.files}
     names, vectors = weights.pop("names").tobytes().split(b"\n"), weights.pop("vectors").astype(np.float32)
     pool = Pooler(dict(zip(names, vectors, strict=True)), settings)
-    features = lambda t: pool.features((t or "").encode("utf-8", "replace").split())
-    return lambda texts: probabilities(weights, np.stack([features(t) for t in texts])) if texts else np.empty(0)
+    return lambda texts: probabilities(weights, pool.features([(t or "").encode("utf-8", "replace").split() for t in texts])) if texts else np.empty(0)
 
 
 def score(docs: DataFrame, model: bytes | None, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
