@@ -37,10 +37,11 @@ SKIPPED_PATHS = (
 
 # Names of folders that are never read.
 IGNORED_NAMES = (
-    ".cache .cgr .claude .eclipse .eggs .env .forge .git .gradle .hg .idea .maven .mypy_cache .next .nox .npm .nyc_output .pnpm-store "
-    ".pytest_cache .qdrant_code_embeddings .ruff_cache .svn .tantivy .tmp .tox .turbo .venv .vs .vscode .yarn __pycache__ bin bower_components "
-    "build coverage dist env htmlcov node_modules obj out Pods site-packages target temp tmp vendor venv"
-).split()
+    ".cache", ".claude", ".eclipse", ".eggs", ".env", ".git", ".gradle", ".hg", ".idea", ".maven", ".mypy_cache", ".next", ".nox", ".npm",
+    ".nyc_output", ".pnpm-store", ".pytest_cache", ".qdrant_code_embeddings", ".ruff_cache", ".svn", ".tantivy", ".tmp", ".tox", ".turbo",
+    ".venv", ".vs", ".vscode", ".yarn", "__pycache__", "bin", "bower_components", "build", "coverage", "dist", "env", "htmlcov",
+    "node_modules", "obj", "out", "Pods", "site-packages", "target", "temp", "tmp", "vendor", "venv",
+)
 
 # Endings of files that are never read.
 IGNORED_SUFFIXES = (".tmp", "~", ".pyc", ".pyo", ".o", ".a", ".so", ".dll", ".class")
@@ -50,8 +51,16 @@ MARKDOWN_FOLDERS = (".planning", "docs")
 MARKDOWN_ROOT = ("README.md", "CLAUDE.md", "CONTEXT.md", "AGENTS.md", "ROADMAP.md", "CONTRIBUTING.md", "SECURITY.md", "ARCHITECTURE.md")
 MARKDOWN_EXCLUDED = ("node_modules/", ".venv/", "vendor/", "dist/", "build/", ".git/")
 
-# Words that change data.
-WRITE_WORDS = ("CREATE", "MERGE", "SET", "DELETE", "REMOVE", "DROP", "INSERT", "UPDATE", "ALTER", "COPY", "TRUNCATE", "DETACH")
+# Words that a query may not have outside its quoted strings.
+QUERY_WORDS = ("CREATE", "MERGE", "DELETE", "DETACH", "SET", "REMOVE", "DROP", "COPY", "CALL", "LOAD")
+# Words that a generated query may not have anywhere; comments may stand between two.
+GENERATED_WORDS = ("DELETE", "DETACH", "DROP", "CREATE INDEX", "CREATE CONSTRAINT", "REMOVE", "SET", "MERGE", "CREATE", "CALL", "LOAD CSV", "FOREACH")
+#: Words of this engine's own statements that change data or settings, or run other code.
+STATEMENT_WORDS = ("INSERT", "UPDATE", "ALTER", "TRUNCATE", "REPLACE", "CACHE", "UNCACHE", "REFRESH", "ANALYZE", "MSCK", "USE", "ADD", "EXECUTE", "DECLARE", "REPAIR", "CLEAR", "RESET", "KILL", "java_method", "reflect", "try_reflect")
+QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
+BETWEEN = r"(?:\s|//[^\n]*|/\*(?s:.*?)\*/)+"
+WRITES = r"(?i)\b(?:" + "|".join(QUERY_WORDS) + r")\b"
+GENERATED_WRITES = r"(?i)\b(?:" + "|".join(w.replace(" ", BETWEEN) for w in GENERATED_WORDS) + r")\b"
 
 
 def is_noise(name: Column) -> Column:
@@ -123,11 +132,22 @@ def is_trivial(name: Column, source: Column) -> Column:
     return name.rlike(r"(^|\.)anonymous_[0-9]+_[0-9]+(\.|$)") | ((n >= 2) & (F.get(parts, n - 1) == F.get(parts, n - 2))) | (F.length(F.regexp_replace(source, r"\s", "")) < 150) | (F.size(lines) < 5)
 
 
+def has_write_word(query: Column) -> Column:
+    """Whether a query text has a word that writes, outside its quoted strings."""
+    return F.regexp_replace(query, QUOTED, "''").rlike(WRITES)
+
+
+def has_generated_write_word(query: Column) -> Column:
+    """Whether a generated query has a word that writes anywhere, strings and comments included."""
+    return query.rlike(GENERATED_WRITES)
+
+
 def is_read_only(query: str) -> bool:
-    """Whether a query text has no word that changes data outside its quoted strings."""
-    bare = re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", query)
-    bare = re.sub(r"/\*.*?\*/|--[^\n]*|//[^\n]*", " ", bare, flags=re.S)
-    return not re.search(r"\b(?:" + "|".join(WRITE_WORDS) + r")\b", bare, re.I)
+    """Whether a query text has no word that writes, in the query language or in this engine's,
+    outside its quoted strings and comments."""
+    bare = re.sub(QUOTED, "''", query)
+    bare = re.sub(r"/\*.*?\*/|--[^\n]*", " ", bare, flags=re.S)
+    return not re.search(WRITES, bare) and not re.search(r"(?i)\b(?:" + "|".join(STATEMENT_WORDS) + r")\b", bare)
 
 
 def has_name_shape(text: Column) -> Column:

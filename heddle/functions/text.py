@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 # Words left out of a descriptive query.
 QUERY_STOP_WORDS = (
-    "a an the this that these those in on at to from of for with without into onto upon via by as about against between across through during "
-    "before after above below and or but nor so yet is are was were be been being do does did has have had can could should would will shall "
-    "may might must how what where when why which who whom i me my you your we us our it its they them their show find list get construction "
-    "configuration implementation registration initialization initialisation destruction creation"
-).split()
+    "a", "an", "the", "this", "that", "these", "those", "in", "on", "at", "to", "from", "of", "for", "with", "without", "into", "onto", "upon", "via",
+    "by", "as", "about", "against", "between", "across", "through", "during", "before", "after", "above", "below", "and", "or", "but", "nor", "so", "yet",
+    "is", "are", "was", "were", "be", "been", "being", "do", "does", "did", "has", "have", "had", "can", "could", "should", "would", "will", "shall",
+    "may", "might", "must", "how", "what", "where", "when", "why", "which", "who", "whom", "i", "me", "my", "you", "your", "we", "us", "our", "it", "its",
+    "they", "them", "their", "show", "find", "list", "get", "construction", "configuration", "implementation", "registration", "initialization",
+    "initialisation", "destruction", "creation",
+)
 
 # Words that name no module.
 MODULE_STOP_WORDS = (
-    "how does work the and for with from this that what which when where explain overview architecture flow flows file files code used uses "
-    "using made make makes works system leverage leverages leveraging forge repo repos short concise chart charts give tell show walk through "
-    "trace step steps"
-).split()
+    "how", "does", "work", "the", "and", "for", "with", "from", "this", "that", "what", "which", "when", "where", "explain", "overview", "architecture",
+    "flow", "flows", "file", "files", "code", "used", "uses", "using", "made", "make", "makes", "works", "system", "leverage", "leverages", "leveraging",
+    "repo", "repos", "short", "concise", "chart", "charts", "give", "tell", "show", "walk", "through", "trace", "step", "steps",
+)
 
 # Suffixes that are cut off a keyword, in order.
 SUFFIXES = ("ing", "ed", "er", "es", "ion", "s")

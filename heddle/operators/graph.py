@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from heddle.functions.predicates import is_test_symbol
-from heddle.sources.tables import settled
+from heddle.sources.tables import checkpointed, dropped, few, settled
+
+#: Edges out of one node from which on they are dealt over several tasks.
+HUB = 100_000
 
 
 def scan(nodes: DataFrame, *labels: str) -> DataFrame:
@@ -71,9 +74,10 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, caller_cap: in
     """Least depth at which each node is reached from the seeds along (src, dst): qualified_name, depth.
 
     With ``caller_cap``, up to so many callers of each seed, by name and none of them tests, join
-    the frontier at depth 1 before the first hop.  A hop is a join of the frontier with the edges
-    less what is known, settled before the next.
+    the frontier at depth 1 before the first hop.  Edges are settled once, by their sources.  A hop is
+    a join of the frontier with them less what is known, settled before the next.
     """
+    edges = checkpointed(edges.select("src", "dst").repartition("src"))
     known = settled(seeds.select("qualified_name", F.lit(0).alias("depth")).distinct())
     frontier = known.select("qualified_name")
     if caller_cap > 0 and depth > 0:
@@ -99,23 +103,28 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, toler
     without edges out is spread evenly.  Stops when the summed change falls below n * tolerance;
     with tolerance 0 after exactly ``iterations``; empty if it does not settle."""
     e = edges.select("src", "dst").distinct()
-    out = e.groupBy("src").agg(F.count("*").alias("_out"))
-    links = settled(e.join(out, "src"))
+    out = settled(e.groupBy("src").agg(F.count("*").alias("_out")))
+    salts = F.ceil(F.col("_out") / F.lit(HUB)).cast("int")  # edges of a hub are dealt over so many copies of its rank
+    links = e.join(few(out), "src").withColumn("_salt", F.pmod(F.xxhash64("dst"), salts).cast("int"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = checkpointed(links.select("src", "_salt", "dst").repartition(parts, "src", "_salt"))
     ends = links.select(F.col("src").alias("qualified_name")).unionByName(links.select(F.col("dst").alias("qualified_name")))
     ids = (ends.unionByName(nodes.select("qualified_name")) if nodes is not None else ends).distinct().join(out.select(F.col("src").alias("qualified_name"), "_out"), "qualified_name", "left")
     ids = settled(ids)
     n = ids.count()
     if not n:
         return ids.select("qualified_name", F.lit(0.0).alias("pagerank"))
-    ranks = ids.withColumn("pagerank", F.lit(1.0 / n))
-    for i in range(iterations):
-        loose = ranks.where("_out IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
-        given = links.join(ranks.select(F.col("qualified_name").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("qualified_name")).agg(F.sum(F.col("pagerank") / F.col("_out")).alias("_in"))
-        base = (1 - alpha) / n + alpha * loose / n
-        after = ranks.join(given, "qualified_name", "left").select("qualified_name", "_out", F.col("pagerank").alias("_before"), (F.lit(base) + F.lit(alpha) * F.coalesce("_in", F.lit(0.0))).alias("pagerank"))
-        after = settled(after)
+    before, ranks = ids, ids.withColumn("pagerank", F.lit(1.0 / n))
+    for _ in range(iterations):
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("_loose"))
+        share = ranks.where("_out IS NOT NULL").select(F.col("qualified_name").alias("src"), (F.col("pagerank") / F.col("_out")).alias("_share"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+        given = links.join(share, ["src", "_salt"]).groupBy(F.col("dst").alias("qualified_name")).agg(F.sum("_share").alias("_in"))
+        base = F.lit((1 - alpha) / n) + F.lit(alpha / n) * F.col("_loose")
+        after = ranks.join(given, "qualified_name", "left").join(F.broadcast(loose), how="cross")  # one row
+        after = settled(after.select("qualified_name", "_out", F.col("pagerank").alias("_before"), (base + F.lit(alpha) * F.coalesce("_in", F.lit(0.0))).alias("pagerank")))
         change = after.agg(F.sum(F.abs(F.col("pagerank") - F.col("_before")))).first()[0] if tolerance else None
-        ranks = after.drop("_before")
+        dropped(before)
+        before, ranks = after, after.drop("_before")
         if change is not None and change < n * tolerance:
             return ranks.select("qualified_name", "pagerank")
     return ranks.select("qualified_name", "pagerank") if not tolerance else ranks.select("qualified_name", "pagerank").limit(0)
@@ -160,9 +169,24 @@ def propagated(seeds: DataFrame, edges: DataFrame, depths: DataFrame, decay: flo
     return done
 
 
-def closure(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """All that roots contain, themselves included."""
-    return breadth_first(edges, roots, most).select("qualified_name")
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """All that roots contain, at any depth, themselves included."""
+    edges = checkpointed(edges.select("src", "dst").repartition("src"))
+    known = settled(roots.select("qualified_name").distinct())
+    new = known
+    while not new.isEmpty():
+        out = edges.join(new.withColumnRenamed("qualified_name", "src"), "src", "left_semi").select(F.col("dst").alias("qualified_name")).distinct()
+        new = settled(out.join(known, "qualified_name", "left_anti"))
+        known = settled(known.unionByName(new))
+    return known
+
+
+def without_project(nodes: DataFrame, edges: DataFrame, project: str, containers: list[str], definitions: list[str]) -> DataFrame:
+    """Nodes left when a project goes with all that it contains, at any depth, and what that defines."""
+    root = edges.sparkSession.createDataFrame([(project,)], "qualified_name string")
+    inside = closure(edges.where(F.col("rel").isin(*containers)), root)
+    gone = closure(edges.where(F.col("rel").isin(*definitions)), inside)
+    return nodes.join(gone, "qualified_name", "left_anti")
 
 
 def without_module(nodes: DataFrame, edges: DataFrame, module: str) -> DataFrame:
@@ -173,11 +197,21 @@ def without_module(nodes: DataFrame, edges: DataFrame, module: str) -> DataFrame
     return nodes.where(F.col("qualified_name") != module).join(gone, "qualified_name", "left_anti")
 
 
-def paged(df: DataFrame, offset: int, limit: int) -> tuple[DataFrame, bool]:
-    """A page in the order of all columns, and whether there are more rows."""
-    rows = df.orderBy(*df.columns).offset(offset).limit(limit + 1)
+def paged(df: DataFrame, offset: int, limit: int, by: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """A page in the order of some columns, or of all, and whether there are more rows."""
+    order = by or df.columns
+    rows = df.orderBy(*order).offset(offset).limit(limit + 1)
     more = rows.count() > limit
-    return rows.orderBy(*df.columns).limit(limit), more
+    return rows.orderBy(*order).limit(limit), more
+
+
+def listed_by_rank(ranked: DataFrame, path: str, rank: str, extension: str = "", limit: int = 100, offset: int = 0) -> DataFrame:
+    """Files of lexical hits, each once, in the order of their best hit: path, name, extension."""
+    best = ranked.where(F.coalesce(F.col(path), F.lit("")) != "").groupBy(F.col(path).alias("path")).agg(F.min(rank).alias("_r"))
+    name = F.element_at(F.split("path", "/"), -1)
+    out = best.select("path", name.alias("name"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("extension"), "_r")
+    out = out.where(F.col("extension") == "." + extension.lstrip(".")) if extension else out
+    return out.orderBy("_r", "path").offset(max(offset, 0)).limit(max(1, min(5000, limit))).drop("_r")
 
 
 def listed_files(df: DataFrame, path: str, contains: str = "", extension: str = "") -> DataFrame:
@@ -189,14 +223,46 @@ def listed_files(df: DataFrame, path: str, contains: str = "", extension: str =
     return out.where(F.col("extension") == "." + extension.lstrip(".")) if extension else out
 
 
-def type_counts(nodes: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """Nodes of each label, the largest first; labels asked for without nodes count 0."""
+def type_counts(nodes: DataFrame, labels: list[str] | None = None, non_zero: bool = False) -> DataFrame:
+    """Nodes of each label; labels asked for without nodes count 0, or are left out if ``non_zero``."""
     counts = nodes.groupBy("label").agg(F.count("*").alias("n"))
     if labels is None:
         return counts
     spark = nodes.sparkSession
     wanted = spark.createDataFrame([(x,) for x in labels], "label string")
-    return wanted.join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = wanted.join(counts, "label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.where("n > 0") if non_zero else out
+
+
+def central(ranks: DataFrame, limit: int = 20, nodes: DataFrame | None = None) -> DataFrame:
+    """The most central symbols, 1 to 500 of them, with their places if ``nodes`` are given, and the
+    latest time at which one of these was computed: qualified_name, pagerank, last_computed_at."""
+    top = ranks.orderBy(F.desc("pagerank"), "qualified_name").limit(max(1, min(500, limit)))
+    last = top.agg(F.max("computed_at").alias("last_computed_at"))
+    out = top.select("qualified_name", "pagerank").join(F.broadcast(last), how="cross")  # one row
+    return out.join(located(out.select("qualified_name"), nodes), "qualified_name") if nodes is not None else out
+
+
+def with_prefix(names: DataFrame, prefix: str) -> DataFrame:
+    """Registered names below a prefix."""
+    return names.where(F.col("qualified_name").startswith(prefix + "."))
+
+
+def ending_with(names: DataFrame, suffix: str) -> DataFrame:
+    """Registered names whose last parts are ``suffix``."""
+    return names.where((F.col("qualified_name") == suffix) | F.col("qualified_name").endswith("." + suffix))
+
+
+def hits_with_nodes(hits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Vector hits with their nodes' label, name and path, the best first; hits without a node are dropped."""
+    known = nodes.dropDuplicates(["qualified_name"]).select("qualified_name", "label", "name", "path")
+    return hits.join(known, "qualified_name").orderBy(F.desc("score"), "qualified_name")
+
+
+def scalars_or_structs(rows: DataFrame, kind: str = "kind") -> DataFrame:
+    """Of values said to be node, relationship or scalar, the scalars only if there is nothing else."""
+    other = rows.where(F.col(kind) != "scalar").limit(1).select(F.lit(True).alias("_other"))
+    return rows.join(F.broadcast(other), how="left").where((F.col(kind) != "scalar") | F.col("_other").isNull()).drop("_other")  # one row
 
 
 def truncated(counts: DataFrame, definitions: list[str]) -> DataFrame:
@@ -210,35 +276,41 @@ def budgeted(symbols: DataFrame, budget: int, by: str, key: str = "qualified_nam
 
     ``symbols``: by, key, depth, score, snippet_length.  Over budget, the deepest layers go first,
     then seeds by longest name; then what was dropped comes back, shallow and high scores first, as
-    far as it fits.  A bundle's candidates are bounded by its walk, so each is one group.
+    far as it fits.
+
+    Layers are kept by running sums of their costs; seeds by the running sum from the shortest name
+    on, of which no more than ``budget`` can be kept.  What comes back is chosen in order, but of
+    the symbols of one cost only the first budget / cost can fit, and one that doesn't fit never
+    will; so no more than some budget * log(budget) candidates of a bundle meet in one task.
     """
     import pandas as pd
 
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        cost = (g["snippet_length"].fillna(0).astype(int) + g[key].str.len()) // per_token + 1
-        depth = g["depth"].to_numpy()
-        kept = pd.Series(True, index=g.index)
-        deepest = depth.max()
-        while cost[kept].sum() > budget and deepest > 0:
-            kept &= g["depth"] != deepest
-            deepest -= 1
-        now = int(cost[kept].sum())
-        if now > budget:
-            seeds = g[kept & (g["depth"] == 0)]
-            for i in seeds.assign(_l=-seeds[key].str.len()).sort_values(["_l", key]).index:
-                if now <= budget:
-                    break
-                kept[i] = False
-                now -= int(cost[i])
-        gone = g[~kept]
-        for i in gone.assign(_s=-gone["score"].fillna(0.0)).sort_values(["depth", "_s", key]).index:
-            if now + int(cost[i]) <= budget:
-                kept[i] = True
-                now += int(cost[i])
-        return pd.DataFrame({by: g[by], key: g[key], "cost": cost.astype("int64"), "kept": kept})
-
     kind = symbols.schema[by].dataType.simpleString()
-    return symbols.select(by, key, "depth", "score", "snippet_length").groupBy(by).applyInPandas(fit, f"{by} {kind}, {key} string, cost bigint, kept boolean")
+    cost = (F.floor((F.coalesce("snippet_length", F.lit(0)) + F.length(key)) / F.lit(per_token)) + 1).cast("long")
+    rows = settled(symbols.select(by, key, "depth", F.coalesce("score", F.lit(0.0)).alias("score"), cost.alias("cost")))
+    layers = rows.groupBy(by, "depth").agg(F.sum("cost").alias("_layer"))
+    layers = layers.withColumn("_upto", F.sum("_layer").over(W.partitionBy(by).orderBy("depth")))  # a row for each depth
+    fits = layers.groupBy(by).agg(F.coalesce(F.max(F.when(F.col("_upto") <= budget, F.col("depth"))), F.lit(0)).alias("_deepest"), F.max(F.when((F.col("depth") == 0) & (F.col("_upto") > budget), True)).alias("_over"))
+    rows = rows.join(few(fits), by)
+    length = F.length(key)
+    first = rows.where(F.col("_over") & (F.col("depth") == 0)).withColumn("_i", F.row_number().over(W.partitionBy(by).orderBy(length, F.desc(key)))).where(F.col("_i") <= budget)
+    short = first.withColumn("_sum", F.sum("cost").over(W.partitionBy(by).orderBy(length, F.desc(key)).rowsBetween(W.unboundedPreceding, 0))).where(F.col("_sum") <= budget)
+    kept = settled(rows.where(F.col("_over").isNull() & (F.col("depth") <= F.col("_deepest"))).select(by, key, "cost").unionByName(short.select(by, key, "cost")))
+    used = kept.groupBy(by).agg(F.sum("cost").alias("_used"))
+    gone = rows.join(kept.select(by, key), [by, key], "left_anti").join(used, by, "left").withColumn("_room", F.lit(budget) - F.coalesce("_used", F.lit(0)))
+    order = ["depth", F.desc("score"), key]
+    able = gone.where(F.col("cost") <= F.col("_room")).withColumn("_i", F.row_number().over(W.partitionBy(by, "cost").orderBy(*order))).where((F.col("_i") <= budget) & (F.col("_i") * F.col("cost") <= F.col("_room")))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        room, keep = int(g["_room"].iloc[0]), []
+        for c in g.assign(_s=-g["score"]).sort_values(["depth", "_s", key])["cost"]:
+            keep.append(c <= room)
+            room -= c if keep[-1] else 0
+        return g.assign(_s=-g["score"]).sort_values(["depth", "_s", key])[[by, key]][keep]
+
+    back = able.select(by, key, "depth", "score", "cost", "_room").groupBy(by).applyInPandas(fit, f"{by} {kind}, {key} string")
+    chosen = kept.select(by, key).unionByName(back).withColumn("_kept", F.lit(True))
+    return rows.select(by, key, "cost").join(chosen, [by, key], "left").withColumn("kept", F.coalesce("_kept", F.lit(False))).drop("_kept")
 
 
 def entry_points(nodes: DataFrame, names: Column, limit: int) -> DataFrame:

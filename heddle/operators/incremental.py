@@ -26,6 +26,13 @@ def to_embed(symbols: DataFrame, stored: DataFrame, key: str = "qualified_name")
     return symbols.join(s, key, "left").where(F.col("_stored").isNull() | ~F.col("content_hash").eqNullSafe(F.col("_stored"))).drop("_stored")
 
 
+def described(symbols: DataFrame, stored: DataFrame, key: str, card: str, describe: Column) -> DataFrame:
+    """Cards of all symbols: the stored one where the content hash is the same, else a new one."""
+    old = stored.select(key, F.col("content_hash").alias("_stored"), F.col(card).alias("_card"))
+    same = F.col("content_hash").eqNullSafe(F.col("_stored")) & F.col("_stored").isNotNull()
+    return symbols.join(old, key, "left").withColumn(card, F.when(same, F.col("_card")).otherwise(describe)).drop("_stored", "_card")
+
+
 def diff_metrics(outcomes: DataFrame, by: str) -> DataFrame:
     """Counts of outcomes, and the share of unchanged among embedded and unchanged."""
     n = lambda o: F.count_if(F.col("outcome") == o)
@@ -93,6 +100,94 @@ def admitted(requests: DataFrame, jobs: DataFrame) -> DataFrame:
     return requests.join(jobs.where(F.col("status").isin(*ACTIVE)).select("repo_slug"), "repo_slug", "left_anti")
 
 
+def active_count(jobs: DataFrame, kind: str | None = None) -> DataFrame:
+    """How many jobs are queued or running, of one kind or of all: n."""
+    own = jobs.where(F.col("kind") == kind) if kind is not None else jobs
+    return own.agg(F.count_if(F.col("status").isin(*ACTIVE)).alias("n"))
+
+
+def list_header(jobs: DataFrame, matching: Column) -> DataFrame:
+    """Head of a job list: how many match, and how many are running in all."""
+    return jobs.agg(F.count_if(matching).alias("total"), F.count_if(F.col("status") == "running").alias("running"))
+
+
+def recorded(log: DataFrame, events: DataFrame) -> DataFrame:
+    """An event log with events appended; ids go on from the log's last, in the order ts, job_id, kind."""
+    last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    n = F.row_number().over(W.orderBy("ts", "job_id", "kind"))  # one call's events, a bounded list
+    new = events.withColumn("_n", n).join(F.broadcast(last), how="cross").withColumn("id", F.col("_last") + F.col("_n"))  # one row
+    return log.unionByName(new.select(*log.columns))
+
+
+def listed_events(log: DataFrame, job, limit: int = 100) -> DataFrame:
+    """The first events of a job, oldest first, 1 to 1000 of them."""
+    return log.where(F.col("job_id") == job).orderBy("ts", "id").limit(max(1, min(1000, limit)))
+
+
+def missing_sample(expected: DataFrame, stored: DataFrame, key: str, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Expected keys that aren't stored, and the first of them by name."""
+    gone = expected.select(key).distinct().join(stored.select(key), key, "left_anti")
+    return gone, gone.orderBy(key).limit(most)
+
+
+def readable(df: DataFrame, source: str, error: str) -> tuple[DataFrame, DataFrame]:
+    """Sources that can be embedded, and counts of what was left out: unreadable (an error, or no
+    source at all) and blank (white space alone)."""
+    bad = F.col(error).isNotNull() | F.col(source).isNull()
+    blank = ~bad & (F.trim(F.regexp_replace(F.coalesce(source, F.lit("")), r"\s+", " ")) == "")
+    return df.where(~bad & ~blank), df.agg(F.count_if(bad).alias("unreadable"), F.count_if(blank).alias("blank"))
+
+
+def waits(attempts: int = 5, seed: int = 0) -> list[float]:
+    """Seconds to wait before each retry: any from 0 to the ceiling."""
+    import random
+
+    rng = random.Random(seed)
+    return [rng.uniform(0, c) for c in backoff_ceilings(attempts)]
+
+
+def retried(call, transient: tuple[type[BaseException], ...], attempts: int = 5, sleep=None, seed: int = 0):
+    """Result of ``call``, tried again after errors said to be transient; others are raised at once."""
+    import time
+
+    for wait in [*waits(attempts, seed), None]:
+        try:
+            return call()
+        except transient:
+            if wait is None:
+                raise
+            (sleep or time.sleep)(wait)
+    raise AssertionError
+
+
+def failed_share(outcomes: DataFrame) -> DataFrame:
+    """How many rows failed for good, and whether a run with any fails."""
+    return outcomes.agg(F.count_if(F.col("outcome") == "failed").alias("failed")).withColumn("run_failed", F.col("failed") > 0)
+
+
+def deleted_report(repo: str, before: dict[str, DataFrame]) -> DataFrame:
+    """What deleting a repository does to each table: resource, removed, status (deleted or absent)."""
+    rows = [df.agg(F.lit(name).alias("resource"), F.count_if(F.col("repo") == repo).alias("removed")) for name, df in before.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.withColumn("status", F.when(F.col("removed") > 0, "deleted").otherwise("absent"))
+
+
+def changed_progress(polls: DataFrame, by: str, order: str, watched: list[str]) -> DataFrame:
+    """Polls that say something new: those whose watched columns differ from the poll before."""
+    now = F.struct(*watched)
+    before = F.lag(now).over(W.partitionBy(by).orderBy(order))
+    return polls.withColumn("_before", before).where(F.col("_before").isNull() | ~F.col("_before").eqNullSafe(now)).drop("_before")
+
+
+def preempted(requests: DataFrame, jobs: DataFrame, now: Column, seconds: float) -> DataFrame:
+    """Verdict on start requests: start, preempt (the live job is stale) or conflict."""
+    live = jobs.where(F.col("status").isin(*ACTIVE)).groupBy("repo_slug").agg(F.max("updated_at").alias("_seen"))
+    out = requests.join(live, "repo_slug", "left")
+    return out.withColumn("verdict", F.when(F.col("_seen").isNull(), "start").when(F.col("_seen") < now - seconds, "preempt").otherwise("conflict")).drop("_seen")
+
+
 def progress(events: DataFrame, by: str, order: str) -> DataFrame:
     """Percent done, never falling, and seconds to go; null up to 10 and from 100 on."""
     pct = (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from heddle.functions.text import tokens
+from heddle.sources.tables import settled
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,24 +19,65 @@ def lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
 
 
-def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of every document with a query term: key, score.
-
-    One pass over the texts counts only the query's terms, so nothing but matching rows and three
-    totals is shuffled.
-    """
-    terms = list(dict.fromkeys(t.lower() for t in query_terms))
+def counted(docs: DataFrame, terms: list[str], key: str, text: str) -> DataFrame:
+    """key, dl and how often each term occurs (_tf0, _tf1, ...), of every document, settled.  The
+    tokens pass through a generator, behind which nothing computes them again."""
 
     def times(term: str):
         return F.size(F.filter("_t", lambda x: x == term)).cast("double")
 
-    toks = tokens(F.col(text))
-    counted = docs.select(key, toks.alias("_t")).select(key, F.size("_t").cast("double").alias("dl"), *[times(t).alias(f"_tf{i}") for i, t in enumerate(terms)])
-    stats = counted.agg(F.count("*").cast("double").alias("_n"), F.avg("dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
-    joined = counted.where(" OR ".join(f"_tf{i} > 0" for i in range(len(terms))) or "false").join(F.broadcast(stats), how="cross")  # one row
+    one = docs.select(key, F.explode(F.array(tokens(F.col(text)))).alias("_t"))
+    return settled(one.select(key, F.size("_t").cast("double").alias("dl"), *[times(t).alias(f"_tf{i}") for i, t in enumerate(terms)]))
+
+
+def scored(counts: DataFrame, stats: DataFrame, n: int, key: str, k1: float, b: float) -> DataFrame:
+    joined = counts.where(" OR ".join(f"_tf{i} > 0" for i in range(n)) or "false").join(F.broadcast(stats), how="cross")  # one row
     idf = lambda i: F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
     part = lambda i: idf(i) * F.col(f"_tf{i}") * (k1 + 1) / (F.col(f"_tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
-    return joined.select(key, sum((part(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
+    return joined.select(key, sum((part(i) for i in range(n)), F.lit(0.0)).alias("score"))
+
+
+def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 of every document with a query term: key, score.
+
+    One pass over the texts counts the query's terms and writes a few numbers for each document;
+    totals and scores are read from these.  For many queries, see ``write_index``.
+    """
+    terms = list(dict.fromkeys(t.lower() for t in query_terms))
+    counts = counted(docs, terms, key, text)
+    stats = counts.agg(F.count("*").cast("double").alias("_n"), F.avg("dl").alias("_avg"), *[F.sum((F.col(f"_tf{i}") > 0).cast("double")).alias(f"_df{i}") for i in range(len(terms))])
+    return scored(counts, stats, len(terms), key, k1, b)
+
+
+def write_index(docs: DataFrame, path: str, key: str, fields: list[str], repo: str, mode: str = "overwrite") -> None:
+    """Store an inverted index of ``docs``: postings (repo, field, term, key, tf, dl), sorted by term
+    within files so that a search reads little, and the documents' lengths.  mode ``append`` adds
+    documents, ``overwrite`` rebuilds."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])
+    toks = docs.select(F.col(repo).alias("repo"), F.col(key).alias("key"), F.explode(each).alias("_f")).select("repo", "key", "_f.field", "_f.t")
+    held = settled(toks)
+    held.select("repo", "field", "key", F.size("t").cast("long").alias("dl")).write.mode(mode).parquet(f"{path}/documents")
+    rows = held.select("repo", "field", "key", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("repo", "field", "term", "key", "dl").agg(F.count("*").alias("tf"))
+    rows.repartition("term").sortWithinPartitions("term", "key").write.mode(mode).parquet(f"{path}/postings")
+
+
+def search_index(spark, path: str, query: str, repo: str | None = None, fields: list[str] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 summed over fields, from a stored index: key, score.  Only documents of ``repo`` count,
+    also for the totals, if one is given.  A query without a token finds nothing; quotes and other
+    signs are no tokens, so no query fails to parse."""
+    import re
+
+    terms = list(dict.fromkeys(t.lower() for t in re.findall("[A-Za-z][A-Za-z0-9]+", query.translate(str.maketrans("._", "  ")))))
+    docs, postings_ = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
+    for name, xs in (("repo", [repo] if repo is not None else None), ("field", fields)):
+        if xs is not None:
+            docs, postings_ = docs.where(F.col(name).isin(*xs)), postings_.where(F.col(name).isin(*xs))
+    totals = docs.groupBy("field").agg(F.count("*").cast("double").alias("_n"), F.avg("dl").alias("_avg"))
+    found = postings_.where(F.col("term").isin(*terms)) if terms else postings_.limit(0)
+    df = found.groupBy("field", "term").agg(F.count("*").cast("double").alias("_df"))
+    rows = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(totals), "field")  # terms and fields of one query
+    part = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
+    return rows.groupBy("key").agg(F.sum(part).alias("score"))
 
 
 def fielded_bm25(docs: DataFrame, query_terms: list[str], fields: list[str], key: str, repo: str | None = None, repo_column: str = "repo") -> DataFrame:
@@ -57,6 +99,7 @@ def top_documents(scored: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
 def quota(ranked: DataFrame, limit: int, file: str, is_markdown, key: str, per_file: int = 2) -> DataFrame:
     """At most ``per_file`` hits of a file, and half the limit from Markdown, in rank order."""
     half = max(1, limit // 2)
-    kept = ranked.withColumn("_f", F.row_number().over(W.partitionBy(file).orderBy("rank"))).where(F.col("_f") <= per_file)
+    kept = ranked.orderBy("rank").limit(200)  # the most that top_documents gives; windows over it are small
+    kept = kept.withColumn("_f", F.row_number().over(W.partitionBy(file).orderBy("rank"))).where(F.col("_f") <= per_file)
     kept = kept.withColumn("_md", is_markdown).withColumn("_m", F.row_number().over(W.partitionBy("_md").orderBy("rank"))).where(~F.col("_md") | (F.col("_m") <= half))
     return kept.drop("_f", "_m", "_md").orderBy("rank").limit(limit)

@@ -82,18 +82,35 @@ def round_robin(df: DataFrame, bucket: str, bucket_order: str, key: str, limit:
     return dealt.orderBy("slot", bucket_order, bucket, key).limit(limit)
 
 
-def seeds(scored: DataFrame, guaranteed: DataFrame, k: int, key: str) -> DataFrame:
-    """Head of the ranking, then guaranteed names that it lacks, a third of the head's size or six
-    of the boosts, and all of the lexical ones."""
-    counts = guaranteed.groupBy("leg").agg(F.count("*").alias("n")).collect()  # four legs
-    boosts = sum(r["n"] for r in counts)
-    cap = min(max(k, boosts), 2 * k)
-    head = ranked(scored, "score", key).where(F.col("rank") <= cap)
-    share = min(boosts, max(cap // 3, 6))
-    other = guaranteed.where("leg <> 'lexical'")
-    other = ranked(other, "score", key).where(F.col("rank") <= share)
-    extra = other.select(key, "score").unionByName(guaranteed.where("leg = 'lexical'").select(key, "score")).groupBy(key).agg(F.max("score").alias("score")).join(head.select(key), key, "left_anti")
-    return head.select(key, "score", F.lit(0).alias("part")).unionByName(extra.select(key, "score", F.lit(1).alias("part")))
+def summary_quota(scored: DataFrame, limit: int, summary: Column, key: str, most: int = 4) -> DataFrame:
+    """The first ``limit`` of a bounded list by score, with at most ``most`` summaries among them;
+    later rows take the places of the summaries left out."""
+    r = ranked(scored, "score", key).withColumn("_s", F.when(summary, 1).otherwise(0))
+    r = r.withColumn("_k", F.sum("_s").over(W.orderBy("rank"))).where((F.col("_s") == 0) | (F.col("_k") <= most))
+    return r.drop("_s", "_k", "rank").orderBy(F.desc("score"), key).limit(limit)
+
+
+def seeds(scored: DataFrame, guaranteed: DataFrame, k: int, key: str, summary: Column | None = None) -> DataFrame:
+    """Seeds of a bundle, from bounded lists: key, score, part (0 the head, 1 guaranteed).
+
+    ``scored``: key and merged score of all candidates; ``guaranteed``: leg, place, key.  All lexical
+    names are seeds, and so many of the module and entry-point names, in this order, as a third of
+    the cap or six.  The head is the ranking without these, as long as the cap, but so that both
+    fit twice k.  With no boost, the head alone.
+    """
+    counts = {r["leg"]: r["n"] for r in guaranteed.groupBy("leg").agg(F.count("*").alias("n")).collect()}  # four legs
+    cap = min(max(k, sum(counts.values())), 2 * k)
+    boosts = counts.get("module", 0) + counts.get("entry", 0)
+    summary = summary if summary is not None else F.lit(False)
+    if not boosts and not counts.get("lexical"):
+        return summary_quota(scored, cap, summary, key).select(key, "score", F.lit(0).alias("part"))
+    quota = min(boosts, max(cap // 3, 6))
+    order = F.when(F.col("leg") == "module", 0).otherwise(1)
+    other = guaranteed.where("leg IN ('module', 'entry')").withColumn("_i", F.row_number().over(W.orderBy(order, "place"))).where(F.col("_i") <= quota)
+    sure = guaranteed.where("leg = 'lexical'").select(key).unionByName(other.select(key)).distinct()
+    n = sure.count()
+    head = summary_quota(scored.join(sure, key, "left_anti"), min(cap, max(2 * k - n, 1)), summary, key)
+    return head.select(key, "score", F.lit(0).alias("part")).unionByName(scored.join(sure, key).select(key, "score", F.lit(1).alias("part")))
 
 
 def lift_capture(df: DataFrame) -> Column:

@@ -55,17 +55,18 @@ def re_exports(starts: DataFrame, exports: DataFrame, symbols: DataFrame, hops:
     return found.withColumn("_rn", rn).where("_rn = 1").drop("_rn")
 
 
-def ancestors(parents: DataFrame, depth: int = 32) -> DataFrame:
-    """Every class with all it inherits from, breadth first: class, ancestor, depth, position."""
-    base = settled(parents.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.format_string("%04d", "position").alias("position")))
-    known, at = base, base
-    up = parents.select(F.col("class").alias("_c"), "parent", F.col("position").alias("_p"))
-    for d in range(2, depth + 1):
-        step = at.join(up, at["ancestor"] == up["_c"]).select("class", F.col("parent").alias("ancestor"), F.lit(d).alias("depth"), F.concat("position", F.format_string("%04d", "_p")).alias("position")).where("class <> ancestor")
-        step = settled(step.join(known.select("class", "ancestor").distinct(), ["class", "ancestor"], "left_anti").groupBy("class", "ancestor", "depth").agg(F.min("position").alias("position")))
-        if step.isEmpty():
-            break
-        known, at = known.unionByName(step), step
+def ancestors(parents: DataFrame) -> DataFrame:
+    """Every class with all it inherits from, breadth first, at any depth: class, ancestor, depth,
+    position (the declared places of the parents on the way, an array)."""
+    base = settled(parents.select("class", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"), F.array(F.col("position").cast("int")).alias("position")))
+    known, at, depth = base, base, 1
+    up = parents.select(F.col("class").alias("_c"), "parent", F.col("position").cast("int").alias("_p"))
+    while not at.isEmpty():
+        depth += 1
+        step = at.join(up, at["ancestor"] == up["_c"]).select("class", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("position", F.col("_p")).alias("position")).where("class <> ancestor")
+        step = step.join(known.select("class", "ancestor").distinct(), ["class", "ancestor"], "left_anti").groupBy("class", "ancestor", "depth").agg(F.min("position").alias("position"))
+        at = settled(step)
+        known = settled(known.unionByName(at))
     return known.groupBy("class", "ancestor").agg(F.min(F.struct("depth", "position")).alias("s")).select("class", "ancestor", "s.depth", "s.position")
 
 
@@ -87,13 +88,45 @@ def latest_rebinds(rebinds: DataFrame) -> DataFrame:
     return rebinds.groupBy("original").agg(F.max_by("target", "seq").alias("target"))
 
 
-def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame, exports: DataFrame, rebinds: DataFrame, builtins: DataFrame | None = None, parents: DataFrame | None = None) -> DataFrame:
+def nearest(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbol of each wanted name that is nearest to a module by import distance, by name among
+    equals: name, module, callee.  ``wanted``: name, module, distinct.
+
+    No name is compared with all its symbols: of those that share a prefix and a length, the first by
+    name stands for all, since the distance follows from the longest shared prefix and the lengths;
+    a module meets these once for each of its own prefixes.
+    """
+
+    def prefixes(c: Column) -> Column:
+        parts = F.split(c, r"\.")
+        return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
+
+    s = symbols.select(F.col("name").alias("_n"), "qualified_name", F.size(F.split("qualified_name", r"\.")).alias("_len"), F.explode(prefixes(F.col("qualified_name"))).alias("_prefix"))
+    stand = s.groupBy("_n", "_prefix", "_len").agg(F.min("qualified_name").alias("callee"))
+    asked = wanted.select("name", "module", F.explode(prefixes(F.col("module"))).alias("_prefix"))
+    met = asked.join(stand, (F.col("name") == F.col("_n")) & (asked["_prefix"] == stand["_prefix"]))
+    return met.groupBy("name", "module").agg(F.min_by("callee", F.struct(import_distance(F.col("callee"), F.col("module")), F.col("callee"))).alias("callee"))
+
+
+def resolved(
+    calls: DataFrame,
+    symbols: DataFrame,
+    imports: DataFrame,
+    exports: DataFrame,
+    rebinds: DataFrame,
+    builtins: DataFrame | None = None,
+    parents: DataFrame | None = None,
+    types: DataFrame | None = None,
+    returns: DataFrame | None = None,
+) -> DataFrame:
     """The definition that each call names, by the first rule that finds one.
 
     calls: caller, module, class, call_name, line, col.  symbols: qualified_name, name, module,
     class.  imports: module, alias, target; alias ``*`` for all names of a module.  builtins: name.
-    Returns the call with callee, resolved_via and confidence; rebinding swaps the callee.
-    Candidates of all rules are joined by equality and ranked, so no call is looked up by itself.
+    types: caller, variable, class (of local variables).  returns: qualified_name, class (what a
+    function gives).  Returns the call with callee, resolved_via and confidence; rebinding swaps the
+    callee.  Candidates of all rules are joined by equality and ranked, so no call is looked up by
+    itself; the nearest symbol of a name is sought only for calls that no rule before has resolved.
     """
     c = calls.withColumn("_id", F.struct("caller", "call_name", "line", "col"))
     s = symbols.select(F.col("qualified_name").alias("callee"), F.col("name").alias("_n"), F.col("module").alias("_sm"), F.col("class").alias("_sc"))
@@ -101,9 +134,9 @@ def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame, exports:
     tail = F.regexp_extract("call_name", r"([^.]+)$", 1)
     c = c.withColumn("_head", head).withColumn("_tail", tail)
 
-    def leg(rule: str, df: DataFrame, distance: Column | None = None) -> DataFrame:
+    def leg(rule: str, df: DataFrame) -> DataFrame:
         order, via, confidence = RULES[rule]
-        return df.select("_id", "callee", F.lit(order).alias("_rule"), F.lit(via).alias("resolved_via"), F.lit(confidence).alias("confidence"), (distance if distance is not None else F.lit(0)).cast("int").alias("_distance"))
+        return df.select("_id", "callee", F.lit(order).alias("_rule"), F.lit(via).alias("resolved_via"), F.lit(confidence).alias("confidence"))
 
     named = imports.where("alias <> '*'").select(F.col("module").alias("_im"), F.col("alias").alias("_ia"), F.col("target").alias("_it"))
     direct = c.join(named, (c["module"] == named["_im"]) & (c["call_name"] == named["_ia"]))
@@ -121,24 +154,44 @@ def resolved(calls: DataFrame, symbols: DataFrame, imports: DataFrame, exports:
     plain = c.where("_head = ''")
     wild = plain.join(star, plain["module"] == star["_im"]).join(s, (F.col("_it") == F.col("_sm")) & (F.col("call_name") == F.col("_n")))
     same = plain.join(s, (F.col("module") == F.col("_sm")) & (F.col("call_name") == F.col("_n")) & F.col("_sc").isNull())
-    near = c.join(s, F.col("_tail") == F.col("_n"))
-    legs = [leg("import", at_once), leg("import", through_name), leg("import_wildcard", through_wild), leg("qualified", owned), leg("qualified", spaced), leg("qualified", local), leg("wildcard", wild), leg("same_module", same), leg("nearest", near, import_distance(F.col("callee"), F.col("module")))]
-    if builtins is not None:
-        b = builtins.select(F.col("name").alias("_n"))
-        legs.append(leg("builtin", c.join(b, F.col("call_name") == F.col("_n")).withColumn("callee", F.concat(F.lit("builtins."), F.col("_n")))))
+    at_place = plain.where(F.col("call_name").rlike("^iife_(func|arrow)_")).join(s, (F.col("module") == F.col("_sm")) & (F.col("call_name") == F.col("_n")))
+    legs = [leg("iife", at_place), leg("import", at_once), leg("import", through_name), leg("import_wildcard", through_wild), leg("qualified", owned), leg("qualified", spaced), leg("qualified", local), leg("wildcard", wild), leg("same_module", same)]
+    if types is not None:
+        t = types.select(F.col("caller").alias("_tc"), F.col("variable").alias("_tv"), F.col("class").alias("_tt"))
+        typed = dotted.join(t, (F.col("caller") == F.col("_tc")) & (F.col("_head") == F.col("_tv"))).join(s, (F.col("_tt") == F.col("_sc")) & (F.col("_tail") == F.col("_n")))
+        legs.append(leg("qualified", typed))
+    if returns is not None:
+        # f().m: the method m of what f gives, f being imported or of the module itself
+        made = c.where(F.col("call_name").rlike(r"\)\.[^.()]+$")).withColumn("_made", F.regexp_extract("call_name", r"^([^.()]+)\(", 1)).where("_made <> ''")
+        source = made.join(named, (made["module"] == named["_im"]) & (made["_made"] == named["_ia"]), "left").withColumn("_f", F.coalesce("_it", F.concat_ws(".", "module", "_made")))
+        gives = returns.select(F.col("qualified_name").alias("_rf"), F.col("class").alias("_rc"))
+        legs.append(leg("chained", source.join(gives, F.col("_f") == F.col("_rf")).join(s, (F.col("_rc") == F.col("_sc")) & (F.col("_tail") == F.col("_n")))))
     if parents is not None:
         up = dotted.where("_head = 'super()'").select("_id", "class", F.col("_tail").alias("method"))
         meth = symbols.where("class IS NOT NULL").select("class", F.col("name").alias("method"), F.col("qualified_name").alias("callee"))
         first = inherited(up.select("class", "method").distinct(), parents, meth)
         legs.append(leg("super", up.join(first, ["class", "method"]).drop("class").join(meth.withColumnRenamed("class", "ancestor"), ["ancestor", "method"])))
-    rn = F.row_number().over(W.partitionBy("_id").orderBy("_rule", F.desc("confidence"), "_distance", "callee"))
-    best = reduce(DataFrame.unionByName, legs).withColumn("_rn", rn).where("_rn = 1").select("_id", "callee", "resolved_via", "confidence")
+    rn = F.row_number().over(W.partitionBy("_id").orderBy("_rule", F.desc("confidence"), "callee"))
+    found = settled(reduce(DataFrame.unionByName, legs).withColumn("_rn", rn).where("_rn = 1").select("_id", "callee", "resolved_via", "confidence"))
+    rest = settled(c.join(found.select("_id"), "_id", "left_anti").select("_id", "module", "call_name", F.col("_tail").alias("name")))
+    near = leg("nearest", rest.join(nearest(rest.select("name", "module").distinct(), symbols), ["name", "module"]))
+    found = found.unionByName(near.drop("_rule"))
+    if builtins is not None:
+        b = builtins.select(F.col("name").alias("_n"))
+        known = rest.join(near.select("_id"), "_id", "left_anti").join(b, F.col("call_name") == F.col("_n"))
+        found = found.unionByName(leg("builtin", known.withColumn("callee", F.concat(F.lit("builtins."), F.col("_n")))).drop("_rule"))
     r = latest_rebinds(rebinds).select(F.col("original").alias("_o"), F.col("target").alias("_new"))
-    best = best.join(r, best["callee"] == r["_o"], "left")
+    best = found.join(r, found["callee"] == r["_o"], "left")
     best = best.select("_id", F.coalesce("_new", "callee").alias("callee"), F.when(F.col("_new").isNotNull(), "rebound").otherwise(F.col("resolved_via")).alias("resolved_via"), "confidence")
     return calls.withColumn("_id", F.struct("caller", "call_name", "line", "col")).join(best, "_id", "left").drop("_id")
 
 
+def external_modules(modules: DataFrame, own_prefix: str, most: int = 10_000) -> DataFrame:
+    """Modules that are neither a repository's own nor another one's by name: the first so many."""
+    q = F.col("qualified_name")
+    return modules.where(~q.startswith(own_prefix) & ~q.contains("::")).orderBy("qualified_name").limit(most)
+
+
 def repository_of(modules: DataFrame, identities: DataFrame) -> DataFrame:
     """The repository that owns each external module, or null.
 

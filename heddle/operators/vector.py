@@ -6,8 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from heddle.sources.tables import few
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -54,16 +57,19 @@ def neighbours(df: DataFrame, seed, k: int, key: str = "vec_id", vector: str = "
 
 
 def mean_vectors(df: DataFrame, by: list[str], vector: str = "embedding") -> DataFrame:
-    """Element-wise mean of each group's vectors, not scaled: sums by place, so a group may be of any size."""
-    places = df.select(*by, F.posexplode(vector).alias("_at", "_x")).groupBy(*by, "_at").agg(F.avg("_x").alias("_m"), F.count("*").alias("_n"))
-    rows = places.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_m"))).alias("_v"), F.max("_n").alias("n"))
-    return rows.select(*by, "n", F.transform("_v", lambda s: s["_m"]).alias("centroid"))
+    """Element-wise mean of each group's vectors, not scaled; shorter vectors count for the places
+    they have.  One sum for each place, combined before rows are shuffled, so a group may be of any size."""
+    dim = df.agg(F.max(F.size(vector))).first()[0] or 0
+    means = [F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(dim)]
+    longest = F.max(F.size(vector))
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.slice(F.array(*means), F.lit(1), longest).alias("centroid") if dim else F.array().cast("array<double>").alias("centroid"))
+    return out.select(*by, "n", "centroid")
 
 
 def central_mean(ranks: DataFrame, vectors: DataFrame, k: int, key: str, score: str, vector: str = "embedding") -> DataFrame:
     """Mean of the vectors of the k highest-ranked keys, and how many had one."""
     k = max(1, min(200, k))
-    top = ranks.orderBy(F.desc(score), key).limit(k).select(key)
+    top = ranks.orderBy(F.desc(score), key).limit(k).select(key)  # 200 rows at most
     return mean_vectors(vectors.join(F.broadcast(top), key, "left_semi").withColumn("_all", F.lit(1)), ["_all"], vector).drop("_all")
 
 
@@ -75,13 +81,57 @@ def clusters(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embeddin
 
     unit = df.select(key, l2_normalised(F.col(vector)).alias("_u"))
     data = unit.withColumn("features", array_to_vector("_u"))
-    model = KMeans(k=max(2, min(64, k)), seed=seed, maxIter=25).fit(data)
-    given = model.transform(data).select(key, "_u", F.col("prediction").alias("_c"))
+    k = max(1, min(64, k, data.limit(64).count()))
+    if k == 1:  # nothing to divide
+        given = data.select(key, "_u", F.lit(0).alias("_c"))
+    else:
+        model = KMeans(k=k, seed=seed, maxIter=25).fit(data)
+        given = model.transform(data).select(key, "_u", F.col("prediction").alias("_c"))
     means = mean_vectors(given, ["_c"], "_u").select("_c", "centroid", F.col("n").alias("size"))
-    near = given.join(F.broadcast(means), "_c").withColumn("_d", dot(F.col("_u"), F.col("centroid")))
+    near = given.join(few(means), "_c").withColumn("_d", dot(F.col("_u"), F.col("centroid")))
     heads = near.groupBy("_c").agg(F.max_by(key, F.struct("_d", (-F.col(key)).alias("_k"))).alias("label"), F.first("size").alias("size"))
     named = heads.withColumn("cluster", (F.row_number().over(W.orderBy(F.desc("size"), "label")) - 1).cast("int"))
-    return near.select(key, "_c").join(F.broadcast(named), "_c").select(key, "cluster", "size", "label")
+    return near.select(key, "_c").join(few(named), "_c").select(key, "cluster", "size", "label")
+
+
+def batch_outcome(rows: DataFrame, batch: str, expected: DataFrame) -> DataFrame:
+    """Rows of embedding batches with their outcome.  ``rows``: batch, key, embedding, error;
+    ``expected``: batch, n.  A batch with an error, or with other than the expected number of
+    vectors, fails as a whole."""
+    got = rows.groupBy(batch).agg(F.count("embedding").alias("_got"), F.bool_or(F.col("error").isNotNull()).alias("_error"))
+    judged = expected.join(got, batch, "left").select(batch, F.coalesce(~F.col("_error") & (F.col("_got") == F.col("n")), F.lit(False)).alias("_ok"))
+    out = rows.join(judged, batch, "left")
+    return out.withColumn("outcome", F.when(F.coalesce("_ok", F.lit(False)), "embedded").otherwise("failed")).withColumn("embedding", F.when(F.col("outcome") == "embedded", F.col("embedding"))).drop("_ok")
+
+
+def embedded(df: DataFrame, text: str, embed, dim: int, retries: int = 1, wait=None) -> DataFrame:
+    """Rows with ``embedding`` by a function from texts to vectors, called once for each Arrow batch,
+    and ``error``.  A batch that fails, or gives other than as many vectors of ``dim`` numbers, is
+    tried again ``retries`` times, after ``wait(attempt)`` seconds if given; then its rows get the error."""
+    import pyarrow as pa
+
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
+    names, at = [f.name for f in schema], df.columns.index(text)
+
+    def run(batches):
+        import time
+
+        for b in batches:
+            texts, error, vectors = b.column(at).to_pylist(), None, None
+            for attempt in range(retries + 1):
+                try:
+                    vectors = [list(map(float, v)) for v in embed(texts)]
+                    error = None if len(vectors) == len(texts) and all(len(v) == dim for v in vectors) else "wrong number of vectors or places"
+                except Exception as e:  # whatever the function raises is the batch's outcome
+                    error = f"{type(e).__name__}: {e}"
+                if error is None:
+                    break
+                if wait is not None and attempt < retries:
+                    time.sleep(wait(attempt))
+            good = vectors if error is None else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(good, pa.list_(pa.float32())), pa.array([error] * len(texts), pa.string())], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def hashed_embedding(text_tokens: Column, dim: int) -> Column:

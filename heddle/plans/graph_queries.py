@@ -125,7 +125,14 @@ def q_pagerank_norm(spark, sf_dir):
     return a.join(graph.by_range(ranks).select("qualified_name", F.round("pagerank", 4).alias("by_range")), "qualified_name")
 
 
-@R.query()
+def settled_sql(steps: int) -> str:
+    """The first of so many steps after which the summed change is below a millionth for each node."""
+    changes = " UNION ALL ".join(f"SELECT {i + 1} AS i, sum(abs(a.p - b.p)) AS change FROM r{i} a JOIN r{i + 1} b USING (q)" for i in range(steps))
+    every = " UNION ALL ".join(f"SELECT {i + 1} AS i, q, p FROM r{i + 1}" for i in range(steps))
+    return pagerank_sql(steps) + f", ch AS MATERIALIZED ({changes}), ev AS ({every}), st AS (SELECT min(i) AS i FROM ch, n WHERE change < n.n * 1e-6), la AS (SELECT q, p FROM ev JOIN st USING (i))"
+
+
+@R.query(settled_sql(70) + " SELECT q AS qualified_name, round(p / (SELECT max(p) FROM la), 4) AS pagerank FROM la")
 def q_pagerank_settled(spark, sf_dir):
     return graph.by_greatest(graph.pagerank(trade.trades(spark, sf_dir))).withColumn("pagerank", F.round("pagerank", 4))
 
@@ -144,13 +151,6 @@ def q_score_propagation(spark, sf_dir):
     return graph.propagated(seeds, e, depths).withColumn("score", F.round("score", 4))
 
 
-@R.query()
-def q_budget_truncate(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    symbols = docs.select(F.col("source").alias("bundle"), F.concat(F.lit("doc."), F.col("doc_id").cast("string")).alias("qualified_name"), (F.col("doc_id") % 4).cast("int").alias("depth"), ((F.col("doc_id") % 17) / 17.0).alias("score"), F.length("text").alias("snippet_length"))
-    return graph.budgeted(symbols, 12_000, "bundle")
-
-
 @R.query(f"""WITH {SQL_NODES}, {SQL_EDGES}, c AS (SELECT dst, count(*) AS callers FROM edges GROUP BY dst)
 SELECT qualified_name, coalesce(callers, 0) AS callers, sha1(substring('# ' || label || ': ' || qualified_name || chr(10) || '# Module: ' || path || chr(10) || '# Callers: ' || coalesce(callers, 0) || chr(10) || '# ---' || CASE WHEN name <> '' THEN chr(10) || name ELSE '' END, 1, 4096)) AS content_hash
 FROM nodes LEFT JOIN c ON dst = qualified_name WHERE label IN ('Part', 'Supplier', 'Nation')""")

@@ -166,92 +166,6 @@ def q_cache_eviction(spark, sf_dir):
     return tables.evicted(f, 48000, 50000, 60000).select("repo", "path", "evicted")
 
 
-IDENTITIES = [(1, "org__shared", "@org/shared", None, None), (2, "org__flask", None, "Flask", "flask"), (3, "org__multi", "multi.pkg", "multi-pkg", "multi_pkg"), (4, "org__dup", "@ORG/Shared", "flask", None)]
-MODULES = [("@org/shared", "x"), ("flask.helpers", "flask"), ("Multi_Pkg.core", ""), ("multi.pkg", ""), ("unknown.mod", "other"), ("abc", "@Org/Shared")]
-NORM = lambda c: f"lower(trim(regexp_replace({c}, '[-_.]+', '_', 'g'), '_'))"
-
-
-@R.query(f"""WITH i AS (SELECT seq, slug, CAST(npm AS VARCHAR) AS npm, CAST(py AS VARCHAR) AS py, CAST(top AS VARCHAR) AS top FROM {sql_values(IDENTITIES, 'seq, slug, npm, py, top')}), m AS (SELECT * FROM {sql_values(MODULES, 'qualified_name, path')}),
-a AS (SELECT qualified_name, 0 AS p, seq, slug FROM m JOIN i ON lower(npm) IN (lower(qualified_name), lower(path))),
-b AS (SELECT qualified_name, 1 AS p, seq, slug FROM m JOIN i ON {NORM('py')} IN ({NORM("string_split(qualified_name, '.')[1]")}, nullif({NORM("string_split(path, '.')[1]")}, '')) OR {NORM('top')} IN ({NORM("string_split(qualified_name, '.')[1]")}, nullif({NORM("string_split(path, '.')[1]")}, '')))
-SELECT m.qualified_name, m.path, arg_min(slug, (p, seq)) AS slug FROM m LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM b) u USING (qualified_name) GROUP BY ALL""")
-def q_repo_match(spark, sf_dir):
-    i = values(spark, IDENTITIES, "seq int, slug string, npm_name string, python_name string, python_top_level string")
-    return resolve.repository_of(values(spark, MODULES, "qualified_name string, path string"), i).select("qualified_name", "path", "slug")
-
-
-SYMBOLS = [("p.a.f", "f", "p.a", None), ("p.a.C.m", "m", "p.a", "p.a.C"), ("p.b.f", "f", "p.b", None), ("p.b.g", "g", "p.b", None), ("p.b.D.m", "m", "p.b", "p.b.D"), ("p.c.sub.h", "h", "p.c.sub", None), ("q.x.far", "far", "q.x", None), ("p.a.far", "far", "p.a", None)]
-CALLS = [("p.a.main", "p.a", None, "f", 1, 0), ("p.a.C.run", "p.a", "p.a.C", "self.m", 2, 4), ("p.a.main", "p.a", None, "g", 3, 0), ("p.a.main", "p.a", None, "hh", 4, 0), ("p.a.main", "p.a", None, "mod.g", 5, 0), ("p.c.main", "p.c", None, "far", 6, 0), ("p.a.main", "p.a", None, "print", 7, 0), ("p.a.main", "p.a", None, "nothing", 8, 0), ("p.b.D.m", "p.b", "p.b.D", "super().m", 9, 8), ("p.c.main", "p.c", None, "w", 10, 0)]
-IMPORTS = [("p.a", "hh", "p.pkg.h"), ("p.a", "mod", "p.b"), ("p.a", "*", "p.b"), ("p.c", "w", "p.pkg.g")]
-EXPORTS = [("p.pkg", "h", "p.mid.h"), ("p.mid", "h", "p.c.sub.h"), ("p.pkg", "*", "p.b"), ("p.loop", "x", "p.loop2.x"), ("p.loop2", "x", "p.loop.x")]
-REBINDS = [("p.a.C.m", "p.b.g", 1), ("p.a.C.m", "p.b.f", 2)]
-PARENTS = [("p.b.D", "p.a.C", 0), ("p.b.E", "p.b.D", 0), ("p.b.E", "p.a.C", 1)]
-RESOLVED = [("f", "p.b.f", "wildcard", 0.5), ("self.m", "p.b.f", "rebound", 1.0), ("g", "p.b.g", "wildcard", 0.5), ("hh", "p.c.sub.h", "exact", 1.0), ("mod.g", "p.b.g", "exact", 1.0), ("far", "p.a.far", "heuristic", 0.6), ("print", "builtins.print", "exact", 1.0), ("nothing", None, None, None), ("super().m", "p.b.f", "rebound", 1.0), ("w", "p.b.g", "wildcard", 0.5)]
-
-
-def symbol_tables(spark):
-    return (
-        values(spark, CALLS, "caller string, module string, class string, call_name string, line int, col int"),
-        values(spark, SYMBOLS, "qualified_name string, name string, module string, class string"),
-        values(spark, IMPORTS, "module string, alias string, target string"),
-        values(spark, EXPORTS, "module string, symbol string, target string"),
-        values(spark, REBINDS, "original string, target string, seq int"),
-    )
-
-
-@R.query()
-def q_resolve(spark, sf_dir):
-    out = resolve.resolved(*symbol_tables(spark), builtins=values(spark, [("print",)], "name string"), parents=values(spark, PARENTS, "class string, parent string, position int"))
-    return out.select("call_name", "callee", "resolved_via", "confidence")
-
-
-STARTS = [("p.pkg.h",), ("p.pkg.g",), ("p.loop.x",), ("p.none.y",)]
-
-
-@R.query(f"""WITH RECURSIVE x AS (SELECT * FROM {sql_values(EXPORTS, 'module, symbol, target')}), k AS (SELECT * FROM {sql_values([(s[0],) for s in SYMBOLS], 'q')}), s AS (SELECT * FROM {sql_values(STARTS, 'start')}),
-r AS (SELECT start, start AS now, [start] AS path, false AS wild, 0 AS hops FROM s UNION ALL
-SELECT r.start, CASE WHEN x.symbol = '*' THEN x.target || '.' || regexp_extract(r.now, '([^.]*)$', 1) ELSE x.target END, list_append(r.path, CASE WHEN x.symbol = '*' THEN x.target || '.' || regexp_extract(r.now, '([^.]*)$', 1) ELSE x.target END), r.wild OR x.symbol = '*', r.hops + 1
-FROM r JOIN x ON x.module = regexp_replace(r.now, '\\.[^.]*$', '') AND (x.symbol = '*' OR x.symbol = regexp_extract(r.now, '([^.]*)$', 1)) WHERE r.hops < 16 AND NOT list_contains(r.path, CASE WHEN x.symbol = '*' THEN x.target || '.' || regexp_extract(r.now, '([^.]*)$', 1) ELSE x.target END))
-SELECT start, now AS target, wild AS via_wildcard, CAST(hops AS INTEGER) AS hops FROM r JOIN k ON now = q WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY wild, hops, now) = 1""")
-def q_reexport(spark, sf_dir):
-    _, symbols, _, exports, _ = symbol_tables(spark)
-    return resolve.re_exports(values(spark, STARTS, "qualified_name string"), exports, symbols)
-
-
-METHODS = [("p.a.C", "m"), ("p.b.D", "m"), ("p.b.E", "m"), ("p.a.C", "n"), ("p.b.E", "n"), ("p.b.D", "only")]
-
-
-@R.query(f"""WITH RECURSIVE p AS (SELECT * FROM {sql_values(PARENTS, 'c, parent, pos')}), m AS (SELECT * FROM {sql_values(METHODS, 'c, method')}),
-a AS (SELECT c, parent AS anc, 1 AS depth, printf('%04d', pos) AS pos FROM p UNION ALL SELECT a.c, p.parent, depth + 1, a.pos || printf('%04d', p.pos) FROM a JOIN p ON p.c = a.anc WHERE depth < 8)
-SELECT m.c AS class, m.method, x.c AS ancestor FROM m JOIN a ON a.c = m.c JOIN m x ON x.c = a.anc AND x.method = m.method QUALIFY row_number() OVER (PARTITION BY m.c, m.method ORDER BY depth, a.pos) = 1""")
-def q_override(spark, sf_dir):
-    return resolve.overrides(values(spark, PARENTS, "class string, parent string, position int"), values(spark, METHODS, "class string, method string"))
-
-
-@R.query(f"SELECT original, arg_max(target, seq) AS target FROM {sql_values(REBINDS, 'original, target, seq')} GROUP BY original")
-def q_rebind_latest(spark, sf_dir):
-    return resolve.latest_rebinds(symbol_tables(spark)[4])
-
-
-REPOS = [("a", None, None, None), ("b", 1.0, "s1", "s1"), ("c", 1.0, "s1", "s2"), ("d", 1.0, None, None), ("e", 1.0, "s1", None)]
-
-
-@R.query(f"SELECT repo, CASE WHEN t IS NULL THEN 'unindexed' WHEN sha IS NOT NULL AND head IS NOT NULL THEN CASE WHEN sha = head THEN 'fresh' ELSE 'stale' END WHEN sha IS NULL AND head IS NULL THEN 'indexed' ELSE 'stale' END AS verdict FROM {sql_values(REPOS, 'repo, t, sha, head')}")
-def q_freshness(spark, sf_dir):
-    r = values(spark, REPOS, "repo string, last_indexed_at double, last_indexed_sha string, current_head string")
-    return incremental.freshness(r).select("repo", "verdict")
-
-
-PHASES = [("j1", 0.0, "discovering", 0, 10), ("j1", 10.0, "parsing", 5, 10), ("j1", 20.0, "discovering", 0, 10), ("j1", 30.0, "embedding", 10, 10), ("j1", 40.0, "done", 10, 10)]
-
-
-@R.query(f"""WITH e AS (SELECT job, CAST(ts AS DOUBLE) AS ts, CAST(CASE phase WHEN 'discovering' THEN 2 WHEN 'parsing' THEN 5 + d / t * 60 WHEN 'writing' THEN 65 WHEN 'embedding' THEN 70 WHEN 'finalizing' THEN 98 WHEN 'done' THEN 100 ELSE 0 END AS DOUBLE) AS pct FROM {sql_values(PHASES, 'job, ts, phase, d, t')}), m AS (SELECT job, ts, max(pct) OVER (PARTITION BY job ORDER BY ts) AS progress_pct FROM e)
-SELECT job, ts, progress_pct, CASE WHEN progress_pct > 10 AND progress_pct < 100 THEN round(ts * (100 - progress_pct) / progress_pct, 4) END AS eta_sec FROM m""")
-def q_progress(spark, sf_dir):
-    e = values(spark, PHASES, "job string, ts double, phase string, files_done int, files_total int")
-    return incremental.progress(e, "job", "ts").select("job", "ts", "progress_pct", F.round("eta_sec", 4).alias("eta_sec"))
-
-
 @R.query(f"WITH {SQL_NODES}, {SQL_EDGES}, g AS (SELECT DISTINCT dst FROM edges WHERE rel = 'PLACED' AND src = 'star.Customer.4') SELECT qualified_name FROM nodes WHERE qualified_name <> 'star.Customer.4' AND label IN ('Customer', 'Order') AND qualified_name NOT IN (SELECT dst FROM g)")
 def q_delete_module(spark, sf_dir):
     e = trade.edges(spark, sf_dir).withColumn("rel", F.when(F.col("rel") == "PLACED", "DEFINES").otherwise(F.col("rel")))

@@ -26,6 +26,15 @@ class Registry:
         return add
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the session names, for what a query stores and reads."""
+    import uuid
+
+    from heddle.sources.tables import own_folder
+
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

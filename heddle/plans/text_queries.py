@@ -44,7 +44,9 @@ def q_dim_guard(spark, sf_dir):
 SELECT label, CAST(place AS INTEGER) AS place, round(avg(CAST(x AS DOUBLE)), 4) AS mean FROM u GROUP BY label, place""")
 def q_centroid_by_label(spark, sf_dir):
     means = vector.mean_vectors(table(spark, sf_dir, "embeddings"), ["label"])
-    return means.select("label", F.posexplode("centroid").alias("place", "mean")).withColumn("mean", F.round("mean", 4))
+    rounded = F.round("mean", 4)
+    out = means.select("label", F.posexplode("centroid").alias("place", "mean"))
+    return out.withColumn("mean", F.when(rounded == 0, F.col("mean") * 0.0).otherwise(rounded))  # SQL keeps the sign of zero
 
 
 @R.query()
@@ -147,24 +149,6 @@ R.sql["q_chunk_windows"] = """WITH c AS (SELECT doc_id, text, length(text) AS le
 p AS (SELECT doc_id, text, unnest(range(1, parts + 1)) AS part FROM c)
 SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(length(substring(text, (part - 1) * 3300 + 1, 3500)) AS BIGINT) AS n, sha1(substring(text, (part - 1) * 3300 + 1, 3500)) AS sha FROM p"""
 
-MARKDOWN = [
-    ("docs/a.md", "intro line\n# One\nbody one\n## Two words!\nbody two\n# One\nagain"),
-    ("docs/b.md", "no heading here\nsecond line"),
-    ("docs/c.md", "# Größe & Co.\n\n### ###\ntext\n#### too deep\nmore"),
-]
-
-
-@R.query(f"""WITH f AS (SELECT * FROM {sql_values(MARKDOWN, 'path, content')}),
-l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS no, len(string_split(content, chr(10))) AS n FROM f),
-h AS (SELECT path, no, n, regexp_extract(line, '^(#{{1,3}})\\s+(.*)$', 2) AS title FROM l WHERE regexp_matches(line, '^#{{1,3}}\\s+\\S')),
-s AS (SELECT path, no AS start_line, coalesce(lead(no) OVER (PARTITION BY path ORDER BY no) - 1, n) AS end_line, CASE WHEN slug = '' THEN 'section' ELSE slug END AS slug FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM h)),
-k AS (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY start_line) AS k FROM s),
-pre AS (SELECT l.path, 1 AS start_line, CASE WHEN min(h.no) IS NULL THEN max(l.n) ELSE min(h.no) - 1 END AS end_line, CASE WHEN min(h.no) IS NULL THEN 'document' ELSE 'preamble' END AS slug FROM l LEFT JOIN h ON l.path = h.path GROUP BY l.path HAVING min(h.no) IS NULL OR min(h.no) > 1)
-SELECT path, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM k
-UNION ALL SELECT path, CAST(start_line AS INTEGER), CAST(end_line AS INTEGER), slug FROM pre""")
-def q_heading_chunks(spark, sf_dir):
-    return chunks.heading_chunks(values(spark, MARKDOWN, "path string, content string"), "path", "content").select("path", "start_line", "end_line", "slug")
-
 
 TURNS = "trim(regexp_replace(text, '\\?+$', ''))"
 
@@ -178,14 +162,6 @@ def q_rewrite(spark, sf_dir):
     return turns.select("conv_id", "turn", F.col("r.text").alias("rewritten"), F.col("r.outcome").alias("outcome"))
 
 
-INTENT_TEXTS = [(i, t) for i, t in enumerate(["Walk me through the login flow", "Add retries to the queue", "how does indexing work", "parse_config", "What tools does it use", "re-implement the cache", "Overview of storage", "please trace the call", "the gate must send mail"])]
-
-
-@R.query(f"""SELECT id, text, CASE {' '.join(f"WHEN regexp_matches(text, {quoted('(?i)' + '|'.join(f'(?:{p})' for p in ps))}) THEN {quoted(n)}" for n, ps in T.INTENTS)} ELSE 'symbol' END AS intent FROM {sql_values(INTENT_TEXTS, 'id, text')}""")
-def q_intent(spark, sf_dir):
-    return values(spark, INTENT_TEXTS, "id int, text string").select("id", "text", T.intent(F.col("text")).alias("intent"))
-
-
 NAMES = ["a.fixtures.b", "a.b.b", "a.anonymous_1_2.c", "proj.tests.t", "scripts.run", "a.mod.run_tests", "x.spec.y", "x.test", "src/tests/a.py", "src/a_test.go", "vendor/x.c", "docs/readme.md", "README.md", "a/__tests__/b.ts", "proj.src.latest.thing", "docs/dist/x.md", "conftest.py", "x/conftest.py"]
 
 
@@ -219,10 +195,3 @@ def q_facets(spark, sf_dir):
     return got.select("item_id", F.round("coverage", 4).alias("coverage"), "passed")
 
 
-ARMS = [("t1", 0.5, 0.7, 0.9), ("t2", 0.5, 0.5, 0.5), ("t3", 0.2, 0.9, 0.9), ("t4", 0.9, 0.8, 0.7)]
-
-
-@R.query(f"SELECT task, CASE WHEN oracle > none_ THEN round((composed - none_) / (oracle - none_), 4) END AS lift FROM {sql_values(ARMS, 'task, none_, composed, oracle')}")
-def q_lift(spark, sf_dir):
-    df = values(spark, ARMS, "task string, none double, composed double, oracle double")
-    return df.select("task", rank.lift_capture(df).alias("lift"))

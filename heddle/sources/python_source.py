@@ -1,6 +1,6 @@
-"""Python files to symbol tables: definitions, calls, imports, re-exports and rebindings.
+"""Python files to symbol tables: definitions, calls, imports, re-exports, rebindings and types.
 
-Other languages' grammars aren't at hand; their symbols come in as tables of the same columns.
+Other languages are read by their declarations (``other_sources``), to the same columns.
 """
 
 from __future__ import annotations
@@ -41,11 +41,29 @@ def dotted(node: ast.AST) -> str | None:
     if isinstance(node, ast.Attribute):
         head = dotted(node.value)
         return f"{head}.{node.attr}" if head else None
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "super":
-        return "super()"
+    if isinstance(node, ast.Call) and (head := dotted(node.func)):
+        return f"{head}()"
     return None
 
 
+def annotated(node: ast.AST | None) -> str | None:
+    """Class that an annotation names: itself, quoted, or what is optional."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        return node.value.split("[")[0].strip() or None
+    if isinstance(node, ast.BinOp):  # X | None
+        return annotated(node.left)
+    if isinstance(node, ast.Subscript):
+        return annotated(node.slice) if dotted(node.value) in ("Optional", "typing.Optional") else dotted(node.value)
+    said = dotted(node) if node is not None else None
+    return said if said and not said.endswith(")") else None
+
+
+def made(node: ast.AST | None) -> str | None:
+    """Class whose constructor a call is, by its name's capital."""
+    said = dotted(node.func) if isinstance(node, ast.Call) else None
+    return said if said and said.rsplit(".", 1)[-1][:1].isupper() else None
+
+
 class Facts(ast.NodeVisitor):
     """Collects the facts of one file."""
 
@@ -70,9 +88,19 @@ class Facts(ast.NodeVisitor):
                 if said := dotted(base.value if isinstance(base, ast.Subscript) else base):
                     self.rows.append({"kind": "inherits", "path": self.path, "module": self.module, "qualified_name": name, "target": said, "seq": i})
         self.stack.append((name, isinstance(node, ast.ClassDef)))
+        if not isinstance(node, ast.ClassDef):
+            for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+                self.typed(a.arg, annotated(a.annotation))
+            given = annotated(node.returns) or next((c for n in ast.walk(node) if isinstance(n, ast.Return) and (c := made(n.value))), None)
+            if given:
+                self.rows.append({"kind": "returns", "path": self.path, "module": self.module, "qualified_name": name, "target": given, "seq": len(self.rows)})
         self.generic_visit(node)
         self.stack.pop()
 
+    def typed(self, variable: str, cls: str | None) -> None:
+        if cls:
+            self.rows.append({"kind": "type", "path": self.path, "module": self.module, "qualified_name": self.stack[-1][0], "name": variable, "target": cls, "seq": len(self.rows)})
+
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         bases = {dotted(b) for b in node.bases}
         self.define(node, "Enum" if bases & {"Enum", "IntEnum", "StrEnum", "Flag", "enum.Enum", "enum.IntEnum", "enum.StrEnum"} else "Interface" if bases & {"Protocol", "typing.Protocol"} else "Class")
@@ -100,7 +128,28 @@ class Facts(ast.NodeVisitor):
             if self.package and len(self.stack) == 1:
                 self.add("re_export", node, name="*" if a.name == "*" else a.asname or a.name, target=base if a.name == "*" else f"{base}.{a.name}")
 
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        if isinstance(node.target, ast.Name):
+            self.typed(node.target.id, annotated(node.annotation))
+        self.generic_visit(node)
+
+    def visit_With(self, node: ast.With) -> None:
+        for item in node.items:
+            if isinstance(item.optional_vars, ast.Name):
+                self.typed(item.optional_vars.id, made(item.context_expr))
+        self.generic_visit(node)
+
+    def visit_For(self, node: ast.For) -> None:
+        if isinstance(node.target, ast.Name) and isinstance(node.iter, ast.List | ast.Tuple):
+            kinds = {made(e) for e in node.iter.elts}
+            if len(kinds) == 1:
+                self.typed(node.target.id, kinds.pop())
+        self.generic_visit(node)
+
     def visit_Assign(self, node: ast.Assign) -> None:
+        for t in node.targets:
+            if isinstance(t, ast.Name):
+                self.typed(t.id, made(node.value))
         if len(self.stack) == 1:
             for t in node.targets:
                 if isinstance(t, ast.Name) and t.id == "__all__" and isinstance(node.value, ast.List | ast.Tuple):
@@ -153,6 +202,49 @@ def exports(rows: DataFrame) -> DataFrame:
     return rows.where("kind = 're_export'").select("module", F.col("name").alias("symbol"), "target")
 
 
+def _classes(rows: DataFrame, kind: str) -> DataFrame:
+    """Facts of a kind with the qualified name of the class they name: imported, or the module's own."""
+    own = rows.where(F.col("kind") == kind).select("qualified_name", "name", "module", "target", F.split("target", r"\.")[0].alias("_head"))
+    named = imports(rows).where("alias <> '*'").select(F.col("module").alias("_m"), F.col("alias").alias("_a"), F.col("target").alias("_t"))
+    both = own.join(named, (F.col("module") == F.col("_m")) & (F.col("_head") == F.col("_a")), "left")
+    rest = F.expr("substring(target, length(_head) + 1)")
+    return both.select("qualified_name", "name", F.when(F.col("_t").isNotNull(), F.concat("_t", rest)).otherwise(F.concat_ws(".", "module", "target")).alias("class"))
+
+
+def local_types(rows: DataFrame) -> DataFrame:
+    """caller, variable, class of parameters, assignments, with and for targets whose class is said."""
+    return _classes(rows, "type").select(F.col("qualified_name").alias("caller"), F.col("name").alias("variable"), "class").distinct()
+
+
+def returned(rows: DataFrame) -> DataFrame:
+    """qualified_name, class: what functions give, and classes, whose constructors give themselves."""
+    itself = rows.where(F.col("kind").isin("Class", "Interface", "Enum")).select("qualified_name", F.col("qualified_name").alias("class"))
+    return _classes(rows, "returns").select("qualified_name", "class").unionByName(itself).distinct()
+
+
+def inheritance(rows: DataFrame) -> DataFrame:
+    """class, parent, position: INHERITS edges between classes that are known; names are resolved by
+    imports, then in the class's module."""
+    named = rows.where("kind = 'inherits'").withColumn("name", F.col("seq").cast("string"))
+    known = symbols(rows).select(F.col("qualified_name").alias("parent"))
+    both = _classes(named.unionByName(rows.where("kind = 'import'")), "inherits")
+    return both.select(F.col("qualified_name").alias("class"), F.col("class").alias("parent"), F.col("name").cast("int").alias("position")).join(known, "parent", "left_semi").select("class", "parent", "position")
+
+
+def rebindings(rows: DataFrame) -> DataFrame:
+    """original, target, seq of module-level assignments to attributes, with names resolved as classes are."""
+    keyed = rows.where("kind = 'rebind'").select("module", "seq", "name", "target")
+    named = imports(rows).where("alias <> '*'").select(F.col("module").alias("_m"), F.col("alias").alias("_a"), F.col("target").alias("_t"))
+
+    def full(df: DataFrame, c: str) -> DataFrame:
+        head = F.split(c, r"\.")[0]
+        both = df.join(named, (F.col("module") == F.col("_m")) & (head == F.col("_a")), "left")
+        rest = F.expr(f"substring({c}, length(split({c}, '\\\\.')[0]) + 1)")
+        return both.withColumn(c, F.when(F.col("_t").isNotNull(), F.concat("_t", rest)).otherwise(F.concat_ws(".", "module", c))).drop("_m", "_a", "_t")
+
+    return full(full(keyed, "name"), "target").select(F.col("name").alias("original"), "target", "seq")
+
+
 def structure(paths: DataFrame, project: str, path: str = "path") -> DataFrame:
     """CONTAINS edges from every folder to what lies in it; a folder with __init__.py is a package."""
     parts = F.split(F.col(path), "/")

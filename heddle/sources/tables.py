@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +47,8 @@ EDGE_SCHEMA = T.StructType(
 )
 NODE_DEFAULTS = {"is_async": False, "is_generator": False, "contextual_prefix": ""}
 EDGE_DEFAULTS = {"resolved_via": "unknown", "confidence": 1.0, "file_path": ""}
+#: Rows up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
@@ -56,15 +61,66 @@ def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -
     return df.select(*out)
 
 
+def named_folder(spark: SparkSession) -> str | None:
+    """The folder that the session names for checkpoints, which driver and executors share.  None
+    where none is named and all runs in one process, as in tests; elsewhere that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/") if folder else None
+
+
+#: Tables that ``settled`` has written and nothing has dropped yet, and the folder of this process.
+_settled: dict[int, tuple[DataFrame, str]] = {}
+_folder: list[str] = []
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The folder named by the session, or where none has to be, one of this process."""
+    named = named_folder(spark)
+    if named is None and not _folder:
+        _folder.append(f"file://{tempfile.mkdtemp(prefix='heddle-')}")
+    return named or _folder[0]
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder that the session names; where none is
-    named, as in tests, in one of this process."""
+    """Write a table into the shared folder and read it again: it is computed once, and what follows
+    has no lineage beyond its files.  ``dropped`` or ``released`` deletes them."""
+    spark = df.sparkSession
+    path = f"{own_folder(spark)}/heddle-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _settled[id(out)] = out, path
+    return out
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint, which keeps how the rows are partitioned."""
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-checkpoints-"))
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(own_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of settled tables that no later plan reads."""
+    for df in tables:
+        if (held := _settled.pop(id(df), None)) is not None:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(held[1])
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(*but: DataFrame) -> None:
+    """Delete the files of all settled tables, except ``but``.  For callers that have stored their
+    results: until then, plans still read such files."""
+    dropped(*[df for df, _ in list(_settled.values()) if all(df is not x for x in but)])
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a table if a count shows that it is small; else joins choose for themselves."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the last by ``order``; rows without a key are left out."""
     ok = F.lit(True)
@@ -90,7 +146,7 @@ def validated_edges(edges: DataFrame, nodes: DataFrame, allowed: DataFrame, orde
     ends = lambda side: nodes.select(F.col("qualified_name").alias(side), F.col("label").alias(f"{side}_label"))
     both = edges.drop("src_label", "dst_label").join(ends("src"), "src", "left").join(ends("dst"), "dst", "left")
     legal = allowed.select("rel", "src_label", "dst_label").distinct().withColumn("_legal", F.lit(True))
-    judged = both.join(F.broadcast(legal), ["rel", "src_label", "dst_label"], "left")  # the schema's pairs of labels
+    judged = both.join(few(legal), ["rel", "src_label", "dst_label"], "left")  # the schema's pairs of labels
     rn = F.row_number().over(W.partitionBy("rel", "src", "dst").orderBy(*order))
     verdict = F.when(F.col("src_label").isNull() | F.col("dst_label").isNull(), "dangling").when(F.col("_legal").isNull(), "illegal").when(F.col("_rn") > 1, "replaced").otherwise("ok")
     return judged.withColumn("_rn", rn).withColumn("verdict", verdict).drop("_rn", "_legal")
@@ -103,10 +159,95 @@ def backfilled_paths(edges: DataFrame, modules: DataFrame) -> DataFrame:
     return edges.join(m, "src", "left").withColumn("file_path", F.when(empty, F.coalesce("_p", F.lit(""))).otherwise(F.col("file_path"))).drop("_p")
 
 
-def key_values(df: DataFrame, by: str | None = None) -> DataFrame:
-    """Metadata rows as one map, of each ``by`` if given."""
-    pairs = F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("metadata")
-    return df.groupBy(by).agg(pairs) if by else df.agg(pairs)
+def key_values(df: DataFrame, by: str | None = None, most: int = 1000) -> DataFrame:
+    """Metadata rows as one map, of each ``by`` if given; it is an error if one has over ``most`` keys."""
+    rows = df.groupBy(*([by] if by else []), "key").agg(F.max("value").alias("value"))
+    counts = rows.groupBy(by).count() if by else rows.groupBy().count()
+    if not counts.where(F.col("count") > most).isEmpty():
+        raise ValueError(f"more than {most} metadata keys")
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metadata")
+    return rows.groupBy(by).agg(pairs) if by else rows.agg(pairs)
+
+
+def key_value(df: DataFrame, key: str) -> DataFrame:
+    """One metadata value, or no row."""
+    return df.where(F.col("key") == key).select("value")
+
+
+def deleted_count(df: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, int]:
+    """The table without the keys, and how many rows went."""
+    return deleted(df, keys, on), df.join(keys.select(*on).distinct(), on, "left_semi").count()
+
+
+def row_count(read: Callable[[], DataFrame]) -> int:
+    """How many rows a table has; 0 if it can't be read."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
+    try:
+        return read().count()
+    except (PySparkException, Py4JJavaError):
+        return 0
+
+
+def vectors_upserted(old: DataFrame, new: DataFrame, key: str, order: list[Column], vector: str = "embedding") -> DataFrame:
+    """Stored vectors with new ones, scaled to length 1, in their places."""
+    from heddle.operators.vector import l2_normalised
+
+    return upserted(old, new.withColumn(vector, l2_normalised(F.col(vector)).cast(old.schema[vector].dataType)), [key], order)
+
+
+def bulk_written(vectors: DataFrame, path: str, by: str | None = None) -> None:
+    """Vectors as Parquet, appended, of each ``by`` in a folder of its own."""
+    out = vectors.write.mode("append")
+    (out.partitionBy(by) if by else out).parquet(path)
+
+
+def centrality_written(ranks: DataFrame, path: str, repo: str) -> int:
+    """Replace a repository's ranks (qualified_name, pagerank, computed_at) by these; returns how
+    many there are now.  No rank at all clears them."""
+    rows = ranks.select("qualified_name", "pagerank", "computed_at")
+    rows.write.mode("overwrite").parquet(f"{path}/repo={repo}")
+    return ranks.sparkSession.read.schema(rows.schema).parquet(f"{path}/repo={repo}").count()
+
+
+def centrality_read(spark: SparkSession, path: str, repo: str, names: DataFrame | None = None) -> DataFrame:
+    """A repository's ranks, or those of some names."""
+    ranks = spark.read.schema("qualified_name string, pagerank double, computed_at timestamp").parquet(f"{path}/repo={repo}")
+    return ranks.join(few(names.select("qualified_name").distinct()), "qualified_name", "left_semi") if names is not None else ranks
+
+
+def centrality_cleared(spark: SparkSession, path: str, repo: str) -> None:
+    centrality_written(spark.createDataFrame([], "qualified_name string, pagerank double, computed_at timestamp"), path, repo)
+
+
+def merged_properties(nodes: DataFrame, edges: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
+    """For an export: nodes by their last write; edges by (src, rel, dst) with their property maps
+    merged, later values over earlier ones."""
+    written = F.collect_list(F.struct(F.col(seq).alias("s"), F.col("properties").alias("p")))
+    props = F.filter(F.array_sort(written, lambda a, b: F.when(a["s"] < b["s"], -1).when(a["s"] > b["s"], 1).otherwise(0)), lambda x: x["p"].isNotNull())
+    merged = F.aggregate(props, F.create_map().cast("map<string,string>"), lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(x["p"], k)), x["p"]))
+    return latest(nodes, ["id"], [F.desc(seq)]).drop(seq), edges.groupBy("src", "rel", "dst").agg(merged.alias("properties"))
+
+
+def schema_text(schemas: dict[str, T.StructType], edges: list[tuple[str, str, str]]) -> str:
+    """A description of node types with their columns, and of which types relations join."""
+    lines = ["Node types:"]
+    lines += [f"- {label}: " + ", ".join(f"{f.name} ({f.dataType.simpleString()})" for f in s) for label, s in schemas.items()]
+    lines += ["Relations:", *[f"- ({a})-[{rel}]->({b})" for a, rel, b in edges]]
+    return "\n".join(lines)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """path, size and sha of every file of a snapshot."""
+    return source_files(spark, root).select("path", "size", "sha")
+
+
+def restored(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
+    """Every file of a manifest with its verdict: ok, missing or damaged; files not in it are extra."""
+    now = manifest(spark, root).select("path", F.col("sha").alias("_now"))
+    verdict = F.when(F.col("sha").isNull(), "extra").when(F.col("_now").isNull(), "missing").when(F.col("_now") != F.col("sha"), "damaged").otherwise("ok")
+    return expected.join(now, "path", "full").select("path", verdict.alias("verdict"))
 
 
 def exported(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -127,11 +268,22 @@ def loaded_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/relationships")
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), mtime_ns, size, content and sha of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def source_files(spark: SparkSession, root: str, wanted=None) -> DataFrame:
+    """path (relative), mtime_ns, size, content and sha of every file below a folder.  ``wanted``, a
+    predicate on the relative path, is applied before any content is read: only the listing's path,
+    size and time are looked at first, and only the files it lets in are opened.  (The driver lists all
+    names in either case; that is how Spark plans a scan of files.)"""
+    from urllib.parse import unquote, urlparse
+
     base = root.rstrip("/") + "/"
     rel = F.substring_index("path", base, -1)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    if wanted is not None:
+        names = files.select("path").where(wanted(rel))  # the content column is pruned: nothing is opened
+        paths = [r["path"] for r in names.toLocalIterator()]
+        if not paths:
+            return files.limit(0).select(rel.alias("path"), F.lit(0).cast("long").alias("mtime_ns"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha"))
+        files = spark.read.format("binaryFile").load([unquote(urlparse(p).path) if p.startswith("file:") else p for p in paths])
     return files.select(rel.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heddle.functions.predicates import IGNORED_NAMES
 
 GAP = "1500 milliseconds"
-#: An addition to the reference's behaviour: later events open a window of their own.
+#: Later events open a window of their own.
 WATERMARK = "15 seconds"
 
 
@@ -27,7 +27,7 @@ def relevant(events: DataFrame, extensions: tuple[str, ...], path: str = "path")
 def debounced(events: DataFrame, by: list[str], ts: str = "ts", path: str = "path", gap: str = GAP) -> DataFrame:
     """Distinct paths of each burst: events less than a gap after the one before it are one burst."""
     stream = events.withWatermark(ts, WATERMARK) if events.isStreaming else events
-    out = stream.groupBy(*by, F.session_window(ts, gap).alias("_w")).agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count("*").alias("n_events"))
+    out = stream.groupBy(*by, F.session_window(ts, gap).alias("_w")).agg(F.array_sort(F.collect_set(path)).alias("paths"), F.count("*").alias("n_events"))  # the paths of one burst are what is asked for
     return out.select(*by, F.col("_w.start").alias("first_ts"), F.col("_w.end").alias("closed_ts"), "paths", "n_events")
 
 
@@ -40,15 +40,57 @@ TERMINAL = ("done", "failed", "cancelled", "interrupted")
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    """State of each job as events (job_id, status, ts) come; a terminal state is final."""
+    """State of each job as events (job_id, status, ts, seq) come; a terminal state is final.  All of a
+    micro-batch's events of a job are put in order, ties by seq, before any is looked at; an event
+    older than the state's last one changes nothing, unless it is the first terminal one."""
 
     def step(key, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, at = state.get if state.exists else ("queued", 0)
-        for pdf in rows:
-            for s, t in pdf.sort_values("ts")[["status", "ts"]].itertuples(index=False):
-                if status not in TERMINAL:
-                    status, at = s, int(t.timestamp())
-        state.update((status, at))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [status], "updated_at": [at]})
-
-    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, state string, updated_at long", "status string, at long", "update", "NoTimeout")
+        status, at, seq = state.get if state.exists else ("queued", -1, -1)
+        said = sorted((int(t.value // 1000), int(n), s) for pdf in rows for s, t, n in pdf[["status", "ts", "seq"]].itertuples(index=False))
+        for t, n, s in said:
+            if status not in TERMINAL and (s in TERMINAL or (t, n) > (at, seq)):
+                status, at, seq = s, max(at, t), n
+        state.update((status, at, seq))
+        yield pd.DataFrame({"job_id": [key[0]], "state": [status], "updated_us": [at]})
+
+    return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, state string, updated_us long", "status string, at long, seq long", "update", "NoTimeout")
+
+
+def partial_index(stored: Callable[[], DataFrame], apply: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
+    """What ``index_changes`` calls for each micro-batch of files (path, mtime_ns, size, sha): those
+    whose hash is the stored one are left alone, and nothing is applied if none is left.  Micro-batches
+    come one after another, so a repository is never indexed twice at once."""
+
+    def run(batch: DataFrame, _: int) -> None:
+        old = stored().select("path", F.col("sha").alias("_sha"))
+        new = batch.dropDuplicates(["path", "sha"]).join(old, "path", "left").where(~F.col("sha").eqNullSafe(F.col("_sha"))).drop("_sha")
+        if not new.isEmpty():
+            apply(new)
+
+    return run
+
+
+def throughput_listener(report: Callable[[str, float], None]):
+    """Listener that reports each query's rows a second, where it has changed since the last report."""
+    from pyspark.sql.streaming import StreamingQueryListener
+
+    class Listener(StreamingQueryListener):
+        last: dict[str, float] = {}
+
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            rate = round(p.processedRowsPerSecond or 0.0, 2)
+            if self.last.get(str(p.id)) != rate:
+                self.last[str(p.id)] = rate
+                report(p.name or str(p.id), rate)
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            self.last.pop(str(event.id), None)
+
+    return Listener()

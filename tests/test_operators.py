@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from heddle.functions import predicates as P
 from heddle.functions import text as T
 from heddle.operators import chunks, evaluation, graph, incremental, lexical, rank, resolve, vector
-from heddle.plans import ledger_queries as L
 from heddle.sources import tables
 from heddle.streaming import watch
 
@@ -161,9 +160,27 @@ def test_extended_start(spark):
     assert one(spark, chunks.source_range(F.lit(text), F.lit(3), F.lit(4))) == "# c\n@d"
 
 
+SYMBOLS = [("p.a.f", "f", "p.a", None), ("p.a.C.m", "m", "p.a", "p.a.C"), ("p.b.f", "f", "p.b", None), ("p.b.g", "g", "p.b", None), ("p.b.D.m", "m", "p.b", "p.b.D"), ("p.c.sub.h", "h", "p.c.sub", None), ("q.x.far", "far", "q.x", None), ("p.a.far", "far", "p.a", None)]
+CALLS = [("p.a.main", "p.a", None, "f", 1, 0), ("p.a.C.run", "p.a", "p.a.C", "self.m", 2, 4), ("p.a.main", "p.a", None, "g", 3, 0), ("p.a.main", "p.a", None, "hh", 4, 0), ("p.a.main", "p.a", None, "mod.g", 5, 0), ("p.c.main", "p.c", None, "far", 6, 0), ("p.a.main", "p.a", None, "print", 7, 0), ("p.a.main", "p.a", None, "nothing", 8, 0), ("p.b.D.m", "p.b", "p.b.D", "super().m", 9, 8), ("p.c.main", "p.c", None, "w", 10, 0)]
+IMPORTS = [("p.a", "hh", "p.pkg.h"), ("p.a", "mod", "p.b"), ("p.a", "*", "p.b"), ("p.c", "w", "p.pkg.g")]
+EXPORTS = [("p.pkg", "h", "p.mid.h"), ("p.mid", "h", "p.c.sub.h"), ("p.pkg", "*", "p.b"), ("p.loop", "x", "p.loop2.x"), ("p.loop2", "x", "p.loop.x")]
+REBINDS = [("p.a.C.m", "p.b.g", 1), ("p.a.C.m", "p.b.f", 2)]
+PARENTS = [("p.b.D", "p.a.C", 0), ("p.b.E", "p.b.D", 0), ("p.b.E", "p.a.C", 1)]
+RESOLVED = [("f", "p.b.f", "wildcard", 0.5), ("self.m", "p.b.f", "rebound", 1.0), ("g", "p.b.g", "wildcard", 0.5), ("hh", "p.c.sub.h", "exact", 1.0), ("mod.g", "p.b.g", "exact", 1.0), ("far", "p.a.far", "heuristic", 0.6), ("print", "builtins.print", "exact", 1.0), ("nothing", None, None, None), ("super().m", "p.b.f", "rebound", 1.0), ("w", "p.b.g", "wildcard", 0.5)]
+
+
 def test_resolution(spark):
-    out = L.q_resolve(spark, None)
-    assert rows(out.fillna("", ["callee", "resolved_via"]).fillna(0.0)) == sorted((a, b or "", c or "", d or 0.0) for a, b, c, d in L.RESOLVED)
+    t = lambda xs, schema: spark.createDataFrame(xs, schema)
+    out = resolve.resolved(
+        t(CALLS, "caller string, module string, class string, call_name string, line int, col int"),
+        t(SYMBOLS, "qualified_name string, name string, module string, class string"),
+        t(IMPORTS, "module string, alias string, target string"),
+        t(EXPORTS, "module string, symbol string, target string"),
+        t(REBINDS, "original string, target string, seq int"),
+        builtins=t([("print",)], "name string"),
+        parents=t(PARENTS, "class string, parent string, position int"),
+    ).select("call_name", "callee", "resolved_via", "confidence")
+    assert rows(out.fillna("", ["callee", "resolved_via"]).fillna(0.0)) == sorted((a, b or "", c or "", d or 0.0) for a, b, c, d in RESOLVED)
 
 
 def test_rewire(spark):
