@@ -200,6 +200,47 @@ def uncommented_json(text: Column) -> Column:
     return F.regexp_replace(text, r'("(?:[^"\\]|\\.)*")|//[^\n]*|(?s:/\*.*?\*/)', "$1")
 
 
+def path_alias(name: Column, aliases: dict[str, str]) -> Column:
+    """An import's path by the first alias pattern it matches: a '*' in the pattern stands for what takes
+    the target's '*'; null if none matches.  Patterns with several '*' match nothing."""
+    out = F.lit(None).cast("string")
+    for pattern, target in reversed(aliases.items()):
+        head, star, tail = pattern.partition("*")
+        if "*" in tail:
+            continue
+        if not star:
+            out = F.when(name == pattern, target.replace("*", "", 1)).otherwise(out)
+            continue
+        taken = F.substring(name, F.lit(len(head) + 1), F.length(name) - len(head) - len(tail))
+        before, there, after = target.partition("*")
+        fits = name.startswith(head) & name.endswith(tail) & (F.length(name) >= len(head) + len(tail))
+        out = F.when(fits, F.concat(F.lit(before), taken, F.lit(after)) if there else F.lit(target)).otherwise(out)
+    return out
+
+
+def index_symbol(symbol: Column) -> Column:
+    """Parts of a symbol of a code index: scheme, manager, package, version, descriptors.  Local ones have
+    their number as the package; those of fewer parts are descriptors alone."""
+    p = F.split(symbol, " ", 5)
+    part = lambda i: F.get(p, F.lit(i))
+    local, whole = symbol.startswith("local "), F.size(p) == 5
+    some = lambda i: F.when(~local & whole, part(i))
+    return F.struct(
+        F.when(local, "local").otherwise(part(0)).alias("scheme"), some(1).alias("manager"), F.when(local, F.expr("cast(null as string)")).otherwise(some(2)).alias("package"), some(3).alias("version"),
+        F.when(local, "").when(whole, part(4)).otherwise(symbol).alias("descriptors"),
+    )
+
+
+# Bits of the roles of an occurrence.
+INDEX_ROLES = (("definition", 1), ("import", 2), ("write", 4), ("read", 8), ("generated", 16), ("test", 32))
+
+
+def index_roles(bits: Column) -> Column:
+    """Names of an occurrence's roles; a reference if it has none."""
+    named = F.array_compact(F.array(*[F.when(bits.bitwiseAND(b) != 0, n) for n, b in INDEX_ROLES]))
+    return F.when(F.size(named) == 0, F.array(F.lit("reference"))).otherwise(named)
+
+
 def context_prefix(cached: Column, path: Column) -> Column:
     """A cached contextual prefix, or the path."""
     return F.coalesce(cached, F.concat(F.lit("[from "), path, F.lit("]")))

@@ -61,6 +61,32 @@ def leading_comments(text: Column, most: int = 30) -> Column:
     return F.array_join(F.when(code > 0, F.slice(head, F.lit(1), (code - 1).cast("int"))).otherwise(head), "\n")
 
 
+def class_chunk(name: Column, signature: Column, members: Column, doc: Column, module: Column) -> Column:
+    """Embedding text of a class: its name, module, members, signature and docstring; what is empty is left out."""
+    return F.rtrim(F.concat_ws("\n", F.concat(F.lit("# Class: "), name), headed("# Module: ", module), headed("# Members: ", F.array_join(members, ", ")), F.lit("# ---"), nonempty(signature), nonempty(doc)))
+
+
+def module_chunk(name: Column, path: Column, doc: Column, public: Column) -> Column:
+    """Embedding text of a module: its name, path, public names and docstring."""
+    return F.rtrim(F.concat_ws("\n", F.concat(F.lit("# Module: "), name), headed("# Path: ", path), headed("# Public: ", F.array_join(public, ", ")), F.lit("# ---"), nonempty(doc)))
+
+
+def file_chunk(path: Column, text: Column, template: str = "Summarise the file {path}:\n{text}", most: int = 8192) -> Column:
+    """Text that a file's summary is asked for with; of the content, so many bytes as whole characters take."""
+    cut = F.substring(F.encode(text, "UTF-8"), F.lit(1), F.lit(most)).cast("string")
+    spare = F.regexp_replace(F.make_valid_utf8(cut), "\ufffd+$", "")
+    body = F.when(F.octet_length(text) <= most, text).otherwise(spare)
+    return F.replace(F.replace(F.lit(template), F.lit("{path}"), path), F.lit("{text}"), body)
+
+
+def headed(label: str, c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+
+
+def nonempty(c: Column) -> Column:
+    return F.when(F.coalesce(c, F.lit("")) != "", c)
+
+
 def summary_text(kind: str, name: Column, members: Column, most: int = 40) -> Column:
     """Summary chunk of a file, class or module: its name and members."""
     return F.concat_ws("\n", F.concat(F.lit(f"# {kind}: "), name), F.concat(F.lit("# Members: "), F.array_join(F.slice(F.array_sort(members), 1, most), ", ")))

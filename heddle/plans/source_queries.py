@@ -337,3 +337,109 @@ def q_progress(spark, sf_dir):
     phase = F.create_map(*[F.lit(x) for kv in {"view": "discovering", "click": "parsing", "signup": "writing", "error": "embedding", "purchase": "finalizing"}.items() for x in kv])
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("id"), F.col("event_id").cast("double").alias("ts"), phase[F.col("event_type")].alias("phase"), (F.col("event_id") % 40).alias("files_done"), F.lit(40).alias("files_total"))
     return incremental.progress(e, "job", "ts").select("job", "id", F.round("progress_pct", 4).alias("progress_pct"), F.round("eta_sec", 4).alias("eta_sec"))
+
+
+ALIASES = {"@app/*": "src/app/*", "lib": "src/lib/index", "~*.css": "styles/*", "a*b*c": "never"}
+
+
+@R.query("""WITH n AS (SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 0 THEN '@app/' || p_name WHEN 1 THEN 'lib' WHEN 2 THEN '~' || p_name || '.css' WHEN 3 THEN 'axbxc' ELSE '@app' END AS n FROM part)
+SELECT k, CASE k % 5 WHEN 0 THEN 'src/app/' || substring(n, 6) WHEN 1 THEN 'src/lib/index' WHEN 2 THEN 'styles/' || substring(n, 2, length(n) - 5) END AS path FROM n""")
+def q_path_alias(spark, sf_dir):
+    k, name = F.col("p_partkey"), F.col("p_name")
+    n = F.when(k % 5 == 0, F.concat(F.lit("@app/"), name)).when(k % 5 == 1, "lib").when(k % 5 == 2, F.concat(F.lit("~"), name, F.lit(".css"))).when(k % 5 == 3, "axbxc").otherwise("@app")
+    return table(spark, sf_dir, "part").select(k.alias("k"), T.path_alias(n, ALIASES).alias("path"))
+
+
+@R.query("""WITH o AS (SELECT l_orderkey, CASE l_linenumber % 3 WHEN 0 THEN 'local ' || l_linenumber WHEN 1 THEN 'scip-x npm pkg' || (l_partkey % 9) || ' 1.0 src/`a b.ts`/F' || l_suppkey || '().' ELSE 'odd symbol' END AS symbol, l_orderkey % 64 AS roles FROM lineitem)
+SELECT CASE WHEN symbol LIKE 'local %' THEN 'local' WHEN symbol LIKE 'odd%' THEN 'odd' ELSE string_split(symbol, ' ')[3] END AS package, count(*) AS occurrences, count(*) FILTER (roles & 1 <> 0) AS definitions, count(*) FILTER (roles & 1 = 0) AS references, count(*) FILTER (roles & 2 <> 0) AS imports, count(DISTINCT symbol) AS symbols FROM o GROUP BY 1""")
+def q_index_summary(spark, sf_dir):
+    from heddle.sources import tables
+
+    n, s = F.col("l_linenumber"), lambda c: F.col(c).cast("string")
+    symbol = F.when(n % 3 == 0, F.concat(F.lit("local "), s("l_linenumber"))).when(n % 3 == 1, F.concat(F.lit("scip-x npm pkg"), (F.col("l_partkey") % 9).cast("string"), F.lit(" 1.0 src/`a b.ts`/F"), s("l_suppkey"), F.lit("()."))).otherwise("odd symbol")
+    return tables.index_summary(table(spark, sf_dir, "lineitem").select(symbol.alias("symbol"), (F.col("l_orderkey") % 64).alias("roles")))
+
+
+@R.query("""WITH e AS (SELECT event_id, event_id % 64 AS b FROM events), r AS (SELECT event_id, b, list_filter(['definition', 'import', 'write', 'read', 'generated', 'test'], lambda n, i: (b // CAST(2 ** (i - 1) AS BIGINT)) % 2 = 1) AS names FROM e) SELECT event_id, CASE WHEN b = 0 THEN 'reference' ELSE array_to_string(names, ',') END AS roles FROM r""")
+def q_index_roles(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(T.index_roles(F.col("event_id") % 64), ",").alias("roles"))
+
+
+@R.query("""SELECT p_partkey AS k, '# Class: C' || p_partkey || CASE WHEN p_size > 9 THEN chr(10) || '# Module: ' || p_type ELSE '' END || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '# Members: a, ' || p_name ELSE '' END || chr(10) || '# ---' || chr(10) || 'class C' || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || p_brand ELSE '' END AS class_text,
+'# Module: ' || p_type || chr(10) || '# Path: ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || '# Public: a, ' || p_name ELSE '' END || chr(10) || '# ---' || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || p_brand ELSE '' END AS module_text,
+'Summarise the file ' || p_name || ':' || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN repeat('é', 20) ELSE repeat('é', p_size % 20) END AS file_text FROM part""")
+def q_chunk_texts(spark, sf_dir):
+    k = F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    members = F.when(k % 2 == 0, F.array(F.lit("a"), F.col("p_name"))).otherwise(F.array().cast("array<string>"))
+    doc = F.when(k % 3 == 0, F.col("p_brand")).otherwise(none)
+    text = F.when(k % 2 == 0, F.repeat(F.lit("é"), 30)).otherwise(F.expr("repeat('é', cast(p_size % 20 as int))"))
+    return table(spark, sf_dir, "part").select(
+        k.alias("k"), chunks.class_chunk(F.concat(F.lit("C"), k.cast("string")), F.lit("class C"), members, doc, F.when(F.col("p_size") > 9, F.col("p_type")).otherwise("")).alias("class_text"),
+        chunks.module_chunk(F.col("p_type"), F.col("p_name"), doc, members).alias("module_text"), chunks.file_chunk(F.col("p_name"), text, most=41).alias("file_text"),
+    )
+
+
+@R.query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 6 ELSE 1 END AS start, CASE doc_id % 3 WHEN 0 THEN '# one' || chr(10) || '// ' || lang WHEN 1 THEN '' ELSE '' END AS head FROM documents""")
+def q_comment_blocks(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.when(i % 3 == 0, F.concat(F.lit("# one\n// "), "lang", F.lit("\nx = 1\n# two\n@dec\ndef f():\n    pass"))).when(i % 3 == 1, F.concat(F.lit("y\n\n# a\n\nz\ndef g(): pass\n"), "lang")).otherwise("def h(): pass")
+    start = F.when(i % 3 == 0, 6).when(i % 3 == 1, 6).otherwise(1)
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.extended_start(text, start).alias("start"), chunks.leading_comments(text).alias("head"))
+
+
+@R.query("""WITH s AS (SELECT 'r.' || source || CASE WHEN doc_id % 2 = 0 THEN '::module::summary' ELSE '.x.md::part' END AS q, text FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY source)) SELECT q AS qualified_name, array_to_string(string_split(text, chr(10))[1:40], chr(10)) AS snippet FROM s WHERE q NOT LIKE 'r.src1%' """)
+def q_summary_snippets(spark, sf_dir):
+    from heddle.plans import search
+
+    d = table(spark, sf_dir, "documents")
+    first = d.groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
+    stored = first.select(F.concat(F.lit("r."), "source", F.when(F.col("doc_id") % 2 == 0, "::module::summary").otherwise(".x.md::part")).alias("qualified_name"), "text")
+    wanted = stored.where("qualified_name NOT LIKE 'r.src1%'").select("qualified_name").unionByName(stored.select(F.lit("r.other").alias("qualified_name")))
+    return search.summary_snippets(wanted, stored)
+
+
+@R.query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, q) AS rank FROM (SELECT 's' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '::module::summary' ELSE '' END AS q, c_acctbal AS score FROM customer) QUALIFY rank <= 100),
+k AS (SELECT *, sum(CASE WHEN ends_with(q, '::summary') THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS n FROM r) SELECT q AS qualified_name, score FROM k WHERE NOT ends_with(q, '::summary') OR n <= 4 ORDER BY rank LIMIT 24""")
+def q_summary_quota(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), k.cast("string"), F.when(k % 3 == 0, "::module::summary").otherwise("")).alias("qualified_name"), F.col("c_acctbal").alias("score"))
+    best = c.orderBy(F.desc("score"), "qualified_name").limit(100)
+    return rank.summary_quota(best, 24, F.col("qualified_name").endswith("::summary"), "qualified_name")
+
+
+@R.query("""SELECT page_id FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'src/a.py' WHEN 1 THEN 'node_modules/b.py' WHEN 2 THEN 'web/c.css' ELSE 'x/' || page_id || '.ts' END AS path FROM pages) WHERE regexp_matches(path, '\\.(py|ts)$') AND NOT contains(path, 'node_modules/')""")
+def q_relevant_events(spark, sf_dir):
+    from heddle.streaming import watch
+
+    m = F.col("page_id") % 4
+    path = F.when(m == 0, "src/a.py").when(m == 1, "node_modules/b.py").when(m == 2, "web/c.css").otherwise(F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit(".ts")))
+    return watch.relevant(table(spark, sf_dir, "pages").withColumn("path", path), (".py", ".ts")).select("page_id")
+
+
+@R.query("""WITH m AS (SELECT 'star.Customer.' || o_custkey AS src, 'star.Order.' || o_orderkey AS dst, CASE WHEN o_orderstatus = 'F' THEN 'Function' ELSE 'Method' END AS label FROM orders)
+SELECT label, src, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT DISTINCT 'External', 'pkg:' || p_brand, 1 FROM part""")
+def q_branches(spark, sf_dir):
+    """Branches of two labels in one list, and the packages that manifests name."""
+    o = table(spark, sf_dir, "orders").withColumn("src", F.concat(F.lit("star.Customer."), F.col("o_custkey").cast("string")))
+    f = o.where("o_orderstatus = 'F'").select(F.lit("Function").alias("label"), "src")
+    m = o.where("o_orderstatus <> 'F'").select(F.lit("Method").alias("label"), "src")
+    counts = f.unionByName(m).groupBy("label", "src").agg(F.count("*").alias("n"))
+    found = table(spark, sf_dir, "part").select(F.lit("r/requirements.txt").alias("path"), F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("version_spec")).distinct()
+    nodes, edges = manifests.external_packages(found, "proj")
+    assert nodes.count() == found.select("name").distinct().count()
+    packages = edges.groupBy(F.concat(F.lit("pkg:"), F.col("dst")).alias("src")).agg(F.countDistinct("version_spec").alias("n"))
+    return counts.unionByName(packages.select(F.lit("External").alias("label"), "src", "n"))
+
+
+SCHEMAS = ("nation", "region", "part")
+
+
+@R.query("SELECT table_name AS label, '- ' || table_name || ': ' || string_agg(column_name || ' (' || CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END || ')', ', ' ORDER BY ordinal_position) AS line FROM information_schema.columns WHERE table_name IN ('nation', 'region', 'part') GROUP BY table_name")
+def q_schema_text(spark, sf_dir):
+    from heddle.sources import tables
+
+    text = tables.schema_text({n: table(spark, sf_dir, n).schema for n in SCHEMAS}, [("nation", "IN_REGION", "region")])
+    assert text.endswith("- (nation)-[IN_REGION]->(region)")
+    lines = [(n, next(x for x in text.split("\n") if x.startswith(f"- {n}: "))) for n in SCHEMAS]
+    return spark.createDataFrame(lines, "label string, line string")

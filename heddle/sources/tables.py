@@ -238,6 +238,33 @@ def schema_text(schemas: dict[str, T.StructType], edges: list[tuple[str, str, st
     return "\n".join(lines)
 
 
+class Versioned:
+    """Results kept by name for as long as the version they were made of is the current one, and no
+    longer than ``seconds``; a new version or a late call makes them anew."""
+
+    def __init__(self, seconds: float, clock: Callable[[], float] | None = None):
+        import time
+
+        self.seconds, self.clock = seconds, clock or time.monotonic
+        self.kept: dict[str, tuple[object, float, object]] = {}
+
+    def get(self, name: str, version: object, make: Callable[[], object]) -> object:
+        held = self.kept.get(name)
+        if held is None or held[0] != version or self.clock() - held[1] > self.seconds:
+            held = self.kept[name] = (version, self.clock(), make())
+        return held[2]
+
+
+def index_summary(occurrences: DataFrame) -> DataFrame:
+    """Totals of a code index's occurrences (path, symbol, roles as bits): definitions, references,
+    imports, local symbols and symbols of each package."""
+    from heddle.functions.text import index_symbol
+
+    bit = lambda n: F.count_if(F.col("roles").bitwiseAND(n) != 0)
+    of = occurrences.withColumn("_s", index_symbol(F.col("symbol")))
+    return of.groupBy(F.coalesce("_s.package", "_s.scheme").alias("package")).agg(F.count("*").alias("occurrences"), bit(1).alias("definitions"), F.count_if(F.col("roles").bitwiseAND(1) == 0).alias("references"), bit(2).alias("imports"), F.countDistinct("symbol").alias("symbols"))
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, size and sha of every file of a snapshot."""
     return source_files(spark, root).select("path", "size", "sha")
