@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Candidates of each list that a search for k results ranks: so many times k, and so many at least.
+DEEP, LEAST_DEEP = 50, 500
+
+
 def ranked(df: DataFrame, score: str, key: str, rank: str = "rank") -> DataFrame:
     return df.withColumn(rank, F.row_number().over(W.orderBy(F.desc(score), key)))
 

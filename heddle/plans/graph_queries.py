@@ -79,7 +79,8 @@ def q_file_list(spark, sf_dir):
     return files.orderBy("path").limit(40).join(F.broadcast(total), how="cross")  # one row
 
 
-@R.query(f"""WITH {SQL_EDGES}, e AS (SELECT *, row_number() OVER (ORDER BY rel, src, dst) AS i FROM (SELECT rel, src, dst FROM edges WHERE rel IN ('IN_REGION', 'PLACED') ORDER BY rel, src, dst LIMIT 200)),
+@R.query(f"""WITH {SQL_EDGES}, e AS (SELECT *, row_number() OVER (ORDER BY rel, src, dst) AS i FROM (SELECT rel, src, dst FROM edges WHERE rel IN ('IN_REGION', 'PLACED')
+ORDER BY rel, src, dst LIMIT 200)),
 f AS (SELECT id, min(p) AS p FROM (SELECT src AS id, 2 * i AS p FROM e UNION ALL SELECT dst, 2 * i + 1 FROM e) GROUP BY id ORDER BY 2 LIMIT 40)
 SELECT rel, src, dst FROM e WHERE src IN (SELECT id FROM f) AND dst IN (SELECT id FROM f)""")
 def q_overview(spark, sf_dir):
@@ -95,7 +96,8 @@ def q_bfs_depth(spark, sf_dir):
     return graph.breadth_first(trade.edges(spark, sf_dir), values(spark, [(x,) for x in SEEDS], "qualified_name string"), 3)
 
 
-@R.query(f"""{BFS}, c AS (SELECT DISTINCT src FROM (SELECT src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM (SELECT DISTINCT src, dst FROM edges JOIN d ON dst = d.qualified_name)) WHERE k <= 3),
+@R.query(f"""{BFS}, c AS (SELECT DISTINCT src FROM (SELECT src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM (SELECT DISTINCT src, dst FROM edges JOIN d ON dst = d.qualified_name))
+WHERE k <= 3),
 f AS (SELECT qualified_name, depth FROM d UNION ALL SELECT src, 1 FROM c WHERE src NOT IN (SELECT qualified_name FROM d)),
 h1 AS (SELECT DISTINCT dst, 1 AS depth FROM edges JOIN f ON src = f.qualified_name WHERE dst NOT IN (SELECT qualified_name FROM f)),
 k1 AS (SELECT * FROM f UNION ALL SELECT * FROM h1),
@@ -142,7 +144,8 @@ SCORES = [("star.Customer.1", 0.9), ("star.Customer.4", 0.6)]
 
 @R.query(f"""WITH {SQL_EDGES}, s AS (SELECT * FROM {sql_values(SCORES, 'q, score')}), fl AS (SELECT min(score) AS f FROM s),
 l1 AS (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM edges JOIN s ON src = q, fl WHERE dst NOT IN (SELECT q FROM s) GROUP BY dst),
-l2 AS (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM edges JOIN (SELECT * FROM s UNION ALL SELECT * FROM l1) u ON src = u.q, fl WHERE dst NOT IN (SELECT q FROM s) AND dst NOT IN (SELECT q FROM l1) GROUP BY dst)
+l2 AS (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM edges JOIN (SELECT * FROM s UNION ALL SELECT * FROM l1) u ON src = u.q, fl WHERE dst NOT IN (SELECT q
+FROM s) AND dst NOT IN (SELECT q FROM l1) GROUP BY dst)
 SELECT q AS qualified_name, round(CAST(score AS DOUBLE), 4) AS score FROM (SELECT * FROM s UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)""")
 def q_score_propagation(spark, sf_dir):
     e = trade.edges(spark, sf_dir)

@@ -21,8 +21,6 @@ INTENT_SETTINGS = {
     "howto": {"k": 15, "depth": 3, "module_limit": 20, "entrypoint_limit": 10, "caller_cap": 0, "lexical_limit": 0, "snippet_cap": 0, "exclude_tests": False},
     "design": {"k": 12, "depth": 2, "module_limit": 15, "entrypoint_limit": 0, "caller_cap": 3, "lexical_limit": 6, "snippet_cap": 2000, "exclude_tests": True},
 }
-#: Over-fetch of a search for k results.
-DEEP, LEAST_DEEP = 50, 500
 #: Tokens of a bundle.
 BUDGET = 12_000
 SUMMARY = r"::summary$"
@@ -49,7 +47,7 @@ def semantic(store: Store, query_vector: list[float], terms: list[str], k: int,
     fifty; ``pin_final`` keeps names that match ``name`` first.
     """
     k = max(1, min(100, k))
-    deep = max(DEEP * k, LEAST_DEEP)
+    deep = max(rank.DEEP * k, rank.LEAST_DEEP)
     found = vector.top_k(store.embeddings, query_vector, deep, key="qualified_name")
     clean = rank.folded(found.where(~is_noise(F.col("qualified_name"))), folded_card(F.col("qualified_name")), "qualified_name")
     fused = rank.linear_fusion(clean, store.ranks, "qualified_name").select("qualified_name", F.col("fused").alias("score"))

@@ -10,7 +10,7 @@ from heddle.operators import graph, lexical, rank, vector
 from heddle.plans import search, trade
 from heddle.plans.registry import Registry, quoted, scratch_folder, sql_array, sql_values, table, values
 from heddle.plans.text_queries import BM25, COS, SEED, TERMS, seed_vector
-from heddle.plans.trade import SQL_EDGES, SQL_NODES, SQL_TRADES
+from heddle.plans.trade import SQL_NODES, SQL_TRADES
 
 R = Registry()
 
@@ -78,7 +78,8 @@ TASK = "Explain how the small widgets and red rings of the economy type work"
 WORDS = ["small", "widgets", "widget", "rings", "ring", "economy", "type"]
 MODULES = f"""k AS (SELECT {sql_array(WORDS)} AS k), m AS (SELECT DISTINCT module AS m FROM code),
 h AS (SELECT m, len(list_filter(k, lambda x: contains(string_split(m, '.')[-1], x) OR contains(m, '.' || x))) AS hits, len(list_filter(k, lambda x: contains(m, x))) AS b FROM m, k),
-o AS (SELECT q, m, CASE WHEN b >= 2 THEN b ELSE 0 END AS b FROM code JOIN h ON m = module WHERE hits > 0 AND NOT regexp_matches(name, '^(anonymous_|iife_arrow_)') AND NOT contains(m, '.test') AND NOT contains(m, 'tests.')),
+o AS (SELECT q, m, CASE WHEN b >= 2 THEN b ELSE 0 END AS b FROM code JOIN h ON m = module
+WHERE hits > 0 AND NOT regexp_matches(name, '^(anonymous_|iife_arrow_)') AND NOT contains(m, '.test') AND NOT contains(m, 'tests.')),
 f1 AS (SELECT * FROM o WHERE NOT contains(m, '.web.') ORDER BY q LIMIT 100), f2 AS (SELECT * FROM o ORDER BY q LIMIT 100),
 d1 AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY q) AS slot FROM f1), d2 AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY q) AS slot FROM f2),
 e1 AS (SELECT q, 0 AS leg, row_number() OVER (ORDER BY slot, b DESC, CASE WHEN b > 0 THEN length(m) ELSE 0 END, m) AS i FROM d1 WHERE slot <= 5 QUALIFY i <= 25),
@@ -118,7 +119,8 @@ def code_hits(spark, sf_dir):
 
 
 CODE_HITS = "hits AS (SELECT q, path, row_number() OVER (ORDER BY p_retailprice DESC, q) AS rank FROM code JOIN part ON p_partkey = CAST(regexp_extract(name, '([0-9]+)$', 1) AS BIGINT) QUALIFY rank <= 200)"
-LEXICAL = """l1 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank) AS f FROM hits), l2 AS (SELECT *, ends_with(path, '.md') AS md, row_number() OVER (PARTITION BY ends_with(path, '.md') ORDER BY rank) AS j FROM l1 WHERE f <= 2),
+LEXICAL = """l1 AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY rank) AS f FROM hits),
+l2 AS (SELECT *, ends_with(path, '.md') AS md, row_number() OVER (PARTITION BY ends_with(path, '.md') ORDER BY rank) AS j FROM l1 WHERE f <= 2),
 l3 AS (SELECT q, rank FROM l2 WHERE NOT md OR j <= 6 ORDER BY rank LIMIT 12),
 lex AS (SELECT q, row_number() OVER (ORDER BY rank, q) - 1 AS place FROM l3 WHERE NOT contains(lower(q), '.tests.') QUALIFY place < 6)"""
 
@@ -146,13 +148,17 @@ def seeds_sql(k: int, module_limit: int, lexical_limit: int) -> str:
     mods = MODULES.replace(sql_array(WORDS), sql_array(SEED_WORDS)).replace("LIMIT 100", f"LIMIT {4 * module_limit}").replace("<= 25", f"<= {module_limit}").replace("< 25", f"< {module_limit}")
     lex = LEXICAL.replace("j <= 6", f"j <= {lexical_limit}").replace("LIMIT 12", f"LIMIT {2 * lexical_limit}").replace("place < 6", f"place < {lexical_limit}")
     return f"""WITH RECURSIVE {CODE_NODES}, {CODE_HITS}, {RANKED}, {mods}, {lex},
-exact AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS place FROM (SELECT DISTINCT q FROM code WHERE name IN (SELECT unnest(regexp_extract_all({quoted(SEED_TASK)}, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) ORDER BY q LIMIT {2 * k})),
+exact AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS place FROM (SELECT DISTINCT q FROM code
+WHERE name IN (SELECT unnest(regexp_extract_all({quoted(SEED_TASK)}, '[A-Za-z_][A-Za-z0-9_]{{2,}}'))) ORDER BY q LIMIT {2 * k})),
 top AS (SELECT max(score) AS t, max(CASE WHEN rank = {max(k // 2 - 1, 0) + 1} THEN score END) AS mid FROM ranked),
-legs AS (SELECT 'exact' AS leg, q, place, t * 0.98 AS base FROM exact, top UNION ALL SELECT 'lexical', q, place, least(t * 0.975, mid * 1.0025) FROM lex, top UNION ALL SELECT 'module', q, place, least(t * 0.97, mid * 1.002) FROM mods, top),
-merged AS (SELECT q, max(score) * CASE WHEN contains(lower(q), '.tests.') THEN 0.4 ELSE 1 END AS score FROM (SELECT q, score FROM ranked WHERE rank <= {2 * k} UNION ALL SELECT q, base * (1 - place * 1e-4) FROM legs) GROUP BY q),
+legs AS (SELECT 'exact' AS leg, q, place, t * 0.98 AS base FROM exact, top UNION ALL SELECT 'lexical', q, place, least(t * 0.975, mid * 1.0025) FROM lex, top
+UNION ALL SELECT 'module', q, place, least(t * 0.97, mid * 1.002) FROM mods, top),
+merged AS (SELECT q, max(score) * CASE WHEN contains(lower(q), '.tests.') THEN 0.4 ELSE 1 END AS score FROM (SELECT q, score FROM ranked WHERE rank <= {2 * k}
+UNION ALL SELECT q, base * (1 - place * 1e-4) FROM legs) GROUP BY q),
 cap AS (SELECT least(greatest({k}, (SELECT count(*) FROM legs)), {2 * k}) AS cap, (SELECT count(*) FROM mods) AS boosts),
 sure AS (SELECT q FROM lex UNION SELECT q FROM mods, cap WHERE place < least(boosts, greatest(cap // 3, 6))),
-head AS (SELECT q, score FROM merged WHERE q NOT IN (SELECT q FROM sure) QUALIFY row_number() OVER (ORDER BY score DESC, q) <= (SELECT least(cap, greatest({2 * k} - (SELECT count(*) FROM sure), 1)) FROM cap)),
+head AS (SELECT q, score FROM merged WHERE q NOT IN (SELECT q FROM sure) QUALIFY row_number() OVER (ORDER BY score DESC, q) <= (SELECT least(cap, greatest({2 * k} - (SELECT count(*)
+FROM sure), 1)) FROM cap)),
 seeds AS MATERIALIZED (SELECT q, score, 0 AS part FROM head UNION ALL SELECT q, score, 1 FROM merged WHERE q IN (SELECT q FROM sure))"""
 
 
@@ -183,7 +189,8 @@ def budget_sql(budget: int) -> str:
     """From sym(bundle, q, depth, score, cost): kept(bundle, q)."""
     return f"""lay AS (SELECT bundle, depth, sum(sum(cost)) OVER (PARTITION BY bundle ORDER BY depth) AS upto FROM sym GROUP BY bundle, depth),
 deep AS (SELECT bundle, coalesce(max(depth) FILTER (upto <= {budget}), 0) AS d, coalesce(bool_or(depth = 0 AND upto > {budget}), false) AS over FROM lay GROUP BY bundle),
-shrt AS (SELECT bundle, q, cost FROM (SELECT s.bundle, s.q, s.cost, sum(s.cost) OVER (PARTITION BY s.bundle ORDER BY length(s.q), s.q DESC ROWS UNBOUNDED PRECEDING) AS upto FROM sym s JOIN deep USING (bundle) WHERE over AND s.depth = 0) WHERE upto <= {budget}),
+shrt AS (SELECT bundle, q, cost FROM (SELECT s.bundle, s.q, s.cost, sum(s.cost) OVER (PARTITION BY s.bundle ORDER BY length(s.q), s.q DESC ROWS UNBOUNDED PRECEDING) AS upto FROM sym s
+JOIN deep USING (bundle) WHERE over AND s.depth = 0) WHERE upto <= {budget}),
 first AS MATERIALIZED (SELECT s.bundle, s.q, s.cost FROM sym s JOIN deep USING (bundle) WHERE NOT over AND depth <= d UNION ALL SELECT * FROM shrt),
 rooms AS MATERIALIZED (SELECT bundle, {budget} - coalesce((SELECT sum(cost) FROM first f WHERE f.bundle = d.bundle), 0) AS room FROM deep d),
 gone AS (SELECT s.* FROM sym s WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.bundle = s.bundle AND f.q = s.q)), {REFILL},
@@ -191,17 +198,23 @@ kept AS (SELECT bundle, q FROM first UNION ALL SELECT bundle, q FROM fill WHERE
 
 
 @R.query(seeds_sql(12, 15, 6) + f""", {CODE_EDGES},
-up AS (SELECT DISTINCT src AS q FROM (SELECT src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM ce WHERE dst IN (SELECT q FROM seeds) AND NOT {IS_TEST.format('src')}) WHERE k <= 3),
+up AS (SELECT DISTINCT src AS q FROM (SELECT src, row_number() OVER (PARTITION BY dst ORDER BY src) AS k FROM ce WHERE dst IN (SELECT q FROM seeds) AND NOT {IS_TEST.format('src')})
+WHERE k <= 3),
 z0 AS MATERIALIZED (SELECT q, 0 AS depth FROM seeds), z1 AS MATERIALIZED (SELECT q, 1 AS depth FROM up WHERE q NOT IN (SELECT q FROM z0)),
-h1 AS MATERIALIZED (SELECT DISTINCT dst AS q, 1 AS depth FROM ce WHERE src IN (SELECT q FROM z0 UNION ALL SELECT q FROM z1) AND dst NOT IN (SELECT q FROM z0 UNION ALL SELECT q FROM z1) AND NOT {IS_TEST.format('dst')}),
-h2 AS MATERIALIZED (SELECT DISTINCT dst AS q, 2 AS depth FROM ce WHERE src IN (SELECT q FROM h1) AND dst NOT IN (SELECT q FROM z0 UNION ALL SELECT q FROM z1 UNION ALL SELECT q FROM h1) AND NOT {IS_TEST.format('dst')}),
+h1 AS MATERIALIZED (SELECT DISTINCT dst AS q, 1 AS depth FROM ce WHERE src IN (SELECT q FROM z0 UNION ALL SELECT q FROM z1) AND dst NOT IN (SELECT q FROM z0 UNION ALL SELECT q
+FROM z1) AND NOT {IS_TEST.format('dst')}),
+h2 AS MATERIALIZED (SELECT DISTINCT dst AS q, 2 AS depth FROM ce WHERE src IN (SELECT q FROM h1) AND dst NOT IN (SELECT q FROM z0 UNION ALL SELECT q FROM z1 UNION ALL SELECT q
+FROM h1) AND NOT {IS_TEST.format('dst')}),
 reach AS MATERIALIZED (SELECT * FROM z0 UNION ALL SELECT * FROM z1 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2),
 fl AS (SELECT min(score) AS f FROM seeds),
-p1 AS MATERIALIZED (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM ce JOIN seeds ON src = seeds.q, fl WHERE dst IN (SELECT q FROM reach WHERE depth = 1) GROUP BY dst),
-p2 AS MATERIALIZED (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM ce JOIN (SELECT q, score FROM seeds UNION ALL SELECT q, score FROM p1) u ON src = u.q, fl WHERE dst IN (SELECT q FROM reach WHERE depth = 2) GROUP BY dst),
+p1 AS MATERIALIZED (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM ce JOIN seeds ON src = seeds.q, fl WHERE dst IN (SELECT q FROM reach WHERE depth = 1)
+GROUP BY dst),
+p2 AS MATERIALIZED (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM ce JOIN (SELECT q, score FROM seeds UNION ALL SELECT q, score
+FROM p1) u ON src = u.q, fl WHERE dst IN (SELECT q FROM reach WHERE depth = 2) GROUP BY dst),
 scores AS (SELECT q, score FROM seeds UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2),
 src AS (SELECT q, 30 * k AS n FROM ck),
-sym AS MATERIALIZED (SELECT 0 AS bundle, r.q, r.depth, coalesce(score, 0) AS score, (least(coalesce(n, 0), 2000) + length(r.q)) // 4 + 1 AS cost FROM reach r LEFT JOIN scores USING (q) LEFT JOIN src USING (q)),
+sym AS MATERIALIZED (SELECT 0 AS bundle, r.q, r.depth, coalesce(score, 0) AS score, (least(coalesce(n, 0), 2000) + length(r.q)) // 4 + 1 AS cost FROM reach r LEFT JOIN scores USING (q)
+LEFT JOIN src USING (q)),
 {budget_sql(12_000)}
 SELECT q AS qualified_name, CAST(depth AS INTEGER) AS depth, round(score, 6) AS score, CAST(cost AS BIGINT) AS cost, q IN (SELECT q FROM kept) AS kept FROM sym""")
 def q_context_bundle(spark, sf_dir):
@@ -237,11 +250,14 @@ def q_intent_settings(spark, sf_dir):
 TOKENS = "list_transform(regexp_extract_all(translate(coalesce({0}, ''), '._', '  '), '[A-Za-z][A-Za-z0-9]+'), lambda x: lower(x))"
 
 
-@R.query(f"""WITH f AS (SELECT doc_id, 'text' AS field, {TOKENS.format('text')} AS t FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'source', {TOKENS.format('source')} FROM documents WHERE lang = 'en'),
+@R.query(f"""WITH f AS (SELECT doc_id, 'text' AS field, {TOKENS.format('text')} AS t FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 'source', {TOKENS.format('source')} FROM documents
+WHERE lang = 'en'),
 n AS (SELECT field, count(*) AS n, avg(len(t)) AS a FROM f GROUP BY field),
-p AS (SELECT doc_id, field, term, len(t) AS dl, len(list_filter(t, lambda x: x = term)) AS tf FROM f, (SELECT unnest({sql_array(["the", "thea", "ther", "ci", "nes", "heitver", "licensed", "src1"])}) AS term)),
+p AS (SELECT doc_id, field, term, len(t) AS dl, len(list_filter(t, lambda x: x = term)) AS tf
+FROM f, (SELECT unnest({sql_array(["the", "thea", "ther", "ci", "nes", "heitver", "licensed", "src1"])}) AS term)),
 d AS (SELECT field, term, count(*) AS df FROM p WHERE tf > 0 GROUP BY ALL)
-SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score FROM p JOIN d USING (field, term) JOIN n USING (field) WHERE tf > 0 GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, doc_id LIMIT 50""")
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score FROM p JOIN d USING (field, term) JOIN n USING (field)
+WHERE tf > 0 GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, doc_id LIMIT 50""")
 def q_index_search(spark, sf_dir):
     """A stored index, built of some documents and added to, searched for one repository."""
     path = scratch_folder(spark, "index")
@@ -268,7 +284,8 @@ def q_central(spark, sf_dir):
     return top.select("qualified_name", F.round("pagerank", 4).alias("pagerank"), "file_path", "start_line", "end_line")
 
 
-@R.query("""WITH t AS (SELECT o_custkey AS k, count(*) AS n, '2023-11-' || lpad(CAST(1 + o_custkey % 28 AS VARCHAR), 2, '0') AS day FROM orders GROUP BY o_custkey ORDER BY n DESC, 'c' || o_custkey LIMIT 25)
+@R.query("""WITH t AS (SELECT o_custkey AS k, count(*) AS n, '2023-11-' || lpad(CAST(1 + o_custkey % 28 AS VARCHAR), 2, '0') AS day FROM orders GROUP BY o_custkey
+ORDER BY n DESC, 'c' || o_custkey LIMIT 25)
 SELECT k, c_name AS name, CAST(n AS BIGINT) AS n, day, (SELECT max(day) FROM t) AS last_computed FROM t JOIN customer ON c_custkey = k""")
 def q_central_latest(spark, sf_dir):
     """The latest time of the rows shown, not of all."""
@@ -299,7 +316,8 @@ def q_guard_statements(spark, sf_dir):
 
 @R.query(f"""WITH t AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'MATCH (n) SET n.x = 1 RETURN n' WHEN 1 THEN 'MATCH (n) WHERE n.url = ''' || url || ''' RETURN n.a AS one, n.b AS two' WHEN 2 THEN 'CREATE /* x */ INDEX ON :A(b)'
 WHEN 3 THEN 'MATCH (n) WHERE n.x = "DELETE me" RETURN n' WHEN 4 THEN 'LOAD // c' || chr(10) || ' CSV FROM ''' || url || '''' WHEN 5 THEN 'MATCH (reset) RETURN reset.settings AS offset' ELSE 'call x() yield y' END AS q FROM pages)
-SELECT page_id, regexp_matches(regexp_replace(q, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"', '''''', 'g'), {quoted(P.WRITES)}) AS writes, regexp_matches(q, {quoted(P.GENERATED_WRITES)}) AS generated_writes FROM t""")
+SELECT page_id, regexp_matches(regexp_replace(q, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"', '''''', 'g'),
+{quoted(P.WRITES)}) AS writes, regexp_matches(q, {quoted(P.GENERATED_WRITES)}) AS generated_writes FROM t""")
 def q_write_words(spark, sf_dir):
     url, m = F.col("url"), F.col("page_id") % 7
     q = (

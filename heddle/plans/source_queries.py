@@ -68,16 +68,21 @@ MODULES = "m AS MATERIALIZED (SELECT p_partkey AS k, 'pkg' || (p_size % 5) AS f,
 
 @R.query(f"""WITH {MODULES}
 SELECT 'Class' AS kind, m || '.C' || k AS qualified_name, m AS parent, 7 AS start_line, 17 AS end_line, 'Class ' || k || '.' AS docstring, '' AS decorators, false AS is_async, false AS is_generator FROM m
-UNION ALL SELECT 'Method', m || '.C' || k || '.s', m || '.C' || k, 11, 13, NULL, 'staticmethod', false, false FROM m UNION ALL SELECT 'Method', m || '.C' || k || '.a', m || '.C' || k, 15, 17, NULL, '', true, true FROM m
-UNION ALL SELECT 'Function', m || '.f' || k, m, 20, 25, NULL, '', false, false FROM m UNION ALL SELECT 'Class', m || '.Other', m, 28, 29, NULL, '', false, false FROM m UNION ALL SELECT 'Method', m || '.Other.go', m || '.Other', 29, 29, NULL, '', false, false FROM m
-UNION ALL SELECT 'Module', m, NULL, 0, 0, 'Doc of ' || k || '.', 'C' || k || ',f' || k || ',Other', false, false FROM m UNION ALL SELECT 'Module', 'proj.' || f, NULL, 0, 0, NULL, 'C' || min(k), false, false FROM m GROUP BY f""")
+UNION ALL SELECT 'Method', m || '.C' || k || '.s', m || '.C' || k, 11, 13, NULL, 'staticmethod', false, false FROM m
+UNION ALL SELECT 'Method', m || '.C' || k || '.a', m || '.C' || k, 15, 17, NULL, '', true, true FROM m
+UNION ALL SELECT 'Function', m || '.f' || k, m, 20, 25, NULL, '', false, false FROM m UNION ALL SELECT 'Class', m || '.Other', m, 28, 29, NULL, '', false, false FROM m
+UNION ALL SELECT 'Method', m || '.Other.go', m || '.Other', 29, 29, NULL, '', false, false FROM m
+UNION ALL SELECT 'Module', m, NULL, 0, 0, 'Doc of ' || k || '.', 'C' || k || ',f' || k || ',Other', false, false FROM m
+UNION ALL SELECT 'Module', 'proj.' || f, NULL, 0, 0, NULL, 'C' || min(k), false, false FROM m GROUP BY f""")
 def q_python_symbols(spark, sf_dir):
     rows = python_source.parsed(python_files(spark, sf_dir), "proj").where("kind IN ('Class', 'Method', 'Function', 'Module')")
     return rows.select("kind", "qualified_name", "parent", F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"), "docstring", F.array_join("decorators", ",").alias("decorators"), F.coalesce("is_async", F.lit(False)).alias("is_async"), F.coalesce("is_generator", F.lit(False)).alias("is_generator"))
 
 
 @R.query(f"""WITH {MODULES} SELECT m AS module, unnest(['base', 'g', 'p']) AS name, unnest(['proj.' || f || '.base', 'proj.pkg0.m0.f0', 'os.path']) AS target, 'import' AS kind FROM m
-UNION ALL SELECT 'proj.' || f, unnest(['C' || k, 'renamed', '*', 'C' || k, '*']), unnest(['proj.' || f || '.m' || k || '.C' || k, 'proj.' || f || '.m' || k || '.f' || k, 'proj.' || f || '.base', 'proj.' || f || '.m' || k || '.C' || k, 'proj.' || f || '.base']), unnest(['import', 'import', 'import', 're_export', 're_export']) FROM (SELECT f, min(k) AS k FROM m GROUP BY f)""")
+UNION ALL SELECT 'proj.' || f, unnest(['C' || k, 'renamed', '*', 'C' || k, '*']),
+unnest(['proj.' || f || '.m' || k || '.C' || k, 'proj.' || f || '.m' || k || '.f' || k, 'proj.' || f || '.base', 'proj.' || f || '.m' || k || '.C' || k, 'proj.' || f || '.base']),
+unnest(['import', 'import', 'import', 're_export', 're_export']) FROM (SELECT f, min(k) AS k FROM m GROUP BY f)""")
 def q_python_imports(spark, sf_dir):
     rows = python_source.parsed(python_files(spark, sf_dir), "proj")
     a = python_source.imports(rows).select("module", F.col("alias").alias("name"), "target", F.lit("import").alias("kind"))
@@ -92,7 +97,8 @@ def q_python_calls(spark, sf_dir):
 
 
 @R.query(f"""WITH {MODULES} SELECT m || '.C' || k || '.s' AS caller, 'x' AS variable, m || '.Other' AS class FROM m UNION ALL SELECT m || '.f' || k, unnest(['c', 'z']), m || '.C' || k FROM m
-UNION ALL SELECT 'returns', m || '.C' || k || '.s', m || '.C' || k FROM m UNION ALL SELECT 'returns', m || '.C' || k, m || '.C' || k FROM m UNION ALL SELECT 'returns', m || '.Other', m || '.Other' FROM m""")
+UNION ALL SELECT 'returns', m || '.C' || k || '.s', m || '.C' || k FROM m UNION ALL SELECT 'returns', m || '.C' || k, m || '.C' || k FROM m
+UNION ALL SELECT 'returns', m || '.Other', m || '.Other' FROM m""")
 def q_python_types(spark, sf_dir):
     rows = python_source.parsed(python_files(spark, sf_dir), "proj")
     gives = python_source.returned(rows).select(F.lit("returns").alias("caller"), F.col("qualified_name").alias("variable"), "class")
@@ -164,7 +170,8 @@ def q_standard_modules(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", name.alias("name"), docstrings.standard_module(name).alias("module"))
 
 
-@R.query("""WITH s AS (SELECT p_partkey AS k, md5(p_name) AS h FROM part WHERE p_size > 20), n AS (SELECT p_partkey AS k, CASE WHEN p_brand = 'Brand#3' THEN md5(p_name || '!') ELSE md5(p_name) END AS h, p_name FROM part)
+@R.query("""WITH s AS (SELECT p_partkey AS k, md5(p_name) AS h FROM part WHERE p_size > 20),
+n AS (SELECT p_partkey AS k, CASE WHEN p_brand = 'Brand#3' THEN md5(p_name || '!') ELSE md5(p_name) END AS h, p_name FROM part)
 SELECT n.k, CASE WHEN s.h = n.h THEN 'kept' ELSE 'card of ' || p_name END AS card FROM n LEFT JOIN s USING (k)""")
 def q_cards(spark, sf_dir):
     """Cards written anew only where a symbol's source has changed."""
@@ -197,11 +204,13 @@ UNION ALL SELECT id, s.q, 4, 'exact', 1.0, 0 FROM c JOIN s ON s.c = c.m || '.C2'
 UNION ALL SELECT id, s.q, 5, 'wildcard', 0.5, 0 FROM c JOIN star ON star.m = c.m JOIN s ON s.m = star.t AND s.n = c.n
 UNION ALL SELECT id, s.q, 6, 'exact', 1.0, 0 FROM c JOIN s ON s.m = c.m AND s.n = c.n AND s.c IS NULL
 UNION ALL SELECT id, s.q, 7, 'heuristic', 0.6, 0 FROM c JOIN s ON s.c = c.m || '.C1' AND s.n = c.t WHERE c.n LIKE 'C1().%'),
-near AS (SELECT id, s.q, 8 AS r, 'heuristic' AS via, 0.6 AS conf, len(string_split(s.q, '.')) - CASE WHEN s.m = c.m THEN 2 ELSE 1 END - 1 AS d FROM c JOIN s ON s.n = string_split(c.n, '.')[-1] WHERE id NOT IN (SELECT id FROM leg)),
+near AS (SELECT id, s.q, 8 AS r, 'heuristic' AS via, 0.6 AS conf, len(string_split(s.q, '.')) - CASE WHEN s.m = c.m THEN 2 ELSE 1 END - 1 AS d FROM c
+JOIN s ON s.n = string_split(c.n, '.')[-1] WHERE id NOT IN (SELECT id FROM leg)),
 al AS (SELECT * FROM leg UNION ALL SELECT * FROM near UNION ALL SELECT id, 'builtins.print', 9, 'exact', 1.0, 0 FROM c WHERE n = 'print'),
 best AS (SELECT id, q, via, conf FROM al QUALIFY row_number() OVER (PARTITION BY id ORDER BY r, conf DESC, d, q) = 1),
 reb AS (SELECT DISTINCT q AS o, m || '.f0' AS n FROM s WHERE n = 'm3' AND c LIKE '%C1')
-SELECT c.id, c.n AS call_name, coalesce(reb.n, best.q) AS callee, CASE WHEN reb.n IS NOT NULL THEN 'rebound' ELSE via END AS resolved_via, CAST(conf AS DOUBLE) AS confidence FROM c LEFT JOIN best USING (id) LEFT JOIN reb ON reb.o = best.q""")
+SELECT c.id, c.n AS call_name, coalesce(reb.n, best.q) AS callee, CASE WHEN reb.n IS NOT NULL THEN 'rebound' ELSE via END AS resolved_via, CAST(conf AS DOUBLE) AS confidence FROM c
+LEFT JOIN best USING (id) LEFT JOIN reb ON reb.o = best.q""")
 def q_resolve(spark, sf_dir):
     s = lambda x: x.cast("string")
     part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
@@ -232,8 +241,10 @@ def q_resolve(spark, sf_dir):
 
 @R.query("""WITH RECURSIVE x AS (SELECT 'pkg' || p_partkey AS m, CASE WHEN p_partkey % 4 = 0 THEN '*' ELSE 'h' END AS s, CASE WHEN p_partkey % 4 = 0 THEN 'pkg' || (p_partkey // 2) ELSE 'pkg' || (p_partkey // 3) || '.h' END AS t FROM part WHERE p_partkey > 0), k AS (SELECT 'pkg' || p_partkey || '.h' AS q FROM part WHERE p_size % 9 = 0 OR p_partkey < 2),
 r AS (SELECT m || '.h' AS start, m || '.h' AS now, [m || '.h'] AS path, false AS wild, 0 AS hops FROM x UNION ALL
-SELECT r.start, CASE WHEN x.s = '*' THEN x.t || '.h' ELSE x.t END, list_append(r.path, CASE WHEN x.s = '*' THEN x.t || '.h' ELSE x.t END), r.wild OR x.s = '*', r.hops + 1 FROM r JOIN x ON x.m || '.h' = r.now WHERE r.hops < 16 AND NOT list_contains(r.path, CASE WHEN x.s = '*' THEN x.t || '.h' ELSE x.t END))
-SELECT start, now AS target, wild AS via_wildcard, CAST(hops AS INTEGER) AS hops FROM r JOIN k ON now = q WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY wild, hops, now) = 1""")
+SELECT r.start, CASE WHEN x.s = '*' THEN x.t || '.h' ELSE x.t END, list_append(r.path, CASE WHEN x.s = '*' THEN x.t || '.h' ELSE x.t END), r.wild OR x.s = '*', r.hops + 1 FROM r
+JOIN x ON x.m || '.h' = r.now WHERE r.hops < 16 AND NOT list_contains(r.path, CASE WHEN x.s = '*' THEN x.t || '.h' ELSE x.t END))
+SELECT start, now AS target, wild AS via_wildcard, CAST(hops AS INTEGER) AS hops FROM r JOIN k ON now = q WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start
+ORDER BY wild, hops, now) = 1""")
 def q_reexport(spark, sf_dir):
     k = F.col("p_partkey")
     name = lambda x: F.concat(F.lit("pkg"), x.cast("string"))
@@ -244,9 +255,12 @@ def q_reexport(spark, sf_dir):
     return resolve.re_exports(starts, exports, symbols)
 
 
-@R.query("""WITH RECURSIVE p AS (SELECT 'K' || p_partkey AS c, 'K' || (p_partkey // 2) AS parent, 0 AS pos FROM part WHERE p_partkey > 1 UNION ALL SELECT 'K' || p_partkey, 'K' || (p_partkey // 5), 1 FROM part WHERE p_partkey > 9), m AS (SELECT 'K' || p_partkey AS c, 'm' || (p_size % 4) AS method FROM part),
-a AS (SELECT c, parent AS anc, 1 AS depth, [pos] AS pos FROM p UNION ALL SELECT a.c, p.parent, depth + 1, list_append(a.pos, p.pos) FROM a JOIN p ON p.c = a.anc WHERE depth < 12 AND a.c <> p.parent)
-SELECT m.c AS class, m.method, x.c AS ancestor FROM m JOIN a ON a.c = m.c JOIN m x ON x.c = a.anc AND x.method = m.method QUALIFY row_number() OVER (PARTITION BY m.c, m.method ORDER BY depth, a.pos, x.c) = 1""")
+@R.query("""WITH RECURSIVE p AS (SELECT 'K' || p_partkey AS c, 'K' || (p_partkey // 2) AS parent, 0 AS pos FROM part WHERE p_partkey > 1 UNION ALL SELECT 'K' || p_partkey, 'K' || (p_partkey // 5),
+1 FROM part WHERE p_partkey > 9), m AS (SELECT 'K' || p_partkey AS c, 'm' || (p_size % 4) AS method FROM part),
+a AS (SELECT c, parent AS anc, 1 AS depth, [pos] AS pos FROM p UNION ALL SELECT a.c, p.parent, depth + 1, list_append(a.pos, p.pos) FROM a JOIN p ON p.c = a.anc
+WHERE depth < 12 AND a.c <> p.parent)
+SELECT m.c AS class, m.method, x.c AS ancestor FROM m JOIN a ON a.c = m.c JOIN m x ON x.c = a.anc AND x.method = m.method QUALIFY row_number() OVER (PARTITION BY m.c, m.method
+ORDER BY depth, a.pos, x.c) = 1""")
 def q_override(spark, sf_dir):
     k = F.col("p_partkey")
     name = lambda x: F.concat(F.lit("K"), x.cast("string"))
@@ -296,12 +310,15 @@ def q_identities(spark, sf_dir):
 MARKDOWN = "'intro ' || doc_id || chr(10) || '# ' || lang || chr(10) || replace(text, '#', ' ') || chr(10) || '## Two words!' || chr(10) || 'x' || chr(10) || '# ' || lang || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '#### deep' END"
 
 
-@R.query(f"""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, {MARKDOWN} AS content FROM documents), l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS no, len(string_split(content, chr(10))) AS n FROM f),
+@R.query(f"""WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, {MARKDOWN} AS content FROM documents),
+l AS (SELECT path, unnest(string_split(content, chr(10))) AS line, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS no, len(string_split(content, chr(10))) AS n FROM f),
 h AS (SELECT path, no, n, regexp_extract(line, '^(#{{1,3}})\\s+(.*)$', 2) AS title FROM l WHERE regexp_matches(line, '^#{{1,3}}\\s+\\S')),
-s AS (SELECT path, no AS start_line, coalesce(lead(no) OVER (PARTITION BY path ORDER BY no) - 1, n) AS end_line, CASE WHEN slug = '' THEN 'section' ELSE slug END AS slug FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM h)),
+s AS (SELECT path, no AS start_line, coalesce(lead(no) OVER (PARTITION BY path ORDER BY no) - 1, n) AS end_line, CASE WHEN slug = '' THEN 'section' ELSE slug END AS slug
+FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM h)),
 k AS (SELECT *, row_number() OVER (PARTITION BY path, slug ORDER BY start_line) AS k FROM s),
 pre AS (SELECT l.path, 1 AS start_line, min(h.no) - 1 AS end_line, 'preamble' AS slug FROM l JOIN h ON l.path = h.path GROUP BY l.path HAVING min(h.no) > 1)
-SELECT path, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM k UNION ALL SELECT path, CAST(start_line AS INTEGER), CAST(end_line AS INTEGER), slug FROM pre""")
+SELECT path, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line, slug || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM k
+UNION ALL SELECT path, CAST(start_line AS INTEGER), CAST(end_line AS INTEGER), slug FROM pre""")
 def q_heading_chunks(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.expr(MARKDOWN).alias("content"))
     return chunks.heading_chunks(files, "path", "content").select("path", "start_line", "end_line", "slug")
@@ -399,8 +416,10 @@ def q_summary_snippets(spark, sf_dir):
     return search.summary_snippets(wanted, stored)
 
 
-@R.query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, q) AS rank FROM (SELECT 's' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '::module::summary' ELSE '' END AS q, c_acctbal AS score FROM customer) QUALIFY rank <= 100),
-k AS (SELECT *, sum(CASE WHEN ends_with(q, '::summary') THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS n FROM r) SELECT q AS qualified_name, score FROM k WHERE NOT ends_with(q, '::summary') OR n <= 4 ORDER BY rank LIMIT 24""")
+@R.query("""WITH r AS (SELECT *, row_number() OVER (ORDER BY score DESC, q) AS rank
+FROM (SELECT 's' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '::module::summary' ELSE '' END AS q, c_acctbal AS score FROM customer) QUALIFY rank <= 100),
+k AS (SELECT *, sum(CASE WHEN ends_with(q, '::summary') THEN 1 ELSE 0 END) OVER (ORDER BY rank) AS n FROM r) SELECT q AS qualified_name, score FROM k
+WHERE NOT ends_with(q, '::summary') OR n <= 4 ORDER BY rank LIMIT 24""")
 def q_summary_quota(spark, sf_dir):
     k = F.col("c_custkey")
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), k.cast("string"), F.when(k % 3 == 0, "::module::summary").otherwise("")).alias("qualified_name"), F.col("c_acctbal").alias("score"))

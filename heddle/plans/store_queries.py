@@ -9,8 +9,7 @@ from heddle.functions import text as T
 from heddle.operators import chunks, evaluation, graph, incremental, resolve, vector
 from heddle.plans import trade
 from heddle.plans.ledger_queries import SQL_LEDGER, ledger
-from heddle.plans.registry import Registry, quoted, scratch_folder, sql_array, sql_values, table, values
-from heddle.plans.text_queries import DOC_TOKENS
+from heddle.plans.registry import Registry, scratch_folder, sql_array, sql_values, table, values
 from heddle.plans.trade import SQL_EDGES, SQL_NODES
 from heddle.sources import manifests, python_source, tables
 
@@ -54,7 +53,8 @@ def q_deleted_count(spark, sf_dir):
     return left.agg(F.count("*").alias("left_")).select("left_", F.lit(gone).cast("long").alias("gone"), F.lit(unknown).cast("long").alias("unknown"))
 
 
-@R.query("""WITH t AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50), u AS (SELECT unnest(embedding) AS x, unnest(range(0, 64)) AS place FROM embeddings WHERE vec_id IN (SELECT doc_id FROM t))
+@R.query("""WITH t AS (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50), u AS (SELECT unnest(embedding) AS x, unnest(range(0, 64)) AS place FROM embeddings
+WHERE vec_id IN (SELECT doc_id FROM t))
 SELECT (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM t)) AS n, CAST(place AS INTEGER) AS place, round(avg(CAST(x AS DOUBLE)), 5) + 0.0 AS mean FROM u GROUP BY place""")
 def q_central_mean(spark, sf_dir):
     ranks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "n_chars")
@@ -69,7 +69,9 @@ def q_batch_outcome(spark, sf_dir):
     return vector.batch_outcome(d, "batch", expected).groupBy("batch", "outcome").agg(F.count("*").alias("n"))
 
 
-@R.query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN ' ' || chr(10) ELSE text END AS t FROM documents), k AS (SELECT doc_id, list_transform(regexp_extract_all(translate(t, '._', '  '), '[A-Za-z][A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM d WHERE trim(regexp_replace(coalesce(t, ''), '\\s+', ' ', 'g')) <> '')
+@R.query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN ' ' || chr(10) ELSE text END AS t FROM documents),
+k AS (SELECT doc_id, list_transform(regexp_extract_all(translate(t, '._', '  '), '[A-Za-z][A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM d WHERE trim(regexp_replace(coalesce(t, ''),
+'\\s+', ' ', 'g')) <> '')
 SELECT doc_id, CAST(len(w) AS DOUBLE) AS total, (SELECT count(*) FROM d WHERE t IS NULL) AS unreadable, (SELECT count(*) FROM d WHERE t = ' ' || chr(10)) AS blank FROM k""")
 def q_embed_run(spark, sf_dir):
     """Texts that can be read, embedded in batches by a function that fails at first, and what was left out."""
@@ -102,7 +104,8 @@ def q_to_embed(spark, sf_dir):
 
 
 @R.query("""WITH m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) OR lang = 'de' ORDER BY doc_id)
-SELECT doc_id, (SELECT count(*) FROM m) AS missing, (SELECT count(*) FROM m) = 0 OR 2 * (SELECT count(*) FROM documents) - 2 * (SELECT count(*) FROM m) >= (SELECT count(*) FROM documents) AS enough FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 10)""")
+SELECT doc_id, (SELECT count(*) FROM m) AS missing, (SELECT count(*) FROM m) = 0 OR 2 * (SELECT count(*) FROM documents) - 2 * (SELECT count(*) FROM m) >= (SELECT count(*)
+FROM documents) AS enough FROM (SELECT doc_id FROM m ORDER BY doc_id LIMIT 10)""")
 def q_missing_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")).join(d.where("lang <> 'de'"), "doc_id", "left_semi")
@@ -143,7 +146,8 @@ def q_merged_properties(spark, sf_dir):
     return merged.join(n, ["src", "rel"]).select("src", "rel", "n_writes", F.col("properties")["value"].cast("double").alias("value"), F.coalesce(F.col("properties")["fifth"].cast("long"), F.lit(-1)).alias("fifth"))
 
 
-@R.query(f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, r(q) AS (SELECT 'star.Customer.4' UNION SELECT dst FROM r JOIN edges ON src = q WHERE rel IN ('PLACED', 'CONTAINS')), s(q) AS (SELECT q FROM r UNION SELECT dst FROM s JOIN edges ON src = q WHERE rel = 'SUPPLIED_BY')
+@R.query(f"""WITH RECURSIVE {SQL_NODES}, {SQL_EDGES}, r(q) AS (SELECT 'star.Customer.4' UNION SELECT dst FROM r JOIN edges ON src = q WHERE rel IN ('PLACED', 'CONTAINS')), s(q) AS (SELECT q
+FROM r UNION SELECT dst FROM s JOIN edges ON src = q WHERE rel = 'SUPPLIED_BY')
 SELECT label, count(*) AS n FROM nodes WHERE qualified_name NOT IN (SELECT q FROM s) GROUP BY label""")
 def q_delete_project(spark, sf_dir):
     left = graph.without_project(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir), "star.Customer.4", ["PLACED", "CONTAINS"], ["SUPPLIED_BY"])
@@ -259,7 +263,9 @@ PATH = "CASE page_id % 8 WHEN 0 THEN 'src/node_modules/a.js' WHEN 1 THEN 'lib/ve
 @R.query(f"""WITH p AS (SELECT page_id, {PATH} AS path FROM pages), q AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[:-2] AS dirs FROM p)
 SELECT page_id, CASE WHEN ends_with(name, '.tmp') OR ends_with(name, '.o') OR list_contains(dirs, 'gen') OR starts_with(path, 'gen/') OR path = 'gen' THEN true WHEN regexp_matches(name, '^p1.*$') THEN false WHEN name = 'skip_me.py' THEN true
 WHEN starts_with(path, 'lib/vendor/keep/') THEN false ELSE list_has_any(dirs, {sql_array(P.IGNORED_NAMES)}) END AS skipped,
-CASE WHEN list_contains(dirs, 'gen') OR array_to_string(dirs, '/') = 'gen' OR starts_with(array_to_string(dirs, '/'), 'gen/') THEN true WHEN array_to_string(dirs, '/') = 'lib/vendor/keep' OR starts_with('lib/vendor/keep', array_to_string(dirs, '/') || '/') OR starts_with(array_to_string(dirs, '/'), 'lib/vendor/keep/') THEN false ELSE list_has_any(dirs, {sql_array(P.IGNORED_NAMES)}) END AS pruned FROM q""")
+CASE WHEN list_contains(dirs, 'gen') OR array_to_string(dirs, '/') = 'gen' OR starts_with(array_to_string(dirs, '/'),
+'gen/') THEN true WHEN array_to_string(dirs, '/') = 'lib/vendor/keep' OR starts_with('lib/vendor/keep', array_to_string(dirs, '/') || '/') OR starts_with(array_to_string(dirs, '/'),
+'lib/vendor/keep/') THEN false ELSE list_has_any(dirs, {sql_array(P.IGNORED_NAMES)}) END AS pruned FROM q""")
 def q_skipped_paths(spark, sf_dir):
     m, i = F.col("page_id") % 8, F.col("page_id").cast("string")
     path = F.when(m == 0, "src/node_modules/a.js").when(m == 1, "lib/vendor/keep/x.py").when(m == 2, "docs/a.tmp").when(m == 3, "gen/b.py").when(m == 4, "src/skip_me.py").when(m == 5, "build/out.o").when(m == 6, F.concat(F.lit("web/"), i, F.lit("/dist/z.ts"))).otherwise(F.concat(F.lit("src/p"), i, F.lit(".py")))
@@ -270,7 +276,8 @@ def q_skipped_paths(spark, sf_dir):
 
 
 @R.query("""SELECT doc_id, regexp_matches(name, '^\\w[\\w.]*\\w$') AND contains(name, '.') AS shaped, regexp_matches(name, '(^|\\.)anonymous_[0-9]+_[0-9]+(\\.|$)') OR (len(string_split(name, '.')) >= 2 AND string_split(name, '.')[-1] = string_split(name, '.')[-2])
-OR length(regexp_replace(text, '\\s', '', 'g')) < 150 OR len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) < 5 AS trivial, list_contains(tags, 'task') AS is_task, len(list_filter(tags, lambda d: lower(d) IN ('get', 'post'))) > 0 AS is_route, starts_with(name, 'a.') AS a, source IN ('src1', 'src2') AS one
+OR length(regexp_replace(text, '\\s', '', 'g')) < 150 OR len(list_filter(string_split(text, chr(10)),
+lambda x: trim(x) <> '')) < 5 AS trivial, list_contains(tags, 'task') AS is_task, len(list_filter(tags, lambda d: lower(d) IN ('get', 'post'))) > 0 AS is_route, starts_with(name, 'a.') AS a, source IN ('src1', 'src2') AS one
 FROM (SELECT doc_id, text, source, CASE doc_id % 4 WHEN 0 THEN 'a.b' || doc_id WHEN 1 THEN 'x y.z' WHEN 2 THEN 'm.run.run' ELSE 'a.anonymous_1_2' END AS name, CASE doc_id % 3 WHEN 0 THEN ['task'] WHEN 1 THEN ['GET', 'x'] ELSE [] END AS tags FROM documents)""")
 def q_name_filters(spark, sf_dir):
     m = F.col("doc_id") % 4
@@ -283,7 +290,8 @@ def q_name_filters(spark, sf_dir):
 
 @R.query("""WITH p AS (SELECT p_partkey AS k, p_name, p_brand, 'proj.' || lower(p_type) || '.m' || p_size AS module FROM part),
 t AS (SELECT *, p_brand || '::' || module AS crossed, 'r.' || module || '::module::summary' AS summary, p_name || ' >= 1.' || (k % 9) || ' ; x' AS req FROM p)
-SELECT k, crossed, contains(crossed, '::') AS is_cross, summary, lower(trim(regexp_replace('-' || p_name || '..X', '[-_.]+', '_', 'g'), '_')) AS py, sha1(substring(repeat(p_name, 900), 1, 4096)) AS hash, sha256(p_name) AS file_hash, length(p_name || module) // 4 AS tokens,
+SELECT k, crossed, contains(crossed, '::') AS is_cross, summary, lower(trim(regexp_replace('-' || p_name || '..X', '[-_.]+', '_', 'g'), '_')) AS py, sha1(substring(repeat(p_name, 900),
+1, 4096)) AS hash, sha256(p_name) AS file_hash, length(p_name || module) // 4 AS tokens,
 'query: ' || p_name AS prefixed, coalesce(CASE WHEN k % 2 = 0 THEN 'about ' || p_name END, '[from ' || module || ']') AS prefix, regexp_extract(req, '^\\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)', 1) AS requirement,
 strftime(to_timestamp(1700000000 + k) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS at FROM t""")
 def q_text_functions(spark, sf_dir):
@@ -310,8 +318,10 @@ def q_import_distance(spark, sf_dir):
 
 
 @R.query("""WITH d AS (SELECT doc_id, text, lang, string_split(text, chr(10)) AS l FROM documents)
-SELECT doc_id, CASE WHEN length(text) <= 120 THEN text WHEN contains(substring(text, 1, 120), chr(10)) THEN substring(text, 1, 120 - instr(reverse(substring(text, 1, 120)), chr(10))) ELSE substring(text, 1, 120) END AS capped,
-array_to_string(l[2:3], chr(10)) AS lines, substring('doc' || doc_id || chr(10) || text, 1, 600) AS lexical, substring('f/' || doc_id || chr(10) || array_to_string(l[1:120], chr(10)), 1, 6000) AS file,
+SELECT doc_id, CASE WHEN length(text) <= 120 THEN text WHEN contains(substring(text, 1, 120), chr(10)) THEN substring(text, 1, 120 - instr(reverse(substring(text, 1, 120)),
+chr(10))) ELSE substring(text, 1, 120) END AS capped,
+array_to_string(l[2:3], chr(10)) AS lines, substring('doc' || doc_id || chr(10) || text, 1, 600) AS lexical, substring('f/' || doc_id || chr(10) || array_to_string(l[1:120], chr(10)),
+1, 6000) AS file,
 '# Doc: p' || doc_id || chr(10) || '# Section: ' || lang || chr(10) || '# ---' || chr(10) || text AS embed, array_to_string(l[1:3], chr(10)) AS summary FROM d""")
 def q_source_ranges(spark, sf_dir):
     i, text = F.col("doc_id").cast("string"), F.col("text")
@@ -321,7 +331,8 @@ def q_source_ranges(spark, sf_dir):
     )
 
 
-@R.query("""WITH d AS (SELECT doc_id, doc_id % 4 AS n, CASE doc_id % 5 WHEN 0 THEN '[2] > [1]' WHEN 1 THEN '[9] [3] [3] none' WHEN 2 THEN '' ELSE '[4][1][2][3]' END AS a FROM documents), s AS (SELECT *, list_filter(list_transform(regexp_extract_all(a, '\\[(\\d{1,9})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda i: i >= 1 AND i <= n) AS said FROM d),
+@R.query("""WITH d AS (SELECT doc_id, doc_id % 4 AS n, CASE doc_id % 5 WHEN 0 THEN '[2] > [1]' WHEN 1 THEN '[9] [3] [3] none' WHEN 2 THEN '' ELSE '[4][1][2][3]' END AS a FROM documents),
+s AS (SELECT *, list_filter(list_transform(regexp_extract_all(a, '\\[(\\d{1,9})\\]', 1), lambda x: CAST(x AS INTEGER)), lambda i: i >= 1 AND i <= n) AS said FROM d),
 u AS (SELECT doc_id, n, list_filter(said, lambda x, i: list_position(said, x) = i) AS said FROM s)
 SELECT doc_id, array_to_string(list_concat(said, list_filter(range(1, n + 1), lambda i: NOT list_contains(said, i))), ',') AS places,
 CASE doc_id % 3 WHEN 0 THEN 'MATCH (n) RETURN n;' WHEN 1 THEN 'MATCH (n);' ELSE 'SELECT 1;' END AS query, CASE doc_id % 2 WHEN 0 THEN '{"a": "x//y", "b": 1}' ELSE '{"a": 2 }' END AS json FROM u""")
@@ -357,8 +368,10 @@ def q_manifests(spark, sf_dir):
     return got.select(F.split("path", "/")[1].cast("long").alias("k"), F.split("path", "/")[2].alias("kind"), "name", F.col("version_spec").alias("spec"))
 
 
-@R.query("""WITH f AS (SELECT DISTINCT source || '/d' || (doc_id % 3) || '/f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path FROM documents), i AS (SELECT path FROM f UNION ALL SELECT DISTINCT source || '/__init__.py' FROM documents WHERE lang = 'en'),
-u AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM i), e AS (SELECT DISTINCT array_to_string(string_split(path, '/')[:n - 1], '/') AS parent, array_to_string(string_split(path, '/')[:n], '/') AS p, n = len(string_split(path, '/')) AS is_file FROM u),
+@R.query("""WITH f AS (SELECT DISTINCT source || '/d' || (doc_id % 3) || '/f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.py' ELSE '.md' END AS path FROM documents), i AS (SELECT path FROM f
+UNION ALL SELECT DISTINCT source || '/__init__.py' FROM documents WHERE lang = 'en'),
+u AS (SELECT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM i),
+e AS (SELECT DISTINCT array_to_string(string_split(path, '/')[:n - 1], '/') AS parent, array_to_string(string_split(path, '/')[:n], '/') AS p, n = len(string_split(path, '/')) AS is_file FROM u),
 l AS (SELECT *, CASE WHEN is_file THEN 'File' WHEN p || '/__init__.py' IN (SELECT path FROM i) THEN 'Package' ELSE 'Folder' END AS label FROM e)
 SELECT 'CONTAINS_' || upper(label) AS rel, CASE WHEN parent = '' THEN 'proj' ELSE parent END AS src, p AS dst, label FROM l""")
 def q_structure(spark, sf_dir):
@@ -380,7 +393,8 @@ def q_jobs_head(spark, sf_dir):
     return a.join(b, how="cross").join(head, how="cross")  # one row each
 
 
-@R.query("""WITH l AS (SELECT event_id AS id, user_id AS job_id, epoch_us(ts) AS ts, event_type AS kind FROM events WHERE ts < TIMESTAMP '2024-01-10'), n AS (SELECT user_id AS job_id, epoch_us(ts) AS ts, event_type AS kind FROM events WHERE ts >= TIMESTAMP '2024-01-10'),
+@R.query("""WITH l AS (SELECT event_id AS id, user_id AS job_id, epoch_us(ts) AS ts, event_type AS kind FROM events WHERE ts < TIMESTAMP '2024-01-10'),
+n AS (SELECT user_id AS job_id, epoch_us(ts) AS ts, event_type AS kind FROM events WHERE ts >= TIMESTAMP '2024-01-10'),
 m AS (SELECT * FROM l UNION ALL SELECT (SELECT max(id) FROM l) + row_number() OVER (ORDER BY ts, job_id, kind), job_id, ts, kind FROM n)
 SELECT id, job_id, ts, kind FROM m WHERE job_id = 7 ORDER BY ts, id LIMIT 30""")
 def q_event_log(spark, sf_dir):
@@ -390,8 +404,10 @@ def q_event_log(spark, sf_dir):
     return incremental.listed_events(log, 7, 30)
 
 
-@R.query(f"""WITH {SQL_LEDGER}, r AS (SELECT DISTINCT 'r' || (c_custkey % 30) AS repo_slug FROM customer), l AS (SELECT repo_slug, max(updated_at) AS seen FROM j WHERE status IN ('queued', 'running') GROUP BY 1)
-SELECT repo_slug, CASE WHEN seen IS NULL THEN 'start' WHEN seen < 1706000000 - 864000 THEN 'preempt' ELSE 'conflict' END AS verdict, seen IS NULL AS admitted FROM r LEFT JOIN l USING (repo_slug)""")
+@R.query(f"""WITH {SQL_LEDGER}, r AS (SELECT DISTINCT 'r' || (c_custkey % 30) AS repo_slug FROM customer), l AS (SELECT repo_slug, max(updated_at) AS seen FROM j
+WHERE status IN ('queued', 'running') GROUP BY 1)
+SELECT repo_slug, CASE WHEN seen IS NULL THEN 'start' WHEN seen < 1706000000 - 864000 THEN 'preempt' ELSE 'conflict' END AS verdict, seen IS NULL AS admitted FROM r LEFT
+JOIN l USING (repo_slug)""")
 def q_start_requests(spark, sf_dir):
     jobs = ledger(spark, sf_dir)
     r = table(spark, sf_dir, "customer").select(F.concat(F.lit("r"), (F.col("c_custkey") % 30).cast("string")).alias("repo_slug")).distinct()
@@ -453,7 +469,8 @@ def q_regressions(spark, sf_dir):
     return evaluation.regressions(c.withColumn("v", F.col("v") - F.col("c_custkey") % 3), c, "c_custkey", "v", 0.5)
 
 
-@R.query("""WITH s AS (SELECT DISTINCT l_orderkey AS task, l_partkey AS f, l_linenumber * 10 AS a, l_linenumber * 10 + 5 AS b FROM lineitem), h AS (SELECT DISTINCT l_orderkey AS task, l_partkey AS f, l_linenumber * 10 + 4 AS a, l_linenumber * 10 + 8 AS b FROM lineitem WHERE l_returnflag = 'A')
+@R.query("""WITH s AS (SELECT DISTINCT l_orderkey AS task, l_partkey AS f, l_linenumber * 10 AS a, l_linenumber * 10 + 5 AS b FROM lineitem),
+h AS (SELECT DISTINCT l_orderkey AS task, l_partkey AS f, l_linenumber * 10 + 4 AS a, l_linenumber * 10 + 8 AS b FROM lineitem WHERE l_returnflag = 'A')
 SELECT task, round(count(*) FILTER (EXISTS (SELECT 1 FROM h WHERE h.task = s.task AND h.f = s.f AND h.a <= s.b AND h.b >= s.a)) / count(*), 4) AS coverage FROM s GROUP BY task""")
 def q_span_coverage(spark, sf_dir):
     item = table(spark, sf_dir, "lineitem")
@@ -463,7 +480,8 @@ def q_span_coverage(spark, sf_dir):
     return evaluation.span_coverage(hits, spans, "task").withColumn("coverage", F.round("coverage", 4))
 
 
-@R.query(f"""WITH {SQL_NODES}, d AS (SELECT 'proj.' || p_name || '.c' || p_partkey || '::Symbol::card' AS card FROM part WHERE p_size > 10), e AS (SELECT 'proj.' || p_name || '.c' || p_partkey || '::Symbol::card' AS card FROM part WHERE p_brand <> 'Brand#1')
+@R.query(f"""WITH {SQL_NODES}, d AS (SELECT 'proj.' || p_name || '.c' || p_partkey || '::Symbol::card' AS card FROM part WHERE p_size > 10),
+e AS (SELECT 'proj.' || p_name || '.c' || p_partkey || '::Symbol::card' AS card FROM part WHERE p_brand <> 'Brand#1')
 SELECT card FROM e WHERE card IN (SELECT card FROM d)""")
 def q_orphan_cards(spark, sf_dir):
     """Stored cards less those that are no longer wanted."""
@@ -473,7 +491,8 @@ def q_orphan_cards(spark, sf_dir):
     return tables.deleted(stored, orphans, ["card"])
 
 
-@R.query("""WITH m AS (SELECT DISTINCT string_split(string_split(url, '/')[3], ':')[1] AS q FROM pages), x AS (SELECT q FROM m WHERE NOT starts_with(q, 'm.') AND NOT contains(q, '::') ORDER BY q LIMIT 10000)
+@R.query("""WITH m AS (SELECT DISTINCT string_split(string_split(url, '/')[3], ':')[1] AS q FROM pages), x AS (SELECT q FROM m WHERE NOT starts_with(q, 'm.') AND NOT contains(q, '::')
+ORDER BY q LIMIT 10000)
 SELECT DISTINCT coalesce(CASE WHEN x.q IS NOT NULL THEN 'shared::' || m.q END, m.q) AS dst FROM m LEFT JOIN x USING (q)""")
 def q_externals(spark, sf_dir):
     """Modules that are not a repository's own, rewired to those of another."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from heddle.functions import predicates as P
 from heddle.functions import text as T
 from heddle.operators import chunks, evaluation, lexical, rank, vector
+from heddle.operators.rank import LEAST_DEEP
 from heddle.plans.registry import Registry, quoted, sql_array, sql_list, sql_values, table, values
 
 R = Registry()
@@ -85,7 +86,7 @@ def q_lexical_quota(spark, sf_dir):
 
 
 @R.query(f"""WITH s AS (SELECT a.vec_id AS doc_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = {SEED}),
-p AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / max(n_chars) OVER () AS pagerank FROM documents WHERE doc_id % 2 = 0)
+p AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / max(n_chars) OVER () AS pagerank FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
 SELECT doc_id, round(0.7 * score + 0.3 * coalesce(pagerank, 0), 4) AS fused FROM s LEFT JOIN p USING (doc_id)""")
 def q_linear_fusion(spark, sf_dir):
     return fused(spark, sf_dir).select("doc_id", F.round("fused", 4).alias("fused"))
@@ -94,20 +95,22 @@ def q_linear_fusion(spark, sf_dir):
 def fused(spark, sf_dir):
     q = F.array(*[F.lit(float(x)) for x in seed_vector(spark, sf_dir)])
     semantic = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vector.cosine(F.col("embedding"), q).alias("score"))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0")  # keys without a pagerank are part of the case
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").join(labelled, "doc_id", "left_semi")  # documents without a label have no pagerank
     top = docs.agg(F.max("n_chars").alias("_top"))
     central = docs.join(F.broadcast(top), how="cross").select("doc_id", (F.col("n_chars") / F.col("_top")).alias("pagerank"))  # one row
     return rank.linear_fusion(semantic, central, "doc_id")
 
 
 @R.query(f"""WITH {BM25}, s AS (SELECT a.vec_id AS doc_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = {SEED}),
-x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ra FROM s QUALIFY ra <= 500), y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rb FROM b QUALIFY rb <= 500)
+x AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS ra FROM s QUALIFY ra <= {LEAST_DEEP}),
+y AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rb FROM b QUALIFY rb <= {LEAST_DEEP})
 SELECT doc_id, round(1.0 / (60 + ra) + coalesce(1.0 / (60 + rb), 0), 6) AS rrf FROM x LEFT JOIN y USING (doc_id)""")
 def q_rrf(spark, sf_dir):
     q = F.array(*[F.lit(float(x)) for x in seed_vector(spark, sf_dir)])
     semantic = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), vector.cosine(F.col("embedding"), q).alias("score"))
-    near = semantic.orderBy(F.desc("score"), "doc_id").limit(500)
-    best = lexical.bm25(table(spark, sf_dir, "documents"), TERMS).orderBy(F.desc("score"), "doc_id").limit(500)
+    near = semantic.orderBy(F.desc("score"), "doc_id").limit(LEAST_DEEP)  # the over-fetch of a short search
+    best = lexical.bm25(table(spark, sf_dir, "documents"), TERMS).orderBy(F.desc("score"), "doc_id").limit(LEAST_DEEP)
     found = rank.reciprocal_ranks(near, best, "doc_id")
     return found.select("doc_id", F.round("rrf", 6).alias("rrf"))
 
@@ -131,12 +134,12 @@ KEYWORDS = ["indexing", "index", "parts", "part", "pages", "page", "hosts", "hos
 
 
 @R.query(f"""WITH k AS (SELECT page_id, len(list_filter({sql_array(KEYWORDS)}, lambda k: contains(lower(url), k))) AS hits FROM pages)
-SELECT page_id, CAST(hits AS INTEGER) AS hits FROM k WHERE hits >= 1""")
+SELECT page_id, CAST(hits AS INTEGER) AS hits FROM k WHERE hits >= 2""")
 def q_keyword_coverage(spark, sf_dir):
     words = spark.range(1).select(T.module_keywords(F.lit(QUERY)).alias("k"))
     pages = table(spark, sf_dir, "pages").join(F.broadcast(words), how="cross")  # one row of at most 12 words
     hits = F.size(F.filter("k", lambda k: F.lower("url").contains(k)))
-    return pages.select("page_id", hits.alias("hits")).where("hits >= 1")
+    return pages.select("page_id", hits.alias("hits")).where("hits >= 2")
 
 
 @R.query()
@@ -165,7 +168,8 @@ def q_rewrite(spark, sf_dir):
 NAMES = ["a.fixtures.b", "a.b.b", "a.anonymous_1_2.c", "proj.tests.t", "scripts.run", "a.mod.run_tests", "x.spec.y", "x.test", "src/tests/a.py", "src/a_test.go", "vendor/x.c", "docs/readme.md", "README.md", "a/__tests__/b.ts", "proj.src.latest.thing", "docs/dist/x.md", "conftest.py", "x/conftest.py"]
 
 
-@R.query(f"""SELECT name, list_has_any(string_split(name, '.'), {sql_array(P.FIXTURE_SEGMENTS)}) OR len(list_filter(string_split(name, '.'), lambda p: regexp_matches(p, '^anonymous_[0-9]+_[0-9]+$'))) > 0 OR (len(string_split(name, '.')) >= 2 AND string_split(name, '.')[-1] = string_split(name, '.')[-2]) AS noise,
+@R.query(f"""SELECT name, list_has_any(string_split(name, '.'), {sql_array(P.FIXTURE_SEGMENTS)}) OR len(list_filter(string_split(name, '.'),
+lambda p: regexp_matches(p, '^anonymous_[0-9]+_[0-9]+$'))) > 0 OR (len(string_split(name, '.')) >= 2 AND string_split(name, '.')[-1] = string_split(name, '.')[-2]) AS noise,
 {' OR '.join([f"contains(lower(name), '{m}')" for m in P.DOTTED_MARKERS] + [f"starts_with(lower(name), '{m}') OR contains(lower(name), '.{m}')" for m in P.LEADING_MARKERS])} AS test_or_script,
 regexp_matches(name, '\\.tests\\.|\\.test\\.|\\.spec\\.|\\.test$') AS test_symbol,
 regexp_matches(name, {quoted('|'.join(f'(?:{p})' for p in P.SKIPPED_PATHS))}) AS skipped,
