@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from heddle.sources.tables import running
+
 TERMINAL = ("done", "failed", "cancelled", "interrupted")
 ACTIVE = ("queued", "running")
 
@@ -112,10 +114,10 @@ def list_header(jobs: DataFrame, matching: Column) -> DataFrame:
 
 
 def recorded(log: DataFrame, events: DataFrame) -> DataFrame:
-    """An event log with events appended; ids go on from the log's last, in the order ts, job_id, kind."""
+    """An event log with events (ts in microseconds) appended; ids go on from the log's last, in the order
+    ts, job_id, kind.  A minute's events are numbered together."""
     last = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
-    n = F.row_number().over(W.orderBy("ts", "job_id", "kind"))  # one call's events, a bounded list
-    new = events.withColumn("_n", n).join(F.broadcast(last), how="cross").withColumn("id", F.col("_last") + F.col("_n"))  # one row
+    new = running(events, [], F.col("ts"), 60_000_000.0, ["ts", "job_id", "kind"], F.lit(1), "_n").join(F.broadcast(last), how="cross").withColumn("id", F.col("_last") + F.col("_n"))  # one row
     return log.unionByName(new.select(*log.columns))
 
 

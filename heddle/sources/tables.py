@@ -325,11 +325,21 @@ def rotated(snapshots: DataFrame, keep: int, min_age_s: float, now_s: float, by:
     return snapshots.withColumn("kept", (rn <= keep) | (F.col(ts) > now_s - min_age_s))
 
 
+def running(df: DataFrame, by: list[str], at: Column, span: float, order: list[Column | str], value: Column, name: str, descending: bool = False) -> DataFrame:
+    """Adds the running sum of ``value`` in the order of the number ``at``, then ``order``, of each ``by``.
+    Sums of spans of ``at`` are added up first, so no task sorts more than one span's rows."""
+    cut = df.withColumn("_span", F.floor((-at if descending else at) / F.lit(span)))
+    sums = cut.groupBy(*by, "_span").agg(F.sum(value).alias("_sum"))
+    before = sums.select(*by, "_span", (F.sum("_sum").over(W.partitionBy(*by).orderBy("_span")) - F.col("_sum")).alias("_before"))
+    own = F.sum(value).over(W.partitionBy(*by, "_span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return cut.join(few(before), [*by, "_span"]).withColumn(name, F.col("_before") + own).drop("_span", "_before")
+
+
 def evicted(files: DataFrame, ttl_s: float, quota: int, now_s: float, by: str = "repo") -> DataFrame:
     """Whether each cached file goes: too old, or beyond the quota counted from the newest."""
     young = F.col("mtime") >= now_s - ttl_s
-    total = F.sum(F.when(young, F.col("size")).otherwise(0)).over(W.partitionBy(by).orderBy(F.desc("mtime"), "path").rowsBetween(W.unboundedPreceding, 0))
-    return files.withColumn("evicted", ~young | (total > quota))
+    total = running(files, [by], F.col("mtime"), 3600.0, [F.desc("mtime"), "path"], F.when(young, F.col("size")).otherwise(0), "_total", descending=True)
+    return total.withColumn("evicted", ~young | (F.col("_total") > quota)).drop("_total")
 
 
 def remote_slug(url: Column, fallback: Column) -> Column:
