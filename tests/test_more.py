@@ -291,3 +291,26 @@ def test_lsh_recall(spark):
         near = {r["vec_id"] for r in vector.lsh_top_k(df, v[q].tolist(), 10, width=2.0).collect()}
         hit += len(near & set(np.argsort(-(v @ v[q]))[:10].tolist()))
     assert hit / 60 >= 0.9
+
+
+def test_running_sums_equal_plain(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), float(rng.randrange(40)), i, rng.randrange(9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, at double, i int, v int").repartition(4)
+    for descending in (False, True):
+        order = [F.desc("at") if descending else "at", "i"]
+        got = {r["i"]: r["s"] for r in tables.running(df, ["g"], F.col("at"), 7.0, order, F.col("v"), "s", descending).collect()}
+        for g in "ab":
+            total = 0
+            for _, at, i, v in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1] if descending else r[1], r[2])):
+                total += v
+                assert got[i] == total
+
+
+def test_results_are_kept_by_version_and_time():
+    now, made = [0.0], []
+    cache = tables.Versioned(10, lambda: now[0])
+    make = lambda: made.append(1) or len(made)
+    assert [cache.get("a", 1, make), cache.get("a", 1, make), cache.get("a", 2, make)] == [1, 1, 2]
+    now[0] = 11.0
+    assert cache.get("a", 2, make) == 3 and cache.get("b", 2, make) == 4
