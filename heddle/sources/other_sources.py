@@ -167,24 +167,27 @@ def facts(project: str, path: str, text: str) -> list[dict]:
     row = lambda at: bisect_right(lines, at)
     base = {"path": path, "module": module}
     rows = [{"kind": "Module", "qualified_name": module, "name": module.rsplit(".", 1)[-1], "seq": -1} | base]
-    found: dict[int, tuple] = {}  # end of the name: start, kind, name, match
+    found: dict[int, tuple] = {}  # end of the name: start, end, kind, name, match
+    starts: set[int] = set()
     for kind, pattern in SHAPES[language]:
         for m in re.finditer(pattern, code):
             g = m.groupdict()
             iife = next((k for k in ("iife_func", "iife_arrow") if g.get(k)), None)
             at = m.start(iife) if iife else m.start("name")
             name = f"{iife}_{row(at) - 1}_{at - lines[row(at) - 1]}" if iife else g["name"]
-            if name in KEYWORDS or any(a <= at < b for a, b, *_ in found.values() if a == at):
+            if name in KEYWORDS or at in starts:
                 continue
+            starts.add(at)
             found.setdefault(m.end() if iife else m.end("name"), (at, m.end(), kind, name, m))
-    scopes: list[tuple[int, int, str, str]] = []  # body's start and end, name, kind
+    scopes: list[tuple[int, int, str, str]] = []  # bodies open so far: start, end, name, kind
     for at, end, kind, name, m in sorted(found.values(), key=lambda x: x[0]):
         g = m.groupdict()
         i = bisect_right(opens, end - 1)
         body = opens[i] if i < len(opens) and not re.search(r"[;}]", code[end : opens[i]]) else None
         last = close[body] if body is not None else (code.find("\n", end) if code.find("\n", end) >= 0 else len(code))
-        inside = [s for s in scopes if s[0] <= at < s[1]]
-        owner, owner_kind = (inside[-1][2], inside[-1][3]) if inside else (module, "Module")
+        while scopes and scopes[-1][1] <= at:
+            scopes.pop()
+        owner, owner_kind = next(((q, k) for a, b, q, k in reversed(scopes) if a <= at < b), (module, "Module"))
         in_class = owner_kind in ("Class", "Interface", "Enum", "impl")
         if kind == "Method" and not g.get("own") and language in ("js", "ts") and not in_class and owner_kind != "object":
             continue  # a call with a block, or nothing that is a class's or an object's
@@ -207,7 +210,6 @@ def facts(project: str, path: str, text: str) -> list[dict]:
                         rows.append({"kind": how, "qualified_name": q, "target": x.strip().split("::")[-1], "seq": j} | base)
         if body is not None:
             scopes.append((body, last, q, kind))
-        scopes.sort()
     if language in ("js", "ts"):
         for m in re.finditer(PROTOTYPE, code):
             rows.append({"kind": "inherits", "qualified_name": f"{module}.{m['name']}", "target": m["base"], "seq": 0} | base)
