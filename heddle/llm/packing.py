@@ -22,6 +22,9 @@ from heddle.llm.common import small_batches, written
 
 #: Words of which a worker keeps the ids, in each of two generations.
 CACHED_WORDS = 400_000
+#: Choices of the packing search that are kept open; those above are enumerated anew when it comes back
+#: to them, so that its memory doesn't grow with its depth.
+LIVE = 32
 #: Groups that equally long pieces are numbered in.
 RANK_GROUPS = 256
 
@@ -264,16 +267,17 @@ def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: i
     total, bins = sum(s * c for s, c in counts.items()), sum(t for _, t in best)
     left, trail = dict(counts), []
     steps, waste, used = 0, 0, 0
-    stack: list[Iterator[tuple[tuple[int, ...], int]]] = []  # open choices
 
-    def options() -> Iterator[tuple[tuple[int, ...], int]]:
-        """Undominated fillings around the longest piece left, and how often to take each."""
+    def options(done: list[int]) -> Iterator[tuple[tuple[int, ...], int]]:
+        """Undominated fillings around the longest piece left, and how often to take each: first as often
+        as can be, then once; without those that are ``done`` of either kind, and counting them there."""
         nonlocal steps
         own = {s: c for s, c in left.items() if c}
         s = max(own)
         there, sizes, spare = dict(own), sorted(own), (bins - 1) * size - total - waste
         own[s] -= 1
         for once in (False, True):
+            before, at = done[once], 0
             for f in completions(sizes, own, size - s, spare, even):
                 if dominated(f, sizes, own, size - s - sum(f)):
                     steps += 1
@@ -282,7 +286,10 @@ def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: i
                     continue
                 times = min(there[x] // n for x, n in Counter((s, *f)).items())
                 if not once or times > 1:
-                    yield (s, *f), 1 if once else times
+                    at += 1
+                    if at > before:
+                        done[once] = at
+                        yield (s, *f), 1 if once else times
 
     def undo() -> None:
         nonlocal waste, used
@@ -292,10 +299,14 @@ def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: i
         waste -= times * (size - sum(filling))
         used -= times
 
-    stack.append(options())
-    while stack and steps < nodes and bins > bound:
-        if (choice := next(stack[-1], None)) is None:
-            stack.pop()
+    done = [[0, 0]]
+    live: list[Iterator[tuple[tuple[int, ...], int]] | None] = [options(done[0])]
+    while live and steps < nodes and bins > bound:
+        if live[-1] is None:
+            live[-1] = options(done[-1])
+        if (choice := next(live[-1], None)) is None:
+            live.pop()
+            done.pop()
             if trail:
                 undo()
             continue
@@ -311,7 +322,10 @@ def searched(counts: dict[int, int], size: int, best: Plan, bound: int, nodes: i
             if used < bins:
                 best, bins = list(trail), used
         elif used + -(-rest // size) < bins:
-            stack.append(options())
+            done.append([0, 0])
+            live.append(options(done[-1]))
+            if len(live) > LIVE:
+                live[-LIVE - 1] = None
             continue
         undo()
     return best

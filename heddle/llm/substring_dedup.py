@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa
