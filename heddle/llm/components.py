@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import dropped, written
+from heddle.llm.common import by_key, dropped, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -13,20 +13,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Large-star and small-star steps in turn: each node hooks its larger, then its smaller
     neighbours to the least of them, until nothing changes.  Minima are combined before they are
-    shuffled, so a node with very many neighbours costs no task more than its share of edges.
-    Every round is a written table.  Self-loops and repeated edges are allowed; no edge, no row.
+    shuffled, and edges of a node with very many neighbours meet its minimum where they are, so
+    such a node costs no task more than its share of edges.  Every round is a written table.  Self-loops and repeated edges are allowed; no edge, no row.
     """
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     said = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["k"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")))
+        large = by_key(both, least, ["u"], "n").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.where("u <> v").distinct())
-        down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(down, large["u"] == down["k"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v")))
+        down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = by_key(large, down, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct())
-        dropped(now, large)
+        dropped(now, large, least, down)
         now = after
         sums = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v")).first()
         if sums == said:

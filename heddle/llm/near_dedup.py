@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import dropped, small_batches, written
+from heddle.llm.common import HOT_KEYS, HOT_ROWS, by_key, joinable, scratch, small_batches, written
 from heddle.llm.components import components
 from heddle.llm.shingles import WordHashes, shingle_set
 
-#: Keys up to which a table of keys is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 500_000
+#: Bytes of texts that one block of a band's members holds at most, on average.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -39,20 +39,24 @@ class Sketch:
         return self.bands * self.rows
 
 
-def registers_of(shingles: np.ndarray, p: Sketch, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Registers of a non-empty set of hashes."""
+def registers_of(shingles: np.ndarray, p: Sketch, seeds: np.ndarray) -> np.ndarray:
+    """Registers of a non-empty set of hashes.  Each register has a seed of its own, with which
+    every hash is mixed anew, so that one register's order of the shingles tells nothing of another's."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(p.registers, 0xFFFFFFFF, dtype=np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(least, (x[i : i + 1024, None] * mul + add).min(axis=0), out=least)
+    for i in range(0, len(x), 256):
+        h = x[i : i + 256, None] ^ seeds
+        h *= np.uint32(0x7FEB352D)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x846CA68B)
+        np.minimum(least, h.min(axis=0), out=least)
     uniform = (least.astype(np.float64) + 0.5) / 2.0**32
     variate = -np.log1p(-uniform) / p.rate
     return np.clip(np.floor(1.0 - np.log(variate) / math.log(p.base)), 0, p.limit).astype(np.int16)
 
 
-def multipliers(p: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(p.seed)
-    return rng.integers(0, 2**32, p.registers, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, p.registers, dtype=np.uint32)
+def seeds_of(p: Sketch) -> np.ndarray:
+    return np.random.default_rng(p.seed).integers(0, 2**32, p.registers, dtype=np.uint32)
 
 
 def log_likelihoods(more: np.ndarray, less: np.ndarray, same: np.ndarray, n: np.ndarray, m: np.ndarray, at: np.ndarray, base: float) -> np.ndarray:
@@ -101,21 +105,37 @@ def sketched(docs: DataFrame, key: str, text: str, p: Sketch, k: int) -> DataFra
     schema = f"{key} {docs.schema[key].dataType.simpleString()}, n_shingles bigint, sid binary, registers array<smallint>"
 
     def run(batches):
-        hashes, (mul, add) = WordHashes(), multipliers(p)
+        hashes, seeds = WordHashes(), seeds_of(p)
         for batch in batches:
             n, sid, regs = [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set((t or "").encode("utf-8", "replace").lower().split(), hashes, k)
                 n.append(len(s))
                 sid.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                regs.append(registers_of(s, p, mul, add) if len(s) else None)
+                regs.append(registers_of(s, p, seeds) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.binary()), pa.array(regs, pa.list_(pa.int16()))], names=[key, "n_shingles", "sid", "registers"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
 
+def beside(pairs: DataFrame, at: str, table: DataFrame, columns: dict[str, str], narrow: DataFrame, how: str = "inner") -> DataFrame:
+    """``pairs`` (u, v and more) with the ``columns`` (and their new names) of ``table``'s row for the
+    key in column ``at``.  Pairs of a key that very many have are dealt over several copies of its
+    row; ``narrow`` is the written table of the same pairs, to count them by."""
+    total = narrow.count()
+    known = table.select(F.col("_key").alias("_to"), *[F.col(c).alias(name) for c, name in columns.items()])
+    if total <= 10 * HOT_ROWS:  # no key can have many
+        return pairs.join(known, F.col(at) == F.col("_to"), how).drop("_to")
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = written(narrow.groupBy(F.col(at).alias("_hot")).agg(F.count("*").alias("_pairs")).where(F.col("_pairs") > least))  # HOT_KEYS rows at most
+    copies = F.coalesce(F.ceil(F.col("_pairs") / F.lit(HOT_ROWS)).cast("int"), F.lit(1))
+    salted = pairs.join(F.broadcast(hot), F.col(at) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64("u", "v"), copies).cast("int")).drop("_hot", "_pairs")
+    known = known.join(F.broadcast(hot), F.col("_to") == F.col("_hot"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_hot", "_pairs")
+    return salted.join(known, (F.col(at) == F.col("_to")) & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_to", "_copy")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Pairs (u, v) whose full shingle sets are similar enough: 100 * both >= 100t * either."""
+    """Pairs (u, v), a written table, whose full shingle sets are similar enough: 100 * both >= 100t * either."""
 
     def run(batches):
         hashes, last, seen = WordHashes(), None, None
@@ -129,15 +149,14 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, k: int) -> Da
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"])
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    t = texts.select(F.col("_key").alias("_k"), "_text")
-    joined = pairs.join(t, F.col("u") == F.col("_k")).select("u", "v", F.col("_text").alias("_a"))
-    joined = joined.join(t, F.col("v") == F.col("_k")).select("u", "v", "_a", F.col("_text").alias("_b"))
+    one = beside(pairs, "u", texts, {"_text": "_a"}, pairs)
+    both = beside(one, "v", texts, {"_text": "_b"}, pairs).select("u", "v", "_a", "_b")
     kind = pairs.schema["u"].dataType.simpleString()
-    return joined.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+    return both.mapInArrow(run, f"u {kind}, v {kind}").distinct()
 
 
 def judged(pairs: DataFrame, sketches: DataFrame, threshold: float, p: Sketch, slack: float) -> DataFrame:
-    """Pairs (u, v) whose registers allow the threshold, with the joint estimate."""
+    """Pairs (u, v), a written table, whose registers allow the threshold, with the joint estimate."""
 
     def run(batches):
         for batch in batches:
@@ -147,24 +166,28 @@ def judged(pairs: DataFrame, sketches: DataFrame, threshold: float, p: Sketch, s
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(estimate)], names=["u", "v", "estimate"])
             yield out.filter(pa.array(good))
 
-    s = sketches.select(F.col("_key").alias("_k"), "registers", "n_shingles")
-    joined = pairs.join(s, F.col("u") == F.col("_k")).select("u", "v", F.col("registers").alias("_a"), F.col("n_shingles").alias("_n"))
-    joined = joined.join(s, F.col("v") == F.col("_k")).select("u", "v", "_a", "_n", F.col("registers").alias("_b"), F.col("n_shingles").alias("_m"))
+    one = beside(pairs, "u", sketches, {"registers": "_a", "n_shingles": "_n"}, pairs)
+    both = beside(one, "v", sketches, {"registers": "_b", "n_shingles": "_m"}, pairs).select("u", "v", "_a", "_n", "_b", "_m")
     kind = pairs.schema["u"].dataType.simpleString()
-    return joined.mapInArrow(run, f"u {kind}, v {kind}, estimate double")
+    return both.mapInArrow(run, f"u {kind}, v {kind}, estimate double")
 
 
-def in_blocks(members: DataFrame, schema: str, unit, block: int) -> DataFrame:
+def in_blocks(members: DataFrame, schema: str, unit) -> DataFrame:
     """Calls ``unit`` on every pair of blocks of every band, and gathers what it yields.
 
-    ``members``: _band, _n (members) and more.  A band is cut into blocks of about ``block``
-    members; a pair of blocks is a unit of work of bounded size.  unit(table, across) gets the
-    members of both, with _own, and yields record batches.
+    ``members``: _band, _blocks and more.  A band is cut into so many blocks; a pair of blocks is a
+    unit of work of bounded size.  unit(table, across) gets the members of both, with _own, and
+    yields record batches.
     """
-    blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
+    blocks = F.col("_blocks")
     own = F.pmod(F.xxhash64("_key"), blocks).cast("int")
     dealt = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_other", "_n")
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other"))
+    # a band's units go to one partition after another, from one that its hash picks
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unit_no = (F.col("_i").cast("long") * F.col("_blocks") + F.col("_j")) % parts
+    place = F.pmod(F.pmod(F.xxhash64("_band"), F.lit(parts)) + unit_no, F.lit(parts)).cast("int")
+    dealt = dealt.withColumn("_place", place).drop("_other", "_blocks")
 
     def run(batches):
         held = None
@@ -182,7 +205,8 @@ def in_blocks(members: DataFrame, schema: str, unit, block: int) -> DataFrame:
     def judged_unit(table):
         yield from unit(table, table.column("_i")[0].as_py() != table.column("_j")[0].as_py())
 
-    return dealt.repartition("_band", "_i", "_j").sortWithinPartitions("_band", "_i", "_j").mapInArrow(run, schema)
+    dealt = dealt.repartitionById(parts, F.col("_place")).drop("_place")
+    return dealt.sortWithinPartitions("_band", "_i", "_j").mapInArrow(run, schema)
 
 
 def plausible_pairs(table: pa.Table, across: bool, threshold: float, p: Sketch, slack: float):
@@ -253,15 +277,18 @@ def linked_across(members: DataFrame, texts: DataFrame, threshold: float, k: int
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found]), pa.array([v for _, v in found])], names=["u", "v"])
 
-    some = written(in_blocks(members, f"_band bigint, _key {kind}", hopeful, block).distinct())
-    counts = some.groupBy("_band").agg(F.count("*").alias("_n"))
-    left = members.drop("_n").join(some, ["_band", "_key"]).join(counts, "_band")
+    blocks = lambda *sizes: F.greatest(F.lit(1), *[F.ceil(F.col(c) / F.lit(most)) for c, most in sizes]).cast("int")
+    some = written(in_blocks(members.withColumn("_blocks", blocks(("_n", block))).drop("_n"), f"_band bigint, _key {kind}", hopeful).distinct())
     t = texts.select(F.col("_key").alias("_k"), "_text")
+    sizes = some.join(t.select("_k", F.octet_length("_text").alias("_size")), F.col("_key") == F.col("_k"))
+    counts = written(sizes.groupBy("_band").agg(F.count("*").alias("_n"), F.sum("_size").alias("_bytes")))
+    left = by_key(members.drop("_n").join(some, ["_band", "_key"]), counts, ["_band"], "_n")
+    left = left.withColumn("_blocks", blocks(("_n", 4 * block), ("_bytes", BLOCK_BYTES))).drop("_n", "_bytes")
     left = left.join(t, F.col("_key") == F.col("_k")).drop("_k")
-    return in_blocks(left, f"u {kind}, v {kind}", linking, block)
+    return in_blocks(left, f"u {kind}, v {kind}", linking)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), slack: float = 14.0, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: str = "doc_id", text: str = "text", sketch: Sketch = Sketch(), slack: float = 14.0, block: int = 128) -> DataFrame:
     """Component of every document under links of similar shingle sets.
 
     A document's set: its distinct k-word shingles (ASCII letters lowered, words cut at ASCII white
@@ -278,10 +305,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: s
        hold several components, all pairs across components, enumerated block by block and judged
        once each; these too are verified and joined in.  No pair within a component is ever made.
 
-    A link is missed only if its classes share no band (3e-8 at the threshold) or the estimate is
-    off by slack (4e-8, for sets of one size).  The work grows with the square of a band's members only where
-    these lie in different components, that is among texts that are alike in part but not linked;
-    it is then a comparison of registers, some 100 ns a pair, spread over blocks.
+    A link is missed only if its classes share no band (2.4e-8 at the threshold) or the estimate is
+    off by slack (4e-8, for sets of one size).  The work grows with the square of a band's members
+    only where these lie in different components, that is among texts that are alike in part but not
+    linked; it is then a comparison of registers, some 100 ns a pair, spread over pairs of blocks of
+    ``block`` members, and texts are moved only for members that registers leave open, in blocks of
+    BLOCK_BYTES.  Members of large bands, pairs of a pivot that very many have, and copies of one text
+    meet what belongs to their key where they are, or over several copies of it (``by_key``, ``beside``).
 
     Returns key, n_shingles, component_id and kept (the smallest key of its component).  Null and
     empty texts, and texts without words, have an empty set and are linked with nothing; so are
@@ -289,71 +319,74 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, k: int = 5, key: s
     one document, linked by any of its texts.  Extra columns are left out.
     """
     small_batches(docs.sparkSession)
-    sets = written(sketched(docs, key, text, sketch, k).withColumnRenamed(key, "_key"))
-    classes = sets.where("sid IS NOT NULL AND _key IS NOT NULL").groupBy("sid").agg(F.min("_key").alias("rep"))
-    classes = written(classes)
-    chosen = classes.select(F.col("sid").alias("_s"), "rep")
-    reps = sets.where("sid IS NOT NULL").join(chosen, (F.col("sid") == F.col("_s")) & (F.col("_key") == F.col("rep")), "left_semi").dropDuplicates(["_key", "sid"])
-    reps = written(reps)
-
-    numbers = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
-    keys = F.transform(numbers, lambda b: F.struct(b.alias("no"), F.xxhash64(b, F.slice("registers", b * sketch.rows + 1, sketch.rows)).alias("band")))
-    bands = reps.select("_key", F.explode(keys).alias("_b")).select("_key", F.col("_b.no").alias("_no"), F.col("_b.band").alias("_band"))
-    shared = bands.groupBy("_band").agg(F.min("_no").alias("_no"), F.min("_key").alias("_least"), F.count("*").alias("_n"), F.sum(F.xxhash64("_key") % (1 << 40)).alias("_sum")).where("_n > 1")
-    shared = written(shared)
-    # bands of the same members are one
-    groups = written(shared.groupBy("_least", "_n", "_sum").agg(F.min("_no").alias("_no"), F.min_by("_band", "_no").alias("_band")).drop("_least", "_sum"))
-    in_bands = written(bands.drop("_no").join(groups, "_band").select("_band", "_no", "_n", "_key"))
-    dropped(shared)
-
-    # the pivot is the member that meets most others in all its bands, most likely a middle one
-    weights = in_bands.groupBy("_key").agg(F.sum("_n").alias("_w"))
-    pivots = in_bands.join(weights, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key")).alias("_p")).select("_band", F.col("_p._key").alias("_pivot"))
-    star = in_bands.join(pivots, "_band").where("_key <> _pivot").select(F.col("_key").alias("u"), F.col("_pivot").alias("v")).distinct()
-    star = written(judged(star, reps, threshold, sketch, slack))
-    best = star.groupBy("u").agg(F.max_by("v", F.struct("estimate", "v")).alias("v"))
-
-    needed = in_bands.select(F.col("_key").alias("_k")).distinct()
-    needed = written(needed)
-    few = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
-    texts = written(texts.join(few, F.col("_key") == F.col("_k"), "left_semi"))
-
-    links = written(verified(best, texts, threshold, k))
-    first = written(components(links))
-
-    named = lambda df, c: df.join(first.select(F.col("node").alias("_k"), F.col("component").alias(f"_c{c}")), F.col(c) == F.col("_k"), "left").drop("_k").withColumn(f"_c{c}", F.coalesce(f"_c{c}", c))
-    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    rest = ordered(named(named(star.select("u", "v"), "u"), "v").where("_cu <> _cv"))
-    member = named(in_bands, "_key").withColumnRenamed("_c_key", "component")
-    spread = member.groupBy("_band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("_band")
-    member = member.join(spread, "_band", "left_semi")
-    regs = reps.select(F.col("_key").alias("_k"), "n_shingles", "registers")
-    member = member.join(regs, F.col("_key") == F.col("_k")).drop("_k")
-    across = linked_across(member, texts, threshold, k, sketch, slack, block)
-    tried = ordered(best).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
-    rest = rest.distinct().join(tried, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti")
-    late = written(verified(rest, texts, threshold, k).unionByName(across))
-
-    final = components(links.unionByName(late).unionByName(_shared_keys(sets)))
-    dropped(reps, groups, in_bands, star, needed, texts, links, first, late)
-    final = final.select(F.col("node").alias("_node"), "component")
-    by_set = classes.join(final, F.col("rep") == F.col("_node"), "left").select(F.col("sid").alias("_s"), F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("_key", "n_shingles", "sid").join(by_set, F.col("sid") == F.col("_s"), "left")
-    return out.select(
-        F.col("_key").alias(key),
-        "n_shingles",
-        F.when(F.col("_key").isNotNull(), F.coalesce("component_id", "_key")).alias("component_id"),
-        F.coalesce(F.col("_key") == F.coalesce("component_id", "_key"), F.lit(True)).alias("kept"),
-    )
+    with scratch() as keep:
+        sets = written(sketched(docs, key, text, sketch, k).withColumnRenamed(key, "_key"))
+        classes = sets.where("sid IS NOT NULL AND _key IS NOT NULL").groupBy("sid").agg(F.min("_key").alias("rep"), F.count("*").alias("_rows"))
+        classes = written(classes)
+        chosen = classes.select(F.col("sid").alias("_s"), "rep")
+        reps = sets.where("sid IS NOT NULL").join(chosen, (F.col("sid") == F.col("_s")) & (F.col("_key") == F.col("rep")), "left_semi").dropDuplicates(["_key", "sid"])
+        reps = written(reps)
+
+        numbers = F.sequence(F.lit(0), F.lit(sketch.bands - 1))
+        keys = F.transform(numbers, lambda b: F.struct(b.alias("no"), F.xxhash64(b, F.slice("registers", b * sketch.rows + 1, sketch.rows)).alias("band")))
+        bands = reps.select("_key", F.explode(keys).alias("_b")).select("_key", F.col("_b.no").alias("_no"), F.col("_b.band").alias("_band"))
+        # bands of the same members, told by their number and two 64-bit digests, are one
+        members = [F.bit_xor(F.xxhash64(F.lit(i), "_key")).alias(f"_set{i}") for i in range(2)]
+        shared = bands.groupBy("_band").agg(F.min("_no").alias("_no"), F.count("*").alias("_n"), *members).where("_n > 1")
+        groups = written(shared.groupBy("_n", "_set0", "_set1").agg(F.min("_no").alias("_no"), F.min_by("_band", "_no").alias("_band")).drop("_set0", "_set1"))
+        in_bands = written(by_key(bands.drop("_no"), groups, ["_band"], "_n").select("_band", "_no", "_n", "_key"))
+
+        # the pivot is the member that meets most others in all its bands, most likely a middle one
+        weights = in_bands.groupBy("_key").agg(F.sum("_n").alias("_w"))
+        pivots = in_bands.join(weights, "_key").groupBy("_band").agg(F.max(F.struct("_w", "_key")).alias("_p"), F.count("*").alias("_n"))
+        pivots = written(pivots.select("_band", F.col("_p._key").alias("_pivot"), "_n"))
+        star = by_key(in_bands.select("_band", "_key"), pivots, ["_band"], "_n").where("_key <> _pivot")
+        star = written(star.select(F.col("_key").alias("u"), F.col("_pivot").alias("v")).distinct())
+        star = written(judged(star, reps, threshold, sketch, slack))
+        best = written(star.groupBy("u").agg(F.max_by("v", F.struct("estimate", "v")).alias("v")))
+
+        needed = written(in_bands.select(F.col("_key").alias("_k")).distinct())
+        texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_text").isNotNull())
+        texts = written(texts.join(joinable(needed), F.col("_key") == F.col("_k"), "left_semi"))
+
+        links = written(verified(best, texts, threshold, k))
+        first = written(components(links))
+
+        top = first.select(F.col("node").alias("_key"), "component")
+        ends = beside(star.select("u", "v"), "u", top, {"component": "_cu"}, star, "left")
+        ends = beside(ends, "v", top, {"component": "_cv"}, star, "left").where(F.coalesce("_cu", "u") != F.coalesce("_cv", "v"))
+        ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        tried = ordered(best).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+        rest = written(ordered(ends).distinct().join(tried, (F.col("u") == F.col("_u")) & (F.col("v") == F.col("_v")), "left_anti"))
+
+        member = in_bands.join(top.withColumnRenamed("_key", "_k"), F.col("_key") == F.col("_k"), "left").drop("_k")
+        member = written(member.withColumn("component", F.coalesce("component", "_key")))
+        spread = member.groupBy("_band").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_m")).where("_lo <> _hi")
+        member = by_key(member, written(spread.select("_band", "_m")), ["_band"], "_m", "left_semi")
+        regs = reps.select(F.col("_key").alias("_k"), "n_shingles", "registers")
+        member = member.join(regs, F.col("_key") == F.col("_k")).drop("_k")
+        late = written(verified(rest, texts, threshold, k).unionByName(linked_across(member, texts, threshold, k, sketch, slack, block)))
+
+        final = components(links.unionByName(late).unionByName(_shared_keys(sets)))
+        final = final.select(F.col("node").alias("_node"), "component")
+        by_set = classes.join(final, F.col("rep") == F.col("_node"), "left").select("sid", F.coalesce("component", "rep").alias("component_id"), "_rows")
+        by_set = written(by_set)
+        keep += [sets, by_set]
+
+    rows = sets.select("_key", "n_shingles", "sid")
+    alone = F.col("sid").isNull() | F.col("_key").isNull()
+    out = by_key(rows.where(~alone), by_set, ["sid"], "_rows").select("_key", "n_shingles", "component_id")
+    out = out.unionByName(rows.where(alone).select("_key", "n_shingles", F.col("_key").alias("component_id")))
+    return out.select(F.col("_key").alias(key), "n_shingles", "component_id", F.coalesce(F.col("_key") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def _shared_keys(sets: DataFrame) -> DataFrame:
     """Links between the classes of rows that share a key."""
-    rows = sets.where("sid IS NOT NULL AND _key IS NOT NULL")
-    several = rows.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
-    least = rows.groupBy("sid").agg(F.min("_key").alias("v"))
-    return rows.join(several, "_key", "left_semi").join(least, "sid").select(F.col("_key").alias("u"), "v")
+    rows = sets.where("sid IS NOT NULL AND _key IS NOT NULL").select("_key", "sid")
+    several = written(rows.groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1"))
+    rows = written(by_key(rows, several, ["_key"], "_rows", "left_semi"))
+    least = written(rows.groupBy("sid").agg(F.min("_key").alias("v"), F.count("*").alias("_rows")))
+    return by_key(rows, least, ["sid"], "_rows").select(F.col("_key").alias("u"), "v")
 
 
 def oracle() -> str:
