@@ -4,22 +4,47 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from heddle.llm.common import dropped, small_batches, written
+from heddle.llm.common import KEY_ROWS, by_key, joinable, scratch, small_batches, written
 
 SPACES, SYMBOLS = " \t\n\v\f\r", "#*$%&|<>"
-#: Transformed statistics, and for each the spread below which differences don't matter.
+#: Transformed statistics, rounded to 1/4096: sums of up to some 1e8 vectors and of their products are
+#: then exact, so estimates don't depend on how rows are dealt.
 VECTOR = ("x_length", "x_symbols", "x_lines", "x_repeats")
-FLOORS = (0.05, 0.10, 0.15, 0.15)
-#: Share of a group's vectors that an estimate rests on.
-SHARE = 0.75
-#: Levels of groups, from the finest: a group with fewer vectors than LEAST uses the next.
-LEVELS, LEAST = ("source", "language", "all"), 200
+ROUNDED = 4096.0
+#: Levels of groups, from the finest: of a language and source, of a language, of all.
+LEVELS = 3
+PAIRS = [(i, j) for i in range(len(VECTOR)) for j in range(i, len(VECTOR))]
+
+
+@dataclass(frozen=True)
+class Robust:
+    """Parameters of the estimates.
+
+    share: part of a group's vectors that an estimate rests on.
+    floors: spreads below which differences don't matter; their squares are added to the variances
+        (at sf0.1 the median deviation of x_length is 0.05 to 0.1, that of the others mostly 0), so
+        vectors that nearly all agree don't make every other one an outlier.
+    weight: vectors that the language's estimate counts for beside a group's own, and the estimate
+        over all beside a language's: small groups lean on it, large ones hardly, without a step.
+    quantile: of the chi-square distribution, beyond which a vector is an outlier.
+    settle, steps: concentration goes on while a logarithm of a determinant falls by more than
+        ``settle``; determinants never rise, so this ends; after ``steps`` steps it is an error.
+    """
+
+    share: float = 0.75
+    floors: tuple[float, ...] = (0.05, 0.10, 0.15, 0.15)
+    weight: float = 30.0
+    quantile: float = 0.9999
+    settle: float = 1e-6
+    steps: int = 200
 
 
 def statistics_of(text: str | None) -> tuple[int, int, int, int, int]:
@@ -61,12 +86,8 @@ def transformed() -> list[Column]:
     """The statistics' vector: logarithm of the mean word's length; square roots of symbols,
     repeated lines and repeated words to a word."""
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    return [
-        F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n).alias(VECTOR[0]),
-        F.sqrt(F.col("n_symbols") / n).alias(VECTOR[1]),
-        F.sqrt(F.col("n_dup_lines") / n).alias(VECTOR[2]),
-        F.sqrt(F.col("n_repeat_words") / n).alias(VECTOR[3]),
-    ]
+    exact = [F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n), *[F.sqrt(F.col(c) / n) for c in ("n_symbols", "n_dup_lines", "n_repeat_words")]]
+    return [(F.rint(x * F.lit(ROUNDED)) / F.lit(ROUNDED)).alias(v) for x, v in zip(exact, VECTOR, strict=True)]
 
 
 def chi2_4(p: float) -> float:
@@ -78,7 +99,7 @@ def chi2_4(p: float) -> float:
     return lo
 
 
-def consistency(share: float = SHARE) -> float:
+def consistency(share: float) -> float:
     """Factor that makes the covariance of the inner ``share`` of normal vectors that of all."""
     x = chi2_4(share) / 2
     return share / (1 - math.exp(-x) * (1 + x + x * x / 2))
@@ -91,95 +112,179 @@ def distance(center: Column, precision: Column) -> Column:
     return sum((d[i] * d[j] * F.get(precision, F.lit(i * k + j)) for i in range(k) for j in range(k)), F.lit(0.0))
 
 
-def inverted(moments: DataFrame, start_from_spread: bool) -> DataFrame:
-    """From each group's count, sums and sums of products: center, precision and log-determinant.
-    The floors' squares are added to the variances, so vectors that all agree don't make every
-    other one an outlier."""
-    k, floors, factor = len(VECTOR), np.array(FLOORS), 1.0 if start_from_spread else consistency()
+def estimated(moments: DataFrame, factor: float, p: Robust) -> DataFrame:
+    """From each group's count ``inner``, sums and sums of products: center, covariance times
+    ``factor`` plus the floors' squares, its inverse and its determinant's logarithm; ``fall`` is how
+    far that lies below the one before, ``was``."""
+    k, floors = len(VECTOR), np.diag(np.array(p.floors) ** 2)
 
     def run(batches):
-        for batch in batches:
-            n = batch.column(3).to_numpy().astype(float)
-            sums = np.array(batch.column(4).to_pylist(), dtype=float).reshape(-1, k)
-            products = np.array(batch.column(5).to_pylist(), dtype=float).reshape(-1, k, k)
-            center = sums / n[:, None]
-            cov = (products / n[:, None, None] - center[:, :, None] * center[:, None, :]) * factor + np.diag(floors**2)
-            out = [*[batch.column(i) for i in range(3)], batch.column(3), pa.array(list(center), pa.list_(pa.float64())), pa.array(list(np.linalg.inv(cov).reshape(-1, k * k)), pa.list_(pa.float64())), pa.array(np.linalg.slogdet(cov)[1])]
-            yield pa.RecordBatch.from_arrays(out, names=["level", "group", "start", "n", "center", "precision", "logdet"])
-
-    return moments.mapInArrow(run, "level int, group string, start int, n bigint, center array<double>, precision array<double>, logdet double")
-
-
-def moments(rows: DataFrame) -> DataFrame:
+        for b in batches:
+            n = b.column("inner").to_numpy().astype(float)
+            center = np.array(b.column("sums").to_pylist(), dtype=float).reshape(-1, k) / n[:, None]
+            products = np.array(b.column("products").to_pylist(), dtype=float).reshape(-1, len(PAIRS)) / n[:, None]
+            cov = np.empty((len(n), k, k))
+            for (i, j), x in zip(PAIRS, products.T, strict=True):
+                cov[:, i, j] = cov[:, j, i] = (x - center[:, i] * center[:, j]) * factor
+            cov += floors
+            flat = lambda x: pa.array(list(x.reshape(len(n), -1)), pa.list_(pa.float64()))
+            logdet = np.linalg.slogdet(cov)[1]
+            fall = b.column("was").to_numpy(zero_copy_only=False).astype(float) - logdet
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("level", "group", "start", "size")], flat(center), flat(cov), flat(np.linalg.inv(cov)), pa.array(logdet), pa.array(fall)], names=["level", "group", "start", "size", "center", "cov", "precision", "logdet", "fall"])
+
+    return moments.mapInArrow(run, "level int, group string, start int, size bigint, center array<double>, cov array<double>, precision array<double>, logdet double, fall double")
+
+
+def moments(rows: DataFrame, *by: str) -> DataFrame:
     sums = F.array(*[F.sum(v) for v in VECTOR])
-    products = F.array(*[F.sum(F.col(a) * F.col(b)) for a in VECTOR for b in VECTOR])
-    return rows.groupBy("level", "group", "start").agg(F.count("*").alias("n"), sums.alias("sums"), products.alias("products"))
+    products = F.array(*[F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])) for i, j in PAIRS])
+    return rows.groupBy("level", "group", "start", *by).agg(F.count("*").alias("inner"), sums.alias("sums"), products.alias("products"))
 
 
 def group_of(level: int) -> Column:
     """Name of a row's group at a level; null languages and sources are groups of their own."""
     said = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    return [F.concat_ws("\x1f", said("lang"), said("source")), said("lang"), F.lit("")][level]
+    both = F.concat_ws("\x1f", said("lang"), said("source"))
+    return [both, F.substring_index(both, "\x1f", 1), F.lit("")][level]
+
+
+def order_statistic(counts: DataFrame, by: list[str], value: str, rank: Column) -> DataFrame:
+    """The least ``value`` of each group up to which ``rank`` rows or more are counted (column n): one
+    row for each group, with the rows ``_below`` it, and the group's ``size``.  Groups are as large as
+    the different values are many, which callers bound."""
+    w = W.partitionBy(*by)
+    told = counts.withColumn("size", F.sum("n").over(w)).withColumn("_upto", F.sum("n").over(w.orderBy(value)))
+    told = told.withColumn("_below", F.col("_upto") - F.col("n"))
+    return told.where((F.col("_below") < rank) & (F.col("_upto") >= rank)).select(*by, value, "_below", "size")
+
+
+def median(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The middle ``value`` of each group, counted first in steps of 1/64, then within the step that
+    holds it: by, value, size."""
+    half = F.ceil(F.col("size") / 2)
+    stepped = counts.withColumn("_step", F.floor(F.col(value) * 64))
+    edge = order_statistic(stepped.groupBy(*by, "_step").agg(F.sum("n").alias("n")), by, "_step", half)
+    inside = stepped.join(edge, [*by, "_step"])
+    upto = F.col("_below") + F.sum("n").over(W.partitionBy(*by).orderBy(value))
+    return inside.withColumn("_upto", upto).where((F.col("_upto") - F.col("n") < half) & (F.col("_upto") >= half)).select(*by, value, "size")
 
 
-def minimum_covariance(vectors: DataFrame, steps: int = 4) -> DataFrame:
-    """Minimum-covariance-determinant estimates for every group at every level.
+def nearness(center: Column, precision: Column) -> Column:
+    """Squared distances in steps of 2**-20, those of 1024 or more as one: what concentration compares."""
+    return F.least(F.floor(distance(center, precision) * F.lit(float(1 << 20))), F.lit(1 << 30)).cast("long")
 
-    Two starts, distances from the medians in median deviations and from the means by the plain
-    covariance, are each improved by ``steps`` concentration steps: the covariance of the SHARE of
-    vectors that are nearest under the last one.  The smaller determinant wins.  Every step covers
-    all vectors; medians and bounds are approximate quantiles of all (relative error of rank 1e-4),
-    and sums are combined before they are shuffled, so no group is ever in one place.
+
+def minimum_covariance(vectors: DataFrame, p: Robust = Robust()) -> DataFrame:
+    """Minimum-covariance-determinant estimates for every group at every level: level, group, size,
+    center and cov.
+
+    Two starts, the medians with median deviations and the means with the plain covariance, are each
+    improved by concentration steps, to the covariance of the ``share`` of the vectors that are
+    nearest under the last one, until the determinant stops falling.  The smaller determinant wins.
+
+    Medians and bounds are exact order statistics of all vectors, found by counting: values, which are
+    multiples of 1/4096, in steps of 1/64, distances in steps of 1/16, then, within the step that
+    holds the one sought, by themselves and in steps of 2**-20.  Counts and sums are combined before they are shuffled, and models
+    are broadcast or, if many, joined so that vectors of hot groups stay where they are.
     """
-    levels = [vectors.select(F.lit(i).alias("level"), group_of(i).alias("group"), *VECTOR) for i in range(len(LEVELS))]
-    rows = levels[0]
-    for x in levels[1:]:
-        rows = rows.unionByName(x)
-    both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
-    # start 0: medians and median deviations, as a diagonal precision
-    q = lambda c: F.percentile_approx(c, 0.5, 10000)
-    middle = rows.groupBy("level", "group").agg(F.count("*").alias("n"), F.array(*[q(v) for v in VECTOR]).alias("center"))
-    near = rows.join(middle.select("level", "group", "center"), ["level", "group"])
-    spread = near.groupBy("level", "group").agg(F.array(*[q(F.abs(F.col(v) - F.get("center", F.lit(i)))) for i, v in enumerate(VECTOR)]).alias("mad"))
     k = len(VECTOR)
-    scale = [1 / (F.pow(F.get("mad", F.lit(i)) * 1.4826, 2) + F.lit(FLOORS[i] ** 2)) for i in range(k)]
-    first = middle.join(spread, ["level", "group"]).select("level", "group", F.lit(0).alias("start"), "n", "center", F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(k) for j in range(k)]).alias("precision"), F.lit(0.0).alias("logdet"))
-    plain = inverted(moments(rows.withColumn("start", F.lit(1))), True)
-    model = written(first.unionByName(plain))
-    for _ in range(steps):
-        on = model.select(F.col("level").alias("_l"), F.col("group").alias("_g"), F.col("start").alias("_s"), "center", "precision")
-        far = both.join(on, (F.col("level") == F.col("_l")) & (F.col("group") == F.col("_g")) & (F.col("start") == F.col("_s"))).select("level", "group", "start", *VECTOR, distance(F.col("center"), F.col("precision")).alias("d2"))
-        bound = far.groupBy("level", "group", "start").agg(F.percentile_approx("d2", SHARE, 10000).alias("most")).select(F.col("level").alias("_l"), F.col("group").alias("_g"), F.col("start").alias("_s"), "most")
-        inner = far.join(bound, (F.col("level") == F.col("_l")) & (F.col("group") == F.col("_g")) & (F.col("start") == F.col("_s"))).where("d2 <= most")
-        after = written(inverted(moments(inner), False))
-        dropped(model)
-        model = after
-    counts = rows.groupBy("level", "group").agg(F.count("*").alias("size"))
-    best = model.groupBy("level", "group").agg(F.min_by(F.struct("center", "precision"), F.struct("logdet", "start")).alias("m"))
-    return written(best.join(counts, ["level", "group"]).select("level", "group", "size", "m.center", "m.precision"))
-
-
-def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", quantile: float = 0.9999) -> DataFrame:
+    names = F.array(*[F.struct(F.lit(i).alias("level"), group_of(i).alias("group")) for i in range(LEVELS)])
+    rows = vectors.select(F.explode(names).alias("_at"), *VECTOR).select("_at.level", "_at.group", *VECTOR)
+    of = ["level", "group"]
+
+    values = rows.select(*of, F.posexplode(F.array(*VECTOR)).alias("place", "v")).groupBy(*of, "place", "v").agg(F.count("*").alias("n"))
+    values = written(values)
+    middle = written(median(values, [*of, "place"], "v").select(*of, "place", F.col("v").alias("middle")))
+    away = values.join(joinable(middle, KEY_ROWS), [*of, "place"]).groupBy(*of, "place", F.abs(F.col("v") - F.col("middle")).alias("away"), "middle").agg(F.sum("n").alias("n"))
+    spread = median(away, [*of, "place", "middle"], "away")
+    placed = F.array_sort(F.collect_list(F.struct("place", "middle", "away")))  # one for each place
+    first = spread.groupBy(*of, "size").agg(placed.alias("_m"))
+    scale = [1 / (F.pow(F.col("_m")[i]["away"] * 1.4826, 2) + F.lit(p.floors[i] ** 2)) for i in range(k)]
+    diagonal = F.array(*[scale[i] if i == j else F.lit(0.0) for i in range(k) for j in range(k)])
+    none = F.lit(None).cast("double")
+    first = first.select(*of, F.lit(0).alias("start"), "size", F.col("_m.middle").alias("center"), F.array().cast("array<double>").alias("cov"), diagonal.alias("precision"), none.alias("logdet"), none.alias("fall"))
+    plain = estimated(moments(rows.withColumn("start", F.lit(1))).withColumn("size", F.col("inner")).withColumn("was", none), 1.0, p)
+    now = written(first.unionByName(plain.withColumn("logdet", none)))
+
+    few = now.count() <= KEY_ROWS
+    beside = lambda model: rows.join(F.broadcast(model), of) if few else by_key(rows, model, of, "size")
+    at = [*of, "start"]
+    share, settled = F.ceil(F.col("size") * F.lit(p.share)), []
+    for _ in range(p.steps):
+        near = beside(now).withColumn("_q", nearness(F.col("center"), F.col("precision")))
+        coarse = near.groupBy(*at, F.shiftright("_q", 16).alias("_high")).agg(F.count("*").alias("n"))
+        bound = order_statistic(coarse, at, "_high", share).select(*at, F.col("_high").alias("_edge"))
+        edged = written(now.select(*at, "size", "center", "precision", F.col("logdet").alias("was")).join(bound, at))
+        near = beside(edged).withColumn("_q", nearness(F.col("center"), F.col("precision"))).where(F.shiftright("_q", 16) <= F.col("_edge"))
+        low = F.when(F.shiftright("_q", 16) == F.col("_edge"), F.col("_q").bitwiseAND(65535)).otherwise(F.lit(-1))
+        fine = moments(near.withColumn("_low", low), "_low").join(edged.select(*at, "size", "was"), at)
+        upto = F.sum("inner").over(W.partitionBy(*at).orderBy("_low"))
+        inner = fine.withColumn("_below", upto - F.col("inner")).where(F.col("_below") < share)
+        total = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c)
+        inner = inner.groupBy(*at, "size", "was").agg(F.sum("inner").alias("inner"), total("sums", k), total("products", len(PAIRS)))
+        after = written(estimated(inner, consistency(p.share), p))
+        falls = F.coalesce("fall", F.lit(math.inf)) > p.settle
+        settled.append(after.where(~falls))
+        now = after.where(falls)
+        if now.isEmpty():
+            break
+    else:
+        raise RuntimeError("the determinants did not settle")
+    model = settled[0]
+    for x in settled[1:]:
+        model = model.unionByName(x)
+    best = model.groupBy(*of, "size").agg(F.min_by(F.struct("center", "cov"), F.struct("logdet", "start")).alias("m"))
+    return best.select(*of, "size", "m.center", "m.cov")
+
+
+def leaning(n: float, own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Center and covariance of ``n`` vectors, with the other estimate as that of ``weight`` more."""
+    (c, s), (d, t) = own, other
+    apart = np.outer(c - d, c - d) * (n * weight / (n + weight))
+    return (n * c + weight * d) / (n + weight), (n * s + weight * t + apart) / (n + weight)
+
+
+def models(estimates: DataFrame, p: Robust) -> DataFrame:
+    """group, size, center and precision of every language and source, leaning on their language's
+    estimate, and that on the one over all."""
+    k = len(VECTOR)
+    level = lambda i: estimates.where(F.col("level") == i).drop("level")
+    called = lambda df, x: df.select(*[F.col(c).alias(f"{c}{x}") for c in df.columns])
+    of_language = level(0).withColumn("group1", F.substring_index("group", "\x1f", 1)).join(called(level(1), 1), "group1")
+    every = of_language.join(F.broadcast(called(level(2), 2)))  # one row
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                of = lambda x: (np.array(r[f"center{x}"]), np.array(r[f"cov{x}"]).reshape(k, k))  # noqa: B023, E731
+                center, cov = leaning(r["size"], of(""), leaning(r["size1"], of(1), of(2), p.weight), p.weight)
+                out.append({"group": r["group"], "size": r["size"], "center": center.tolist(), "precision": np.linalg.inv(cov).reshape(-1).tolist()})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("group", pa.string()), ("size", pa.int64()), ("center", pa.list_(pa.float64())), ("precision", pa.list_(pa.float64()))]))
+
+    return every.mapInArrow(run, "group string, size bigint, center array<double>, precision array<double>")
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", robust: Robust = Robust()) -> DataFrame:
     """Statistics of every whole text, and which documents are kept.
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows.  Of the
     others, the transformed statistics' vectors get minimum-covariance-determinant estimates per
-    language and source (per language, or over all, where a group has fewer than LEAST), and a
-    document is kept unless its squared Mahalanobis distance exceeds the chi-square ``quantile``.
+    language and source, at every size of a group; small groups lean on their language's (``Robust``).
+    A document is kept unless its squared Mahalanobis distance exceeds the chi-square ``quantile``.
 
     Returns key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and
     distance (null where base_failed).  Null and empty texts have no words and fail.  Null languages
     and sources are groups of their own.  Repeated rows and ties count each; an empty table gives an
-    empty one; extra columns are left out.
+    empty one; extra columns are left out.  The result does not depend on how rows are dealt.
     """
-    stats = written(statistics(docs, key, text, lang, source))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = stats.select("*", failed.alias("base_failed"), *transformed())
-    models = minimum_covariance(rows.where(~F.col("base_failed")))
-    for i, name in enumerate(LEVELS):
-        own = models.where((F.col("level") == i) & (F.col("size") >= LEAST if i + 1 < len(LEVELS) else F.lit(True))).select(F.col("group").alias("_g"), F.struct("center", "precision").alias(f"_{name}"))
-        rows = rows.join(own, group_of(i) == F.col("_g"), "left").drop("_g")
-    model = F.coalesce(*[F.col(f"_{name}") for name in LEVELS])
-    far = rows.withColumn("_m", model).withColumn("distance", F.when(~F.col("base_failed"), distance(F.col("_m.center"), F.col("_m.precision"))))
-    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_4(quantile))
-    return far.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    with scratch() as keep:
+        stats = written(statistics(docs, key, text, lang, source).select("*", failed.alias("base_failed"), group_of(0).alias("group"), *transformed()))
+        clean = stats.where(~F.col("base_failed"))
+        model = written(models(minimum_covariance(clean, robust), robust))
+        keep += [stats, model]
+    near = by_key(clean, model, ["group"], "size").withColumn("distance", distance(F.col("center"), F.col("precision")))
+    rows = near.unionByName(stats.where("base_failed").withColumn("distance", F.lit(None).cast("double")), allowMissingColumns=True)
+    kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_4(robust.quantile))
+    return rows.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
