@@ -188,10 +188,10 @@ def test_near_duplicates_of_odd_rows(spark, empty):
 
 def test_registers_estimate_and_merge():
     p, rng = near_dedup.Sketch(), np.random.default_rng(2)
-    mul, add = near_dedup.multipliers(p)
+    seeds = near_dedup.seeds_of(p)
     every = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     a, b = every[:2000], every[500:2300]
-    ra, rb, rab = (near_dedup.registers_of(x, p, mul, add) for x in (a, b, np.union1d(a, b)))
+    ra, rb, rab = (near_dedup.registers_of(x, p, seeds) for x in (a, b, np.union1d(a, b)))
     assert (np.maximum(ra, rb) == rab).all()
     n = lambda x: np.array([int(x)])
     est, _ = near_dedup.plausible(n((ra > rb).sum()), n((ra < rb).sum()), n((ra == rb).sum()), n(2000), n(1800), 0.5, p.base, 14.0)
@@ -289,7 +289,6 @@ def test_encoder_of_odd_spaces():
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     odd = ["a  b", " lead", "trail ", "", "x\n y", "  a", "it's 's 12 3", "<|endoftext|> x", "é" * 50 + " \tz", "a\x1c b \x1c c", "tab\tx \t y", "  ", "\n\n a", "a b  c", "z" * 9000]
     got = packing.Encoder(None).batch(odd)
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(o, add_special_tokens=False).ids for o in odd]
