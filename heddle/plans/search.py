@@ -183,9 +183,9 @@ def bundle_seeds(store: Store, ranked: DataFrame, text: str, k: int, settings: d
 def bundle(store: Store, seeds: DataFrame, depth: int, budget: int = BUDGET, caller_cap: int = 0, exclude_tests: bool = False, snippet_cap: int = 0) -> DataFrame:
     """What to read about the seeds (qualified_name, score): what their call graph reaches, scored,
     and cut to a token budget: qualified_name, depth, score, cost, kept."""
-    seeds = settled(seeds.select("qualified_name", "score"))
-    reached = settled(graph.breadth_first(store.edges, seeds, depth, caller_cap, exclude_tests))
-    scores = graph.propagated(seeds, store.edges, reached)
+    seeds, edges = settled(seeds.select("qualified_name", "score")), settled(store.edges.select("src", "dst"))
+    reached = settled(graph.breadth_first(edges, seeds, depth, caller_cap, exclude_tests))
+    scores = settled(graph.propagated(seeds, edges, reached))
     snippet = capped_snippet(F.col("source"), snippet_cap) if snippet_cap else F.col("source")
     sized = reached.join(scores, "qualified_name", "left").join(store.sources, "qualified_name", "left")
     symbols = sized.select(F.lit(0).alias("bundle"), "qualified_name", "depth", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.length(snippet), F.lit(0)).alias("snippet_length"))

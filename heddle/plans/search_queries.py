@@ -212,7 +212,7 @@ GROUP BY dst),
 p2 AS MATERIALIZED (SELECT dst AS q, least(max(score) * 0.5, 0.99 * any_value(f)) AS score FROM ce JOIN (SELECT q, score FROM seeds UNION ALL SELECT q, score
 FROM p1) u ON src = u.q, fl WHERE dst IN (SELECT q FROM reach WHERE depth = 2) GROUP BY dst),
 scores AS (SELECT q, score FROM seeds UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2),
-src AS (SELECT q, 30 * k AS n FROM ck),
+src AS (SELECT q, 30 * (k % 400) AS n FROM ck),
 sym AS MATERIALIZED (SELECT 0 AS bundle, r.q, r.depth, coalesce(score, 0) AS score, (least(coalesce(n, 0), 2000) + length(r.q)) // 4 + 1 AS cost FROM reach r LEFT JOIN scores USING (q)
 LEFT JOIN src USING (q)),
 {budget_sql(12_000)}
@@ -221,7 +221,7 @@ def q_context_bundle(spark, sf_dir):
     s = store(spark, sf_dir)
     s.nodes, s.edges = code_nodes(spark, sf_dir), code_edges(spark, sf_dir)
     key = F.regexp_extract("name", "([0-9]+)$", 1).cast("int")
-    s.sources = s.nodes.select("qualified_name", F.repeat(F.lit("x"), key * 30).alias("source"))
+    s.sources = s.nodes.select("qualified_name", F.repeat(F.lit("x"), key % 400 * 30).alias("source"))
     got = search.context_bundle(s, code_ranking(spark, sf_dir), SEED_TASK, hits=code_hits(spark, sf_dir))
     return got.withColumn("score", F.round("score", 6))
 
