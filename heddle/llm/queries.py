@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontamination, license_scan, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
+from heddle.llm import decontamination, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
 from heddle.llm.common import read
 
 #: A deployment passes its own secret.
@@ -59,9 +59,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op8_quality_classifier, op9_license_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op8_quality_classifier, op9_license_scan, op10_decontamination, op11_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.oracle(), "op7_near_dedup": near_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op10_decontamination": decontamination.oracle()}
+    return {"op4_substring_dedup": substring_dedup.oracle(), "op7_near_dedup": near_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op10_decontamination": decontamination.oracle(), "op11_line_dedup": line_dedup.oracle()}
