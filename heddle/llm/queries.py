@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm import decontamination, license_scan, line_dedup, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
+from heddle.llm import decontamination, hard_negatives, license_scan, line_dedup, near_dedup, packing, pii, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding, substring_dedup
 from heddle.llm.common import read
 
 #: A deployment passes its own secret.
@@ -64,9 +64,20 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), lambda id: id % 100 == 0)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, sizes = prefix_trie.numbered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.borrowed(turns, sizes))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op8_quality_classifier, op9_license_scan, op10_decontamination, op11_line_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pseudonyms, op3_secret_scan, op4_substring_dedup, op5_best_fit_packing, op6_sharding, op7_near_dedup, op8_quality_classifier, op9_license_scan, op10_decontamination, op11_line_dedup, op12_hard_negatives, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substring_dedup.oracle(), "op7_near_dedup": near_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op10_decontamination": decontamination.oracle(), "op11_line_dedup": line_dedup.oracle()}
+    return {"op4_substring_dedup": substring_dedup.oracle(), "op7_near_dedup": near_dedup.oracle(), "op9_license_scan": license_scan.oracle(), "op10_decontamination": decontamination.oracle(), "op11_line_dedup": line_dedup.oracle(), "op12_hard_negatives": hard_negatives.oracle(), "op13_prefix_trie": prefix_trie.oracle()}
