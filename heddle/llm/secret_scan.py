@@ -16,8 +16,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = ("assign", "access", "hex", "markov")
 
-#: Tokens that the models judge: whole runs of these characters.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Stands for every character of a span found by pattern, where tokens are sought.
+MARK = "\x01"
+#: Tokens that the models judge: whole runs of these characters beside no mark.
+TOKEN = r"(?<![A-Za-z0-9+/_=\x01-])[A-Za-z0-9+/_=-]{20,}+(?!\x01)"
 #: Characters of the least stretch of a token that is judged by itself.
 LEAST = 20
 #: Spans that are gathered at once.
@@ -101,6 +103,15 @@ def spans(kind: str, text: Column, pattern: str, group: int, least: int) -> Colu
     return F.aggregate(rows, empty, step, lambda acc: F.flatten(F.array_append(acc["parts"], acc["part"])))
 
 
+def marked(text: Column, pattern: str, group: int, least: int) -> Column:
+    """The text with a mark for each character of the spans that ``spans`` would find: as long as before."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("between"), found.alias("found"), judged.alias("judged"))  # nothing is found after the last piece
+    hidden = lambda x: F.when(F.length(x["judged"]) >= least, F.repeat(F.lit(MARK), F.length(x["found"]))).otherwise(x["found"])
+    return F.array_join(F.transform(rows, lambda x: F.concat(x["between"], F.coalesce(hidden(x), F.lit("")))), "")
+
+
 def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
     """Secrets in every whole text.
 
@@ -109,7 +120,8 @@ def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text
     overlaps none of those and has letters and digits is a secret if the transitions in some
     stretch of it, of LEAST characters or more, are by ``margin`` nats in all likelier in random
     strings than in identifiers; so a name, path or prefix glued to a secret doesn't hide it.  The
-    span is the whole token.
+    span is the whole token.  Base spans are hidden before tokens are sought, so that many of both in one
+    text are never compared with each other.
 
     Returns key and ``spans``: structs (kind, start, end, text) by start, then kind in that order;
     positions count code points, ends are exclusive.  Row-wise: no shuffle, no join.  Null and
@@ -137,19 +149,17 @@ def find_secrets(docs: DataFrame, ratios: list[float], key: str = "doc_id", text
         codes = F.transform(F.split(token, "", -1), F.ascii)
         return let(codes, lambda c: let(F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: F.get(model, F.get(c, i - 1) * 128 + F.get(c, i))), best))
 
-    base = docs.select(
-        F.col(key),
-        body.alias("_body"),
-        F.concat(
-            F.when(body.rlike(ASSIGN), spans("assign", body, ASSIGN, 1, 12)).otherwise(none),
-            F.when(body.contains("AKIA"), spans("access", body, ACCESS, 0, 18)).otherwise(none),
-            F.when(body.rlike("[0-9a-f]{16}"), spans("hex", body, "[0-9a-f]{16,}", 0, 16)).otherwise(none),
-        ).alias("_base"),
+    kinds = (("assign", ASSIGN, 1, 12, lambda t: t.rlike(ASSIGN)), ("access", ACCESS, 0, 18, lambda t: t.contains("AKIA")), ("hex", "[0-9a-f]{16,}", 0, 16, lambda t: t.rlike("[0-9a-f]{16}")))
+    base = docs.select(F.col(key), body.alias("_body")).select(
+        key, "_body", F.concat(*[F.when(there(F.col("_body")), spans(k, F.col("_body"), pattern, group, least)).otherwise(none) for k, pattern, group, least, there in kinds]).alias("_base")
     )
-    tokens = F.when(F.col("_body").rlike(TOKEN), spans("markov", F.col("_body"), TOKEN, 0, 20)).otherwise(none)
+    # One pass after another hides the base spans.  A span found by pattern that an earlier one cuts still touches its marks, so the token around both is left out, as it overlaps them.
+    seen = base.withColumn("_seen", F.translate("_body", MARK, " "))
+    for _, pattern, group, least, there in kinds:
+        seen = seen.withColumn("_seen", F.when((F.size("_base") > 0) & there(F.col("_seen")), marked(F.col("_seen"), pattern, group, least)).otherwise(F.col("_seen")))
+    tokens = F.when(F.col("_seen").rlike(TOKEN), spans("markov", F.col("_seen"), TOKEN, 0, 20)).otherwise(none)
     mixed = lambda t: t["text"].rlike("[0-9]") & t["text"].rlike("[A-Za-z]")
-    apart = lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    judged = base.withColumn("_tokens", tokens).withColumn("_more", F.filter("_tokens", lambda t: mixed(t) & apart(t) & (score(t["text"]) > margin)))
+    judged = seen.withColumn("_tokens", tokens).withColumn("_more", F.filter("_tokens", lambda t: mixed(t) & (score(t["text"]) > margin)))
     place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"])
     ordered = F.array_sort(F.transform(F.concat("_base", "_more"), lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))))
     return judged.select(key, F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))).alias("spans"))
