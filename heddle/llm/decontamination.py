@@ -45,20 +45,38 @@ def fingerprints(df: DataFrame, w: str, length: int, k: int, short: list[int]) -
     return df.withColumn("_fps", F.concat(winnowed(F.col("_grams"), length - k + 1), *[grams(F.col(w), n) for n in short])).drop("_grams")
 
 
-def looked_up(runs: DataFrame, passages: DataFrame) -> DataFrame:
-    """Runs of words that are passages, with the items that these are of.  Both have _len, a and b.  If
-    the passages are too many to broadcast, runs are counted first, so that those of a passage in
-    very many documents can stay where they are."""
-    on = ["_len", "a", "b"]
-    if passages.count() <= BROADCAST_ROWS:
-        return runs.join(F.broadcast(passages), on)
-    counts = runs.groupBy(*on).agg(F.count("*").alias("_n"))
-    return by_key(runs, written(counts.join(passages, on)), on, "_n").drop("_n")
-
-
-def _hits(docs: DataFrame, items: DataFrame, length: int, k: int, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (key, _row, n_words) of every text, and (key, _row, _len, _pos, _item) of every
-    passage in them."""
+def looked_up(left: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``left`` beside the row of ``known``, a written table with one row for each key, that has
+    theirs.  If the keys are too many to broadcast, rows are counted by key first, so that those of a
+    key in very many documents can stay where they are."""
+    if known.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(known), on)
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n"))
+    return by_key(left, written(counts.join(known, on)), on, "_n").drop("_n")
+
+
+def of_set(members: Column) -> list[Column]:
+    """Aggregates that tell sets of 64-bit pairs apart: 128 bits, whatever the order, combined before rows are shuffled."""
+    return [F.bit_xor(F.xxhash64(members)).alias("_sa"), F.bit_xor(F.xxhash64(F.lit("second"), members)).alias("_sb")]
+
+
+def _passages(source: DataFrame, lengths: list[int], length: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: each distinct passage (_len, a, b) once, with the class (_sa, _sb) of passages that
+    stand in the same items; and each class's items, from one of its passages."""
+    rows = source.select("_item", F.lit(0).alias("_len"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).limit(0)
+    for n in lengths:
+        whole = F.size("_w") >= n if n == length else F.size("_w") == n
+        rows = rows.unionByName(source.where(whole).select("_item", F.lit(n).alias("_len"), F.explode(passage_hashes(F.col("_w"), n)).alias("_p")).select("_item", "_len", "_p.a", "_p.b"))
+    rows = written(rows.distinct())
+    passages = written(rows.groupBy("_len", "a", "b").agg(*of_set(F.col("_item"))))
+    chosen = passages.groupBy("_sa", "_sb").agg(F.min(F.struct("_len", "a", "b")).alias("_p")).select("_sa", "_sb", "_p.*")
+    items = rows.join(chosen, ["_len", "a", "b"]).groupBy("_sa", "_sb").agg(F.collect_list("_item").alias("_items"))
+    return passages, written(items)
+
+
+def _hits(docs: DataFrame, items: DataFrame, length: int, k: int, key: str, text: str, item_key: str, item_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: (key, _row, n_words) of every text; (key, _row, _len, _pos, _sa, _sb) of every
+    passage in them, with its class; and the items of each class, _items."""
     source = items.select(F.col(item_key).alias("_item"), words(F.col(item_text)).alias("_w"), folded_words(F.col(item_text)).alias("_f")).where(F.size("_w") > 0)
     lengths = [r[0] for r in source.select(F.least(F.size("_w"), F.lit(length))).distinct().collect()]  # at most `length` numbers
     short = sorted(n for n in lengths if n < length)
@@ -66,17 +84,21 @@ def _hits(docs: DataFrame, items: DataFrame, length: int, k: int, key: str, text
     with scratch() as keep:
         prints = fingerprints(source, "_f", length, k, []).select(F.explode("_fps").alias("_fp"))
         prints = written(prints.unionByName(source.where(F.size("_w") < length).select(F.xxhash64("_f").alias("_fp"))).distinct())
-        passages = source.select("_item", F.lit(0).alias("_len"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).limit(0)
-        for n in lengths:
-            whole = F.size("_w") >= n if n == length else F.size("_w") == n
-            passages = passages.unionByName(source.where(whole).select("_item", F.lit(n).alias("_len"), F.explode(passage_hashes(F.col("_w"), n)).alias("_p")).select("_item", "_len", "_p.a", "_p.b"))
-        passages = written(passages.distinct())
+        passages, classes = _passages(source, lengths, length)
 
         scanned = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"), folded_words(F.col(text)).alias("_f"))
         scanned = fingerprints(scanned, "_f", length, k, short).select(key, "_row", F.size("_f").cast("bigint").alias("n_words"), "_fps")
-        matched = scanned.select(key, "_row", "n_words", F.explode_outer("_fps").alias("_fp")).join(joinable(prints.withColumn("_known", F.lit(True))), "_fp", "left")
-        judged = written(matched.groupBy(key, "_row", "n_words").agg(F.coalesce(F.max("_known"), F.lit(False)).alias("_found")))
-        found = written(judged.where("_found").select(F.col(key).alias("_k"), F.col("_row").alias("_r")))
+        if prints.count() <= BROADCAST_ROWS:
+            matched = scanned.select(key, "_row", "n_words", F.explode_outer("_fps").alias("_fp")).join(F.broadcast(prints.withColumn("_known", F.lit(True))), "_fp", "left")
+            judged = written(matched.groupBy(key, "_row", "n_words").agg(F.coalesce(F.max("_known"), F.lit(False)).alias("_found")))
+            found = written(judged.where("_found").select(F.col(key).alias("_k"), F.col("_row").alias("_r")))
+            keep.append(judged)
+            judged = judged.drop("_found")
+        else:
+            scanned = written(scanned)
+            judged = written(scanned.select(key, "_row", "n_words").distinct())
+            near = looked_up(scanned.select(key, "_row", F.explode("_fps").alias("_fp")), prints, ["_fp"])
+            found = written(near.select(F.col(key).alias("_k"), F.col("_row").alias("_r")).distinct())
 
         texts = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"), F.col(text).alias("_text"))
         near = texts.join(joinable(found), F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left_semi")
@@ -84,9 +106,26 @@ def _hits(docs: DataFrame, items: DataFrame, length: int, k: int, key: str, text
         runs = near.select(key, "_row", F.lit(0).alias("_len"), F.lit(0).alias("_pos"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).limit(0)
         for n in lengths:
             runs = runs.unionByName(near.select(key, "_row", F.lit(n).alias("_len"), F.posexplode(passage_hashes(F.col("_w"), n)).alias("_pos", "_p")).select(key, "_row", "_len", "_pos", "_p.a", "_p.b"))
-        hits = written(looked_up(runs, passages).select(key, "_row", "_len", "_pos", "_item"))
-        keep += [judged, hits]
-    return judged.drop("_found"), hits
+        hits = written(looked_up(runs, passages, ["_len", "a", "b"]).select(key, "_row", "_len", "_pos", "_sa", "_sb").distinct())
+        keep += [judged, hits, classes]
+    return judged, hits, classes
+
+
+def _named(hits: DataFrame, classes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (key, _row, _ga, _gb), each document's set of classes; and n_items and items_sha256 of each such
+    set.  Documents with equal sets share one list of items, so rows are never documents times items."""
+    group = ["_ga", "_gb"]
+    each = written(hits.select(key, "_row", "_sa", "_sb").distinct())
+    sets = written(each.groupBy(key, "_row").agg(*of_set(F.struct("_sa", "_sb"))).withColumnsRenamed({"_sa": "_ga", "_sb": "_gb"}))
+    first = sets.groupBy(*group).agg(F.min(F.struct(F.col(key).alias("_k"), F.col("_row").alias("_r"))).alias("_f")).select(*group, "_f.*")
+    members = written(each.join(first, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))).select(*group, "_sa", "_sb"))
+    counts = members.groupBy("_sa", "_sb").agg(F.count("*").alias("_n"))
+    listed = by_key(members, written(counts.join(classes, ["_sa", "_sb"])), ["_sa", "_sb"], "_n")
+    listed = listed.groupBy(*group).agg(F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_all"))
+    ids = F.array_sort(F.transform("_all", lambda x: x.cast("string")))
+    counts = sets.groupBy(*group).agg(F.count("*").alias("_n"))
+    said = listed.select(*group, F.size("_all").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"))
+    return sets, written(said.join(counts, group))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -96,33 +135,37 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, k: int =
     documents and items are winnowed (k-grams, windows that a passage fills), and fingerprints are
     joined: every document with a passage is found, since both sides select from the same words.
     Then the hits are extended: in the documents found, every run of a passage's length is looked
-    up by a 128-bit hash among the passages, and the words of those that match are hit.
+    up by a 128-bit hash among the distinct passages, and the words of those that match are hit.  A
+    passage says its class, that of all passages in the same items; documents are joined with classes, sets
+    of these with items, so neither a passage in very many items nor one in very many documents multiplies rows.
 
     Returns key, n_words, n_hit, n_items, items_sha256 (of the item ids with a passage in the
     document, sorted as strings, comma-joined) and contaminated.  Null and empty texts have no
     words and are clean; items without words match nothing; repeated rows have a row each; rows
     that share a key but not a text are judged apart; extra columns are left out.  An empty table
-    on either side gives no hit.  Fingerprint tables are broadcast only up to BROADCAST_ROWS rows;
-    rows for a document are reduced before they are shuffled, and runs of a passage in very many
-    documents are not shuffled (``looked_up``), so no item or document is hot.
+    on either side gives no hit.  Tables of fingerprints and passages have one row for each and are
+    broadcast only up to BROADCAST_ROWS rows; beyond, rows of a frequent fingerprint or passage stay where
+    they are (``looked_up``); rows for a document are reduced before they are shuffled, so no item or document is hot.
     """
-    judged, hits = _hits(docs, items, length, k, key, text, item_key, item_text)
+    judged, hits, classes = _hits(docs, items, length, k, key, text, item_key, item_text)
     spans = hits.select(key, "_row", "_len", "_pos").distinct().groupBy(key, "_row").agg(F.collect_list(F.struct("_pos", "_len")).alias("_spans"))
-    named = hits.select(key, "_row", "_item").distinct().groupBy(key, "_row").agg(F.array_sort(F.collect_list(F.col("_item").cast("string"))).alias("_items"))
+    with scratch() as keep:
+        sets, said = _named(hits, classes, key)
+        keep += [sets, said]
+    named = by_key(sets, said, ["_ga", "_gb"], "_n")
     covered = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s["_pos"], s["_pos"] + s["_len"] - 1))))
     other = lambda df, *c: df.select(F.col(key).alias("_k"), F.col("_row").alias("_r"), *c)
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r"))
     rows = docs.select(F.col(key), row_hash(F.col(text)).alias("_row"))
     out = rows.join(other(judged, "n_words"), same).drop("_k", "_r")
     out = out.join(other(spans, F.size(covered).cast("bigint").alias("n_hit")), same, "left").drop("_k", "_r")
-    out = out.join(other(named, "_items"), same, "left")
-    none = F.array().cast("array<string>")
+    out = out.join(other(named, "n_items", "items_sha256"), same, "left")
     return out.select(
         key,
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
-        F.size(F.coalesce("_items", none)).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.coalesce("_items", none), ","), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 

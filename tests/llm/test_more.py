@@ -2,6 +2,7 @@
 
 import datetime
 import functools
+import hashlib
 import ipaddress
 import itertools
 import math
@@ -363,3 +364,22 @@ def test_packing_search_put_away_and_taken_up_is_the_same(monkeypatch):
     want = [packing.pack_lengths(c, 100, nodes=2000) for c in lists]
     monkeypatch.setattr(packing, "LIVE", 1)
     assert [sum(t for _, t in packing.pack_lengths(c, 100, nodes=2000)) for c in lists] == [sum(t for _, t in w) for w in want]
+
+
+def test_a_passage_in_very_many_items(spark, hot):
+    """A passage that all items share is one row to join with, and documents are never multiplied by items."""
+    shared = " ".join(f"s{i}" for i in range(12))
+    items = [(i, f"{shared} own{i} " + " ".join(f"i{i}w{j}" for j in range(10))) for i in range(5000)]
+    texts = [f"before{i} {shared} after{i}" for i in range(20)] + ["clean text", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    source = bench.select(F.col("item_id").alias("_item"), decontamination.words(F.col("text")).alias("_w"))
+    passages, classes = decontamination._passages(source, [10], 10)
+    assert passages.count() == passages.select("a", "b").distinct().count() and classes.count() == 5001 and classes.agg(F.max(F.size("_items"))).first()[0] == 5000
+    judged, hits, _ = decontamination._hits(df, bench, 10, 5, "doc_id", "text", "item_id", "text")
+    assert hits.count() == 20 * 3 and judged.count() == 22
+    sets, said = decontamination._named(hits, classes, "doc_id")
+    assert said.count() == 1 and sets.count() == 20
+    got = {r["doc_id"]: r for r in decontamination.decontaminate(df, bench).collect()}
+    want = hashlib.sha256(",".join(sorted(str(i) for i in range(5000))).encode()).hexdigest()
+    assert all(got[i]["n_items"] == 5000 and got[i]["items_sha256"] == want and got[i]["n_hit"] == 12 for i in range(20)) and not got[20]["contaminated"] and got[21]["n_words"] == 0

@@ -54,7 +54,7 @@ def rows():
     for c in [*range(0, 230, 3), 100, 200, -5, -100, 555]:
         for t in range(rng.randrange(1, 7)):
             out.append((c, None if t == 1 and rng.random() < 0.4 else t, rng.choice(["user", None]), rng.choice(["a", "é" * 3, None, "", f"own {c}"])))
-    out += [(900, 0, "user", "same"), (900, 1, "user", "z" * 100_000), *[(901, t, "user", "again") for t in range(60)], *[(902, t, "user", "again") for t in range(60)]]
+    out += [(900, 0, "user", "same"), (900, 1, "user", "z" * 100_000), *[(901, t, "user", "again") for t in range(12)], *[(902, t, "user", "again") for t in range(12)]]
     return out + [(None, 0, "user", "lost"), (None, None, None, None)]
 
 
