@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from heddle.plans import graph_queries, ledger_queries, search_queries, source_queries, store_queries, text_queries
+from heddle.plans import graph_queries, index_queries, ledger_queries, search_queries, source_queries, store_queries, text_queries
 from heddle.plans.registry import Query
 
-MODULES = (text_queries, graph_queries, ledger_queries, search_queries, store_queries, source_queries)
+MODULES = (text_queries, graph_queries, ledger_queries, search_queries, store_queries, source_queries, index_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -61,6 +61,10 @@ QUOTED = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*\""""
 BETWEEN = r"(?:\s|//[^\n]*|/\*(?s:.*?)\*/)+"
 WRITES = r"(?i)\b(?:" + "|".join(QUERY_WORDS) + r")\b"
 GENERATED_WRITES = r"(?i)\b(?:" + "|".join(w.replace(" ", BETWEEN) for w in GENERATED_WORDS) + r")\b"
+# Formats whose files a query can name as relations.
+FILE_FORMATS = ("avro", "binaryFile", "csv", "json", "orc", "parquet", "text", "xml")
+COMMENTS = r"/\*(?:[^*]|\*+[^*/])*\*+/|--[^\n]*"
+FILE_RELATION = r"(?i)(?:\b(?:FROM|JOIN|TABLE)\b|,)[\s(]*`?(?:" + "|".join(FILE_FORMATS) + r")`?\s*\.\s*[`\w]"
 
 
 def is_noise(name: Column) -> Column:
@@ -142,6 +146,13 @@ def has_generated_write_word(query: Column) -> Column:
     return query.rlike(GENERATED_WRITES)
 
 
+def names_file(query: Column) -> Column:
+    """Whether a query text reads a relation that is a file, not a table: a format and a path after FROM,
+    JOIN, TABLE or a comma, outside quoted strings and comments."""
+    bare = F.regexp_replace(F.regexp_replace(query, QUOTED, "''"), COMMENTS, " ")
+    return bare.rlike(FILE_RELATION)
+
+
 def is_read_only(query: str) -> bool:
     """Whether a query text has no word that writes, in the query language or in this engine's,
     outside its quoted strings and comments."""

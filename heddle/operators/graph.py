@@ -70,6 +70,10 @@ def orphans(packages: DataFrame, *children: DataFrame) -> DataFrame:
     return out
 
 
+#: Times the edges that the pointers of ``closure`` may be.
+POINTERS = 4
+
+
 def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, caller_cap: int = 0, exclude_tests: bool = False) -> DataFrame:
     """Least depth at which each node is reached from the seeds along (src, dst): qualified_name, depth.
 
@@ -170,15 +174,41 @@ def propagated(seeds: DataFrame, edges: DataFrame, depths: DataFrame, decay: flo
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """All that roots contain, at any depth, themselves included."""
-    edges = checkpointed(edges.select("src", "dst").repartition("src"))
-    known = settled(roots.select("qualified_name").distinct())
-    new = known
-    while not new.isEmpty():
-        out = edges.join(new.withColumnRenamed("qualified_name", "src"), "src", "left_semi").select(F.col("dst").alias("qualified_name")).distinct()
-        new = settled(out.join(known, "qualified_name", "left_anti"))
-        known = settled(known.unionByName(new))
-    return known
+    """All that roots contain, at any depth, themselves included, in rounds that grow with the logarithm of the depth.
+
+    Each node not yet known to be inside points to those so many steps above it, at first one.  In a
+    round, the nodes that point at an inside one are inside; the others point twice as far.  A node
+    with nothing that far above drops out.  Where nodes have so many parents that the pointers grow to over
+    POINTERS times the edges, they become edges of their own, and what is left is found step by step along both.
+    """
+    up = settled(edges.select(F.col("dst").alias("node"), F.col("src").alias("above")).distinct())
+    inside = settled(roots.select("qualified_name").distinct())
+    found, n = inside, up.count()
+    pairs = settled(up.join(inside.withColumnRenamed("qualified_name", "node"), "node", "left_anti"))
+    for _ in range(max(1, n).bit_length() + 1):  # no way without a cycle is longer than the edges
+        if pairs.isEmpty():
+            return found
+        new = settled(pairs.join(found.withColumnRenamed("qualified_name", "above"), "above", "left_semi").select(F.col("node").alias("qualified_name")).distinct())
+        found = found.unionByName(new)
+        left = pairs.join(new.withColumnRenamed("qualified_name", "node"), "node", "left_anti")
+        further = pairs.select(F.col("node").alias("above"), F.col("above").alias("_top"))
+        before, pairs = pairs, settled(left.join(further, "above").select("node", F.col("_top").alias("above")).where("node <> above").distinct())
+        if pairs.count() > POINTERS * n:
+            return _stepped(found, up.unionByName(before))
+        dropped(before)
+    return found
+
+
+def _stepped(found: DataFrame, up: DataFrame) -> DataFrame:
+    """All below what is found, one step of (node, above) after another."""
+    up = checkpointed(up.repartition("above"))
+    new = found = settled(found)
+    while True:
+        out = up.join(new.withColumnRenamed("qualified_name", "above"), "above", "left_semi").select(F.col("node").alias("qualified_name")).distinct()
+        new = settled(out.join(found, "qualified_name", "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
 
 
 def without_project(nodes: DataFrame, edges: DataFrame, project: str, containers: list[str], definitions: list[str]) -> DataFrame:
@@ -223,6 +253,19 @@ def listed_files(df: DataFrame, path: str, contains: str = "", extension: str =
     return out.where(F.col("extension") == "." + extension.lstrip(".")) if extension else out
 
 
+def repository_stats(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, roots: DataFrame) -> DataFrame:
+    """A row for each repository that is known, has nodes or has embeddings: repo, root, nodes, relations and
+    embeddings.  nodes: repo, qualified_name; vectors: repo; roots: repo, root.  A relation counts for the repository
+    of its source."""
+    where = nodes.select(F.col("qualified_name").alias("src"), "repo")
+    counted = {"nodes": nodes.select("repo"), "relations": edges.select("src").join(where, "src").select("repo"), "embeddings": vectors.select("repo")}
+    out = roots.select("repo", "root", *[F.lit(0).cast("long").alias(n) for n in counted])
+    for name, rows in counted.items():
+        n = rows.groupBy("repo").agg(F.count("*").alias(name))
+        out = out.unionByName(n.withColumns({"root": F.lit(None).cast("string")} | {m: F.lit(0).cast("long") for m in counted if m != name}))
+    return out.groupBy("repo").agg(F.max("root").alias("root"), *[F.sum(n).alias(n) for n in counted])
+
+
 def type_counts(nodes: DataFrame, labels: list[str] | None = None, non_zero: bool = False) -> DataFrame:
     """Nodes of each label; labels asked for without nodes count 0, or are left out if ``non_zero``."""
     counts = nodes.groupBy("label").agg(F.count("*").alias("n"))

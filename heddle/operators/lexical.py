@@ -41,7 +41,7 @@ def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str
     """BM25 of every document with a query term: key, score.
 
     One pass over the texts counts the query's terms and writes a few numbers for each document;
-    totals and scores are read from these.  For many queries, see ``write_index``.
+    totals and scores are read from these.  For many queries, see ``segments.SegmentedIndex``.
     """
     terms = list(dict.fromkeys(t.lower() for t in query_terms))
     counts = counted(docs, terms, key, text)
@@ -49,37 +49,6 @@ def bm25(docs: DataFrame, query_terms: list[str], key: str = "doc_id", text: str
     return scored(counts, stats, len(terms), key, k1, b)
 
 
-def write_index(docs: DataFrame, path: str, key: str, fields: list[str], repo: str, mode: str = "overwrite") -> None:
-    """Store an inverted index of ``docs``: postings (repo, field, term, key, tf, dl), sorted by term
-    within files so that a search reads little, and the documents' lengths.  mode ``append`` adds
-    documents, ``overwrite`` rebuilds."""
-    each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])
-    toks = docs.select(F.col(repo).alias("repo"), F.col(key).alias("key"), F.explode(each).alias("_f")).select("repo", "key", "_f.field", "_f.t")
-    held = settled(toks)
-    held.select("repo", "field", "key", F.size("t").cast("long").alias("dl")).write.mode(mode).parquet(f"{path}/documents")
-    rows = held.select("repo", "field", "key", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term")).groupBy("repo", "field", "term", "key", "dl").agg(F.count("*").alias("tf"))
-    rows.repartition("term").sortWithinPartitions("term", "key").write.mode(mode).parquet(f"{path}/postings")
-
-
-def search_index(spark, path: str, query: str, repo: str | None = None, fields: list[str] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 summed over fields, from a stored index: key, score.  Only documents of ``repo`` count,
-    also for the totals, if one is given.  A query without a token finds nothing; quotes and other
-    signs are no tokens, so no query fails to parse."""
-    import re
-
-    terms = list(dict.fromkeys(t.lower() for t in re.findall("[A-Za-z][A-Za-z0-9]+", query.translate(str.maketrans("._", "  ")))))
-    docs, postings_ = spark.read.parquet(f"{path}/documents"), spark.read.parquet(f"{path}/postings")
-    for name, xs in (("repo", [repo] if repo is not None else None), ("field", fields)):
-        if xs is not None:
-            docs, postings_ = docs.where(F.col(name).isin(*xs)), postings_.where(F.col(name).isin(*xs))
-    totals = docs.groupBy("field").agg(F.count("*").cast("double").alias("_n"), F.avg("dl").alias("_avg"))
-    found = postings_.where(F.col("term").isin(*terms)) if terms else postings_.limit(0)
-    df = found.groupBy("field", "term").agg(F.count("*").cast("double").alias("_df"))
-    rows = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(totals), "field")  # terms and fields of one query
-    part = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("_avg")))
-    return rows.groupBy("key").agg(F.sum(part).alias("score"))
-
-
 def fielded_bm25(docs: DataFrame, query_terms: list[str], fields: list[str], key: str, repo: str | None = None, repo_column: str = "repo") -> DataFrame:
     """BM25 of each field, summed; only documents of ``repo`` if one is given."""
     own = docs.where(F.col(repo_column) == repo) if repo is not None else docs

@@ -45,6 +45,13 @@ def pinned(scored: DataFrame, query: str, key: str) -> Column:
     return (c == query) | c.endswith("." + query) | c.startswith(query + ".")
 
 
+def pin_final(scored: DataFrame, query: str, name: str, key: str, k: int) -> DataFrame:
+    """The first k rows with their rank: those whose name is ``pinned``, then the others, each by score, ties by key."""
+    order = [F.desc("_pin"), F.desc("score"), key]
+    best = scored.withColumn("_pin", pinned(scored, query, name)).orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("_pin")
+
+
 def max_merged(*legs: DataFrame, key: str) -> DataFrame:
     out = legs[0].select(key, "score")
     for leg in legs[1:]:

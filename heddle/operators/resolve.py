@@ -186,10 +186,12 @@ def resolved(
     return calls.withColumn("_id", F.struct("caller", "call_name", "line", "col")).join(best, "_id", "left").drop("_id")
 
 
-def external_modules(modules: DataFrame, own_prefix: str, most: int = 10_000) -> DataFrame:
-    """Modules that are neither a repository's own nor another one's by name: the first so many."""
+def external_modules(modules: DataFrame, own_prefix: str, most: int | None = None) -> DataFrame:
+    """Modules that are neither a repository's own nor another one's by name: all of them, or by name
+    the first ``most`` if a caller asks for so many."""
     q = F.col("qualified_name")
-    return modules.where(~q.startswith(own_prefix) & ~q.contains("::")).orderBy("qualified_name").limit(most)
+    out = modules.where(~q.startswith(own_prefix) & ~q.contains("::"))
+    return out if most is None else out.orderBy("qualified_name").limit(most)
 
 
 def repository_of(modules: DataFrame, identities: DataFrame) -> DataFrame:

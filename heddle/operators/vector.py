@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from heddle.sources.tables import few
-
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -73,27 +71,6 @@ def central_mean(ranks: DataFrame, vectors: DataFrame, k: int, key: str, score:
     return mean_vectors(vectors.join(F.broadcast(top), key, "left_semi").withColumn("_all", F.lit(1)), ["_all"], vector).drop("_all")
 
 
-def clusters(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """k-means of unit vectors: key, cluster (0 the largest), size and label, the member with the
-    greatest product with its cluster's mean."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = df.select(key, l2_normalised(F.col(vector)).alias("_u"))
-    data = unit.withColumn("features", array_to_vector("_u"))
-    k = max(1, min(64, k, data.limit(64).count()))
-    if k == 1:  # nothing to divide
-        given = data.select(key, "_u", F.lit(0).alias("_c"))
-    else:
-        model = KMeans(k=k, seed=seed, maxIter=25).fit(data)
-        given = model.transform(data).select(key, "_u", F.col("prediction").alias("_c"))
-    means = mean_vectors(given, ["_c"], "_u").select("_c", "centroid", F.col("n").alias("size"))
-    near = given.join(few(means), "_c").withColumn("_d", dot(F.col("_u"), F.col("centroid")))
-    heads = near.groupBy("_c").agg(F.max_by(key, F.struct("_d", (-F.col(key)).alias("_k"))).alias("label"), F.first("size").alias("size"))
-    named = heads.withColumn("cluster", (F.row_number().over(W.orderBy(F.desc("size"), "label")) - 1).cast("int"))
-    return near.select(key, "_c").join(few(named), "_c").select(key, "cluster", "size", "label")
-
-
 def batch_outcome(rows: DataFrame, batch: str, expected: DataFrame) -> DataFrame:
     """Rows of embedding batches with their outcome.  ``rows``: batch, key, embedding, error;
     ``expected``: batch, n.  A batch with an error, or with other than the expected number of

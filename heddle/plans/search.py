@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -223,13 +224,20 @@ TABLE_FUNCTIONS = {"range", "explode", "explode_outer", "posexplode", "posexplod
 RUNNING_FUNCTIONS = {"java_method", "reflect", "try_reflect"}
 
 
-def refusal(spark: SparkSession, query: str) -> str | None:
-    """Why a query may not be run: a word that writes, a plan that does more than read, or a function
-    that runs other code; None if it may.  Parsed only, never run."""
+def refusal(spark: SparkSession, query: str, relations: Iterable[str] | None = None) -> str | None:
+    """Why a query may not be run: a word that writes, a plan that does more than read, a function that
+    runs other code, or a relation that is no named table; None if it may.  Parsed only, never run.
+
+    ``relations`` are the tables and views that a query may name; where none are given, those that the
+    session's catalogue has.  So no query reads a file by its path, whatever its format: such a relation is
+    in no catalogue.  A common table expression counts only where it is in scope: in the query
+    it stands before and in later ones of its list, not in its own definition unless that is recursive.
+    """
     from pyspark.errors import ParseException
 
     if not is_read_only(query):
         return "word"
+    allowed = None if relations is None else {r.lower() for r in relations}
 
     def each(seq):
         it = seq.iterator()
@@ -241,12 +249,28 @@ def refusal(spark: SparkSession, query: str) -> str | None:
         for x in each(e.children()):
             yield from within(x)
 
-    def judged(plan) -> str | None:
+    def known(parts: list[str], scope: frozenset[str]) -> bool:
+        if len(parts) == 1 and parts[0].lower() in scope:
+            return True
+        if allowed is not None:
+            return ".".join(parts).lower() in allowed
+        return spark.catalog.tableExists(".".join("`" + x.replace("`", "``") + "`" for x in parts))
+
+    def judged(plan, scope: frozenset[str]) -> str | None:
         kind = plan.getClass().getSimpleName()
         if kind not in READING_NODES:
             return f"plan {kind}"
         if kind == "UnresolvedTableValuedFunction" and list(each(plan.name()))[-1].lower() not in TABLE_FUNCTIONS:
             return "function"
+        if kind == "UnresolvedRelation" and not known(list(each(plan.multipartIdentifier())), scope):
+            return "relation"
+        if kind == "UnresolvedWith":
+            for named in each(plan.cteRelations()):
+                name = named._1().lower()
+                if why := judged(named._2(), scope | {name} if plan.allowRecursion() else scope):
+                    return why
+                scope = scope | {name}
+            return judged(plan.child(), scope)
         inside = [*each(plan.children()), *each(plan.innerChildren())]
         for e in each(plan.expressions()):
             for x in within(e):
@@ -256,12 +280,12 @@ def refusal(spark: SparkSession, query: str) -> str | None:
                 if name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
                     inside.append(x.plan())
         for p in inside:
-            if why := judged(p):
+            if why := judged(p, scope):
                 return why
         return None
 
     try:
-        return judged(spark._jsparkSession.sessionState().sqlParser().parsePlan(query))
+        return judged(spark._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset())
     except ParseException:
         return "syntax"
 
@@ -275,26 +299,32 @@ def return_aliases(query: str) -> list[str]:
     return list(dict.fromkeys(x for x in found if x.upper() not in ("ASC", "DESC", "ASCENDING", "DESCENDING")))
 
 
-def guarded_sql(spark: SparkSession, query: str, offset: int = 0, limit: int = 1000) -> tuple[DataFrame, bool]:
+#: Rows that a guarded query gives at most at once.
+MOST_ROWS = 5000
+
+
+def guarded_sql(spark: SparkSession, query: str, offset: int = 0, limit: int = 1000, relations: Iterable[str] | None = None) -> tuple[DataFrame, bool]:
     """A page of a query's rows in the order of its columns, and whether there are more; a query with
-    a LIMIT of its own is not paged.  Only queries that read are run (``refusal``)."""
+    a LIMIT of its own keeps its order and is one page of up to MOST_ROWS rows.  Only queries that read
+    named tables are run (``refusal``)."""
     import re
 
-    if refusal(spark, query) is not None:
+    if refusal(spark, query, relations) is not None:
         raise PermissionError("only reading queries are allowed")
     df = spark.sql(query)
     if re.search(r"\bLIMIT\b", re.sub(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "''", query), re.I):
-        return df, False
-    return graph.paged(df, max(offset, 0), max(1, min(5000, limit)))
+        return df.limit(MOST_ROWS), not df.offset(MOST_ROWS).limit(1).isEmpty()
+    return graph.paged(df, max(offset, 0), max(1, min(MOST_ROWS, limit)))
 
 
-def generated_query(spark: SparkSession, question: str, generate) -> str:
-    """Query text that a model writes for a question, cleaned; an error if it is not a reading one."""
+def generated_query(spark: SparkSession, question: str, generate, relations: Iterable[str] | None = None) -> str:
+    """Query text that a model writes for a question, cleaned; an error if it is not a reading one of
+    named tables."""
     from heddle.functions.predicates import has_generated_write_word
     from heddle.functions.text import cleaned_query
 
     row = spark.range(1).select(cleaned_query(F.lit(generate(question))).alias("q")).select("q", has_generated_write_word(F.col("q")).alias("w")).first()
-    if row["w"] or refusal(spark, row["q"].rstrip("; ")) is not None:
+    if row["w"] or refusal(spark, row["q"].rstrip("; "), relations) is not None:
         raise PermissionError("the generated query does more than read")
     return row["q"]
 

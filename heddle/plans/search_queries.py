@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import predicates as P
 from heddle.functions import text as T
-from heddle.operators import graph, lexical, rank, vector
+from heddle.operators import graph, lexical, rank, segments, vector
 from heddle.plans import search, trade
 from heddle.plans.registry import Registry, quoted, scratch_folder, sql_array, sql_values, table, values
 from heddle.plans.text_queries import BM25, COS, SEED, TERMS, seed_vector
@@ -259,14 +259,18 @@ d AS (SELECT field, term, count(*) AS df FROM p WHERE tf > 0 GROUP BY ALL)
 SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score FROM p JOIN d USING (field, term) JOIN n USING (field)
 WHERE tf > 0 GROUP BY doc_id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, doc_id LIMIT 50""")
 def q_index_search(spark, sf_dir):
-    """A stored index, built of some documents and added to, searched for one repository."""
-    path = scratch_folder(spark, "index")
+    """A stored index that has seen additions, replacements, deletions and a merge, searched for one repository."""
+    index = segments.SegmentedIndex(spark, scratch_folder(spark, "index"), ["text", "source"], "doc_id", "lang", "long")
     docs = table(spark, sf_dir, "documents")
-    lexical.write_index(docs.where("n_chars > 500"), path, "doc_id", ["text", "source"], "lang")
-    lexical.write_index(docs.where("n_chars <= 500"), path, "doc_id", ["text", "source"], "lang", mode="append")
-    found = lexical.search_index(spark, path, " ".join(['"', *TERMS, 'src1"']), repo="en")
-    best = lexical.top_documents(found.withColumnRenamed("key", "doc_id"), 50)
-    return best.select("doc_id", F.round("score", 4).alias("score"))
+    stale = docs.withColumn("text", F.concat_ws(" ", F.lit("the thea ther"), F.substring("text", 1, 100)))
+    extra = docs.where("n_chars > 2000").withColumn("doc_id", -1 - F.col("doc_id"))
+    index.add(docs.where("n_chars > 500").unionByName(extra))
+    index.add(stale.where("n_chars <= 500"))
+    index.add(docs.where("n_chars <= 500"))
+    index.remove(extra)
+    index.merge(2)
+    found = index.search(" ".join(['"', *TERMS, 'src1"']), 50, repo="en")
+    return found.hits.select(F.col("key").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @R.query(f"""WITH {SQL_NODES}, {SQL_TRADES}, d AS (SELECT dst AS q, count(*) AS n FROM trades GROUP BY dst), t AS (SELECT q, n / 1000.0::DOUBLE AS p FROM d ORDER BY p DESC, q LIMIT 40)
@@ -298,20 +302,21 @@ def q_central_latest(spark, sf_dir):
     return top.join(names, "k").select("k", "name", F.col("pagerank").cast("long").alias("n"), day.alias("day"), F.col("last_computed_at").alias("last_computed"))
 
 
-STATEMENTS = [
-    ("SELECT 1", None), ("SELECT name FROM t WHERE name = 'DROP'", None), ("WITH a AS (SELECT 1 AS x) SELECT * FROM a JOIN b USING (x)", None), ("SELECT * FROM range(3)", None), ("VALUES (1), (2)", None),
-    ("SELECT count(*) FROM t GROUP BY x HAVING count(*) > 1 ORDER BY 1 LIMIT 3", None), ("SELECT x FROM t WHERE x IN (SELECT y FROM u WHERE EXISTS (SELECT 1 FROM v))", None), ("SELECT sum(x) OVER (PARTITION BY y) FROM t UNION ALL SELECT 1 EXCEPT SELECT 2", None),
-    ("DROP TABLE t", "word"), ("CREATE TABLE t AS SELECT 1", "word"), ("LOAD DATA INPATH 'x' INTO TABLE t", "word"), ("CALL p()", "word"), ("REPLACE TABLE t AS SELECT 1", "word"), ("MSCK REPAIR TABLE t", "word"), ("CACHE TABLE t", "word"), ("USE d", "word"),
-    ("ANALYZE TABLE t COMPUTE STATISTICS", "word"), ("REFRESH TABLE t", "word"), ("SELECT java_method('java.lang.System', 'exit', 1)", "word"), ("SELECT `reflect`('a', 'b')", "word"), ("insert into t values (1)", "word"), ("SET x = 1", "word"),
-    ("SHOW TABLES", "plan"), ("DESCRIBE t", "plan"), ("EXPLAIN SELECT 1", "plan"), ("LIST JAR", "plan"), ("COMMENT ON TABLE t IS 'x'", "plan"), ("SELECT (1", "syntax"), ("MERGE INTO t USING u ON a = b WHEN MATCHED THEN DELETE", "word"), ("SELECT * FROM python_worker_logs()", "function"),
-]
+# Query texts around a page's address, which is a path to some and a string to others.
+STATEMENTS = (
+    "SELECT * FROM text.`{}`", "SELECT a.x FROM pages a JOIN parquet . `{}` b USING (url)", "SELECT * FROM pages /* csv.`{}` */ WHERE url = 'FROM json.`{}`'", "SELECT (SELECT max(value) FROM `binaryFile`.`{}`) FROM pages",
+    "MERGE INTO pages USING csv.`{}` t ON true WHEN MATCHED THEN DELETE", "SELECT count(*) FROM pages, orc.`{}` WHERE true", "WITH text AS (SELECT url FROM pages) SELECT text.url FROM text -- json.`{}`",
+)
 
 
-@R.query(f"SELECT statement, verdict FROM {sql_values([(s, v or 'allowed') for s, v in STATEMENTS], 'statement, verdict')}")
+@R.query(f"""WITH t AS (SELECT page_id, n, replace(s, '{{}}', url) AS q FROM pages, {sql_values(list(enumerate(STATEMENTS)), 'n, s')}),
+b AS (SELECT page_id, n, regexp_replace(q, '''(?:[^''\\\\]|\\\\.)*''|"(?:[^"\\\\]|\\\\.)*"', '''''', 'g') AS q FROM t)
+SELECT page_id, n, CASE WHEN regexp_matches(q, {quoted(P.WRITES)}) THEN 'word' WHEN regexp_matches(regexp_replace(q, {quoted(P.COMMENTS)}, ' ', 'g'), {quoted(P.FILE_RELATION)}) THEN 'relation' ELSE 'allowed' END AS verdict FROM b""")
 def q_guard_statements(spark, sf_dir):
-    """Statements and what the guard says of them; none is run."""
-    rows = [(s, (search.refusal(spark, s) or "allowed").split(" ")[0]) for s, _ in STATEMENTS]
-    return values(spark, rows, "statement string, verdict string")
+    """Query texts made of pages and why they would be refused; none is run."""
+    texts = F.array(*[F.replace(F.lit(s), F.lit("{}"), F.col("url")) for s in STATEMENTS])
+    q = table(spark, sf_dir, "pages").select("page_id", F.posexplode(texts).alias("n", "q"))
+    return q.select("page_id", "n", F.when(P.has_write_word(F.col("q")), "word").when(P.names_file(F.col("q")), "relation").otherwise("allowed").alias("verdict"))
 
 
 @R.query(f"""WITH t AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'MATCH (n) SET n.x = 1 RETURN n' WHEN 1 THEN 'MATCH (n) WHERE n.url = ''' || url || ''' RETURN n.a AS one, n.b AS two' WHEN 2 THEN 'CREATE /* x */ INDEX ON :A(b)'

@@ -50,11 +50,6 @@ def q_centroid_by_label(spark, sf_dir):
     return out.withColumn("mean", F.when(rounded == 0, F.col("mean") * 0.0).otherwise(rounded))  # SQL keeps the sign of zero
 
 
-@R.query()
-def q_clusters(spark, sf_dir):
-    return vector.clusters(table(spark, sf_dir, "embeddings"), 8)
-
-
 @R.query(f"SELECT term, CAST(count(*) AS BIGINT) AS tf, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM (SELECT doc_id, unnest({DOC_TOKENS}) AS term FROM documents) GROUP BY term")
 def q_tokens(spark, sf_dir):
     p = lexical.postings(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from heddle.sources import walk
+from heddle.sources.snapshots import Snapshots
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("label", T.StringType(), False),
@@ -203,22 +206,29 @@ def bulk_written(vectors: DataFrame, path: str, by: str | None = None) -> None:
     (out.partitionBy(by) if by else out).parquet(path)
 
 
+RANKS = "qualified_name string, pagerank double, computed_at timestamp"
+
+
 def centrality_written(ranks: DataFrame, path: str, repo: str) -> int:
-    """Replace a repository's ranks (qualified_name, pagerank, computed_at) by these; returns how
-    many there are now.  No rank at all clears them."""
-    rows = ranks.select("qualified_name", "pagerank", "computed_at")
-    rows.write.mode("overwrite").parquet(f"{path}/repo={repo}")
-    return ranks.sparkSession.read.schema(rows.schema).parquet(f"{path}/repo={repo}").count()
+    """Replace a repository's ranks (qualified_name, pagerank, computed_at) by these, as a new version of its
+    store, so that readers see the old ranks or the new; returns how many there are now.  No rank at all
+    clears them."""
+    store = Snapshots(ranks.sparkSession, f"{path}/repo={repo}")
+    version = store.write(ranks.select("qualified_name", "pagerank", "computed_at"))
+    store.vacuum()
+    return store.read(version).count()
 
 
 def centrality_read(spark: SparkSession, path: str, repo: str, names: DataFrame | None = None) -> DataFrame:
-    """A repository's ranks, or those of some names."""
-    ranks = spark.read.schema("qualified_name string, pagerank double, computed_at timestamp").parquet(f"{path}/repo={repo}")
+    """A repository's ranks, or those of some names; none before the first are written."""
+    ranks = Snapshots(spark, f"{path}/repo={repo}").read()
+    if ranks is None:
+        return spark.createDataFrame([], RANKS)
     return ranks.join(few(names.select("qualified_name").distinct()), "qualified_name", "left_semi") if names is not None else ranks
 
 
 def centrality_cleared(spark: SparkSession, path: str, repo: str) -> None:
-    centrality_written(spark.createDataFrame([], "qualified_name string, pagerank double, computed_at timestamp"), path, repo)
+    centrality_written(spark.createDataFrame([], RANKS), path, repo)
 
 
 def merged_properties(nodes: DataFrame, edges: DataFrame, seq: str) -> tuple[DataFrame, DataFrame]:
@@ -267,7 +277,7 @@ def index_summary(occurrences: DataFrame) -> DataFrame:
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, size and sha of every file of a snapshot."""
-    return source_files(spark, root).select("path", "size", "sha")
+    return walk.with_content(walk.source_tree(spark, root, ignore=False), root).select("path", "size", "sha")
 
 
 def restored(spark: SparkSession, root: str, expected: DataFrame) -> DataFrame:
@@ -295,28 +305,16 @@ def loaded_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return spark.read.json(f"{path}/nodes"), spark.read.json(f"{path}/relationships")
 
 
-def source_files(spark: SparkSession, root: str, wanted=None) -> DataFrame:
-    """path (relative), mtime_ns, size, content and sha of every file below a folder.  ``wanted``, a
-    predicate on the relative path, is applied before any content is read: only the listing's path,
-    size and time are looked at first, and only the files it lets in are opened.  (The driver lists all
-    names in either case; that is how Spark plans a scan of files.)"""
-    from urllib.parse import unquote, urlparse
-
-    base = root.rstrip("/") + "/"
-    rel = F.substring_index("path", base, -1)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    if wanted is not None:
-        names = files.select("path").where(wanted(rel))  # the content column is pruned: nothing is opened
-        paths = [r["path"] for r in names.toLocalIterator()]
-        if not paths:
-            return files.limit(0).select(rel.alias("path"), F.lit(0).cast("long").alias("mtime_ns"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha"))
-        files = spark.read.format("binaryFile").load([unquote(urlparse(p).path) if p.startswith("file:") else p for p in paths])
-    return files.select(rel.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("sha"))
+def source_files(spark: SparkSession, root: str, wanted: Callable[[Column], Column] | None = None, exclude: tuple[str, ...] = (), unignore: tuple[str, ...] = ()) -> DataFrame:
+    """path (relative), size, mtime_ns, content and sha of every file below a folder.  Folders that
+    ``exclude`` or the built-in names leave out are never listed (``walk.source_tree``); ``wanted``, a predicate on
+    the path, is applied before any content is read.  No list of paths is on the driver."""
+    files = walk.source_tree(spark, root, exclude, unignore)
+    return walk.with_content(files.where(wanted(F.col("path"))) if wanted is not None else files, root)
 
 
 def disk_usage(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
+    return walk.source_tree(spark, root, ignore=False).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("files"))
 
 
 def rotated(snapshots: DataFrame, keep: int, min_age_s: float, now_s: float, by: str = "repo", ts: str = "ts") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.predicates import IGNORED_NAMES
+from heddle.sources.snapshots import Snapshots
+from heddle.sources.tables import dropped, settled
 
 GAP = "1500 milliseconds"
 #: Later events open a window of their own.
@@ -56,20 +58,60 @@ def job_state_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").applyInPandasWithState(step, "job_id long, state string, updated_us long", "status string, at long, seq long", "update", "NoTimeout")
 
 
+def last_writes(batch: DataFrame) -> DataFrame:
+    """One row for each path: the one written last, ties by size and hash."""
+    last = F.max_by(F.struct(*batch.columns), F.struct("mtime_ns", "size", "sha")).alias("_last")
+    return batch.groupBy("path").agg(last).select("_last.*")
+
+
 def partial_index(stored: Callable[[], DataFrame], apply: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """What ``index_changes`` calls for each micro-batch of files (path, mtime_ns, size, sha): those
-    whose hash is the stored one are left alone, and nothing is applied if none is left.  Micro-batches
-    come one after another, so a repository is never indexed twice at once."""
+    """What ``index_changes`` calls for each micro-batch of files (path, mtime_ns, size, sha): of each
+    path the last write, those whose hash is the stored one left alone, and nothing is applied if none is
+    left.  Micro-batches come one after another, so a repository is never indexed twice at once."""
 
     def run(batch: DataFrame, _: int) -> None:
         old = stored().select("path", F.col("sha").alias("_sha"))
-        new = batch.dropDuplicates(["path", "sha"]).join(old, "path", "left").where(~F.col("sha").eqNullSafe(F.col("_sha"))).drop("_sha")
+        new = last_writes(batch).join(old, "path", "left").where(~F.col("sha").eqNullSafe(F.col("_sha"))).drop("_sha")
         if not new.isEmpty():
             apply(new)
 
     return run
 
 
+def indexed_once(store: Snapshots, stream: str, index: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """What ``index_changes`` calls to keep ``store`` equal to the last write of every path, each micro-batch
+    applied exactly once.
+
+    ``index`` makes a file's stored rows from the changed files (as they are, if none is given); path and sha stay.
+    A path without a hash is deleted.  Rows and the batch's number go into the store in one step
+    (``Snapshots.write``), so a batch that fails before it changes nothing, and one that comes again after it is
+    known and left alone.  A batch that changes nothing adds no version.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        base = store.current()
+        if store.applied(stream, number):
+            return
+        last = last_writes(batch)
+        old = store.read(base)
+        if old is not None:
+            known = old.select("path", F.col("sha").alias("_sha")).distinct()
+            last = last.join(known, "path", "left").where(~F.col("sha").eqNullSafe(F.col("_sha"))).drop("_sha")
+        changed = settled(last)
+        try:
+            if changed.isEmpty():
+                return
+            live = changed.where(F.col("sha").isNotNull())
+            rows = index(live) if index else live
+            if old is not None:
+                rows = old.join(changed.select("path"), "path", "left_anti").select(*old.columns).unionByName(rows.select(*old.columns))
+            store.write(rows, base, stream, number)
+        finally:
+            dropped(changed)
+
+    return run
+
+
 def throughput_listener(report: Callable[[str, float], None]):
     """Listener that reports each query's rows a second, where it has changed since the last report."""
     from pyspark.sql.streaming import StreamingQueryListener

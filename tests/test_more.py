@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import docstrings
-from heddle.operators import evaluation, graph, incremental, lexical, resolve, vector
+from heddle.operators import evaluation, graph, incremental, lexical, nearest, resolve, vector
 from heddle.plans import search
 from heddle.sources import other_sources, python_source, tables
 from heddle.streaming import watch
@@ -234,17 +234,6 @@ def test_metadata_has_a_bound(spark):
         tables.key_values(df, "repo", most=4)
 
 
-def test_index_rebuild_and_empty_queries(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "alpha beta", "r1"), (2, "alpha", "r2")], "k long, t string, repo string")
-    path = str(tmp_path / "index")
-    lexical.write_index(docs, path, "k", ["t"], "repo")
-    lexical.write_index(docs, path, "k", ["t"], "repo", mode="append")
-    assert lexical.search_index(spark, path, "alpha").count() == 2
-    lexical.write_index(docs.where("k = 2"), path, "k", ["t"], "repo")
-    assert [r["key"] for r in lexical.search_index(spark, path, 'al"pha alpha').collect()] == [2]
-    assert lexical.search_index(spark, path, "alpha", repo="r1").count() == 0 and lexical.search_index(spark, path, "  '\"").count() == 0
-
-
 def test_docstrings_of_underlined_style():
     text = "Do it.\n\nParameters\n----------\nx : int\n    The x,\n    and more.\ny\n    The y.\n\nReturns\n-------\nstr\n    The name."
     assert docstrings.formatted(text) == "Description: Do it.\nArgs:\n  x: int The x, and more.\n  y: The y.\nReturns: The name."
@@ -270,7 +259,7 @@ def test_clusters_of_plain_groups(spark):
     centers = np.eye(4)[:3]
     rows = [(int(i), (centers[i % 3] + rng.normal(0, 0.02, 4)).tolist()) for i in range(60)] + [(100 + i, (centers[0] + rng.normal(0, 0.02, 4)).tolist()) for i in range(9)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: r for r in vector.clusters(df, 3).collect()}
+    got = {r["vec_id"]: r for r in nearest.clusters(df, 3).collect()}
     home = {}
     for i, _ in rows:
         home.setdefault(0 if i >= 100 else i % 3, set()).add(got[i]["cluster"])
@@ -278,7 +267,7 @@ def test_clusters_of_plain_groups(spark):
     unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
     mean = np.mean([unit[i] for i in got if got[i]["cluster"] == 0], axis=0)
     assert got[0]["label"] == max((i for i in got if got[i]["cluster"] == 0), key=lambda i: (unit[i] @ mean, -i))
-    assert {r["cluster"] for r in vector.clusters(df, 1).collect()} == {0}
+    assert {r["cluster"] for r in nearest.clusters(df, 1).collect()} == {0}
 
 
 def test_lsh_recall(spark):
@@ -314,3 +303,65 @@ def test_results_are_kept_by_version_and_time():
     assert [cache.get("a", 1, make), cache.get("a", 1, make), cache.get("a", 2, make)] == [1, 1, 2]
     now[0] = 11.0
     assert cache.get("a", 2, make) == 3 and cache.get("b", 2, make) == 4
+
+
+@pytest.mark.parametrize("kind", ["csv", "text", "json", "parquet", "orc", "binaryFile", "xml", "avro"])
+def test_no_query_reads_a_file(spark, kind):
+    """Files are no relations of a guarded query, in any place and whatever their format."""
+    spark.range(3).createOrReplaceTempView("three")
+    file = f"{kind}.`/etc/passwd`"
+    for q in (
+        f"SELECT * FROM {file}", f"SELECT * FROM three WHERE id IN (SELECT 1 FROM {file})", f"SELECT (SELECT max(1) FROM {file} LIMIT 1)", f"WITH t AS (SELECT * FROM {file}) SELECT * FROM t", f"TABLE {file}",
+        f"SELECT * FROM three, LATERAL (SELECT * FROM {file})", f"SELECT 1 UNION ALL SELECT 2 FROM {file}", f"SELECT * FROM `{kind.upper()}`.`/etc/passwd`", f"SELECT * FROM IDENTIFIER('{kind}.`/etc/passwd`')", "SELECT * FROM `/etc/passwd`",
+        f"SELECT * FROM three JOIN {file} ON EXISTS (SELECT 1 FROM {file})", f"FROM {file} SELECT 1", f"SELECT * FROM ({file})", f"SELECT * FROM {file} TABLESAMPLE (5 ROWS)",
+    ):
+        assert search.refusal(spark, q) is not None, q
+        with pytest.raises(PermissionError):
+            search.guarded_sql(spark, q)
+
+
+def test_relations_are_an_allow_list(spark):
+    spark.range(3).createOrReplaceTempView("three")
+    spark.range(4).createOrReplaceTempView("four")
+    assert search.refusal(spark, "SELECT * FROM four", ["three"]) == "relation" and search.refusal(spark, "SELECT * FROM Three", ["three"]) is None
+    assert search.refusal(spark, "SELECT * FROM nowhere") == "relation"
+    assert search.refusal(spark, "WITH four AS (SELECT 1) SELECT * FROM four", ["three"]) is None
+    assert search.refusal(spark, "WITH four AS (SELECT * FROM four) SELECT * FROM four", ["three"]) == "relation"  # its own definition means the table
+    assert search.refusal(spark, "SELECT * FROM (WITH four AS (SELECT 1) SELECT * FROM four) JOIN four", ["three"]) == "relation"
+    assert search.refusal(spark, "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT * FROM b, three", ["three"]) is None
+    page, more = search.guarded_sql(spark, "SELECT id FROM range(9000) ORDER BY id DESC LIMIT 8000")
+    assert more and page.count() == search.MOST_ROWS and page.first()[0] == 8999
+
+
+def test_external_modules_are_whole(spark):
+    m = spark.range(12_000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("qualified_name"))
+    assert resolve.external_modules(m, "own.").count() == 12_000 and [r[0] for r in resolve.external_modules(m, "own.", 2).collect()] == ["x0", "x1"]
+
+
+@pytest.mark.parametrize("pointers", [4, 0])
+def test_closure_of_any_graph(spark, monkeypatch, pointers):
+    """Containment with many parents, cycles and roots below roots, by pointers and step by step."""
+    monkeypatch.setattr(graph, "POINTERS", pointers)
+    rng = random.Random(3)
+    for n, m in ((30, 25), (30, 60), (12, 0)):
+        pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)]
+        roots = {"n0", "n3", "elsewhere"}
+        want, ahead = set(roots), list(roots)
+        while ahead:
+            at = ahead.pop()
+            for a, b in pairs:
+                if a == at and b not in want:
+                    want.add(b)
+                    ahead.append(b)
+        e = spark.createDataFrame(pairs, "src string, dst string")
+        got = [r[0] for r in graph.closure(e, spark.createDataFrame([(r,) for r in roots], "qualified_name string")).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    tables_written = []
+    plain = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: (tables_written.append(1), plain(df))[1])
+    e = spark.range(10_000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("d"), (F.col("id") + 1).cast("string")).alias("dst"))
+    got = graph.closure(e, spark.createDataFrame([("d17",)], "qualified_name string"))
+    assert got.count() == 10_000 - 16 and len(tables_written) <= 3 + 2 * 16
