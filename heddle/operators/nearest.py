@@ -96,8 +96,8 @@ def _best(held: tuple[np.ndarray, np.ndarray, np.ndarray], group: np.ndarray, sc
 
 
 def _scanned(k: int, dims: int, apart: bool, kind: pa.DataType) -> Callable:
-    """Function for ``mapInArrow`` over pairs of a block of rows (keys, units) and one of queries (q_keys,
-    q_units): the first k rows that each task knows of each query.  Of a product only k a query are kept, so what a
+    """Function for ``mapInArrow`` over pairs of a block of rows (list, keys, units) and one of queries (q_keys,
+    q_units) of that list: the first k rows that each task knows of each query.  Of a product only k a query are kept, so what a
     task holds and sends is bounded by its queries."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _scanned(k: int, dims: int, apart: bool, kind: pa.DataType) -> Callable:
         for batch in batches:
             for row in batch.to_pylist():
                 names, keys = row["q_keys"], np.asarray(row["keys"])
-                name = (names[0], len(names))
+                name = (row["list"], names[0])  # a query is in one block of a list
                 if name not in held and len(held) == HELD:
                     yield from found()
                 old = held.get(name, (names, (np.zeros(0, np.int64), np.zeros(0), keys[:0])))[1]
@@ -134,7 +134,7 @@ def _scanned(k: int, dims: int, apart: bool, kind: pa.DataType) -> Callable:
 
 def _ranked(pairs: DataFrame, k: int, dims: int, apart: bool) -> DataFrame:
     kind = pairs.schema["keys"].dataType.elementType
-    found = pairs.select("keys", "units", "q_keys", "q_units").mapInArrow(_scanned(k, dims, apart, T_arrow(kind)), T.StructType([T.StructField("query", kind), T.StructField("key", kind), T.StructField("score", T.DoubleType())]))
+    found = pairs.select("list", "keys", "units", "q_keys", "q_units").mapInArrow(_scanned(k, dims, apart, T_arrow(kind)), T.StructType([T.StructField("query", kind), T.StructField("key", kind), T.StructField("score", T.DoubleType())]))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
@@ -277,18 +277,19 @@ class InvertedLists:
 
     ``build`` fits the centres on a bounded sample (the SAMPLE rows with the least hash of their key; LISTS centres at
     most), then puts every row into its nearest centre's list.  Lists are stored as blocks of unit vectors, a
-    large one over many tasks.  ``search`` looks into the ``probes`` nearest lists of each query and ranks
-    what they hold by full cosines; as many probes as lists give the exact result.  Builds are versions
+    large one over many tasks.  The true neighbours of TRIED rows then tell how many of the nearest lists hold the
+    share ``recall`` of them; so many are probed unless a search says otherwise.  ``search`` ranks what the lists
+    hold by full cosines; as many probes as lists give the exact result.  Builds are versions
     (``Snapshots``): a search sees one of them whole.
     """
 
-    SAMPLE, LISTS, STEPS = 65_536, 4096, 12
+    SAMPLE, LISTS, STEPS, TRIED, NEAR = 65_536, 4096, 12, 128, 10
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self.store, self.centres = Snapshots(spark, f"{self.path}/lists"), f"{self.path}/centres"
 
-    def build(self, df: DataFrame, lists: int | None = None, key: str = "vec_id", vector: str = "embedding") -> int:
+    def build(self, df: DataFrame, lists: int | None = None, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> int:
         """Index every row of a table; returns the new version."""
         rows = settled(_sound(df, key, vector))
         dims, n = _dims(rows), rows.count()
@@ -309,27 +310,41 @@ class InvertedLists:
 
         name = uuid.uuid4().hex
         sample.coalesce(1).mapInArrow(fit, "list long, centre array<double>").write.parquet(f"{self.centres}/{name}")
-        given = assigned(rows, self._centres(name), dims)
+        centres = self._centres(name)
+        given = settled(assigned(rows, centres, dims))
+        probes = self._probes(rows, given, centres, dims, recall)
         ranged = given.repartitionByRange("list", F.xxhash64("key")).sortWithinPartitions("list", "key")
-        version = self.store.write(blocks(ranged, dims, _wide(ROW_CELLS, MOST_ROWS, dims)).withColumn("fit", F.lit(name)))
-        dropped(rows)
+        version = self.store.write(blocks(ranged, dims, _wide(ROW_CELLS, MOST_ROWS, dims)).withColumns({"fit": F.lit(name), "probes": F.lit(probes)}))
+        dropped(rows, given)
         return version
 
+    def _probes(self, rows: DataFrame, given: DataFrame, centres: np.ndarray, dims: int, recall: float) -> int:
+        """How many of a query's nearest lists hold the share ``recall`` of the neighbours of TRIED rows, those with the greatest hash."""
+        tried = settled(rows.orderBy(F.xxhash64("key").desc(), "key").limit(self.TRIED))
+        near = k_nearest(tried, rows, self.NEAR, "key", "vector").select("query", "key")
+        held = near.join(given.select("key", "list").join(F.broadcast(near.select("key").distinct()), "key", "left_semi"), "key").collect()  # TRIED times NEAR rows
+        vectors = tried.select("key", "vector").toArrow()
+        order = np.argsort(np.round(_distances(_units(vectors.column("vector").combine_chunks(), dims), centres), PLACES), axis=1, kind="stable")
+        place = {k: {int(c): i for i, c in enumerate(row)} for k, row in zip(vectors.column("key").to_pylist(), order, strict=True)}
+        ranks = sorted(place[r["query"]][r["list"]] for r in held)
+        dropped(tried)
+        return ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1 if ranks else 1
+
     def _centres(self, name: str) -> np.ndarray:
         found = self.spark.read.parquet(f"{self.centres}/{name}").orderBy("list").collect()  # LISTS at most
         return np.asarray([r["centre"] for r in found])
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, key: str = "vec_id", vector: str = "embedding", apart: bool = True) -> DataFrame:
-        """query, rank, key and score of the best k rows in the nearest lists of each query (an eighth of the lists and 4 at least, if
-        no number is given)."""
+        """query, rank, key and score of the best k rows in the nearest ``probes`` lists of each query, or in as many as
+        the build found to hold enough."""
         stored = self.store.read()
-        name = None if stored is None else stored.select("fit").first()
+        name = None if stored is None else stored.select("fit", "probes").first()
         asked = settled(_sound(queries, key, vector))
         if name is None:
             return asked.select(F.col("key").alias("query"), F.lit(0).alias("rank"), "key", F.lit(0.0).alias("score")).limit(0)
         centres = self._centres(name["fit"])
         dims = centres.shape[1]
-        probes = max(1, min(len(centres), probes or max(4, len(centres) // 8)))
+        probes = max(1, min(len(centres), probes or name["probes"]))
         near = assigned(asked.withColumn("vector", F.slice("vector", F.lit(1), F.lit(dims))), centres, dims, probes)
         ranged = near.repartitionByRange("list", F.xxhash64("key")).sortWithinPartitions("list", "key")
         q = settled(blocks(ranged, dims, _wide(QUERY_CELLS, MOST_QUERIES, dims))).select("list", F.col("keys").alias("q_keys"), F.col("units").alias("q_units"))

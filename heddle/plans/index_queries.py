@@ -117,10 +117,10 @@ STATUS = {"signup": "queued", "purchase": "done"}
 
 
 @R.query(f"""WITH e AS (SELECT user_id AS job_id, CASE event_type {' '.join(f"WHEN {quoted(a)} THEN {quoted(b)}" for a, b in STATUS.items())} ELSE 'running' END AS status, CASE WHEN value > 50 THEN 'writing' ELSE 'parsing' END AS phase,
-epoch_ms(ts) AS at, event_id FROM events),
-o AS (SELECT *, lead(at) OVER w AS next, coalesce(max(CASE WHEN status = 'done' THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e WINDOW w AS (PARTITION BY job_id ORDER BY at, event_id)),
-s AS (SELECT *, at + CASE WHEN phase = 'writing' THEN 180000 ELSE 30000 END AS stale FROM o WHERE ended = 0 AND status = 'running')
-SELECT job_id, phase, CAST(stale AS BIGINT) AS stale_ms FROM s WHERE coalesce(next > stale, stale <= 1800000000000)""")
+epoch_us(ts) // 1000 AS t, ts, event_id FROM events),
+o AS (SELECT *, lead(t) OVER w AS later, coalesce(max(CASE WHEN status = 'done' THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+s AS (SELECT *, t + CASE WHEN phase = 'writing' THEN 180000 ELSE 30000 END AS stale FROM o WHERE ended = 0 AND status = 'running')
+SELECT job_id, phase, CAST(stale AS BIGINT) AS stale_ms FROM s WHERE coalesce(later > stale, stale <= 1800000000000)""")
 def q_silences(spark, sf_dir):
     """When running jobs were silent for too long, as timers of a stream tell it."""
     status = F.lit("running")
