@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Documents, and bytes of them, handed to Python at once; bounds a worker's memory when texts are long.
@@ -119,3 +120,17 @@ def by_key(left: DataFrame, right: DataFrame, on: list[str], n: str, how: str =
     high = F.broadcast(right.where(hot))
     low = left.join(F.broadcast(right.where(hot).select(on)), on, "left_anti").join(right.where(~hot), on, how)
     return low if how == "left_anti" else left.join(high, on, how).unionByName(low)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their numbers from 0, in column ``name``, in the order of ``order`` among those that share
+    ``by`` (columns without nulls).  Rows are written in sorted ranges; each task numbers what lies in its own,
+    shifted by the counts of those before, so a group of any size, of equal rows too, lies in as many tasks as it
+    fills.  Equal rows get any order, all others always the same numbers, however rows are dealt."""
+    sort = [*by, *order]
+    ranged = rows.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(*sort, "_copy").sortWithinPartitions(*sort)
+    ranged = written(ranged.drop("_copy").withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    parts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part")) - F.col("_n")
+    parts = written(parts.withColumn("_before", before))
+    return by_key(ranged, parts, [*by, "_part"], "_n").withColumn(name, F.col("_at") - F.col("_from") + F.col("_before")).drop("_part", "_at", "_n", "_from", "_before")

@@ -16,17 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from heddle.llm.common import small_batches, written
+from heddle.llm.common import numbered, small_batches, written
 
 #: Words of which a worker keeps the ids, in each of two generations.
 CACHED_WORDS = 400_000
 #: Choices of the packing search that are kept open; those above are enumerated anew when it comes back
 #: to them, so that its memory doesn't grow with its depth.
 LIVE = 32
-#: Groups that equally long pieces are numbered in.
-RANK_GROUPS = 256
 
 
 class Words:
@@ -366,18 +363,19 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end: int =
     1. Documents are tokenised and cut (``tokenized_pieces``); the pieces are written.
     2. Only how many pieces have each length, at most ``size`` numbers, goes to the driver, which
        plans the fillings (``pack_lengths``); the plan's size follows the lengths, not the rows.
-    3. Equally long pieces are numbered: in groups by a hash, then shifted by the groups before, so
-       that a length that a third of all pieces share is not one task's.  A piece's number picks
-       its sequence and offset from the plan.
+    3. Equally long pieces are numbered, in as many ranges as they fill (``common.numbered``), so that
+       neither a length that a third of all pieces share nor a row repeated very often is one task's.
+       A piece's number picks its sequence and offset from the plan.
 
     Returns key, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids.
     Offsets are gapless from 0 in each sequence.  Null and empty texts have one piece, the end id;
     repeated rows are packed each for itself; an empty table gives an empty one; extra columns are
     left out.
     """
-    pieces = written(tokenized_pieces(docs, size, path, end, key, text, with_ids).withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(RANK_GROUPS)).cast("int")))
-    counted = pieces.groupBy("length", "_group").agg(F.count("*").alias("_n"))
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    out = [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    pieces = written(tokenized_pieces(docs, size, path, end, key, text, with_ids).select(*out))  # ranges are sampled: texts aren't tokenised for that
+    pieces = numbered(pieces, ["length"], [key, "piece", "ids_crc32"], "_rank")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places: dict[int, list[tuple[int, int, int]]] = {}  # length: first number, sequence of it, offset
     taken: dict[int, int] = {}
     base = 0
@@ -390,11 +388,7 @@ def pack(docs: DataFrame, size: int = 2048, path: str | None = None, end: int =
         base += times
     plan = {s: np.array(rows, dtype=np.int64).T for s, rows in places.items()}
 
-    before = counted.select("length", "_group", (F.sum("_n").over(W.partitionBy("length").orderBy("_group")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("length", "_group").orderBy(key, "piece", "ids_crc32")).cast("long") - 1
-    ranked = pieces.withColumn("_within", within).join(before, ["length", "_group"])
-    out = [key, "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    ranked = ranked.select(*out, (F.col("_within") + F.col("_before")).alias("_rank"))
+    ranked = pieces.select(*out, "_rank")
     at = out.index("length")
 
     def place(batches):

@@ -7,10 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.llm.common import by_key, scratch, small_batches, written
+from heddle.llm.common import by_key, numbered, scratch, small_batches, written
 
 #: Bytes of comma-joined ids that are digested as one row; a node with very many ends is a row for each such part.
 PART_BYTES = 8192
@@ -22,8 +21,7 @@ def numbered_turns(convs: DataFrame, key: str = "conv_id", turn: str = "turn", r
 
     Turns count from 1 in the order of ``turn``, null first; turns that share a number go by their hashes.
     Null role and text become empty; rows without a conversation take no part.  Turns are numbered by
-    ranges: each task numbers what lies in its range, and a conversation that spans ranges is shifted by
-    its counts in those before, so that one of any length is no task's alone.
+    ranges (``common.numbered``), so that a conversation of any length is no task's alone.
     """
     said = [F.coalesce(F.col(c), F.lit("")) for c in (role, text)]
     rows = convs.where(F.col(key).isNotNull()).select(
@@ -33,16 +31,10 @@ def numbered_turns(convs: DataFrame, key: str = "conv_id", turn: str = "turn", r
         F.xxhash64(F.lit("second"), *said).alias("b"),
         F.char_length(said[1]).alias("chars"),
     )
-    order = ["conv_id", "_turn", "a", "b"]
     with scratch() as keep:
-        ranged = rows.withColumn("_copy", F.monotonically_increasing_id()).repartitionByRange(*order, "_copy").sortWithinPartitions(*order)
-        ranged = written(ranged.select("conv_id", "a", "b", "chars", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")))
-        parts = ranged.groupBy("conv_id", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
-        before = F.sum("_n").over(W.partitionBy("conv_id").orderBy("_part")) - F.col("_n")
-        parts = written(parts.withColumn("_before", before))
-        turns = by_key(ranged, parts, ["conv_id", "_part"], "_n")
-        turns = written(turns.select("conv_id", (F.col("_at") - F.col("_from") + F.col("_before") + 1).cast("int").alias("depth"), "a", "b", "chars"))
-        sizes = written(parts.groupBy("conv_id").agg(F.sum("_n").cast("int").alias("size")))
+        turns = numbered(rows, ["conv_id"], ["_turn", "a", "b"], "_at0").select("conv_id", (F.col("_at0") + 1).cast("int").alias("depth"), "a", "b", "chars")
+        turns = written(turns)
+        sizes = written(turns.groupBy("conv_id").agg(F.count("*").cast("int").alias("size")))
         keep += [turns, sizes]
     return turns, sizes
 

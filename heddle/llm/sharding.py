@@ -7,10 +7,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-#: Groups that one shard's rows are numbered in; a group is one task's share of a shard.
-SLOT_GROUPS = 1024
+from heddle.llm.common import numbered
 
 
 def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
@@ -30,34 +28,28 @@ def rendezvous(key: Column, weights: Mapping[int, float]) -> Column:
     return (F.least(*draws) if len(draws) > 1 else draws[0])["shard"]
 
 
-def assign_shards(docs: DataFrame, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, key: str = "doc_id", text: str = "text", groups: int = SLOT_GROUPS) -> DataFrame:
+def assign_shards(docs: DataFrame, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shard, and a gapless slot within it, for every row of ``docs``.
 
     Returns key, size (UTF-8 bytes of the text plus 1), text_crc32, shard, slot and grown_shard
     (the shard under ``grown``, else null).  Only the key and the shards decide, so equal texts
-    spread as their keys do.  Slots: rows of a shard are dealt into ``groups`` groups by another
-    hash of the key, numbered within a group by (key, crc, size), and shifted by the rows of the
-    groups before; no task sees more than one group and a rerun gives the same slots.
+    spread as their keys do.  Slots number a shard's rows by (key, crc, size), in as many ranges as they
+    fill (``common.numbered``): a rerun gives the same slots, and neither a large shard nor a row repeated very
+    often is one task's.
 
     Null text counts as empty (size 1, crc 0); a null key is a key; rows with equal keys share a
     shard and have slots of their own; an empty table gives an empty one; other columns are left out.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     shard = rendezvous(F.col(key), weights)
-    group = F.pmod(F.xxhash64(F.col(key), F.lit("slot group")), F.lit(groups)).cast("int")
     rows = docs.select(
         F.col(key),
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         shard.alias("shard"),
         (rendezvous(F.col(key), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        group.alias("_group"),
     )
-    counts = docs.select(shard.alias("shard"), group.alias("_group")).groupBy("shard", "_group").agg(F.count("*").alias("_n"))
-    before = counts.select("shard", "_group", (F.sum("_n").over(W.partitionBy("shard").orderBy("_group")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("shard", "_group").orderBy(key, "text_crc32", "size")).cast("long") - 1
-    numbered = rows.withColumn("_within", within)
-    return numbered.join(before, ["shard", "_group"]).select(key, "size", "text_crc32", "shard", (F.col("_within") + F.col("_before")).alias("slot"), "grown_shard")
+    return numbered(rows, ["shard"], [key, "text_crc32", "size"], "slot").select(key, "size", "text_crc32", "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, weights: Mapping[int, float], key: str = "doc_id") -> None:

@@ -277,7 +277,7 @@ def test_rendezvous_equals_a_plain_version(spark):
 
     weights = {0: 1.0, 1: 2.5, 7: 1.0, 40: 0.3}
     ids = spark.range(3000).selectExpr("id * 7919 - 5000000 AS doc_id", "'x' AS text")
-    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(ids, weights, groups=16).collect()}
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(ids, weights).collect()}
     for key, shard in got.items():
         draws = sorted((draw(key, s, w), s) for s, w in weights.items())
         assert shard == draws[0][1] or draws[1][0] - draws[0][0] < 1e-12
@@ -409,3 +409,17 @@ def test_a_passage_in_very_many_items(spark, hot):
     got = {r["doc_id"]: r for r in decontamination.decontaminate(df, bench).collect()}
     want = hashlib.sha256(",".join(sorted(str(i) for i in range(5000))).encode()).hexdigest()
     assert all(got[i]["n_items"] == 5000 and got[i]["items_sha256"] == want and got[i]["n_hit"] == 12 for i in range(20)) and not got[20]["contaminated"] and got[21]["n_words"] == 0
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    """Without a gap, in order, the same however rows are dealt, and equal rows in several tasks."""
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") < 2000, 7).otherwise(F.col("id")).alias("x"), F.lit("t").alias("extra"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for parts in (1, 5):
+        got = common.numbered(df.repartition(parts), ["g"], ["x"], "n")
+        rows = sorted((r["g"], r["n"], r["x"]) for r in got.collect())
+        assert [r[:2] for r in rows] == [(g, n) for g in (0, 1) for n in range(1500)] and all(a[2] <= b[2] for a, b in itertools.pairwise(rows) if a[0] == b[0])
+        ranged = [p for p in common._written if "_part" in p.columns and "x" in p.columns][-1]
+        assert ranged.where("x = 7 AND g = 0").select("_part").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert common.numbered(df.limit(0), ["g"], ["x"], "n").count() == 0

@@ -124,7 +124,7 @@ def test_glued_secrets(spark, ratios):
 
 def test_sharding(spark, docs, empty):
     w = {i: 1.0 for i in range(16)}
-    got = sharding.assign_shards(docs, w, grown=w | {16: 1.0}, groups=8).collect()
+    got = sharding.assign_shards(docs, w, grown=w | {16: 1.0}).collect()
     rows = docs.collect()
     assert len(got) == len(rows)
     for s in {r["shard"] for r in got}:
@@ -132,7 +132,7 @@ def test_sharding(spark, docs, empty):
     assert all(r["grown_shard"] in (r["shard"], 16) for r in got)
     text = {r["doc_id"]: r["text"] or "" for r in rows}
     assert all(r["size"] == len(text[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in got)
-    again = sharding.assign_shards(docs.repartition(7), w, grown=w | {16: 1.0}, groups=8).collect()
+    again = sharding.assign_shards(docs.repartition(7), w, grown=w | {16: 1.0}).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got))
     assert sharding.assign_shards(empty, w).count() == 0
     with pytest.raises(ValueError):
@@ -141,7 +141,7 @@ def test_sharding(spark, docs, empty):
 
 def test_shares_follow_weights_and_few_rows_move(spark):
     ids = spark.range(20_000).selectExpr("id AS doc_id", "cast(null as string) AS text")
-    a = {r["doc_id"]: r for r in sharding.assign_shards(ids, {0: 1.0, 1: 1.0, 2: 2.0}, grown={0: 1.0, 1: 1.0, 2: 2.0, 3: 1.0}, groups=16).collect()}
+    a = {r["doc_id"]: r for r in sharding.assign_shards(ids, {0: 1.0, 1: 1.0, 2: 2.0}, grown={0: 1.0, 1: 1.0, 2: 2.0, 3: 1.0}).collect()}
     n = Counter(r["shard"] for r in a.values())
     assert abs(n[2] / 20_000 - 0.5) < 0.02 and abs(n[0] / 20_000 - 0.25) < 0.02
     moved = sum(r["shard"] != r["grown_shard"] for r in a.values())
@@ -150,7 +150,7 @@ def test_shares_follow_weights_and_few_rows_move(spark):
 
 def test_null_keys_are_sharded(spark):
     df = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b")], "doc_id long, text string")
-    assert sharding.assign_shards(df, {0: 1.0, 1: 1.0}, groups=4).count() == 3
+    assert sharding.assign_shards(df, {0: 1.0, 1: 1.0}).count() == 3
 
 
 def test_licenses(spark, docs, empty):
