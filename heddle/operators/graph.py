@@ -266,6 +266,17 @@ def repository_stats(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, roo
     return out.groupBy("repo").agg(F.max("root").alias("root"), *[F.sum(n).alias(n) for n in counted])
 
 
+def observed_schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A description of a graph from its rows: kind, line, n and with_path.  A line for each label, with how many of its
+    nodes have a path, and one for each pair of labels that a relation joins; edges without an end are left out."""
+    kinds = nodes.groupBy("label").agg(F.count("*").alias("n"), F.count("path").alias("with_path"))
+    one = kinds.select(F.lit("node").alias("kind"), F.concat(F.lit("("), "label", F.lit(")")).alias("line"), "n", "with_path")
+    ends = lambda side: nodes.select(F.col("qualified_name").alias(side), F.col("label").alias(f"_{side}"))
+    joined = edges.select("src", "rel", "dst").join(ends("src"), "src").join(ends("dst"), "dst").groupBy("_src", "rel", "_dst").agg(F.count("*").alias("n"))
+    line = F.concat(F.lit("("), "_src", F.lit(")-["), "rel", F.lit("]->("), "_dst", F.lit(")"))
+    return one.unionByName(joined.select(F.lit("relation").alias("kind"), line.alias("line"), "n", F.lit(None).cast("long").alias("with_path")))
+
+
 def type_counts(nodes: DataFrame, labels: list[str] | None = None, non_zero: bool = False) -> DataFrame:
     """Nodes of each label; labels asked for without nodes count 0, or are left out if ``non_zero``."""
     counts = nodes.groupBy("label").agg(F.count("*").alias("n"))

@@ -178,3 +178,66 @@ def q_kept_results(spark, sf_dir):
     newer = other.get(counts(), {"documents": version})
     said = [df.select(F.lit(name).alias("session"), "lang", "n") for name, df in (("one", one), ("two", two), ("newer", newer))]
     return said[0].unionByName(said[1]).unionByName(said[2])
+
+
+# --- documents, models and schemas ---------------------------------------------------------------
+
+
+@R.query("""SELECT n_nationkey AS nation, count(*) AS nodes, CAST(sum(o) AS BIGINT) AS relations FROM nation
+JOIN (SELECT c_nationkey, c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS o FROM customer) ON c_nationkey = n_nationkey GROUP BY 1""")
+def q_loaded_graphs(spark, sf_dir):
+    """Graphs as JSON documents, one for each nation, written and loaded again."""
+    from heddle.sources import tables
+
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    each = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(F.struct(F.col("o_custkey").alias("src"), F.lit("PLACED").alias("rel"), F.col("o_orderkey").alias("dst"))).alias("r"))
+    joined = customers.join(each, "c_custkey", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<src:bigint,rel:string,dst:bigint>>")))
+    node = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    docs = joined.groupBy("c_nationkey").agg(F.collect_list(node).alias("nodes"), F.flatten(F.collect_list("r")).alias("relationships"))
+    path = scratch_folder(spark, "graphs")
+    docs.repartition("c_nationkey").write.partitionBy("c_nationkey").json(path)
+    nodes, relations = tables.loaded_graph(spark, path)
+    n = nodes.groupBy("nation").agg(F.count("*").alias("nodes"))
+    e = relations.join(nodes.select(F.col("id").alias("src"), "nation"), "src").groupBy("nation").agg(F.count("*").alias("relations"))
+    return n.join(e, "nation")
+
+
+@R.query(f"""WITH s AS (SELECT a.vec_id, {COS} AS score FROM embeddings a, embeddings b WHERE b.vec_id = 7 AND a.vec_id <> 7),
+t AS (SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS n FROM s ORDER BY n LIMIT 20)
+SELECT vec_id, CAST(row_number() OVER (ORDER BY CASE n WHEN 4 THEN -2 WHEN 2 THEN -1 ELSE n END) AS INTEGER) AS place FROM t""")
+def q_reranked(spark, sf_dir):
+    """The head of a list in the order that a model names; what it doesn't name, or names wrongly, stays as it was."""
+    from heddle.operators import vector
+    from heddle.plans import search
+
+    best = vector.neighbours(table(spark, sf_dir, "embeddings"), 7, 20).withColumn("qualified_name", F.concat(F.lit("v"), F.col("vec_id").cast("string")))
+    rows = search.reranked("near 7", {}, lambda prompt: f"[4] > [2], not [999]; [4] again ({prompt.count('[')})")(best.collect())  # twenty rows
+    return values(spark, [(r["vec_id"], i) for i, r in enumerate(rows, 1)], "vec_id long, place int")
+
+
+@R.query("SELECT lang, count(*) AS n, CAST(3 AS INTEGER) AS attempts FROM documents WHERE n_chars > 200 GROUP BY lang")
+def q_generated_query(spark, sf_dir):
+    """A query text that a model wrote, cleaned, judged and run; the store answers at the third attempt."""
+    from heddle.operators import incremental
+    from heddle.plans import search
+
+    table(spark, sf_dir, "documents").createOrReplaceTempView("asked_documents")
+    text = search.generated_query(spark, "How many long texts has each language?", lambda q: "```sql\nSELECT lang, count(*) AS n FROM asked_documents WHERE n_chars > 200 GROUP BY lang\n```", ["asked_documents"])
+    tried = []
+
+    def ask():
+        tried.append(1)
+        if len(tried) < 3:
+            raise TimeoutError
+        return search.guarded_sql(spark, text.rstrip("; "), 0, 100, ["asked_documents"])[0]
+
+    answer = incremental.retried(ask, (TimeoutError,), sleep=lambda s: None)
+    return answer.withColumn("attempts", F.lit(len(tried)))
+
+
+@R.query(f"""WITH {SQL_NODES}, {SQL_EDGES}, e AS (SELECT s.label AS src_label, rel, d.label AS dst_label FROM edges JOIN nodes s ON s.qualified_name = src JOIN nodes d ON d.qualified_name = dst)
+SELECT 'node' AS kind, '(' || label || ')' AS line, count(*) AS n, CAST(count(path) AS BIGINT) AS with_path FROM nodes GROUP BY label
+UNION ALL SELECT 'relation', '(' || src_label || ')-[' || rel || ']->(' || dst_label || ')', count(*), NULL FROM e GROUP BY src_label, rel, dst_label""")
+def q_graph_schema(spark, sf_dir):
+    """What a graph's rows say of its schema: labels with how many have a path, and which labels each relation joins."""
+    return graph.observed_schema(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir))
