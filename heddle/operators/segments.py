@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,36 +102,44 @@ class SegmentedIndex:
         one = F.struct("key", "tf", "dl")
         return ranged.groupBy("seq", "repo", "field", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(one).alias("docs"))
 
-    def _added(self, base: int, old: list[tuple[int, str]], documents: DataFrame | None, tombs: DataFrame, keep: list[tuple[int, str]], carried: dict[str, DataFrame] | None = None) -> int:
-        """Write a segment and the list ``keep`` with it as the version after ``base``."""
+    def _added(self, base: int, old: list[tuple[int, str]], documents: DataFrame | None, tombs: DataFrame | None, keep: list[tuple[int, str]], carried: dict[str, DataFrame] | None = None) -> int:
+        """Write a segment and the list ``keep`` with it as the version after ``base``.  ``tombs`` are the keys that it takes out
+        of the ``old`` segments, its documents' own if none are given."""
         seq, name = base + 1, uuid.uuid4().hex
         where = f"{self.path}/segments/{name}"
-        tombs = settled(tombs.select("repo", "key").distinct())
-        mine = tombs.withColumnsRenamed({"repo": "_r", "key": "_k"})
-        stored = self._read("documents", old)
-        victims = settled(self._live(stored, old).join(few(mine), stored["repo"].eqNullSafe(mine["_r"]) & stored["key"].eqNullSafe(mine["_k"]), "left_semi").select(F.col("seq").alias("victim"), "repo", "field", "dl", "terms"))
-        totals = victims.groupBy("victim", "repo", "field").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("dl"))
-        gone = victims.select("victim", "repo", "field", F.inline("terms")).groupBy("victim", "repo", "field", "term").agg(F.count("*").alias("n"))
-        held = self.spark.createDataFrame([], KINDS["documents"].format(key=self.key_type)) if documents is None else settled(documents.withColumn("seq", F.lit(seq).cast("long")))
-        totals = totals.unionByName(held.groupBy("repo", "field").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).withColumn("victim", F.lit(None).cast("long")))
+        kind = lambda name: KINDS[name].format(key=self.key_type)
+        held = self.spark.createDataFrame([], kind("documents")) if documents is None else settled(documents.withColumn("seq", F.lit(seq).cast("long")))
+        totals = held.groupBy("repo", "field").agg(F.count("*").alias("n"), F.sum("dl").alias("dl")).withColumn("victim", F.lit(None).cast("long"))
+        gone, temporary = self.spark.createDataFrame([], kind("gone")), [held] if documents is not None else []
+        if old:
+            tombs = settled((held if tombs is None else tombs).select("repo", "key").distinct())
+            mine = tombs.withColumnsRenamed({"repo": "_r", "key": "_k"})
+            stored = self._read("documents", old)
+            victims = settled(self._live(stored, old).join(few(mine), stored["repo"].eqNullSafe(mine["_r"]) & stored["key"].eqNullSafe(mine["_k"]), "left_semi").select(F.col("seq").alias("victim"), "repo", "field", "dl", "terms"))
+            totals = totals.unionByName(victims.groupBy("victim", "repo", "field").agg((-F.count("*")).alias("n"), (-F.sum("dl")).alias("dl")))
+            gone = victims.select("victim", "repo", "field", F.inline("terms")).groupBy("victim", "repo", "field", "term").agg(F.count("*").alias("n"))
+            temporary += [tombs, victims]
+        else:
+            tombs = self.spark.createDataFrame([], f"repo string, key {self.key_type}")  # nothing is older
         out = {"documents": held, "deleted": tombs, "totals": totals, "gone": gone, "blocks": self._blocks(held).repartitionByRange("term").sortWithinPartitions("term", "field", "repo", "block")}
-        for kind, df in out.items():
-            named = df.withColumn("seq", F.lit(seq).cast("long"))
-            more = (carried or {}).get(kind)
-            named = named if more is None else named.unionByName(more, allowMissingColumns=True)
-            fields = T.StructType.fromDDL(KINDS[kind].format(key=self.key_type))
-            named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]).write.parquet(f"{where}/{kind}")
+
+        def write(name: str) -> None:
+            df, more = out[name].withColumn("seq", F.lit(seq).cast("long")), (carried or {}).get(name)
+            df = df if more is None else df.unionByName(more, allowMissingColumns=True)
+            df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(kind(name))]).write.parquet(f"{where}/{name}")
+
+        with ThreadPoolExecutor(len(out)) as pool:  # five writes that don't depend on each other
+            list(pool.map(write, out))
         listed = self.spark.createDataFrame([*keep, (seq, name)], "seq long, name string").coalesce(1)
         version = self.store.write(listed, base)
-        dropped(tombs, victims, held)
+        dropped(*temporary)
         return version
 
     def add(self, docs: DataFrame) -> int:
         """Add documents (repo, key and fields); those that have been added before are replaced.  Returns the new version."""
         base = self.store.current()
         old = self.segments(base)
-        documents = settled(self.documents(docs))
-        return self._added(base, old, documents, documents, old)
+        return self._added(base, old, self.documents(docs), None, old)
 
     def remove(self, keys: DataFrame) -> int:
         """Delete documents (repo, key); keys that there are not are left alone."""
@@ -148,13 +157,12 @@ class SegmentedIndex:
             return base
         merged, kept = old[len(old) - n :], old[: len(old) - n]
         live = self._live(self._read("documents", merged), merged).drop("seq")
-        none = self.spark.createDataFrame([], f"repo string, key {self.key_type}")
         if not kept:
-            return self._added(base, [], live, none, [])
+            return self._added(base, [], live, None, [])
         outside = F.col("victim").isin([seq for seq, _ in kept])
         carried = {"deleted": self._read("deleted", merged).select("repo", "key").distinct(), "totals": self._read("totals", merged).where(outside), "gone": self._read("gone", merged).where(outside)}
         seq = base + 1
-        return self._added(base, [], live, none, kept, {k: v.withColumn("seq", F.lit(seq).cast("long")) for k, v in carried.items()})
+        return self._added(base, [], live, None, kept, {k: v.withColumn("seq", F.lit(seq).cast("long")) for k, v in carried.items()})
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete the segments that the newest ``keep`` versions don't list; returns how many went."""
