@@ -168,8 +168,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, depths: DataFrame, decay: flo
         here = depths.where(F.col("depth") == d).select("qualified_name")
         best = edges.select(F.col("src").alias("_s"), F.col("dst").alias("qualified_name")).join(here, "qualified_name", "left_semi").join(done.select(F.col("qualified_name").alias("_s"), "score"), "_s")
         level = best.groupBy("qualified_name").agg(F.max("score").alias("score")).join(done, "qualified_name", "left_anti")
-        level = level.withColumn("score", F.least(F.col("score") * decay, F.lit(ceiling * floor)))
-        done = settled(done.unionByName(level))
+        done = done.unionByName(settled(level.withColumn("score", F.least(F.col("score") * decay, F.lit(ceiling * floor)))))
     return done
 
 

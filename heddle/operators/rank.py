@@ -76,12 +76,6 @@ def boost_bases(scores: DataFrame, k: int) -> DataFrame:
     )
 
 
-def decayed(df: DataFrame, score: Column, order: list, name: str = "score") -> DataFrame:
-    """Score less a ten-thousandth for each place in the list."""
-    place = F.row_number().over(W.orderBy(*order)) - 1
-    return df.withColumn(name, score * (1 - place * 1e-4))
-
-
 def penalised(score: Column, flag: Column, factor: float = 0.4) -> Column:
     return F.when(flag, score * factor).otherwise(score)
 

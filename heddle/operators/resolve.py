@@ -66,7 +66,7 @@ def ancestors(parents: DataFrame) -> DataFrame:
         step = at.join(up, at["ancestor"] == up["_c"]).select("class", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth"), F.array_append("position", F.col("_p")).alias("position")).where("class <> ancestor")
         step = step.join(known.select("class", "ancestor").distinct(), ["class", "ancestor"], "left_anti").groupBy("class", "ancestor", "depth").agg(F.min("position").alias("position"))
         at = settled(step)
-        known = settled(known.unionByName(at))
+        known = known.unionByName(at)
     return known.groupBy("class", "ancestor").agg(F.min(F.struct("depth", "position")).alias("s")).select("class", "ancestor", "s.depth", "s.position")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from heddle.functions import docstrings
 from heddle.operators import evaluation, graph, incremental, lexical, nearest, resolve, vector
 from heddle.plans import search
-from heddle.sources import other_sources, python_source, tables
+from heddle.sources import manifests, other_sources, python_source, tables
 from heddle.streaming import watch
 
 
@@ -365,3 +365,14 @@ def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
     e = spark.range(10_000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("src"), F.concat(F.lit("d"), (F.col("id") + 1).cast("string")).alias("dst"))
     got = graph.closure(e, spark.createDataFrame([("d17",)], "qualified_name string"))
     assert got.count() == 10_000 - 16 and len(tables_written) <= 3 + 2 * 16
+
+
+def test_what_queries_only_show(spark):
+    """Scalars alone are shown, rows of a deleted repository are gone, packages are nodes once, a table that can be read has its rows."""
+    kinds = spark.createDataFrame([("scalar",)], "kind string")
+    assert graph.scalars_or_structs(kinds).count() == 1
+    docs = spark.createDataFrame([("a", 1), ("b", 2)], "repo string, x int")
+    assert [r["repo"] for r in incremental.delete_report("a", documents=docs)["documents"].collect()] == ["b"]
+    found = spark.createDataFrame([("r", "n", "1"), ("r", "n", "2"), ("r", "m", "1")], "path string, name string, version_spec string")
+    assert manifests.external_packages(found, "proj")[0].count() == 2
+    assert tables.row_count(lambda: docs) == 2
