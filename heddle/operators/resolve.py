@@ -122,7 +122,9 @@ def resolved(
     """The definition that each call names, by the first rule that finds one.
 
     calls: caller, module, class, call_name, line, col.  symbols: qualified_name, name, module,
-    class.  imports: module, alias, target; alias ``*`` for all names of a module.  builtins: name.
+    class.  imports: module, alias, target; alias ``*`` for all names of a module.  builtins: name and,
+    where a table has them, callee (what it stands for, such as the function of an operator) and language (of the
+    calls that it is for; those of all, if null or if calls have no language).
     types: caller, variable, class (of local variables).  returns: qualified_name, class (what a
     function gives).  Returns the call with callee, resolved_via and confidence; rebinding swaps the
     callee.  Candidates of all rules are joined by equality and ranked, so no call is looked up by
@@ -177,9 +179,13 @@ def resolved(
     near = leg("nearest", rest.join(nearest(rest.select("name", "module").distinct(), symbols), ["name", "module"]))
     found = found.unionByName(near.drop("_rule"))
     if builtins is not None:
-        b = builtins.select(F.col("name").alias("_n"))
-        known = rest.join(near.select("_id"), "_id", "left_anti").join(b, F.col("call_name") == F.col("_n"))
-        found = found.unionByName(leg("builtin", known.withColumn("callee", F.concat(F.lit("builtins."), F.col("_n")))).drop("_rule"))
+        said = lambda df, name: F.col(name) if name in df.columns else F.lit(None).cast("string")
+        b = builtins.select(F.col("name").alias("_n"), F.coalesce(said(builtins, "callee"), F.concat(F.lit("builtins."), "name")).alias("callee"), said(builtins, "language").alias("_for"))
+        spoken = c.select("_id", said(calls, "language").alias("_language"))
+        known = rest.join(near.select("_id"), "_id", "left_anti").join(spoken, "_id").join(b, F.col("call_name") == F.col("_n"))
+        own = known.where(F.col("_for").isNull() | F.col("_language").isNull() | (F.col("_for") == F.col("_language")))
+        own = own.groupBy("_id").agg(F.min_by("callee", F.struct(F.col("_for").isNull(), "callee")).alias("callee"))  # a language's own goes before that of all
+        found = found.unionByName(leg("builtin", own).drop("_rule"))
     r = latest_rebinds(rebinds).select(F.col("original").alias("_o"), F.col("target").alias("_new"))
     best = found.join(r, found["callee"] == r["_o"], "left")
     best = best.select("_id", F.coalesce("_new", "callee").alias("callee"), F.when(F.col("_new").isNotNull(), "rebound").otherwise(F.col("resolved_via")).alias("resolved_via"), "confidence")

@@ -376,3 +376,13 @@ def test_what_queries_only_show(spark):
     found = spark.createDataFrame([("r", "n", "1"), ("r", "n", "2"), ("r", "m", "1")], "path string, name string, version_spec string")
     assert manifests.external_packages(found, "proj")[0].count() == 2
     assert tables.row_count(lambda: docs) == 2
+
+
+def test_operators_are_rows_of_a_table(spark):
+    """Names that a language brings along: functions, operators with what they stand for, each for its language."""
+    calls = spark.createDataFrame([("m.f", "m", None, n, i, 0, lang) for i, (n, lang) in enumerate([("print", "py"), ("operator_plus", "cpp"), ("operator_plus", "py"), ("equals", "java"), ("equals", None), ("own", "cpp")])], "caller string, module string, class string, call_name string, line int, col int, language string")
+    symbols = spark.createDataFrame([("m.own", "own", "m", None)], "qualified_name string, name string, module string, class string")
+    builtins = spark.createDataFrame([("print", None, "py"), ("operator_plus", "builtin.cpp.operator_plus", "cpp"), ("equals", "java.lang.Object.equals", "java"), ("equals", "any.equals", None), ("own", "never", None)], "name string, callee string, language string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    got = resolve.resolved(calls, symbols, none("module string, alias string, target string"), none("module string, symbol string, target string"), none("original string, target string, module string, line int, seq int"), builtins)
+    assert {r["line"]: r["callee"] for r in got.collect()} == {0: "builtins.print", 1: "builtin.cpp.operator_plus", 2: None, 3: "java.lang.Object.equals", 4: "java.lang.Object.equals", 5: "m.own"}
