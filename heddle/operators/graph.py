@@ -273,7 +273,7 @@ def observed_schema(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = lambda side: nodes.select(F.col("qualified_name").alias(side), F.col("label").alias(f"_{side}"))
     joined = edges.select("src", "rel", "dst").join(ends("src"), "src").join(ends("dst"), "dst").groupBy("_src", "rel", "_dst").agg(F.count("*").alias("n"))
     line = F.concat(F.lit("("), "_src", F.lit(")-["), "rel", F.lit("]->("), "_dst", F.lit(")"))
-    return one.unionByName(joined.select(F.lit("relation").alias("kind"), line.alias("line"), "n", F.lit(None).cast("long").alias("with_path")))
+    return one.unionByName(joined.select(F.lit("relation").alias("kind"), line.alias("line"), "n", F.lit(0).cast("long").alias("with_path")))
 
 
 def type_counts(nodes: DataFrame, labels: list[str] | None = None, non_zero: bool = False) -> DataFrame:

@@ -237,7 +237,7 @@ def q_generated_query(spark, sf_dir):
 
 @R.query(f"""WITH {SQL_NODES}, {SQL_EDGES}, e AS (SELECT s.label AS src_label, rel, d.label AS dst_label FROM edges JOIN nodes s ON s.qualified_name = src JOIN nodes d ON d.qualified_name = dst)
 SELECT 'node' AS kind, '(' || label || ')' AS line, count(*) AS n, CAST(count(path) AS BIGINT) AS with_path FROM nodes GROUP BY label
-UNION ALL SELECT 'relation', '(' || src_label || ')-[' || rel || ']->(' || dst_label || ')', count(*), NULL FROM e GROUP BY src_label, rel, dst_label""")
+UNION ALL SELECT 'relation', '(' || src_label || ')-[' || rel || ']->(' || dst_label || ')', count(*), 0 FROM e GROUP BY src_label, rel, dst_label""")
 def q_graph_schema(spark, sf_dir):
     """What a graph's rows say of its schema: labels with how many have a path, and which labels each relation joins."""
     return graph.observed_schema(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir))
