@@ -1,8 +1,11 @@
 """The pipeline against a plain version of its stages, and the queries' SQL."""
 
+import itertools
 import os
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from heddle.llm import queries
@@ -26,11 +29,14 @@ def test_query_equals_its_sql(spark, duck, name):
     want = duck.sql(queries.oracle_sql()[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    order = lambda df: df[columns].astype(str).sort_values(columns).reset_index(drop=True)
+    order = lambda df: df[columns].convert_dtypes().astype(str).sort_values(columns).reset_index(drop=True)
     assert order(got).equals(order(want))
 
 
 def test_pipeline(spark, duck):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as C
     from heddle.llm import pii, quality_classifier
     from tests.llm.test_free import plain_components
@@ -55,7 +61,17 @@ def test_pipeline(spark, duck):
     assert {r["doc_id"]: r["text"] for r in stage.collect()} == want
     packed = C.STAGES[4][1](spark, stage, SF).collect()
     assert {r["doc_id"] for r in packed} == set(want)
-    total = {}
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: tok.encode(t or "", add_special_tokens=False).ids + [0] for i, t in want.items()}
+    pieces = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in packed}
+    assert len(pieces) == len(packed)
+    for i, own in ids.items():
+        cuts = [0, *range(len(own) % 2048 or 2048, len(own) + 1, 2048)]
+        whole = [(a, b - a, zlib.crc32(np.array(own[a:b], dtype="<u4").tobytes())) for a, b in itertools.pairwise(cuts)]
+        assert whole == [pieces[i, n] for n in range(len(whole))] and (i, len(whole)) not in pieces
+    places = {}
     for r in packed:
-        total[r["sequence_id"]] = total.get(r["sequence_id"], 0) + r["length"]
-    assert max(total.values()) <= 2048
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in places.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
