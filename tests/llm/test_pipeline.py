@@ -18,7 +18,7 @@ def duck():
     if not os.path.isdir(SF):
         pytest.skip("no driver tables")
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
