@@ -119,7 +119,7 @@ def module_symbols(store: Store, text: Column, limit: int, cap: int = 5) -> Data
     modules = nodes.where("module IS NOT NULL").select(F.col("module").alias("_m")).distinct().join(F.broadcast(words), how="cross")  # one row of at most 12 words
     hit = F.size(F.filter("_k", lambda k: base.contains(k) | low.contains(F.concat(F.lit("."), k))))
     broad = F.size(F.filter("_k", lambda k: low.contains(k)))
-    modules = modules.select("_m", hit.alias("_hits"), F.when((broad >= 2) & (F.size("_k") >= 2), broad).otherwise(0).alias("_both")).where("_hits > 0")
+    modules = few(settled(modules.select("_m", hit.alias("_hits"), F.when((broad >= 2) & (F.size("_k") >= 2), broad).otherwise(0).alias("_both")).where("_hits > 0")))
     own = nodes.where(F.col("label").isin("Function", "Method") & ~F.col("name").rlike("^(anonymous_|iife_arrow_)")).join(modules, F.col("module") == F.col("_m"))
     own = own.where(~F.col("_m").contains(".test") & ~F.col("_m").contains("tests."))
 
@@ -188,8 +188,10 @@ def bundle(store: Store, seeds: DataFrame, depth: int, budget: int = BUDGET, cal
     reached = settled(graph.breadth_first(edges, seeds, depth, caller_cap, exclude_tests))
     scores = settled(graph.propagated(seeds, edges, reached))
     snippet = capped_snippet(F.col("source"), snippet_cap) if snippet_cap else F.col("source")
-    sized = reached.join(scores, "qualified_name", "left").join(store.sources, "qualified_name", "left")
-    symbols = sized.select(F.lit(0).alias("bundle"), "qualified_name", "depth", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce(F.length(snippet), F.lit(0)).alias("snippet_length"))
+    names = few(reached.select("qualified_name"))
+    lengths = settled(store.sources.join(names, "qualified_name", "left_semi").select("qualified_name", F.length(snippet).alias("_length")))  # the sources themselves never move
+    sized = reached.join(scores, "qualified_name", "left").join(lengths, "qualified_name", "left")
+    symbols = sized.select(F.lit(0).alias("bundle"), "qualified_name", "depth", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("_length", F.lit(0)).alias("snippet_length"))
     symbols = settled(symbols)
     fit = graph.budgeted(symbols, budget, "bundle").drop("bundle")
     return symbols.drop("bundle", "snippet_length").join(fit, "qualified_name")

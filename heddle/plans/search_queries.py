@@ -60,13 +60,13 @@ def q_hits_with_nodes(spark, sf_dir):
 
 
 # The parts as functions of modules: label, name, module, qualified_name.
-def code_nodes(spark, sf_dir):
+def code_nodes(spark, sf_dir, *more):
     k = F.col("p_partkey")
     s = lambda x: x.cast("string")
     place = F.when(k % 7 == 0, "web").when(k % 11 == 0, "tests").otherwise("src")
     module = F.concat(F.lit("proj."), place, F.lit("."), F.lower("p_type"), F.lit("."), F.regexp_replace("p_name", " ", "_"), F.lit("_"), s(F.col("p_size") % 3))
     verb = F.when(k % 5 == 0, "handle_").when(k % 23 == 0, "anonymous_").otherwise("run_")
-    p = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, "Function").otherwise("Method").alias("label"), F.concat(verb, s(k)).alias("name"), module.alias("module"), F.concat(F.lit("src/"), F.col("p_brand"), F.when(k % 3 == 0, ".md").otherwise(".py")).alias("path"))
+    p = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, "Function").otherwise("Method").alias("label"), F.concat(verb, s(k)).alias("name"), module.alias("module"), F.concat(F.lit("src/"), F.col("p_brand"), F.when(k % 3 == 0, ".md").otherwise(".py")).alias("path"), *more)
     return p.withColumn("qualified_name", F.concat_ws(".", "module", "name"))
 
 
@@ -112,9 +112,7 @@ def q_entry_points(spark, sf_dir):
 
 # Lexical hits of the code: the parts by price.
 def code_hits(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey"), "p_retailprice")
-    n = code_nodes(spark, sf_dir).withColumn("p_partkey", F.regexp_extract("name", "([0-9]+)$", 1).cast("long"))
-    both = n.join(p, "p_partkey").select("qualified_name", F.col("path").alias("file_path"), F.col("p_retailprice").alias("score"))
+    both = code_nodes(spark, sf_dir, "p_retailprice").select("qualified_name", F.col("path").alias("file_path"), F.col("p_retailprice").alias("score"))
     return rank.ranked(both.orderBy(F.desc("score"), "qualified_name").limit(200), "score", "qualified_name")
 
 
@@ -132,9 +130,7 @@ def q_lexical_seeds(spark, sf_dir):
 
 # A semantic ranking of the code: the parts by size and price.
 def code_ranking(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
-    n = code_nodes(spark, sf_dir).withColumn("p_partkey", F.regexp_extract("name", "([0-9]+)$", 1).cast("long"))
-    both = n.join(p, "p_partkey").select("qualified_name", (1 - F.col("p_size") / 100.0 - F.col("p_retailprice") / 1e6).alias("score"))
+    both = code_nodes(spark, sf_dir, "p_size", "p_retailprice").select("qualified_name", (1 - F.col("p_size") / 100.0 - F.col("p_retailprice") / 1e6).alias("score"))
     return rank.ranked(both.orderBy(F.desc("score"), "qualified_name").limit(100), "score", "qualified_name")
 
 
@@ -174,7 +170,8 @@ def q_bundle_seeds(spark, sf_dir):
 def code_edges(spark, sf_dir):
     n = code_nodes(spark, sf_dir).select(F.regexp_extract("name", "([0-9]+)$", 1).cast("long").alias("k"), F.col("qualified_name"))
     calls = n.select("k", F.col("qualified_name").alias("src"), F.explode(F.array(F.floor(F.col("k") / 7), F.floor(F.col("k") / 2), F.col("k") * 2)).alias("to"))
-    return calls.join(n.select(F.col("k").alias("to"), F.col("qualified_name").alias("dst")), "to").where("src <> dst").select("src", "dst").distinct()
+    ends = n.select(F.col("k").alias("to"), F.col("qualified_name").alias("dst")).hint("merge")  # names are far longer than Spark's estimate from the file, so none is broadcast
+    return calls.join(ends, "to").where("src <> dst").select("src", "dst").distinct()
 
 
 CODE_EDGES = """ck AS MATERIALIZED (SELECT CAST(regexp_extract(name, '([0-9]+)$', 1) AS BIGINT) AS k, q FROM code),
