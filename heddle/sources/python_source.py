@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.sources.tables import few
+
 #: One row for each fact; ``kind`` says which columns hold what.
 SCHEMA = "kind string, path string, module string, qualified_name string, name string, parent string, target string, start_line int, end_line int, col int, docstring string, decorators array<string>, is_async boolean, is_generator boolean, seq int"
 ARROW = pa.schema([(c.split(" ")[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}.get(c.split(" ")[1], pa.list_(pa.string()))) for c in SCHEMA.split(", ")])
@@ -64,6 +66,33 @@ def made(node: ast.AST | None) -> str | None:
     return said if said and said.rsplit(".", 1)[-1][:1].isupper() else None
 
 
+#: Nodes that hold no fact and no node that could.
+LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop)
+
+
+def inside(node: ast.AST) -> list[ast.AST]:
+    """A node's children in order, without leaves."""
+    out = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        for n in value if isinstance(value, list) else (value,):
+            if isinstance(n, ast.AST) and not isinstance(n, LEAVES):
+                out.append(n)
+    return out
+
+
+def yields(node: ast.AST) -> bool:
+    """Whether a function yields itself, not one within it."""
+    left = inside(node)
+    while left:
+        n = left.pop()
+        if isinstance(n, ast.Yield | ast.YieldFrom):
+            return True
+        if not isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda):
+            left.extend(inside(n))
+    return False
+
+
 class Facts(ast.NodeVisitor):
     """Collects the facts of one file."""
 
@@ -77,12 +106,14 @@ class Facts(ast.NodeVisitor):
         place = {"start_line": getattr(node, "lineno", None), "end_line": getattr(node, "end_lineno", None), "col": getattr(node, "col_offset", None)} if node is not None else {}
         self.rows.append({"kind": kind, "path": self.path, "module": self.module, "seq": len(self.rows)} | place | values)
 
+    def generic_visit(self, node: ast.AST) -> None:
+        for n in inside(node):
+            self.visit(n)
+
     def define(self, node, kind: str) -> None:
         owner, in_class = self.stack[-1]
         name = f"{owner}.{node.name}"
-        own = [n for n in ast.walk(node) if isinstance(n, ast.Yield | ast.YieldFrom)] if not isinstance(node, ast.ClassDef) else []
-        inner = {id(y) for f in ast.walk(node) if f is not node and isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef | ast.Lambda) for y in ast.walk(f)}
-        self.add("Method" if in_class and kind == "Function" else kind, node, qualified_name=name, name=node.name, parent=owner, docstring=ast.get_docstring(node), decorators=[d for d in map(lambda d: dotted(d.func if isinstance(d, ast.Call) else d), node.decorator_list) if d], is_async=isinstance(node, ast.AsyncFunctionDef), is_generator=any(id(y) not in inner for y in own))
+        self.add("Method" if in_class and kind == "Function" else kind, node, qualified_name=name, name=node.name, parent=owner, docstring=ast.get_docstring(node), decorators=[d for d in map(lambda d: dotted(d.func if isinstance(d, ast.Call) else d), node.decorator_list) if d], is_async=isinstance(node, ast.AsyncFunctionDef), is_generator=not isinstance(node, ast.ClassDef) and yields(node))
         if isinstance(node, ast.ClassDef):
             for i, base in enumerate(node.bases):
                 if said := dotted(base.value if isinstance(base, ast.Subscript) else base):
@@ -173,12 +204,13 @@ def facts(project: str, path: str, text: str) -> list[dict]:
     return [{"kind": "Module", "path": path, "module": f.module, "qualified_name": f.module, "name": f.module.rsplit(".", 1)[-1], "docstring": ast.get_docstring(tree), "decorators": names, "seq": -1}, *f.rows]
 
 
-def parsed(files: DataFrame, project: str, path: str = "path", text: str = "text") -> DataFrame:
-    """Facts of every Python file; files are parsed where they lie, no shuffle."""
+def parsed(files: DataFrame, project: str, path: str = "path", text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of every Python file, or those of some kinds; files are parsed where they lie, no shuffle: a
+    caller whose files lie in few partitions deals them out first (``tables.dealt``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t is not None for r in facts(project, p, t)]
+            rows = [r for p, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t is not None for r in facts(project, p, t) if kinds is None or r["kind"] in kinds]
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return files.where(F.col(path).endswith(".py")).select(path, text).mapInArrow(run, SCHEMA)
@@ -205,7 +237,7 @@ def exports(rows: DataFrame) -> DataFrame:
 def _classes(rows: DataFrame, kind: str) -> DataFrame:
     """Facts of a kind with the qualified name of the class they name: imported, or the module's own."""
     own = rows.where(F.col("kind") == kind).select("qualified_name", "name", "module", "target", F.split("target", r"\.")[0].alias("_head"))
-    named = imports(rows).where("alias <> '*'").select(F.col("module").alias("_m"), F.col("alias").alias("_a"), F.col("target").alias("_t"))
+    named = few(imports(rows).where("alias <> '*'").select(F.col("module").alias("_m"), F.col("alias").alias("_a"), F.col("target").alias("_t")))
     both = own.join(named, (F.col("module") == F.col("_m")) & (F.col("_head") == F.col("_a")), "left")
     rest = F.expr("substring(target, length(_head) + 1)")
     return both.select("qualified_name", "name", F.when(F.col("_t").isNotNull(), F.concat("_t", rest)).otherwise(F.concat_ws(".", "module", "target")).alias("class"))
@@ -226,7 +258,7 @@ def inheritance(rows: DataFrame) -> DataFrame:
     """class, parent, position: INHERITS edges between classes that are known; names are resolved by
     imports, then in the class's module."""
     named = rows.where("kind = 'inherits'").withColumn("name", F.col("seq").cast("string"))
-    known = symbols(rows).select(F.col("qualified_name").alias("parent"))
+    known = few(symbols(rows).select(F.col("qualified_name").alias("parent")))
     both = _classes(named.unionByName(rows.where("kind = 'import'")), "inherits")
     return both.select(F.col("qualified_name").alias("class"), F.col("class").alias("parent"), F.col("name").cast("int").alias("position")).join(known, "parent", "left_semi").select("class", "parent", "position")
 
@@ -234,7 +266,7 @@ def inheritance(rows: DataFrame) -> DataFrame:
 def rebindings(rows: DataFrame) -> DataFrame:
     """original, target, seq of module-level assignments to attributes, with names resolved as classes are."""
     keyed = rows.where("kind = 'rebind'").select("module", "seq", "name", "target")
-    named = imports(rows).where("alias <> '*'").select(F.col("module").alias("_m"), F.col("alias").alias("_a"), F.col("target").alias("_t"))
+    named = few(imports(rows).where("alias <> '*'").select(F.col("module").alias("_m"), F.col("alias").alias("_a"), F.col("target").alias("_t")))
 
     def full(df: DataFrame, c: str) -> DataFrame:
         head = F.split(c, r"\.")[0]

@@ -26,3 +26,23 @@ def test_few_leaves_no_large_table_to_an_estimate(spark):
 def test_code_edges_and_hits_broadcast_no_names(spark):
     for df in (search_queries.code_edges(spark, SF), search_queries.code_hits(spark, SF), search_queries.code_ranking(spark, SF)):
         assert "Broadcast" not in plan(df)
+
+
+@needs_tables
+def test_source_files_are_dealt_out_before_they_are_read(spark):
+    from heddle.plans import source_queries
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert source_queries.python_files(spark, SF).rdd.getNumPartitions() >= parts
+    assert source_queries.other_files(spark, SF).rdd.getNumPartitions() == parts
+
+
+def test_facts_of_some_kinds_are_those_of_all(spark):
+    from heddle.sources import python_source
+
+    text = "import a\ndef f(x: A):\n    def g():\n        yield 1\n    return lambda: (yield)\nclass C(B):\n    def m(self):\n        yield x()\n"
+    files = spark.createDataFrame([("p/m.py", text)], "path string, text string")
+    every = python_source.parsed(files, "proj")
+    some = python_source.parsed(files, "proj", kinds=("Function", "Method"))
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.where("kind IN ('Function', 'Method')").collect()))
+    assert {r["name"]: r["is_generator"] for r in some.collect()} == {"f": False, "g": True, "m": True}
