@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from heddle.functions.text import import_distance, python_name
-from heddle.sources.tables import settled
+from heddle.sources.tables import few, settled
 
 # Rules in the order in which they are tried, with provenance and confidence.
 RULES = {
@@ -71,11 +71,29 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
 
 def inherited(wanted: DataFrame, parents: DataFrame, methods: DataFrame) -> DataFrame:
-    """For each (class, method), the first ancestor in breadth-first order that has the method."""
-    m = methods.select(F.col("class").alias("ancestor"), "method")
-    found = wanted.join(ancestors(parents), "class").join(m, ["ancestor", "method"])
-    rn = F.row_number().over(W.partitionBy("class", "method").orderBy("depth", "position", "ancestor"))
-    return found.withColumn("_rn", rn).where("_rn = 1").select("class", "method", "ancestor")
+    """For each (class, method), the first ancestor in breadth-first order that has the method.
+
+    All classes go up one depth at a time, and only those that still miss a method go on, so the work grows
+    with the steps to what is found and not with all pairs of classes and ancestors.
+    """
+    m = settled(methods.select(F.col("class").alias("ancestor"), "method"))
+    up = settled(parents.select(F.col("class").alias("_c"), "parent", F.col("position").cast("int").alias("_p")))
+    left = settled(wanted.select("class", "method").distinct())
+    first = up.select(F.col("_c").alias("class"), F.col("parent").alias("ancestor"), F.array("_p").alias("position"))
+    at = known = settled(first.join(few(left.select("class").distinct()), "class", "left_semi").groupBy("class", "ancestor").agg(F.min("position").alias("position")))
+    found = wanted.select("class", "method", F.lit(None).cast(m.schema["ancestor"].dataType).alias("ancestor")).limit(0)
+    while not at.isEmpty():
+        asked = left.join(few(at), "class")
+        hit = settled(m.join(few(asked), ["ancestor", "method"]).groupBy("class", "method").agg(F.min_by("ancestor", F.struct("position", "ancestor")).alias("ancestor")))
+        found = found.unionByName(hit)
+        left = settled(left.join(few(hit), ["class", "method"], "left_anti"))
+        still = few(left.select("class").distinct())
+        going = at.join(still, "class", "left_semi").withColumnRenamed("ancestor", "_at")
+        step = up.join(few(going), F.col("_c") == F.col("_at")).select("class", F.col("parent").alias("ancestor"), F.array_append("position", F.col("_p")).alias("position")).where("class <> ancestor")
+        seen = known.select("class", "ancestor").join(still, "class", "left_semi")
+        at = settled(step.join(few(seen), ["class", "ancestor"], "left_anti").groupBy("class", "ancestor").agg(F.min("position").alias("position")))
+        known = settled(seen.unionByName(at.select("class", "ancestor")))
+    return found
 
 
 def overrides(parents: DataFrame, methods: DataFrame) -> DataFrame:

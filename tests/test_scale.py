@@ -46,3 +46,16 @@ def test_facts_of_some_kinds_are_those_of_all(spark):
     some = python_source.parsed(files, "proj", kinds=("Function", "Method"))
     assert sorted(map(str, some.collect())) == sorted(map(str, every.where("kind IN ('Function', 'Method')").collect()))
     assert {r["name"]: r["is_generator"] for r in some.collect()} == {"f": False, "g": True, "m": True}
+
+
+def test_classes_that_found_their_methods_go_no_further_up(spark, monkeypatch):
+    from heddle.operators import resolve
+
+    rounds = []
+    monkeypatch.setattr(resolve, "settled", lambda df: (rounds.append(1), tables.settled(df))[1])
+    chain = [(f"c{i}", f"c{i + 1}", 0) for i in range(40)] + [("x", "y", 0), ("y", "x", 0)]
+    parents = spark.createDataFrame(chain, "class string, parent string, position int")
+    methods = spark.createDataFrame([(f"c{i}", "m") for i in range(41)] + [("x", "lost")], "class string, method string")
+    got = {(r["class"], r["method"]): r["ancestor"] for r in resolve.overrides(parents, methods).collect()}
+    assert got == {(f"c{i}", "m"): f"c{i + 1}" for i in range(40)}
+    assert len(rounds) < 30  # each of 40 depths was settled before
