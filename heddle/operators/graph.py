@@ -34,19 +34,31 @@ def located(keys: DataFrame, nodes: DataFrame) -> DataFrame:
     return keys.join(first, "qualified_name", "left").select("qualified_name", F.coalesce("path", F.lit("")).alias("file_path"), F.coalesce("start_line", F.lit(0)).alias("start_line"), F.coalesce("end_line", F.lit(0)).alias("end_line"))
 
 
+#: Projects whose names a row may hold, so that nodes are compared where they lie.
+FEW_PROJECTS = 1000
+
+
 def with_project(nodes: DataFrame, projects: DataFrame, strict: bool = False) -> DataFrame:
     """Each node with the project whose name is the longest prefix of its own, if any.
 
-    A name's prefixes are few, so they are exploded and joined by equality; nothing is compared
-    with everything.  ``strict`` asks for a dot after the prefix.
+    Up to FEW_PROJECTS projects are one row that all tasks have, and no node is moved. Of more, a name's
+    prefixes are few, so they are exploded and joined by equality; nothing is compared with everything.
+    ``strict`` asks for a dot after the prefix.
     """
     name = F.col("qualified_name")
+    named = projects.where("project IS NOT NULL").select("project").distinct()
+    if named.limit(FEW_PROJECTS + 1).count() <= FEW_PROJECTS:
+        row = named.agg(F.collect_list("project").alias("_projects"))  # at most FEW_PROJECTS
+        of = lambda p: (name == p) | name.startswith(F.concat(p, F.lit("."))) if strict else name.startswith(p) & ((p != "") | (name == ""))
+        found = F.filter("_projects", of)
+        longest = F.array_max(F.transform(found, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+        return nodes.join(F.broadcast(row), how="cross").withColumn("project", longest).drop("_projects")  # one row
     if strict:
         parts = F.split(name, r"\.")
         prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
     else:
         prefixes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, F.lit(1), i))
-    found = nodes.select("qualified_name", F.explode(prefixes).alias("project")).join(projects.select("project"), "project", "left_semi")
+    found = nodes.select("qualified_name", F.explode(prefixes).alias("project")).join(few(named), "project", "left_semi")
     best = found.groupBy("qualified_name").agg(F.max_by("project", F.length("project")).alias("project"))
     return nodes.join(best, "qualified_name", "left")
 

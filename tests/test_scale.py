@@ -59,3 +59,17 @@ def test_classes_that_found_their_methods_go_no_further_up(spark, monkeypatch):
     got = {(r["class"], r["method"]): r["ancestor"] for r in resolve.overrides(parents, methods).collect()}
     assert got == {(f"c{i}", "m"): f"c{i + 1}" for i in range(40)}
     assert len(rounds) < 30  # each of 40 depths was settled before
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_nodes_meet_few_projects_where_they_lie(spark, monkeypatch, strict):
+    from heddle.operators import graph
+
+    names = ["", ".x", "a", "a.b", "a.bc", "a.b.c", "ab.c", "b", None, "a.b"]
+    nodes = spark.createDataFrame(list(enumerate(names)), "i int, qualified_name string")
+    projects = spark.createDataFrame([(x,) for x in ("", "a", "a.b", "ab", None, "a.b")], "project string")
+    few = graph.with_project(nodes, projects, strict)
+    assert "Exchange hashpartitioning(qualified_name" not in plan(few)
+    got = {r["i"]: r["project"] for r in few.collect()}
+    monkeypatch.setattr(graph, "FEW_PROJECTS", 0)
+    assert got == {r["i"]: r["project"] for r in graph.with_project(nodes, projects, strict).collect()}
