@@ -240,4 +240,4 @@ SELECT 'node' AS kind, '(' || label || ')' AS line, count(*) AS n, CAST(count(pa
 UNION ALL SELECT 'relation', '(' || src_label || ')-[' || rel || ']->(' || dst_label || ')', count(*), 0 FROM e GROUP BY src_label, rel, dst_label""")
 def q_graph_schema(spark, sf_dir):
     """What a graph's rows say of its schema: labels with how many have a path, and which labels each relation joins."""
-    return graph.observed_schema(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir))
+    return graph.observed_schema(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir, by_key=True))

@@ -36,13 +36,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rel, src, dst, each once."""
-    legs = [table(spark, sf_dir, t).select(F.lit(rel).alias("rel"), node(a, ka).alias("src"), node(b, kb).alias("dst")) for rel, t, a, ka, b, kb in RELATIONS]
+def edges(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
+    """rel, src, dst, each once.  ``by_key`` finds repeats among the keys, before these are names, which
+    moves less where nothing later needs the rows by (rel, src, dst); no two relations share both a
+    name and the labels of their ends."""
+    keys = lambda df, *on: df.select(*on).distinct() if by_key else df
+    legs = [keys(table(spark, sf_dir, t), ka, kb).select(F.lit(rel).alias("rel"), node(a, ka).alias("src"), node(b, kb).alias("dst")) for rel, t, a, ka, b, kb in RELATIONS]
     out = legs[0]
     for x in legs[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out if by_key else out.distinct()
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
