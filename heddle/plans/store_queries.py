@@ -126,7 +126,7 @@ def q_failed_share(spark, sf_dir):
 def q_export(spark, sf_dir):
     """A graph written as JSON, read back and summed up."""
     path = scratch_folder(spark, "export")
-    tables.exported(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir), path)
+    tables.exported(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir, by_key=True), path)
     nodes, edges = tables.loaded_export(spark, path)
     meta = spark.read.json(f"{path}/metadata").select(F.explode(F.create_map(F.lit("nodes"), "total_nodes", F.lit("relationships"), "total_relationships")).alias("name", "n"))
     a = nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n"))

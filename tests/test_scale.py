@@ -73,3 +73,26 @@ def test_nodes_meet_few_projects_where_they_lie(spark, monkeypatch, strict):
     got = {r["i"]: r["project"] for r in few.collect()}
     monkeypatch.setattr(graph, "FEW_PROJECTS", 0)
     assert got == {r["i"]: r["project"] for r in graph.with_project(nodes, projects, strict).collect()}
+
+
+@needs_tables
+def test_edges_by_key_are_the_edges(spark):
+    from heddle.plans import trade
+
+    a, b = trade.edges(spark, SF), trade.edges(spark, SF, by_key=True)
+    assert b.count() == a.count() and b.exceptAll(a).isEmpty()
+
+
+def test_an_export_makes_its_edges_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    nodes = spark.createDataFrame([("a",), ("b",)], "label string")
+    edges = spark.range(7).repartition(2).mapInArrow(counted, "id long")
+    tables.exported(nodes, edges, str(tmp_path / "x"))
+    assert made.value == 7
+    assert spark.read.json(str(tmp_path / "x/metadata")).first().asDict() == {"total_nodes": 2, "total_relationships": 7}
