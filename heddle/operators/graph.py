@@ -117,33 +117,50 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, caller_cap: in
 def pagerank(edges: DataFrame, alpha: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, nodes: DataFrame | None = None) -> DataFrame:
     """qualified_name, pagerank.  Repeated edges count once, self-loops stay, the rank of nodes
     without edges out is spread evenly.  Stops when the summed change falls below n * tolerance;
-    with tolerance 0 after exactly ``iterations``; empty if it does not settle."""
-    e = edges.select("src", "dst").distinct()
-    out = settled(e.groupBy("src").agg(F.count("*").alias("_out")))
-    salts = F.ceil(F.col("_out") / F.lit(HUB)).cast("int")  # edges of a hub are dealt over so many copies of its rank
-    links = e.join(few(out), "src").withColumn("_salt", F.pmod(F.xxhash64("dst"), salts).cast("int"))
+    with tolerance 0 after exactly ``iterations``; empty if it does not settle.
+
+    Names are written once, beside their hashes; what moves in each round are these, or the names themselves should two
+    share a hash.  A node's edges are one row, a hub's one for every HUB of them."""
+    raw = settled(edges.where("src IS NOT NULL").select("src", "dst"))
+    names = raw.select(F.col("src").alias("qualified_name")).unionByName(raw.select(F.col("dst").alias("qualified_name")))
+    names = (names.unionByName(nodes.select("qualified_name")) if nodes is not None else names).distinct()
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64(c))
+    names = settled(names.withColumn("_id", hashed("qualified_name")))
+    if names.groupBy("_id").count().where("count > 1").isEmpty():
+        ends = raw.select(hashed("src").alias("_id"), hashed("dst").alias("_dst"))
+    else:
+        plain = names.withColumn("_id", F.col("qualified_name"))
+        names, ends = plain, raw.select(F.col("src").alias("_id"), F.col("dst").alias("_dst"))
+    hubs = ends.groupBy("_id").agg(F.count("*").alias("_n")).where(F.col("_n") > HUB).select("_id", F.ceil(F.col("_n") / F.lit(HUB)).cast("int").alias("_salts"))
+    salted = ends.join(few(settled(hubs)), "_id", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    salted = salted.withColumn("_salt", F.when(F.col("_salts") > 1, F.pmod(F.xxhash64("_dst"), "_salts")).otherwise(0).cast("int"))
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = checkpointed(links.select("src", "_salt", "dst").repartition(parts, "src", "_salt"))
-    ends = links.select(F.col("src").alias("qualified_name")).unionByName(links.select(F.col("dst").alias("qualified_name")))
-    ids = (ends.unionByName(nodes.select("qualified_name")) if nodes is not None else ends).distinct().join(out.select(F.col("src").alias("qualified_name"), "_out"), "qualified_name", "left")
-    ids = settled(ids)
+    once = salted.repartition(parts, "_id", "_salt").distinct()
+    links = checkpointed(once.groupBy("_id", "_salt").agg(F.first("_salts").alias("_salts"), F.count("*").alias("_n"), F.collect_list("_dst").alias("_dsts")))
+    out = links.groupBy("_id").agg(F.sum("_n").alias("_out"), F.max("_salts").alias("_salts"))
+    ids = settled(names.select("_id").join(out, "_id", "left"))
+    dropped(raw)
     n = ids.count()
     if not n:
-        return ids.select("qualified_name", F.lit(0.0).alias("pagerank"))
+        return names.select("qualified_name", F.lit(0.0).alias("pagerank"))
     before, ranks = ids, ids.withColumn("pagerank", F.lit(1.0 / n))
+    settles = not tolerance
     for _ in range(iterations):
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("_out").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("_loose"))
-        share = ranks.where("_out IS NOT NULL").select(F.col("qualified_name").alias("src"), (F.col("pagerank") / F.col("_out")).alias("_share"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-        given = links.join(share, ["src", "_salt"]).groupBy(F.col("dst").alias("qualified_name")).agg(F.sum("_share").alias("_in"))
+        share = ranks.where("_out IS NOT NULL").select("_id", (F.col("pagerank") / F.col("_out")).alias("_share"), F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+        given = links.join(share, ["_id", "_salt"]).select(F.explode("_dsts").alias("_id"), "_share").groupBy("_id").agg(F.sum("_share").alias("_in"))
         base = F.lit((1 - alpha) / n) + F.lit(alpha / n) * F.col("_loose")
-        after = ranks.join(given, "qualified_name", "left").join(F.broadcast(loose), how="cross")  # one row
-        after = settled(after.select("qualified_name", "_out", F.col("pagerank").alias("_before"), (base + F.lit(alpha) * F.coalesce("_in", F.lit(0.0))).alias("pagerank")))
+        after = ranks.join(given, "_id", "left").join(F.broadcast(loose), how="cross")  # one row
+        after = settled(after.select("_id", "_out", "_salts", F.col("pagerank").alias("_before"), (base + F.lit(alpha) * F.coalesce("_in", F.lit(0.0))).alias("pagerank")))
         change = after.agg(F.sum(F.abs(F.col("pagerank") - F.col("_before")))).first()[0] if tolerance else None
         dropped(before)
         before, ranks = after, after.drop("_before")
         if change is not None and change < n * tolerance:
-            return ranks.select("qualified_name", "pagerank")
-    return ranks.select("qualified_name", "pagerank") if not tolerance else ranks.select("qualified_name", "pagerank").limit(0)
+            settles = True
+            break
+    named = names.select("qualified_name", F.col("_id").alias("_name"))
+    ranked = ranks.join(named, F.col("_id").eqNullSafe(F.col("_name"))).select("qualified_name", "pagerank")
+    return ranked if settles else ranked.limit(0)
 
 
 def by_greatest(ranks: DataFrame) -> DataFrame:

@@ -50,8 +50,9 @@ def edges(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers of the same orders, in both directions: a cyclic graph."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    pairs = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(node("Customer", "o_custkey").alias("src"), node("Supplier", "l_suppkey").alias("dst")).distinct()
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    keys = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "l_suppkey").distinct()  # keys are shorter than names
+    pairs = keys.select(node("Customer", "o_custkey").alias("src"), node("Supplier", "l_suppkey").alias("dst"))
     return pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 

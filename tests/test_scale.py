@@ -96,3 +96,17 @@ def test_an_export_makes_its_edges_once(spark, tmp_path):
     tables.exported(nodes, edges, str(tmp_path / "x"))
     assert made.value == 7
     assert spark.read.json(str(tmp_path / "x/metadata")).first().asDict() == {"total_nodes": 2, "total_relationships": 7}
+
+
+def test_pagerank_moves_no_names_in_its_rounds(spark, monkeypatch):
+    from heddle.operators import graph
+
+    written = []
+    monkeypatch.setattr(graph, "settled", lambda df: (written.append(dict(df.dtypes)), tables.settled(df))[1])
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("a", "c"), ("d", None)], "src string, dst string")
+    got = {r[0]: round(r[1], 9) for r in graph.pagerank(edges, iterations=4, tolerance=0).collect()}
+    rounds = [w for w in written if "pagerank" in w]
+    assert len(rounds) == 4 and all("string" not in w.values() for w in rounds)
+    assert set(got) == {"a", "b", "c", "d", None}
+    monkeypatch.setattr(graph.F, "xxhash64", lambda *_: F.lit(7))  # names that share their hash
+    assert got == {r[0]: round(r[1], 9) for r in graph.pagerank(edges, iterations=4, tolerance=0).collect()}
