@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heddle.sources.snapshots import Snapshots
-from heddle.sources.tables import dropped, few, settled
+from heddle.sources.tables import dropped, settled
 
 #: Numbers of a block of rows, and of queries; rows in them at most and at least.
 ROW_CELLS, QUERY_CELLS, MOST_ROWS, MOST_QUERIES, LEAST = 1 << 17, 1 << 15, 2048, 512, 16
-#: Query blocks whose best rows a task holds at once.
-HELD = 256
+#: Query blocks whose best rows a task holds at once, and groups at least that rows are dealt into: a query has k rows from each.
+HELD, GROUPS = 256, 4
 #: Places to which scores are rounded before they are ranked, so that rows as near as each other go by key.
 PLACES = 9
 
@@ -97,48 +97,92 @@ def _best(held: tuple[np.ndarray, np.ndarray, np.ndarray], group: np.ndarray, sc
 
 def _scanned(k: int, dims: int, apart: bool, kind: pa.DataType) -> Callable:
     """Function for ``mapInArrow`` over pairs of a block of rows (list, keys, units) and one of queries (q_keys,
-    q_units) of that list: the first k rows that each task knows of each query.  Of a product only k a query are kept, so what a
-    task holds and sends is bounded by its queries."""
+    q_units, q_probes): the first k rows that each task knows of each query.  ``q_probes`` has a row of bits for each list,
+    the queries that probe it; without any all queries do.  Of a product only what reaches a query's k-th score so far is looked at, so what a
+    task holds and sends is bounded by its queries.  Blocks are used where Arrow has them, one pair at a time."""
+    near = 2 * 10.0**-PLACES  # more than what rounding can change
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
 
         def found() -> Iterator[pa.RecordBatch]:
-            for names, (g, s, d) in held.values():
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in g], kind), pa.array(d.tolist(), kind), pa.array(s)], ["query", "key", "score"])
+            for names, _, (g, s, d) in held.values():
+                yield pa.RecordBatch.from_arrays([pa.array(names[g].tolist(), kind), pa.array(d.tolist(), kind), pa.array(s)], ["query", "key", "score"])
             held.clear()
 
         for batch in batches:
-            for row in batch.to_pylist():
-                names, keys = row["q_keys"], np.asarray(row["keys"])
-                name = (row["list"], names[0])  # a query is in one block of a list
+            list_, keys_, units_, q_keys, q_units, q_probes = batch.columns
+            for at in range(batch.num_rows):
+                names = np.asarray(q_keys[at].values.to_pylist())
+                name = names[0]  # a query is in one block
                 if name not in held and len(held) == HELD:
                     yield from found()
-                old = held.get(name, (names, (np.zeros(0, np.int64), np.zeros(0), keys[:0])))[1]
-                q, r = (np.frombuffer(row[c]).reshape(-1, dims) for c in ("q_units", "units"))
-                s = np.round(q @ r.T, PLACES)
+                if name not in held:
+                    held[name] = names, np.full(len(names), -np.inf), (np.zeros(0, np.int64), np.zeros(0), names[:0])
+                least, old = held[name][1:]
+                q, r = (np.frombuffer(c[at].as_buffer()).reshape(-1, dims) for c in (q_units, units_))
+                bits = np.frombuffer(q_probes[at].as_buffer(), np.uint8)
+                who = np.arange(len(names))
+                if len(bits):
+                    wide = -(-len(names) // 8)
+                    who = np.flatnonzero(np.unpackbits(bits[list_[at].as_py() * wide :][:wide], count=len(names)))
+                    q = q[who]
+                if not len(who):
+                    continue
+                s = q @ r.T
                 s[~q.any(axis=1)] = -np.inf  # nothing is near a zero vector, nor is a zero vector near anything
-                s[:, ~r.any(axis=1)] = -np.inf
+                if not (some := r.any(axis=1)).all():
+                    s[:, ~some] = -np.inf
+                floor = least[who]
+                if s.shape[1] > 4 * k and (floor == -np.inf).any():  # with one more, as a row may be the query itself
+                    floor = np.maximum(floor, -np.partition(-s, k, axis=1)[:, k])
+                i, j = np.nonzero(s >= np.maximum(floor - near, -2)[:, None])
+                keys = np.asarray(keys_[at].values.to_pylist())
                 if apart:
-                    s[np.asarray(names)[:, None] == keys] = -np.inf
-                if s.shape[1] > 4 * k:  # all that reach the k-th score, ties included
-                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-                else:
-                    i, j = np.nonzero(s > -np.inf)
-                held[name] = names, _best(old, i, s[i, j], keys[j], k)
+                    other = names[who[i]] != keys[j]
+                    i, j = i[other], j[other]
+                if len(i):
+                    g, score, d = _best(old, who[i], np.round(s[i, j], PLACES), keys[j], k)
+                    start = np.searchsorted(g, np.arange(len(names) + 1))
+                    full = np.flatnonzero(np.diff(start) == k)
+                    least[full] = score[start[full] + k - 1]
+                    held[name] = names, least, (g, score, d)
         yield from found()
 
     return scan
 
 
-def _ranked(pairs: DataFrame, k: int, dims: int, apart: bool) -> DataFrame:
-    kind = pairs.schema["keys"].dataType.elementType
-    found = pairs.select("list", "keys", "units", "q_keys", "q_units").mapInArrow(_scanned(k, dims, apart, T_arrow(kind)), T.StructType([T.StructField("query", kind), T.StructField("key", kind), T.StructField("score", T.DoubleType())]))
+def _ranked(rows: DataFrame, queries: DataFrame, k: int, dims: int, apart: bool) -> DataFrame:
+    """The best k of all blocks of rows for each query.  Groups of rows meet groups of queries, both of blocks: every
+    query has k rows from each group of rows, and there are more than GROUPS of these only where queries are too few to be shared out."""
+    kind = rows.schema["keys"].dataType.elementType
+    parts, n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, queries.count())
+    shares = min(n, max(parts, 2 * n // HELD))
+    r, q = rows.select("list", "keys", "units").repartition(max(GROUPS, parts // shares)), queries.select("q_keys", "q_units", "q_probes", "q_lists").repartition(shares)
+    pairs = r.join(q.hint("shuffle_replicate_nl"), F.col("q_lists").isNull() | F.array_contains("q_lists", F.col("list")))  # blocks, not rows
+    found = pairs.select("list", "keys", "units", "q_keys", "q_units", "q_probes").mapInArrow(_scanned(k, dims, apart, T_arrow(kind)), T.StructType([T.StructField("query", kind), T.StructField("key", kind), T.StructField("score", T.DoubleType())]))
     place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query", "rank", "key", "score")
 
 
+def _probed(queries: DataFrame, centres: np.ndarray, dims: int, probes: int) -> DataFrame:
+    """Blocks of queries (q_keys, q_units) with the lists that some of them probe, and a row of bits for each list."""
+    held = queries.sparkSession.sparkContext.broadcast(centres)  # as many as k_means or a bounded fit gives
+    schema = T.StructType([queries.schema["q_keys"], queries.schema["q_units"], T.StructField("q_probes", T.BinaryType()), T.StructField("q_lists", T.ArrayType(T.IntegerType()))])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                unit = np.frombuffer(batch.column(1)[at].as_buffer()).reshape(-1, dims)
+                near = np.argsort(np.round(_distances(unit, held.value), PLACES), axis=1, kind="stable")[:, :probes]
+                hit = np.zeros((len(held.value), len(unit)), bool)
+                hit[near, np.arange(len(unit))[:, None]] = True
+                one = batch.slice(at, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([np.packbits(hit, axis=1).tobytes()], pa.binary()), pa.array([np.flatnonzero(hit.any(axis=1)).tolist()], pa.list_(pa.int32()))], ["q_keys", "q_units", "q_probes", "q_lists"])
+
+    return queries.select("q_keys", "q_units").mapInArrow(probe, schema)
+
+
 def k_nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", apart: bool = True) -> DataFrame:
     """The k rows with the greatest cosine for each of many queries: query, rank, key, score.
 
@@ -148,15 +192,13 @@ def k_nearest(queries: DataFrame, rows: DataFrame, k: int, key: str = "vec_id",
     not its own neighbour.  Missing, empty and zero vectors are nobody's neighbours and have none; rows that
     share a key are one; vectors of different lengths are padded with zeros.
     """
-    spark = rows.sparkSession
     data, asked = settled(_sound(rows, key, vector)), settled(_sound(queries, key, vector))
     dims = _dims(data, asked)
     one = F.lit(0).alias("list")
     r = settled(blocks(data.select(one, "key", "vector"), dims, _wide(ROW_CELLS, MOST_ROWS, dims)))
     q = settled(blocks(asked.select(one, "key", "vector"), dims, _wide(QUERY_CELLS, MOST_QUERIES, dims)))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), r.count() // 64)
-    pairs = r.repartition(parts).crossJoin(q.select(F.col("keys").alias("q_keys"), F.col("units").alias("q_units")))  # blocks, not rows
-    return _ranked(pairs, k, dims, apart)
+    every = [F.lit(b"").alias("q_probes"), F.lit(None).cast("array<int>").alias("q_lists")]
+    return _ranked(r, q.select(F.col("keys").alias("q_keys"), F.col("units").alias("q_units"), *every), k, dims, apart)
 
 
 # --- clusters ------------------------------------------------------------------------------------
@@ -345,10 +387,10 @@ class InvertedLists:
         centres = self._centres(name["fit"])
         dims = centres.shape[1]
         probes = max(1, min(len(centres), probes or name["probes"]))
-        near = assigned(asked.withColumn("vector", F.slice("vector", F.lit(1), F.lit(dims))), centres, dims, probes)
-        ranged = near.repartitionByRange("list", F.xxhash64("key")).sortWithinPartitions("list", "key")
-        q = settled(blocks(ranged, dims, _wide(QUERY_CELLS, MOST_QUERIES, dims))).select("list", F.col("keys").alias("q_keys"), F.col("units").alias("q_units"))
-        return _ranked(stored.select("list", "keys", "units").join(few(q, 256), "list"), k, dims, apart)
+        homes = assigned(asked.withColumn("vector", F.slice("vector", F.lit(1), F.lit(dims))), centres, dims)  # so that those of a block probe much the same
+        ranged = homes.repartitionByRange("list", F.xxhash64("key")).sortWithinPartitions("list", "key")
+        q = blocks(ranged, dims, _wide(QUERY_CELLS, MOST_QUERIES, dims)).select(F.col("keys").alias("q_keys"), F.col("units").alias("q_units"))
+        return _ranked(stored, settled(_probed(q, centres, dims, probes)), k, dims, apart)
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

@@ -136,3 +136,29 @@ def test_kept_results(spark, tmp_path):
     assert one.entries().count() == 4
     newest = one.entries().agg(F.max("mtime")).first()[0]
     assert one.evict(10**9, 10**9, newest) == [] and len(one.evict(10**9, 0, newest)) == 4 and one.entries().count() == 0
+
+
+def test_what_tasks_find_does_not_grow_with_the_blocks_of_rows(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(8)]) for i in range(600)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(nearest, "MOST_ROWS", 16)
+    monkeypatch.setattr(nearest, "MOST_QUERIES", 16)
+    found, scanned = spark.sparkContext.accumulator(0), nearest._scanned
+
+    def counted(*args):
+        scan = scanned(*args)
+
+        def run(batches):
+            for b in scan(batches):
+                found.add(b.num_rows)
+                yield b
+
+        return run
+
+    monkeypatch.setattr(nearest, "_scanned", counted)
+    index = nearest.InvertedLists(spark, str(tmp_path / "i"))
+    index.build(df, 12)
+    for out in (nearest.k_nearest(df, df, 3), index.search(df, 3, probes=12)):
+        before = found.value
+        assert len(out.collect()) == 1800
+        assert found.value - before <= 1800 * nearest.GROUPS  # 38 blocks of rows and 12 lists before
