@@ -31,11 +31,13 @@ def re_exports(starts: DataFrame, exports: DataFrame, symbols: DataFrame, hops:
     """Where each re-exported name ends: start, target, via_wildcard, hops.
 
     ``exports``: module, symbol, target; the symbol ``*`` stands for every name of the target
-    module.  Named hops go before wildcards, shorter chains before longer; no name is visited twice.
+    module.  Named hops go before wildcards, shorter chains before longer; no name is visited twice.  A chain
+    that reaches a symbol goes no further, since what follows it would be longer and no less by wildcards.
     """
-    known = symbols.select(F.col("qualified_name").alias("_q"))
+    known = few(symbols.select(F.col("qualified_name").alias("_q")).distinct())
     named = exports.where("symbol <> '*'").select(F.concat_ws(".", "module", "symbol").alias("_at"), F.col("target").alias("_to"))
     wild = exports.where("symbol = '*'").select(F.col("module").alias("_m"), F.col("target").alias("_t"))
+    named, wild = few(named), few(wild)
     at = starts.select(F.col("qualified_name").alias("start"), F.col("qualified_name").alias("now"), F.array("qualified_name").alias("path"), F.lit(False).alias("via_wildcard"))
     found = None
     for hop in range(1, hops + 1):
@@ -43,12 +45,13 @@ def re_exports(starts: DataFrame, exports: DataFrame, symbols: DataFrame, hops:
         parts = at.withColumn("_mod", F.regexp_replace("now", r"\.[^.]*$", "")).withColumn("_sym", F.regexp_extract("now", r"([^.]*)$", 1))
         two = parts.join(wild, parts["_mod"] == wild["_m"]).select("start", F.concat_ws(".", "_t", "_sym").alias("next"), "path", F.lit(True).alias("via_wildcard"))
         step = one.unionByName(two).where(~F.array_contains("path", F.col("next"))).select("start", F.col("next").alias("now"), F.array_append("path", F.col("next")).alias("path"), "via_wildcard")
-        step = settled(step.dropDuplicates(["start", "now", "via_wildcard"]))
+        step = step.dropDuplicates(["start", "now", "via_wildcard"])
+        step = settled(step.join(known, step["now"] == known["_q"], "left"))
         if step.isEmpty():
             break
-        hit = step.join(known, step["now"] == known["_q"]).select("start", F.col("now").alias("target"), "via_wildcard", F.lit(hop).alias("hops"))
+        hit = step.where("_q IS NOT NULL").select("start", F.col("now").alias("target"), "via_wildcard", F.lit(hop).alias("hops"))
         found = hit if found is None else found.unionByName(hit)
-        at = step
+        at = step.where("_q IS NULL").drop("_q")
     if found is None:
         return starts.select(F.col("qualified_name").alias("start"), F.lit("").alias("target"), F.lit(False).alias("via_wildcard"), F.lit(0).alias("hops")).limit(0)
     rn = F.row_number().over(W.partitionBy("start").orderBy("via_wildcard", "hops", "target"))

@@ -110,3 +110,28 @@ def test_pagerank_moves_no_names_in_its_rounds(spark, monkeypatch):
     assert set(got) == {"a", "b", "c", "d", None}
     monkeypatch.setattr(graph.F, "xxhash64", lambda *_: F.lit(7))  # names that share their hash
     assert got == {r[0]: round(r[1], 9) for r in graph.pagerank(edges, iterations=4, tolerance=0).collect()}
+
+
+def test_a_chain_that_found_its_symbol_goes_no_further(spark, monkeypatch):
+    from heddle.operators import resolve
+
+    rounds = []
+    monkeypatch.setattr(resolve, "settled", lambda df: (rounds.append(1), tables.settled(df))[1])
+    exports = spark.createDataFrame([(f"m{i}", "h", f"m{i + 1}.h") for i in range(14)], "module string, symbol string, target string")
+    symbols = spark.createDataFrame([("m1.h",), ("m1.h",), ("m9.h",)], "qualified_name string")
+    starts = spark.createDataFrame([("m0.h",)], "qualified_name string")
+    got = [tuple(r) for r in resolve.re_exports(starts, exports, symbols).collect()]
+    assert got == [("m0.h", "m1.h", False, 1)]
+    assert len(rounds) == 2  # 15 before
+
+
+def test_re_exports_broadcast_nothing_by_an_estimate(spark, monkeypatch):
+    from heddle.operators import resolve
+
+    monkeypatch.setattr(resolve, "few", lambda df: tables.few(df, 0))
+    plans = []
+    monkeypatch.setattr(resolve, "settled", lambda df: (plans.append(plan(df)), tables.settled(df))[1])
+    exports = spark.createDataFrame([("a", "h", "b.h"), ("b", "*", "c")], "module string, symbol string, target string")
+    names = lambda x: spark.createDataFrame([(x,)], "qualified_name string")
+    assert [tuple(r) for r in resolve.re_exports(names("a.h"), exports, names("c.h")).collect()] == [("a.h", "c.h", True, 2)]
+    assert plans and all("Broadcast" not in p for p in plans)
