@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from heddle.functions import predicates as P
@@ -260,11 +261,13 @@ TREE = {"src/app": True, "src/node_modules/x": False, "lib/vendor/keep": True, "
 t AS (SELECT * FROM {sql_values(list(TREE.items()), 'folder, walked')})
 SELECT folder, 'source=' || source || '/lang=' || lang AS leaf, 1::BIGINT AS files, bytes FROM f, t WHERE walked AND source <> 'src1'""")
 def q_source_tree(spark, sf_dir):
-    """A tree of the documents' texts below eight folders, walked with folders left out and one let in."""
+    """A tree of the documents' texts below eight folders, walked with folders left out and one let in.  The texts are dealt
+    out once for all folders; those that are left out have them compressed."""
     root = scratch_folder(spark, "tree")
-    docs = table(spark, sf_dir, "documents").select("source", "lang", "text").repartition("source", "lang")
-    for folder in TREE:
-        docs.write.partitionBy("source", "lang").text(f"{root}/{folder}")
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "text").repartition("source", "lang").sortWithinPartitions("source", "lang").persist(StorageLevel.DISK_ONLY)
+    for folder, walked in TREE.items():
+        docs.write.partitionBy("source", "lang").text(f"{root}/{folder}", compression=None if walked else "gzip")
+    docs.unpersist()
     files = walk.source_tree(spark, root, ("source=src1", "docs/gen"), ("lib/vendor/keep",))
     leaf = F.regexp_extract("path", "(source=[^/]*/lang=[^/]*)/", 1)
     return files.groupBy(F.regexp_extract("path", "^(.*?)/source=", 1).alias("folder"), leaf.alias("leaf")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))

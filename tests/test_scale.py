@@ -135,3 +135,15 @@ def test_re_exports_broadcast_nothing_by_an_estimate(spark, monkeypatch):
     names = lambda x: spark.createDataFrame([(x,)], "qualified_name string")
     assert [tuple(r) for r in resolve.re_exports(names("a.h"), exports, names("c.h")).collect()] == [("a.h", "c.h", True, 2)]
     assert plans and all("Broadcast" not in p for p in plans)
+
+
+@needs_tables
+def test_a_tree_is_dealt_out_once_and_is_compressed_where_it_is_left_out(spark, monkeypatch, tmp_path):
+    from heddle.plans import store_queries
+
+    monkeypatch.setattr(store_queries, "scratch_folder", lambda *_: f"file://{tmp_path}/tree")
+    assert store_queries.q_source_tree(spark, SF).count() > 0
+    ids = lambda f: {(r["source"], r["lang"], r["value"]) for r in spark.read.text(f"{tmp_path}/tree/{f}").collect()}
+    for folder, walked in store_queries.TREE.items():
+        assert all(str(p).endswith(".txt" if walked else ".txt.gz") for p in (tmp_path / "tree" / folder).glob("source=*/lang=*/part-*"))
+        assert ids(folder) == ids("src/app")
