@@ -84,6 +84,8 @@ def orphans(packages: DataFrame, *children: DataFrame) -> DataFrame:
 
 #: Times the edges that the pointers of ``closure`` may be.
 POINTERS = 4
+#: Steps down from the roots that ``closure`` takes before it follows pointers up from all nodes.
+FIRST_STEPS = 4
 
 
 def breadth_first(edges: DataFrame, seeds: DataFrame, depth: int, caller_cap: int = 0, exclude_tests: bool = False) -> DataFrame:
@@ -204,15 +206,22 @@ def propagated(seeds: DataFrame, edges: DataFrame, depths: DataFrame, decay: flo
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All that roots contain, at any depth, themselves included, in rounds that grow with the logarithm of the depth.
 
-    Each node not yet known to be inside points to those so many steps above it, at first one.  In a
+    The first FIRST_STEPS levels are found from the roots down; where there are no more, no other node is touched.  Then each node not yet known to be inside points to those so many steps above it, at first one.  In a
     round, the nodes that point at an inside one are inside; the others point twice as far.  A node
     with nothing that far above drops out.  Where nodes have so many parents that the pointers grow to over
     POINTERS times the edges, they become edges of their own, and what is left is found step by step along both.
     """
-    up = settled(edges.select(F.col("dst").alias("node"), F.col("src").alias("above")).distinct())
-    inside = settled(roots.select("qualified_name").distinct())
-    found, n = inside, up.count()
-    pairs = settled(up.join(inside.withColumnRenamed("qualified_name", "node"), "node", "left_anti"))
+    every = settled(edges.select(F.col("dst").alias("node"), F.col("src").alias("above")))
+    new = found = settled(roots.select("qualified_name").distinct())
+    for _ in range(FIRST_STEPS):
+        out = every.join(few(new.withColumnRenamed("qualified_name", "above")), "above", "left_semi").select(F.col("node").alias("qualified_name")).distinct()
+        new = settled(out.join(few(found), "qualified_name", "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.unionByName(new)
+    up = settled(every.distinct())
+    n = up.count()
+    pairs = settled(up.join(found.withColumnRenamed("qualified_name", "node"), "node", "left_anti"))
     for _ in range(max(1, n).bit_length() + 1):  # no way without a cycle is longer than the edges
         if pairs.isEmpty():
             return found
@@ -244,7 +253,7 @@ def without_project(nodes: DataFrame, edges: DataFrame, project: str, containers
     root = edges.sparkSession.createDataFrame([(project,)], "qualified_name string")
     inside = closure(edges.where(F.col("rel").isin(*containers)), root)
     gone = closure(edges.where(F.col("rel").isin(*definitions)), inside)
-    return nodes.join(gone, "qualified_name", "left_anti")
+    return nodes.join(few(gone), "qualified_name", "left_anti")
 
 
 def without_module(nodes: DataFrame, edges: DataFrame, module: str) -> DataFrame:

@@ -150,7 +150,7 @@ def q_merged_properties(spark, sf_dir):
 FROM r UNION SELECT dst FROM s JOIN edges ON src = q WHERE rel = 'SUPPLIED_BY')
 SELECT label, count(*) AS n FROM nodes WHERE qualified_name NOT IN (SELECT q FROM s) GROUP BY label""")
 def q_delete_project(spark, sf_dir):
-    left = graph.without_project(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir), "star.Customer.4", ["PLACED", "CONTAINS"], ["SUPPLIED_BY"])
+    left = graph.without_project(trade.nodes(spark, sf_dir), trade.edges(spark, sf_dir, by_key=True), "star.Customer.4", ["PLACED", "CONTAINS"], ["SUPPLIED_BY"])
     return left.groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -112,6 +112,17 @@ def test_pagerank_moves_no_names_in_its_rounds(spark, monkeypatch):
     assert got == {r[0]: round(r[1], 9) for r in graph.pagerank(edges, iterations=4, tolerance=0).collect()}
 
 
+def test_a_shallow_closure_follows_no_pointers(spark, monkeypatch):
+    from heddle.operators import graph
+
+    written = []
+    monkeypatch.setattr(graph, "settled", lambda df: (written.append(df.columns), tables.settled(df))[1])
+    edges = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "c"), ("c", "a"), ("x", "y"), ("y", "b")], "src string, dst string")
+    got = graph.closure(edges, spark.createDataFrame([("r",), ("r",)], "qualified_name string"))
+    assert sorted(r[0] for r in got.collect()) == ["a", "b", "c", "r"]
+    assert written.count(["node", "above"]) == 1  # the edges; pairs of all nodes and what is above them before
+
+
 def test_a_chain_that_found_its_symbol_goes_no_further(spark, monkeypatch):
     from heddle.operators import resolve
 
