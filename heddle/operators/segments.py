@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +37,54 @@ KINDS = {
 }
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (repo, key, field, dl, t) with their terms, sorted, and how often each occurs, in the place of their tokens."""
+    for batch in batches:
+        tokens_ = batch.column(4)
+        flat = tokens_.flatten().dictionary_encode()
+        words = np.asarray(flat.dictionary.to_pylist(), dtype=object)
+        order = np.argsort(words)
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        row = pc.list_parent_indices(tokens_).to_numpy()
+        pairs, tf = np.unique(row * max(1, len(words)) + place[flat.indices.to_numpy()], return_counts=True)
+        at = np.searchsorted(pairs // max(1, len(words)), np.arange(batch.num_rows + 1))
+        term = pa.array(words[order][pairs % max(1, len(words))], pa.string())
+        terms = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([term, pa.array(tf, pa.int64())], ["term", "tf"]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], terms], ["repo", "key", "field", "dl", "terms"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted postings (seq, repo, field, term, block, key, tf, dl) as blocks; no more than one is held over to the next batch."""
+
+    def blocks(rows: pa.Table, starts: np.ndarray, end: int) -> pa.RecordBatch:
+        first = rows.take(pa.array(starts)).select(["seq", "repo", "field", "term", "block"]).combine_chunks()
+        own = rows.slice(0, end).combine_chunks()
+        tf, dl = own["tf"].to_numpy(), own["dl"].to_numpy()
+        one = pa.StructArray.from_arrays([own[c].combine_chunks() for c in ("key", "tf", "dl")], ["key", "tf", "dl"])
+        docs = pa.ListArray.from_arrays(pa.array([*starts, end], pa.int32()), one)
+        sizes = [pa.array(np.diff([*starts, end])), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts)), docs]
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in first.columns], *sizes], [*first.column_names, "n", "max_tf", "min_dl", "docs"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = pa.Table.from_batches([batch])
+        rows = new if held is None else pa.concat_tables([held, new])
+        change = np.zeros(len(rows), bool)
+        change[0] = True
+        for name in ("repo", "field", "term", "block"):
+            codes = rows[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            change[1:] |= codes[1:] != codes[:-1]
+        starts = np.flatnonzero(change)
+        if len(starts) > 1:
+            yield blocks(rows, starts[:-1], int(starts[-1]))
+        held = rows.slice(int(starts[-1])).combine_chunks()
+    if held is not None:
+        yield blocks(held, np.zeros(1, np.int64), len(held))
+
+
 @dataclass(frozen=True)
 class Found:
     """Hits (repo, key, score, rank), how many blocks the query's lists have, and how many had to be read."""
@@ -84,23 +138,19 @@ class SegmentedIndex:
         """(repo, key, field, dl, terms) of documents; of rows that share repo and key the one with the greatest fields."""
         rows = docs.groupBy(F.col(self.repo).cast("string").alias("repo"), F.col(self.key).cast(self.key_type).alias("key")).agg(F.max(F.struct(*[F.col(f).cast("string").alias(f"_{i}") for i, f in enumerate(self.fields)])).alias("_f"))
         each = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f"_f._{i}")).alias("t")) for i, f in enumerate(self.fields)])
-        cut = settled(rows.select("repo", "key", F.inline(each)).select("repo", "key", "field", "t"))
-        counts = cut.select("repo", "key", "field", F.explode("t").alias("term")).groupBy("repo", "key", "field", "term").agg(F.count("*").alias("tf"))
-        terms = counts.groupBy("repo", "key", "field").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
-        sizes = cut.select(F.col("repo").alias("_r"), F.col("key").alias("_k"), F.col("field").alias("_f"), F.size("t").cast("long").alias("dl"))
-        same = terms["repo"].eqNullSafe(sizes["_r"]) & terms["key"].eqNullSafe(sizes["_k"]) & (terms["field"] == sizes["_f"])
-        none = F.array().cast("array<struct<term:string,tf:bigint>>")
-        return sizes.join(terms, same, "left").select(F.col("_r").alias("repo"), F.col("_k").alias("key"), F.col("_f").alias("field"), "dl", F.coalesce("terms", none).alias("terms"))
+        cut = rows.select("repo", "key", F.inline(each)).select("repo", "key", "field", F.size("t").cast("long").alias("dl"), "t")
+        return cut.mapInArrow(_counted, f"repo string, key {self.key_type}, field string, dl long, terms array<struct<term:string,tf:bigint>>")
 
     def _blocks(self, documents: DataFrame) -> DataFrame:
         """Postings in blocks.  Ranges of (term, field, repo, frequency down, length up) are sorted; a block is what of
-        one list stands in BLOCK rows in a row, so its postings are much alike and its bound is close."""
+        one list stands in BLOCK rows in a row, so its postings are much alike and its bound is close.  A block lies in one range, where it is cut as the rows
+        pass; the ranges are in the order of terms, so what is stored is too."""
         rows = documents.select("seq", "repo", "field", "key", "dl", F.inline("terms"))
         order = ["term", "field", "repo", F.desc("tf"), "dl", "key"]
         ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
         ranged = ranged.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
-        one = F.struct("key", "tf", "dl")
-        return ranged.groupBy("seq", "repo", "field", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(one).alias("docs"))
+        kind = KINDS["blocks"].format(key=self.key_type)
+        return ranged.select("seq", "repo", "field", "term", "block", "key", "tf", "dl").mapInArrow(_cut, kind)
 
     def _added(self, base: int, old: list[tuple[int, str]], documents: DataFrame | None, tombs: DataFrame | None, keep: list[tuple[int, str]], carried: dict[str, DataFrame] | None = None) -> int:
         """Write a segment and the list ``keep`` with it as the version after ``base``.  ``tombs`` are the keys that it takes out
@@ -121,7 +171,7 @@ class SegmentedIndex:
             temporary += [tombs, victims]
         else:
             tombs = self.spark.createDataFrame([], f"repo string, key {self.key_type}")  # nothing is older
-        out = {"documents": held, "deleted": tombs, "totals": totals, "gone": gone, "blocks": self._blocks(held).repartitionByRange("term").sortWithinPartitions("term", "field", "repo", "block")}
+        out = {"documents": held, "deleted": tombs, "totals": totals, "gone": gone, "blocks": self._blocks(held)}
 
         def write(name: str) -> None:
             df, more = out[name].withColumn("seq", F.lit(seq).cast("long")), (carried or {}).get(name)
@@ -229,3 +279,6 @@ class SegmentedIndex:
         best = scores(kept).orderBy(F.desc("score"), "repo", "key").limit(k)
         hits = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "repo", "key")))
         return Found(hits, meta.count(), kept.count())
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package

@@ -158,3 +158,19 @@ def test_a_tree_is_dealt_out_once_and_is_compressed_where_it_is_left_out(spark,
     for folder, walked in store_queries.TREE.items():
         assert all(str(p).endswith(".txt" if walked else ".txt.gz") for p in (tmp_path / "tree" / folder).glob("source=*/lang=*/part-*"))
         assert ids(folder) == ids("src/app")
+
+
+def test_an_index_moves_its_texts_and_its_postings_once(spark, tmp_path):
+    from heddle.operators.segments import SegmentedIndex
+
+    index = SegmentedIndex(spark, str(tmp_path / "i"), ["text"])
+    docs = spark.createDataFrame([("r", "b", "x y2 x"), (None, "a", "x"), ("r", "c", None), ("r", "d", "")], "repo string, doc_id string, text string")
+    held = index.documents(docs)
+    exchanges = lambda df: plan(df).count("Exchange hashpartitioning") + plan(df).count("Exchange rangepartitioning")
+    assert exchanges(held) == 1
+    got = {r["key"]: (r["dl"] or 0, [tuple(t) for t in r["terms"]]) for r in held.collect()}
+    blocks = index._blocks(held.withColumn("seq", F.lit(1).cast("long")))
+    assert exchanges(blocks) == 2
+    listed = sorted((r["repo"] or "", r["n"], r["max_tf"], r["min_dl"], [tuple(d) for d in r["docs"]]) for r in blocks.collect())
+    assert all(n == len(d) for _, n, _, _, d in listed) and sum(n for _, n, *_ in listed) == sum(len(t) for _, t in got.values())
+    assert got["c"] == (0, []) and got["d"] == (0, []) and got["a"][1] == [] and got["b"] == (1, [("y2", 1)])
