@@ -174,3 +174,12 @@ def test_an_index_moves_its_texts_and_its_postings_once(spark, tmp_path):
     listed = sorted((r["repo"] or "", r["n"], r["max_tf"], r["min_dl"], [tuple(d) for d in r["docs"]]) for r in blocks.collect())
     assert all(n == len(d) for _, n, _, _, d in listed) and sum(n for _, n, *_ in listed) == sum(len(t) for _, t in got.values())
     assert got["c"] == (0, []) and got["d"] == (0, []) and got["a"][1] == [] and got["b"] == (1, [("y2", 1)])
+
+
+@needs_tables
+def test_a_schema_is_described_from_rows(spark):
+    from heddle.plans import source_queries
+
+    df = spark.createDataFrame([(1, None, None), (2, "x", None)], "a int, b string, c double")
+    assert [tuple(r) for r in tables.described({"t": df, "u": df.limit(0)}).collect()] == [("t", "- t: a (int), b (string)", 2), ("u", "- u: ", 0)]
+    assert "FileScan" in plan(source_queries.q_schema_text(spark, SF))
