@@ -48,6 +48,25 @@ def edges(spark: SparkSession, sf_dir: str, by_key: bool = False) -> DataFrame:
     return out if by_key else out.distinct()
 
 
+def keyed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qualified_name, kind, label, name: a node's key in place of its name, unique among those of its kind."""
+    legs = [table(spark, sf_dir, t).select(F.col(key).cast("long").alias("qualified_name"), F.lit(i).alias("kind"), F.lit(label).alias("label"), F.col(name).cast("string").alias("name")) for i, (label, t, key, name) in enumerate(LABELS)]
+    out = legs[0]
+    for x in legs[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def keyed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rel, src, src_kind, dst, dst_kind, by the keys of ``keyed_nodes``; with repeats."""
+    kinds = {label: i for i, (label, _, _, _) in enumerate(LABELS)}
+    legs = [table(spark, sf_dir, t).select(F.lit(rel).alias("rel"), F.col(ka).cast("long").alias("src"), F.lit(kinds[a]).alias("src_kind"), F.col(kb).cast("long").alias("dst"), F.lit(kinds[b]).alias("dst_kind")) for rel, t, a, ka, b, kb in RELATIONS]
+    out = legs[0]
+    for x in legs[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers of the same orders, in both directions: a cyclic graph."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")

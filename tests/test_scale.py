@@ -183,3 +183,34 @@ def test_a_schema_is_described_from_rows(spark):
     df = spark.createDataFrame([(1, None, None), (2, "x", None)], "a int, b string, c double")
     assert [tuple(r) for r in tables.described({"t": df, "u": df.limit(0)}).collect()] == [("t", "- t: a (int), b (string)", 2), ("u", "- u: ", 0)]
     assert "FileScan" in plan(source_queries.q_schema_text(spark, SF))
+
+
+@needs_tables
+def test_edges_are_validated_by_keys_and_move_once_for_each_end(spark):
+    from heddle.plans import ledger_queries, trade
+    from heddle.plans.registry import values
+
+    df = ledger_queries.q_edge_validate(spark, SF)
+    p = plan(df)
+    assert p.count("REPARTITION_BY_NUM") == 2 and "star." not in p  # by sources and by targets, as keys
+    assert p.count("BroadcastExchange") == 1  # the pairs of labels, not the nodes
+    allowed = values(spark, ledger_queries.ALLOWED, "rel string, src_label string, dst_label string")
+    nodes = trade.nodes(spark, SF).where("NOT (label = 'Part' AND name LIKE 'red%')")
+    named = tables.validated_edges(trade.edges(spark, SF), nodes, allowed, [F.col("src")])
+    assert sorted(df.collect()) == sorted(named.groupBy("rel", "verdict").count().collect())
+
+
+def test_short_keys_are_judged_with_their_kinds_as_names_are(spark):
+    nodes = spark.createDataFrame([(1, 0, "A"), (1, 1, "B"), (-2, 1, "B")], "key long, kind int, label string")
+    rows = [(1, 0, 1, 1, 9), (1, 0, 1, 1, 8), (1, 0, 1, 1, 7), (1, 1, 1, 0, 1), (1, 1, 1, 0, 2), (1, 0, -2, 0, 1), (1, 0, -2, 0, 2), (1, 0, -2, 1, 1), (None, 0, 1, 1, 1), (None, 0, 1, 1, 2), (1, 0, None, 1, 1)]
+    edges = spark.createDataFrame(rows, "src long, src_kind int, dst long, dst_kind int, line int").withColumn("rel", F.lit("R"))
+    allowed = spark.createDataFrame([("R", "A", "B")], "rel string, src_label string, dst_label string")
+    name = lambda kind, key: F.concat(F.col(kind), F.lit("."), F.col(key))
+    by_key = tables.validated_edges(edges, nodes.withColumnRenamed("key", "qualified_name"), allowed, [F.desc("line")], kind="kind")
+    named = edges.select("rel", name("src_kind", "src").alias("src"), name("dst_kind", "dst").alias("dst"), "line")
+    by_name = tables.validated_edges(named, nodes.select(name("kind", "key").alias("qualified_name"), "label"), allowed, [F.desc("line")])
+    got = lambda df: sorted((r["verdict"], r["src_label"] or "", r["dst_label"] or "", r["line"]) for r in df.collect())
+    assert got(by_key) == got(by_name)
+    assert [v for v, *_ in got(by_key)] == ["dangling"] * 5 + ["illegal"] * 2 + ["ok"] * 2 + ["replaced"] * 2
+    once = tables.validated_edges(edges, nodes.withColumnRenamed("key", "qualified_name"), allowed, [F.desc("line")], kind="kind", once=True)
+    assert sorted((r["verdict"], r["line"]) for r in once.collect()) == [("dangling", 1), ("dangling", 2), ("dangling", 2), ("illegal", 2), ("ok", 1), ("ok", 9)]
