@@ -214,3 +214,11 @@ def test_short_keys_are_judged_with_their_kinds_as_names_are(spark):
     assert [v for v, *_ in got(by_key)] == ["dangling"] * 5 + ["illegal"] * 2 + ["ok"] * 2 + ["replaced"] * 2
     once = tables.validated_edges(edges, nodes.withColumnRenamed("key", "qualified_name"), allowed, [F.desc("line")], kind="kind", once=True)
     assert sorted((r["verdict"], r["line"]) for r in once.collect()) == [("dangling", 1), ("dangling", 2), ("dangling", 2), ("illegal", 2), ("ok", 1), ("ok", 9)]
+
+
+def test_an_edge_to_a_repeated_node_is_not_replaced(spark):
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("b", "B")], "qualified_name string, label string")
+    edges = spark.createDataFrame([("R", "a", "b", 1), ("R", "a", "b", 2)], "rel string, src string, dst string, line int")
+    allowed = spark.createDataFrame([("R", "A", "B")], "rel string, src_label string, dst_label string")
+    got = tables.validated_edges(edges, nodes, allowed, [F.desc("line")])
+    assert sorted((r["verdict"], r["line"]) for r in got.collect()) == [("ok", 2), ("ok", 2), ("replaced", 1), ("replaced", 1)]
